@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from . import chat, urls
 from .bpe import op6_bpe
+from .chat import op9_chat
 from .packing import op4_packing
+from .simple8b import op8_simple8b
+from .urls import op1_url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_url_filter": op1_url_filter,
         "op4_packing": op4_packing,
         "op6_bpe": op6_bpe,
+        "op8_simple8b": op8_simple8b,
+        "op9_chat": op9_chat,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filter": urls.ORACLE, "op9_chat": chat.ORACLE}

@@ -20,7 +20,7 @@ LONGEST = 64
 
 PIECE = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space in Unicode (and separators that some engines count) beyond ASCII's six.
-OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    　﻿]")
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 
 _loaded: dict = {}
 
