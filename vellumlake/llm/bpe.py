@@ -13,7 +13,7 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import CACHE, LONGEST, OTHER_SPACE, PIECE
+from .tokens import CACHE, LONGEST, cut, plain, whole_only
 
 SCHEMA = "doc_id long, ids binary, decoded binary"
 
@@ -26,6 +26,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+class Pieces(dict):
+    """Ids of pieces by key, made when first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: bytes) -> bytes:
+        if key[-1:] in (b",", b".") and key[:1] > b" " and key[:-1].isalpha():
+            ids = self[key[:-1]] + self[b"\x00" + key[-1:]]  # a stop or comma after letters is a pretoken of its own
+        else:
+            ids = self.make(plain(key).decode("utf-8", "replace"))
+        if len(key) <= LONGEST:
+            self[key] = ids
+        return ids
+
+
 class Bpe:
     def __init__(self, spec: str):
         import public_tokenizers
@@ -48,7 +65,7 @@ class Bpe:
         self.merges = {(vocab[a], vocab[b]): rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(j["model"]["merges"])}
         self.pretokens = regex.compile(public_tokenizers.PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict = {}
+        self.cache = Pieces(self.piece)
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pretoken."""
@@ -92,27 +109,14 @@ class Bpe:
                     ids += self.merge(t.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: str) -> bytes:
+    def encode(self, text: bytes) -> bytes:
         """The text's ids as little-endian unsigned 32-bit bytes."""
         cache = self.cache
-        if OTHER_SPACE.search(text):
-            return self.piece(text)
-        pieces = PIECE.findall(text)
-        try:
-            return b"".join([cache[p] for p in pieces])
-        except KeyError:
-            pass
+        if not text or whole_only(text):
+            return self.piece(text.decode("utf-8", "replace"))
         if len(cache) > CACHE:
             cache.clear()
-        out = []
-        for p in pieces:
-            ids = cache.get(p)
-            if ids is None:
-                ids = self.piece(p)
-                if len(p) <= LONGEST:
-                    cache[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        return b"".join(map(cache.__getitem__, cut(text)))
 
     def decode(self, ids: bytes) -> bytes:
         """The vocabulary strings of the ids, put together; what isn't UTF-8 becomes the replacement character."""
@@ -150,7 +154,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataF
         for whole in batches:
             for at in range(0, whole.num_rows, TEXT_BATCH):
                 batch = whole.slice(at, TEXT_BATCH)
-                ids = [own.encode(t.decode("utf-8", "replace")) if t else b"" for t in utf8(batch.column(1))]
+                ids = [own.encode(t) if t else b"" for t in utf8(batch.column(1))]
                 texts = [own.decode(x) for x in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 

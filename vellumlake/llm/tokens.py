@@ -1,28 +1,34 @@
-"""Tokenising whole texts with public tokenizer files, one cached piece at a time.
+"""Tokenising whole texts with public tokenizer files, one remembered piece at a time.
 
-Both supported pre-tokenisers never let a token reach over the border between text and following white space, so a
-text can be cut there and each piece encoded once and remembered. A text that holds white space which the cutting
-pattern doesn't know goes to the tokenizer whole. Results equal encoding the whole text.
+Neither supported pre-tokeniser lets a token reach over the border between text and following white space, so a text
+can be cut there, and each piece encoded once and remembered. Results equal encoding the whole text. A text with white
+space that engines don't agree on goes to the tokenizer whole.
+
+A piece is kept under a short key: what follows a single space stands for itself, a line's first piece starts with the
+line break, NUL stands before a piece without white space in front, SOH before any other.
 """
 
 from __future__ import annotations
 
 import os
 import re
-import struct
+
+import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-#: Pieces remembered by a worker; when full, the memory is emptied and fills again.
-CACHE = 250_000
-#: Pieces longer than this are encoded but not remembered.
+#: Pieces remembered by a worker (some 200 bytes each); when full, the memory is emptied and fills again.
+CACHE = 800_000
+#: Longer pieces are not remembered.
 LONGEST = 64
+#: So many pieces are encoded in one call.
+JOINED = 2000
 
-PIECE = re.compile("[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+PIECE = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space in Unicode (and separators that some engines count) beyond ASCII's six.
 OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
-
-_loaded: dict = {}
+#: Bytes of ASCII texts that the quick way of cutting doesn't know.
+UNUSUAL = bytes([0, 1, 9, 11, 12, 13, 0x1C, 0x1D, 0x1E, 0x1F])
 
 
 def read_file(path: str) -> str:
@@ -31,8 +37,57 @@ def read_file(path: str) -> str:
         return f.read()
 
 
+def whole_only(text: bytes) -> bool:
+    """Must the text go to the tokenizer whole?"""
+    if text.isascii():
+        return len(text.translate(None, b"\x00\x01\x1c\x1d\x1e\x1f")) != len(text)
+    return b"\x00" in text or b"\x01" in text or OTHER_SPACE.search(text.decode("utf-8", "replace")) is not None
+
+
+def cut(text: bytes) -> list[bytes]:
+    """The keys of the text's pieces, for tokenizers that keep white space."""
+    if b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or len(text.translate(None, UNUSUAL)) != len(text):
+        return [_key(p) for p in PIECE.findall(text)]
+    keys = text.replace(b"\n", b" \n").split(b" ")
+    if text[0] == 10:
+        del keys[0]
+    elif keys[0]:
+        keys[0] = b"\x00" + keys[0]
+    else:
+        del keys[0]  # the text starts with a space
+    return keys
+
+
+def _key(piece: bytes) -> bytes:
+    space = len(piece) - len(piece.lstrip(b" \t\n\r\x0b\x0c"))
+    if not space:
+        return b"\x00" + piece
+    if piece[:1] == b" " and (space == 1):
+        return piece[1:]
+    return piece if piece[:1] == b"\n" and space == 1 and len(piece) > 1 else b"\x01" + piece
+
+
+def plain(key: bytes) -> bytes:
+    """The piece of a key."""
+    if key[:1] in (b"\x00", b"\x01"):
+        return key[1:]
+    return key if key[:1] == b"\n" else b" " + key
+
+
+class Known(dict):
+    """Ids by key. A key asked for the first time is noted in `missing` and stays None until it is learnt."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: list = []
+
+    def __missing__(self, key):
+        self.missing.append(key)
+        self[key] = None
+
+
 class Encoder:
-    """encode(text) gives the ids as little-endian unsigned 32-bit bytes."""
+    """encode_all(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -40,40 +95,87 @@ class Encoder:
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.cache: dict = {}
-        # drops white space: pieces are words; otherwise a piece keeps the white space before it
+        self.cache = Known()
+        # drops white space: pieces are words, told apart by a word between them; otherwise by the white space in front
         self.bare = self.tok.normalizer is not None
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _pieces(self, text: bytes) -> list:
+        vocab = self.tok.get_vocab()
         if self.bare:
-            return text.split()
-        s = text.decode("utf-8", "replace")
-        return [s] if OTHER_SPACE.search(s) else PIECE.findall(s)
+            self.between = vocab["0</w>"]
+        else:
+            self.opens = np.zeros(max(vocab.values()) + 1, bool)
+            self.opens[[i for s, i in vocab.items() if s[:1] in ("Ġ", "Ċ")]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, keys: list[bytes]) -> None:
+        """Remembers the keys' ids. A stop or comma after letters is a token of its own, so such keys are put together."""
+        cache = self.cache
+        two = [k for k in keys if k[-1:] in (b",", b".") and k[:1] > b" " and k[:-1].isalpha()]
+        if two:
+            done = set(two)
+            rest = [k for k in keys if k not in done]
+            self._learn([k for k in {*rest, *(k[:-1] for k in two)} if cache.get(k) is None])
+            stops = {c: self._ids([c.decode()])[0].tobytes() for c in (b",", b".")}
+            for k in two:
+                cache[k] = cache[k[:-1]] + stops[k[-1:]]
+            return
+        if self.bare:
+            joint = [k for k in keys if b"0" not in k]
+            alone = [k for k in keys if b"0" in k]
+            words = [k.decode("utf-8", "replace") for k in alone]
+        else:
+            joint = [k for k in keys if k[:1] > b"\x01"]
+            alone = [k for k in keys if k[:1] <= b"\x01"]
+            words = [plain(k).decode("utf-8", "replace") for k in alone]
+        for k, ids in zip(alone, self._ids(words), strict=True):
+            cache[k] = ids.tobytes()
+        for at in range(0, len(joint), JOINED):
+            some = joint[at : at + JOINED]
+            if self.bare:
+                ids = self._ids([b" 0 ".join(some).decode("utf-8", "replace")])[0]
+                ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
+                starts = [0, *(e + 1 for e in ends[:-1])]
+            else:
+                ids = self._ids([b"".join(map(plain, some)).decode("utf-8", "replace")])[0]
+                starts = np.flatnonzero(self.opens[ids]).tolist()
+                ends = [*starts[1:], len(ids)]
+            raw = ids.tobytes()
+            for k, a, b in zip(some, starts, ends, strict=True):
+                cache[k] = raw[4 * a : 4 * b]
 
     def encode_all(self, texts: list) -> list[bytes]:
         """For each text (bytes; None counts as empty) its ids."""
-        out, cache = [], self.cache
-        for t in texts:
-            pieces = self._pieces(t) if t else []
-            try:
-                out.append(b"".join([cache[p] for p in pieces]))
+        cache = self.cache
+        if len(cache) > CACHE:
+            cache.clear()
+        if self.bare:
+            cuts = [t.lower().split() if t else [] for t in texts]
+        else:
+            cuts = [(None if whole_only(t) else cut(t)) if t else [] for t in texts]
+        get = cache.__getitem__
+        found = [c and list(map(get, c)) for c in cuts]
+        missing, cache.missing = cache.missing, []
+        self._learn(missing)
+        out = []
+        for t, keys, ids in zip(texts, cuts, found, strict=True):
+            if keys is None:
+                out.append(self._ids([t.decode("utf-8", "replace")])[0].tobytes())
                 continue
-            except KeyError:
-                pass
-            once = {}
-            missing = list(dict.fromkeys(p for p in pieces if p not in cache))
-            as_text = [p.decode("utf-8", "replace") for p in missing] if self.bare else missing
-            for p, e in zip(missing, self.tok.encode_batch_fast(as_text, add_special_tokens=False), strict=True):
-                (cache if len(p) <= LONGEST else once)[p] = self._pack(e.ids)
-            out.append(b"".join([cache[p] if p in cache else once[p] for p in pieces]))
-            if len(cache) > CACHE:
-                cache.clear()
+            at, n = -1, ids.count(None)
+            for _ in range(n):
+                at = ids.index(None, at + 1)
+                ids[at] = cache[keys[at]]
+            out.append(b"".join(ids))
+        for k in missing:
+            if len(k) > LONGEST:
+                del cache[k]
         return out
 
 
+_loaded: dict = {}
+
+
 def encoder(spec: str) -> Encoder:
     """The worker's encoder for this file, kept between tasks."""
     key = hash(spec)
