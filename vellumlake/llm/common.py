@@ -91,3 +91,41 @@ def utf8(column) -> list:
     import pyarrow as pa
 
     return column.cast(pa.large_binary()).to_pylist()
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or with underscores in front until no column of df is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def annotate(df: DataFrame, text, fields: str, make) -> tuple[DataFrame, list[str]]:
+    """df with columns appended that a worker derives from texts, and the names they got (changed if df has the like).
+
+    text: the Column of texts. fields: "name type, ..." of the new columns. make(): run once in a task; gives a function
+    from a list of texts (bytes or None) to a list of rows. A task holds one batch of texts.
+    """
+    from pyspark.sql import types as T
+
+    new = T._parse_datatype_string(fields)
+    own = free_name(df, "own_text")
+    names = [free_name(df, f.name) for f in new]
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, new, strict=True))])
+    kept = len(df.columns)
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        kinds = [to_arrow_type(f.dataType) for f in new]
+        work = make()
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXT_BATCH):
+                batch = whole.slice(at, TEXT_BATCH)
+                rows = work(utf8(batch.column(kept)))
+                columns = list(zip(*rows, strict=True)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:kept], *names])
+
+    return df.withColumn(own, text.cast("string")).mapInArrow(run, schema), names

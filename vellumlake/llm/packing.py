@@ -51,20 +51,20 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, max_length: int =
         for whole in batches:
             for at in range(0, whole.num_rows, TEXT_BATCH):
                 batch = whole.slice(at, TEXT_BATCH)
-                rows = [[] for _ in range(8)]
-                put = [r.append for r in rows]
+                rows = []
                 for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(utf8(batch.column(1))), strict=True):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for length in lengths(n, max_length):
                         piece = ids[4 * start : 4 * (start + length)]
-                        for f, v in zip(put, (doc, start, length, piece, n, length.bit_length() - 1, seq, 0), strict=True):
-                            f(v)
+                        rows.append((doc, start, length, piece, n, length.bit_length() - 1, seq, 0))
                         start += length
                         seq += 1
+                if not rows:
+                    continue
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 names = ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"]
-                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from . import chat, urls
 from .bpe import op6_bpe
 from .chat import op9_chat
+from .langid import op10_language_id
 from .packing import op4_packing
+from .rules import op3_quality_rules
 from .simple8b import op8_simple8b
 from .urls import op1_url_filter
 
@@ -13,10 +15,12 @@ from .urls import op1_url_filter
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op3_quality_rules": op3_quality_rules,
         "op4_packing": op4_packing,
         "op6_bpe": op6_bpe,
         "op8_simple8b": op8_simple8b,
         "op9_chat": op9_chat,
+        "op10_language_id": op10_language_id,
     }
 
 

@@ -10,6 +10,7 @@ line break, NUL stands before a piece without white space in front, SOH before a
 
 from __future__ import annotations
 
+import json
 import os
 import re
 
@@ -100,13 +101,23 @@ class Encoder:
         self.bare = self.tok.normalizer is not None
         vocab = self.tok.get_vocab()
         if self.bare:
+            # for texts that the normalizer would leave as they are
+            self.normal = Tokenizer.from_str(json.dumps(json.loads(spec) | {"normalizer": None}))
+            self.normal.no_truncation()
+            self.normal.no_padding()
             self.between = vocab["0</w>"]
         else:
             self.opens = np.zeros(max(vocab.values()) + 1, bool)
             self.opens[[i for s, i in vocab.items() if s[:1] in ("Ġ", "Ċ")]] = True
 
-    def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str], tok=None) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _joint(self, words: list[bytes]) -> np.ndarray:
+        """Ids of the words with the word between them. Lower-case Latin-1 without its white space is in normal form."""
+        text = b" 0 ".join(words).decode("utf-8", "replace")
+        as_is = text.isascii() or (max(text) < "\u0100" and "\x85" not in text and "\xa0" not in text)
+        return self._ids([text], self.normal if as_is and text == text.lower() else None)[0]
 
     def _learn(self, keys: list[bytes]) -> None:
         """Remembers the keys' ids. A stop or comma after letters is a token of its own, so such keys are put together."""
@@ -130,10 +141,11 @@ class Encoder:
             words = [plain(k).decode("utf-8", "replace") for k in alone]
         for k, ids in zip(alone, self._ids(words), strict=True):
             cache[k] = ids.tobytes()
+        joint.sort(key=bytes.isascii)
         for at in range(0, len(joint), JOINED):
             some = joint[at : at + JOINED]
             if self.bare:
-                ids = self._ids([b" 0 ".join(some).decode("utf-8", "replace")])[0]
+                ids = self._joint(some)
                 ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
                 starts = [0, *(e + 1 for e in ends[:-1])]
             else:
