@@ -10,10 +10,11 @@ import heapq
 import json
 import struct
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import CACHE, LONGEST, cut, plain, whole_only
+from .tokens import CACHE, LONGEST, by_pieces, gather, plain
 
 SCHEMA = "doc_id long, ids binary, decoded binary"
 
@@ -58,6 +59,9 @@ class Bpe:
             self.strings[i] = s.encode() if s in self.special else to_bytes(s)
         for s, i in self.special.items():
             self.strings[i] = s.encode()
+        self.flat = np.frombuffer(b"".join(self.strings), np.uint8)
+        self.lengths = np.fromiter(map(len, self.strings), np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.single = [0] * 256
         for c, b in alphabet.items():
             self.single[b] = vocab[c]
@@ -109,19 +113,20 @@ class Bpe:
                     ids += self.merge(t.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def encode(self, text: bytes) -> bytes:
-        """The text's ids as little-endian unsigned 32-bit bytes."""
-        cache = self.cache
-        if not text or whole_only(text):
-            return self.piece(text.decode("utf-8", "replace"))
-        if len(cache) > CACHE:
-            cache.clear()
-        return b"".join(map(cache.__getitem__, cut(text)))
+    def encode(self, column) -> list[bytes]:
+        """The ids of each text of an Arrow column, as little-endian unsigned 32-bit bytes."""
+        if len(self.cache) > CACHE:
+            self.cache.clear()
+        return by_pieces(column, False, lambda keys: list(map(self.cache.__getitem__, keys)), lambda t: self.piece(t.decode("utf-8", "replace")))
 
-    def decode(self, ids: bytes) -> bytes:
-        """The vocabulary strings of the ids, put together; what isn't UTF-8 becomes the replacement character."""
-        out = b"".join(map(self.strings.__getitem__, memoryview(ids).cast("I")))
-        return out.decode("utf-8", "replace").encode()
+    def decode(self, ids: list[bytes]) -> list[bytes]:
+        """For each document the vocabulary strings of its ids, put together; what isn't UTF-8 becomes the replacement
+        character."""
+        codes = np.frombuffer(b"".join(ids), "<u4")
+        flat, ends = gather(self.flat, self.starts, self.lengths, codes)
+        borders = np.concatenate([[0], ends])[np.cumsum([0, *(len(x) // 4 for x in ids)])].tolist()
+        raw = flat.tobytes()
+        return [raw[a:b].decode("utf-8", "replace").encode() for a, b in zip(borders[:-1], borders[1:], strict=True)]
 
 
 _loaded: dict = {}
@@ -148,14 +153,14 @@ def encode_decode(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataF
         import pyarrow as pa
 
         from vellumlake.llm.bpe import bpe
-        from vellumlake.llm.common import TEXT_BATCH, utf8
+        from vellumlake.llm.tokens import TEXT_BATCH
 
         own = bpe(spec.value)
         for whole in batches:
             for at in range(0, whole.num_rows, TEXT_BATCH):
                 batch = whole.slice(at, TEXT_BATCH)
-                ids = [own.encode(t) if t else b"" for t in utf8(batch.column(1))]
-                texts = [own.decode(x) for x in ids]
+                ids = own.encode(batch.column(1))
+                texts = own.decode(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)

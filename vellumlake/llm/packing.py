@@ -43,8 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, max_length: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from vellumlake.llm.common import TEXT_BATCH, utf8
-        from vellumlake.llm.tokens import encoder
+        from vellumlake.llm.tokens import TEXT_BATCH, encoder
 
         enc, end = encoder(spec.value), struct.pack("<I", end_id)
         seq = TaskContext.get().partitionId() << 40
@@ -52,7 +51,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, max_length: int =
             for at in range(0, whole.num_rows, TEXT_BATCH):
                 batch = whole.slice(at, TEXT_BATCH)
                 rows = []
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(utf8(batch.column(1))), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                     ids += end
                     n, start = len(ids) // 4, 0
                     for length in lengths(n, max_length):

@@ -23,42 +23,48 @@ BLOCK_IDS = 16384
 BLOCKS = "shard int, block int, first long, n_ids long, doc_ids binary, has_id binary, ends binary, escapes binary, words binary"
 
 
+#: By how many bits a value has (0 to 64): the lowest selector whose values have room for it; 15: an escape.
+_NEED = np.array([min(s for s in range(1, 15) if BITS[s] >= b) if b <= 60 else 15 for b in range(65)], np.uint8)
+_NEED_16 = _NEED[[int(i).bit_length() for i in range(1 << 16)]]
+
+
 def encode(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The words of the ids (unsigned 64-bit) and the indices of escape words. Each word takes as many ids as fit."""
     ids = np.ascontiguousarray(ids, dtype=np.uint64)
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
-    best = np.zeros(n, np.int64)  # by position: the selector of a word that starts there
-    left = n - np.arange(n)
-    most = int(ids.max())
-    for s in range(14, 0, -1):
-        count, bits = int(COUNTS[s]), int(BITS[s])
-        if count == 1 or most < 1 << bits:
-            ok = ids < np.uint64(1 << 60) if count == 1 else left >= count
-        else:
-            # the next id that needs more bits is at least count away
-            far = np.where(ids >> np.uint64(bits), np.arange(n), n + 60)
-            far = np.minimum.accumulate(far[::-1])[::-1]
-            ok = (far - np.arange(n) >= count) & (left >= count)
-        best[ok] = s
-    hop = np.maximum(COUNTS[best], 1)
-    nxt, at, starts = (np.arange(n) + hop).tolist(), 0, []
+    if int(ids.max()) < 1 << 16:
+        need = _NEED_16[ids]
+    else:
+        need = _NEED[np.searchsorted(np.uint64(1) << np.arange(64, dtype=np.uint64), ids, side="right")]
+    best = np.where(need == 15, 0, 14).astype(np.uint8)  # by position: the selector of a word that starts there
+    most, span = need, 1  # most: the largest need among the next span ids
+    for s in range(13, 0, -1):
+        count = int(COUNTS[s])
+        if count > n:
+            break
+        while span < count:  # windows of twice the length, or as far as they go
+            step = min(span, count - span)
+            most = np.maximum(most[: len(most) - step], most[step:])
+            span += step
+        best[: len(most)][most <= s] = s
+    hop, at, starts = np.maximum(COUNTS[best], 1).astype(np.uint8).tobytes(), 0, []
     put = starts.append
     while at < n:
         put(at)
-        at = nxt[at]
+        at += hop[at]
     starts = np.array(starts, dtype=np.int64)
     sel = best[starts]
     width = np.where(sel == 0, 2, 1)
     place = np.cumsum(width) - width
     words = np.zeros(int(width.sum()), np.uint64)
-    for s in np.unique(sel):
+    for s in np.flatnonzero(np.bincount(sel)).tolist():
         here, to = starts[sel == s], place[sel == s]
         if s == 0:
             words[to + 1] = ids[here]
             continue
-        word = np.full(len(here), np.uint64(int(s) << 60))
+        word = np.full(len(here), np.uint64(s << 60))
         for k in range(COUNTS[s]):
             word |= ids[here + k] << np.uint64(k * BITS[s])
         words[to] = word
@@ -71,16 +77,17 @@ def decode(words: np.ndarray, escapes: np.ndarray) -> np.ndarray:
     count = COUNTS[sel]
     count[escapes] = 0
     count[escapes + 1] = 1
-    sel[escapes] = -1
-    sel[escapes + 1] = -1
+    sel[escapes] = 0
+    sel[escapes + 1] = 0
     place = np.cumsum(count) - count
     out = np.empty(int(count.sum()), np.uint64)
     out[place[escapes + 1]] = words[escapes + 1]
-    for s in np.unique(sel[sel >= 0]):
-        at = sel == s
-        word, to, mask = words[at], place[at], np.uint64((1 << int(BITS[s])) - 1)
-        for k in range(COUNTS[s]):
-            out[to + k] = word >> np.uint64(k * BITS[s]) & mask
+    for s in np.flatnonzero(np.bincount(sel)).tolist():
+        if s:
+            at = np.flatnonzero(sel == s)
+            word, to, mask = words[at], place[at], np.uint64((1 << int(BITS[s])) - 1)
+            for k in range(COUNTS[s]):
+                out[to + k] = word >> np.uint64(k * BITS[s]) & mask
     return out
 
 
@@ -103,8 +110,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, e
         from pyspark import TaskContext
 
         from vellumlake.llm import simple8b
-        from vellumlake.llm.common import TEXT_BATCH, utf8
-        from vellumlake.llm.tokens import encoder
+        from vellumlake.llm.tokens import TEXT_BATCH, encoder
 
         enc, end, shard = encoder(spec.value), struct.pack("<I", end_id), TaskContext.get().partitionId()
         names = [x.split()[0] for x in simple8b.BLOCKS.split(", ")]
@@ -122,7 +128,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, e
         for whole in batches:
             for at in range(0, whole.num_rows, TEXT_BATCH):
                 batch = whole.slice(at, TEXT_BATCH)
-                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode_all(utf8(batch.column(1))), strict=True):
+                for doc, ids in zip(batch.column(0).to_pylist(), enc.encode(batch.column(1)), strict=True):
                     docs_in.append(doc)
                     held.append(ids + end)
                     n += len(held[-1]) // 4

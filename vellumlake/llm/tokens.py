@@ -18,6 +18,8 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Rows of whole texts that are cut at once.
+TEXT_BATCH = 2000
 #: Pieces remembered by a worker (some 200 bytes each); when full, the memory is emptied and fills again.
 CACHE = 800_000
 #: Longer pieces are not remembered.
@@ -46,17 +48,8 @@ def whole_only(text: bytes) -> bool:
 
 
 def cut(text: bytes) -> list[bytes]:
-    """The keys of the text's pieces, for tokenizers that keep white space."""
-    if b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or len(text.translate(None, UNUSUAL)) != len(text):
-        return [_key(p) for p in PIECE.findall(text)]
-    keys = text.replace(b"\n", b" \n").split(b" ")
-    if text[0] == 10:
-        del keys[0]
-    elif keys[0]:
-        keys[0] = b"\x00" + keys[0]
-    else:
-        del keys[0]  # the text starts with a space
-    return keys
+    """The keys of the text's pieces, whatever its white space."""
+    return [_key(p) for p in PIECE.findall(text)]
 
 
 def _key(piece: bytes) -> bytes:
@@ -75,20 +68,65 @@ def plain(key: bytes) -> bytes:
     return key if key[:1] == b"\n" else b" " + key
 
 
-class Known(dict):
-    """Ids by key. A key asked for the first time is noted in `missing` and stays None until it is learnt."""
-
-    def __init__(self):
-        super().__init__()
-        self.missing: list = []
-
-    def __missing__(self, key):
-        self.missing.append(key)
-        self[key] = None
+def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs flat[starts[c] : starts[c] + lengths[c]] for all codes c, put together, and where each run ends."""
+    n = lengths[codes]
+    ends = np.cumsum(n)
+    if not len(ends) or not ends[-1]:
+        return flat[:0], ends
+    return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])], ends
+
+
+def by_pieces(column, bare: bool, learn, whole) -> list[bytes]:
+    """Each text's ids, as little-endian unsigned 32-bit bytes, from those of its pieces.
+
+    column: an Arrow column of strings (null counts as empty). bare: pieces are words, in lower case; otherwise they keep
+    their white space. learn: gives the ids of a list of distinct keys; whole: those of a text that can't be cut. Cutting
+    and telling pieces apart is Arrow's work, so that Python sees each distinct piece of a batch once.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.cast(pa.large_string()), "")
+    out: list = [b""] * len(column)
+    quick = range(len(column))
+    if not bare:
+        texts = column.cast(pa.large_binary()).to_pylist()
+        slow = [i for i, t in enumerate(texts) if unusual(t)]
+        for i in slow:
+            t = texts[i]
+            out[i] = whole(t) if whole_only(t) else b"".join(learn(cut(t)))
+        if slow:
+            skip = set(slow)
+            quick = [i for i in quick if i not in skip]
+            column = column.take(pa.array(quick, pa.int64()))
+        column = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\x00", pc.replace_substring(column, "\n", " \n"), "")))
+        cuts = pc.split_pattern(column, " ")
+    else:
+        cuts = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    if not len(cuts):
+        return out
+    coded = cuts.flatten().dictionary_encode()
+    ids = learn(coded.dictionary.cast(pa.large_binary()).to_pylist())
+    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    flat, ends = gather(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy(zero_copy_only=False))
+    borders = cuts.offsets.to_numpy() - cuts.offsets[0].as_py()
+    borders = np.concatenate([[0], ends])[borders] * 4
+    raw = flat.tobytes()
+    for i, a, b in zip(quick, borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+        out[i] = raw[a:b]
+    return out
+
+
+def unusual(text: bytes) -> bool:
+    """Is there white space that cutting at single spaces and line breaks doesn't do right?"""
+    if b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or len(text.translate(None, UNUSUAL)) != len(text):
+        return True
+    return not text.isascii() and OTHER_SPACE.search(text.decode("utf-8", "replace")) is not None
 
 
 class Encoder:
-    """encode_all(texts) gives each text's ids as little-endian unsigned 32-bit bytes."""
+    """Encodes whole texts as the tokenizers library does, without added special tokens."""
 
     def __init__(self, spec: str):
         from tokenizers import Tokenizer
@@ -96,7 +134,7 @@ class Encoder:
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.cache = Known()
+        self.cache: dict = {}
         # drops white space: pieces are words, told apart by a word between them; otherwise by the white space in front
         self.bare = self.tok.normalizer is not None
         vocab = self.tok.get_vocab()
@@ -156,33 +194,24 @@ class Encoder:
             for k, a, b in zip(some, starts, ends, strict=True):
                 cache[k] = raw[4 * a : 4 * b]
 
-    def encode_all(self, texts: list) -> list[bytes]:
-        """For each text (bytes; None counts as empty) its ids."""
+    def pieces(self, keys: list[bytes]) -> list[bytes]:
+        """The ids of distinct keys."""
         cache = self.cache
         if len(cache) > CACHE:
             cache.clear()
-        if self.bare:
-            cuts = [t.lower().split() if t else [] for t in texts]
-        else:
-            cuts = [(None if whole_only(t) else cut(t)) if t else [] for t in texts]
-        get = cache.__getitem__
-        found = [c and list(map(get, c)) for c in cuts]
-        missing, cache.missing = cache.missing, []
-        self._learn(missing)
-        out = []
-        for t, keys, ids in zip(texts, cuts, found, strict=True):
-            if keys is None:
-                out.append(self._ids([t.decode("utf-8", "replace")])[0].tobytes())
-                continue
-            at, n = -1, ids.count(None)
-            for _ in range(n):
-                at = ids.index(None, at + 1)
-                ids[at] = cache[keys[at]]
-            out.append(b"".join(ids))
-        for k in missing:
-            if len(k) > LONGEST:
-                del cache[k]
-        return out
+        found = list(map(cache.get, keys))
+        missing = [k for k, v in zip(keys, found, strict=True) if v is None]
+        if missing:
+            self._learn(list(dict.fromkeys(missing)))
+            found = list(map(cache.__getitem__, keys))
+            for k in missing:
+                if len(k) > LONGEST:
+                    cache.pop(k, None)
+        return found
+
+    def encode(self, column) -> list[bytes]:
+        """The ids of each text of an Arrow column."""
+        return by_pieces(column, self.bare, self.pieces, lambda t: self._ids([t.decode("utf-8", "replace")])[0].tobytes())
 
 
 _loaded: dict = {}
