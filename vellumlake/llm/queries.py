@@ -6,6 +6,7 @@ from . import chat, urls
 from .bpe import op6_bpe
 from .chat import op9_chat
 from .langid import op10_language_id
+from .minhash import op7_minhash
 from .packing import op4_packing
 from .rules import op3_quality_rules
 from .simple8b import op8_simple8b
@@ -18,6 +19,7 @@ def queries() -> dict:
         "op3_quality_rules": op3_quality_rules,
         "op4_packing": op4_packing,
         "op6_bpe": op6_bpe,
+        "op7_minhash": op7_minhash,
         "op8_simple8b": op8_simple8b,
         "op9_chat": op9_chat,
         "op10_language_id": op10_language_id,

@@ -19,9 +19,9 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Rows of whole texts that are cut at once.
-TEXT_BATCH = 2000
+TEXT_BATCH = 500
 #: Pieces remembered by a worker (some 200 bytes each); when full, the memory is emptied and fills again.
-CACHE = 800_000
+CACHE = 500_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: So many pieces are encoded in one call.
@@ -74,7 +74,10 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.
     ends = np.cumsum(n)
     if not len(ends) or not ends[-1]:
         return flat[:0], ends
-    return flat[np.repeat(starts[codes] - (ends - n), n) + np.arange(ends[-1])], ends
+    small = np.int32 if max(ends[-1], len(flat)) < 1 << 31 else np.int64
+    at = np.repeat((starts[codes] - (ends - n)).astype(small), n)
+    at += np.arange(ends[-1], dtype=small)
+    return flat[at], ends
 
 
 def by_pieces(column, bare: bool, learn, whole) -> list[bytes]:
