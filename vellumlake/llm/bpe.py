@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tokens import CACHE, LONGEST, by_pieces, gather, plain
+from .tokens import Table, by_pieces, gather, packed, plain
 
 SCHEMA = "doc_id long, ids binary, decoded binary"
 
@@ -27,23 +27,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
-class Pieces(dict):
-    """Ids of pieces by key, made when first asked for."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key: bytes) -> bytes:
-        if key[-1:] in (b",", b".") and key[:1] > b" " and key[:-1].isalpha():
-            ids = self[key[:-1]] + self[b"\x00" + key[-1:]]  # a stop or comma after letters is a pretoken of its own
-        else:
-            ids = self.make(plain(key).decode("utf-8", "replace"))
-        if len(key) <= LONGEST:
-            self[key] = ids
-        return ids
-
-
 class Bpe:
     def __init__(self, spec: str):
         import public_tokenizers
@@ -69,7 +52,7 @@ class Bpe:
         self.merges = {(vocab[a], vocab[b]): rank << 32 | vocab[a + b] for rank, (a, b) in enumerate(j["model"]["merges"])}
         self.pretokens = regex.compile(public_tokenizers.PATTERN)
         self.splits = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache = Pieces(self.piece)
+        self.table = Table(self._learn)
 
     def merge(self, data: bytes) -> list[int]:
         """The ids of one pretoken."""
@@ -113,11 +96,25 @@ class Bpe:
                     ids += self.merge(t.encode())
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _learn(self, keys) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct keys and how many each has. A stop or comma after letters is a pretoken of its own."""
+        out, stems = [], {}
+        for key in keys.to_pylist():
+            if key[-1:] in (b",", b".") and key[:1] > b" " and key[:-1].isalpha():
+                stem = stems.get(key[:-1])
+                if stem is None:
+                    stem = stems[key[:-1]] = self.piece(plain(key[:-1]).decode())
+                out.append(stem + self.piece(key[-1:].decode()))
+            else:
+                ids = stems.get(key)
+                if ids is None:
+                    ids = stems[key] = self.piece(plain(key).decode("utf-8", "replace"))
+                out.append(ids)
+        return packed(out)
+
     def encode(self, column) -> list[bytes]:
         """The ids of each text of an Arrow column, as little-endian unsigned 32-bit bytes."""
-        if len(self.cache) > CACHE:
-            self.cache.clear()
-        return by_pieces(column, False, lambda keys: list(map(self.cache.__getitem__, keys)), lambda t: self.piece(t.decode("utf-8", "replace")))
+        return by_pieces(column, False, self.table, lambda t: self.piece(t.decode("utf-8", "replace")))
 
     def decode(self, ids: list[bytes]) -> list[bytes]:
         """For each document the vocabulary strings of its ids, put together; what isn't UTF-8 becomes the replacement

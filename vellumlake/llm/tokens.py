@@ -19,13 +19,13 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Rows of whole texts that are cut at once.
-TEXT_BATCH = 500
-#: Pieces remembered by a worker (some 200 bytes each); when full, the memory is emptied and fills again.
-CACHE = 500_000
+TEXT_BATCH = 2000
+#: Pieces remembered by a worker (some 30 bytes each); when full, only those of the last batch stay.
+CACHE = 600_000
 #: Longer pieces are not remembered.
 LONGEST = 64
-#: So many pieces are encoded in one call.
-JOINED = 2000
+#: So many pieces are encoded in one text.
+JOINED = 4000
 
 PIECE = re.compile(rb"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: White space in Unicode (and separators that some engines count) beyond ASCII's six.
@@ -80,17 +80,58 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.
     return flat[at], ends
 
 
-def by_pieces(column, bare: bool, learn, whole) -> list[bytes]:
+class Table:
+    """Ids of pieces, kept in arrays. learn: gives the ids of an Arrow array of distinct keys, as one array, and how many
+    each has."""
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.keys = None
+        self.flat, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
+
+    def find(self, keys) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """flat, starts and lengths: the ids of distinct key k are flat[starts[k] : starts[k] + lengths[k]]."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        keys = keys.cast(pa.large_binary())
+        if self.keys is None:
+            self.keys = keys.slice(0, 0)
+        at = pc.index_in(keys, value_set=self.keys)
+        new = keys.filter(at.is_null())
+        flat, lengths = self.learn(new) if len(new) else (self.flat[:0], self.lengths[:0])
+        whole, counts = np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+        row = at.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        row[row < 0] = len(self.keys) + np.arange(len(new))
+        begins = np.cumsum(counts) - counts
+        short = pc.less_equal(pc.binary_length(new), LONGEST)
+        if len(self.keys) > CACHE:
+            self.keys, self.flat, self.lengths = new.slice(0, 0), self.flat[:0], self.lengths[:0]
+        if pc.all(short).as_py() is not False:
+            self.keys, self.flat, self.lengths = pa.concat_arrays([self.keys, new]), np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
+        else:
+            ok = short.to_numpy(zero_copy_only=False)
+            self.keys = pa.concat_arrays([self.keys, new.filter(short)])
+            self.flat, self.lengths = np.concatenate([self.flat, flat[np.repeat(ok, lengths)]]), np.concatenate([self.lengths, lengths[ok]])
+        return whole, begins[row], counts[row]
+
+
+def packed(ids: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids given as bytes, as one array, and how many each has."""
+    return np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+
+
+def by_pieces(column, bare: bool, table: Table, whole) -> list[bytes]:
     """Each text's ids, as little-endian unsigned 32-bit bytes, from those of its pieces.
 
     column: an Arrow column of strings (null counts as empty). bare: pieces are words, in lower case; otherwise they keep
-    their white space. learn: gives the ids of a list of distinct keys; whole: those of a text that can't be cut. Cutting
-    and telling pieces apart is Arrow's work, so that Python sees each distinct piece of a batch once.
+    their white space. whole: gives the ids of a text that can't be cut. Cutting and telling pieces apart is Arrow's work,
+    so that Python sees only pieces that are new to the table.
     """
     import pyarrow as pa
     import pyarrow.compute as pc
 
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = fresh(column)
     out: list = [b""] * len(column)
     quick = range(len(column))
     if not bare:
@@ -98,7 +139,14 @@ def by_pieces(column, bare: bool, learn, whole) -> list[bytes]:
         slow = [i for i, t in enumerate(texts) if unusual(t)]
         for i in slow:
             t = texts[i]
-            out[i] = whole(t) if whole_only(t) else b"".join(learn(cut(t)))
+            if whole_only(t):
+                out[i] = whole(t)
+                continue
+            keys = cut(t)
+            distinct = list(dict.fromkeys(keys))
+            number = {k: n for n, k in enumerate(distinct)}
+            flat, starts, lengths = table.find(pa.array(distinct, pa.large_binary()))
+            out[i] = gather(flat, starts, lengths, np.fromiter(map(number.__getitem__, keys), np.int64, len(keys)))[0].tobytes()
         if slow:
             skip = set(slow)
             quick = [i for i in quick if i not in skip]
@@ -110,9 +158,7 @@ def by_pieces(column, bare: bool, learn, whole) -> list[bytes]:
     if not len(cuts):
         return out
     coded = cuts.flatten().dictionary_encode()
-    ids = learn(coded.dictionary.cast(pa.large_binary()).to_pylist())
-    lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    flat, ends = gather(np.frombuffer(b"".join(ids), "<u4"), np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy(zero_copy_only=False))
+    flat, ends = gather(*table.find(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False))
     borders = cuts.offsets.to_numpy() - cuts.offsets[0].as_py()
     borders = np.concatenate([[0], ends])[borders] * 4
     raw = flat.tobytes()
@@ -121,6 +167,37 @@ def by_pieces(column, bare: bool, learn, whole) -> list[bytes]:
     return out
 
 
+def fresh(column):
+    """A copy of an Arrow column of strings as large strings that start at the buffer's start, null as empty: some string
+    functions of Arrow misread slices. What isn't UTF-8 becomes the replacement character."""
+    import pyarrow as pa
+
+    texts = [t or b"" for t in column.cast(pa.large_binary()).to_pylist()]
+    try:
+        return pa.array(texts, pa.large_binary()).cast(pa.large_string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_string())
+
+
+def words_of(column):
+    """The distinct words (A-Z lower-cased, cut at ASCII white space) of an Arrow column of strings (null counts as empty)
+    as an Arrow array, each word's number among them in order, and the borders of the texts in that order."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    cuts = pc.ascii_split_whitespace(pc.ascii_lower(fresh(column)))
+    coded = cuts.flatten().dictionary_encode()
+    words, codes = coded.dictionary.cast(pa.large_binary()), coded.indices.to_numpy(zero_copy_only=False)
+    borders = (cuts.offsets.to_numpy() - cuts.offsets[0].as_py()).astype(np.int64) if len(cuts) else np.zeros(1, np.int64)
+    empty = pc.equal(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    if empty.any():  # white space at a text's ends
+        real = ~empty[codes]
+        borders = np.concatenate([[0], np.cumsum(real)])[borders]
+        codes = (np.cumsum(~empty) - 1)[codes[real]]
+        words = words.filter(pa.array(~empty))
+    return words, codes, borders
+
+
 def unusual(text: bytes) -> bool:
     """Is there white space that cutting at single spaces and line breaks doesn't do right?"""
     if b"  " in text or b"\n\n" in text or b" \n" in text or b"\n " in text or len(text.translate(None, UNUSUAL)) != len(text):
@@ -137,7 +214,7 @@ class Encoder:
         self.tok = Tokenizer.from_str(spec)
         self.tok.no_truncation()
         self.tok.no_padding()
-        self.cache: dict = {}
+        self.table = Table(self._learn)
         # drops white space: pieces are words, told apart by a word between them; otherwise by the white space in front
         self.bare = self.tok.normalizer is not None
         vocab = self.tok.get_vocab()
@@ -154,67 +231,72 @@ class Encoder:
     def _ids(self, texts: list[str], tok=None) -> list[np.ndarray]:
         return [np.array(e.ids, dtype="<u4") for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joint(self, words: list[bytes]) -> np.ndarray:
-        """Ids of the words with the word between them. Lower-case Latin-1 without its white space is in normal form."""
-        text = b" 0 ".join(words).decode("utf-8", "replace")
-        as_is = text.isascii() or (max(text) < "\u0100" and "\x85" not in text and "\xa0" not in text)
-        return self._ids([text], self.normal if as_is and text == text.lower() else None)[0]
-
-    def _learn(self, keys: list[bytes]) -> None:
-        """Remembers the keys' ids. A stop or comma after letters is a token of its own, so such keys are put together."""
-        cache = self.cache
-        two = [k for k in keys if k[-1:] in (b",", b".") and k[:1] > b" " and k[:-1].isalpha()]
-        if two:
-            done = set(two)
-            rest = [k for k in keys if k not in done]
-            self._learn([k for k in {*rest, *(k[:-1] for k in two)} if cache.get(k) is None])
-            stops = {c: self._ids([c.decode()])[0].tobytes() for c in (b",", b".")}
-            for k in two:
-                cache[k] = cache[k[:-1]] + stops[k[-1:]]
-            return
+    def _learn(self, keys) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct keys and how many each has. Most keys are encoded many in one text."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.bare:
+            alone = pc.match_substring(keys, "0")
+        else:
+            alone = pc.or_(pc.starts_with(keys, "\x00"), pc.starts_with(keys, "\x01"))
+        alone = alone.to_numpy(zero_copy_only=False)
+        lengths, parts = np.zeros(len(keys), np.int64), []
+        order = []
+        at = np.flatnonzero(alone)
+        if len(at):
+            one = [(k if self.bare else plain(k)).decode("utf-8", "replace") for k in keys.take(pa.array(at)).to_pylist()]
+            ids = self._ids(one)
+            lengths[at] = [len(x) for x in ids]
+            parts += ids
+            order.append(at)
+        at = np.flatnonzero(~alone)
+        if self.bare and len(at):
+            plain_ = pc.string_is_ascii(keys.take(pa.array(at)).cast(pa.large_string())).to_numpy(zero_copy_only=False)
+            at = np.concatenate([at[plain_], at[~plain_]])
+        for a in range(0, len(at), JOINED):
+            some = at[a : a + JOINED]
+            ids, n = self._joint(keys.take(pa.array(some)))
+            lengths[some] = n
+            parts.append(ids)
+            order.append(some)
+        # the ids are in the order of encoding; back to that of the keys
+        order = np.concatenate(order)
+        flat = np.concatenate(parts) if parts else np.empty(0, np.uint32)
+        n = lengths[order]
+        starts = np.empty(len(keys), np.int64)
+        starts[order] = np.cumsum(n) - n
+        return gather(flat, starts, lengths, np.arange(len(keys)))[0], lengths
+
+    def _joint(self, keys) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of keys that are encoded in one text, and how many each has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        value = lambda x: pa.scalar(x, pa.large_binary())
+        if self.bare:
+            pieces = pc.binary_join_element_wise(keys, value(b" 0 "), value(b""))
+        else:
+            space = pc.if_else(pc.starts_with(keys, "\n"), value(b""), value(b" "))
+            pieces = pc.binary_join_element_wise(space, keys, value(b""))
+        text = b"".join(pieces.to_pylist()).decode("utf-8", "replace")
         if self.bare:
-            joint = [k for k in keys if b"0" not in k]
-            alone = [k for k in keys if b"0" in k]
-            words = [k.decode("utf-8", "replace") for k in alone]
+            # lower-case Latin-1 without its white space is in normal form
+            as_is = text.isascii() or (max(text) < "\u0100" and "\x85" not in text and "\xa0" not in text and text == text.lower())
+            ids = self._ids([text], self.normal if as_is else None)[0]
+            ends = np.flatnonzero(ids == self.between)
+            n = np.diff(np.concatenate([[-1], ends])) - 1
+            ids = ids[ids != self.between]
         else:
-            joint = [k for k in keys if k[:1] > b"\x01"]
-            alone = [k for k in keys if k[:1] <= b"\x01"]
-            words = [plain(k).decode("utf-8", "replace") for k in alone]
-        for k, ids in zip(alone, self._ids(words), strict=True):
-            cache[k] = ids.tobytes()
-        joint.sort(key=bytes.isascii)
-        for at in range(0, len(joint), JOINED):
-            some = joint[at : at + JOINED]
-            if self.bare:
-                ids = self._joint(some)
-                ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
-                starts = [0, *(e + 1 for e in ends[:-1])]
-            else:
-                ids = self._ids([b"".join(map(plain, some)).decode("utf-8", "replace")])[0]
-                starts = np.flatnonzero(self.opens[ids]).tolist()
-                ends = [*starts[1:], len(ids)]
-            raw = ids.tobytes()
-            for k, a, b in zip(some, starts, ends, strict=True):
-                cache[k] = raw[4 * a : 4 * b]
-
-    def pieces(self, keys: list[bytes]) -> list[bytes]:
-        """The ids of distinct keys."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
-        found = list(map(cache.get, keys))
-        missing = [k for k, v in zip(keys, found, strict=True) if v is None]
-        if missing:
-            self._learn(list(dict.fromkeys(missing)))
-            found = list(map(cache.__getitem__, keys))
-            for k in missing:
-                if len(k) > LONGEST:
-                    cache.pop(k, None)
-        return found
+            ids = self._ids([text])[0]
+            n = np.diff(np.concatenate([np.flatnonzero(self.opens[ids]), [len(ids)]]))
+        if len(n) != len(keys):
+            raise ValueError("pieces and their ids don't match")
+        return ids, n
 
     def encode(self, column) -> list[bytes]:
         """The ids of each text of an Arrow column."""
-        return by_pieces(column, self.bare, self.pieces, lambda t: self._ids([t.decode("utf-8", "replace")])[0].tobytes())
+        return by_pieces(column, self.bare, self.table, lambda t: self._ids([t.decode("utf-8", "replace")])[0].tobytes())
 
 
 _loaded: dict = {}
