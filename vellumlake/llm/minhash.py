@@ -6,7 +6,8 @@ differ too much go; the rest are confirmed on their texts' full shingle sets.
 
 No bucket's pairs are all put out. Texts of one shingle set are one node. First only neighbours in a bucket, in the order
 of set sizes, are candidates; confirmed ones are joined to components. Then buckets that still hold several components
-are compared in blocks of sketches, and only pairs across components that the sketches let through are confirmed.
+are compared in blocks: pairs across components that the sketches let through are held against the hashed sets in place,
+and only those that seem linked are put out and confirmed.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ BANDS = SAMPLES // ROWS
 BITS = 1024
 #: Pairs whose sketches put their similarity below this go: at 0.8, some six standard deviations.
 LEAST_ESTIMATE = 0.6
-#: Rows of a bucket that are compared in one block.
-BLOCK = 1024
+#: Rows, and hashes, of a bucket in one block, about.
+BLOCK, BLOCK_HASHES = 1024, 1 << 19
 #: So many ids are broadcast at most (8 MB); more are joined by sorting.
 BROADCAST_IDS = 1_000_000
 
@@ -135,14 +136,22 @@ def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a, b) across components within a bucket. rows: key, i, j (a pair of blocks of the bucket, i <= j),
-    block (the row's own), id, comp, n, sketch, dealt by (key, i, j) and sorted; a task holds two blocks."""
+    """Pairs (a, b) across components within a bucket that sketches and hashed sets say are linked, or nearly. rows: key, i,
+    j (a pair of blocks of the bucket, i <= j), block (the row's own), id, comp, n, sketch, hashes (sorted, unsigned
+    32-bit), dealt by (key, i, j) and sorted; a task holds two blocks."""
     limit = most_bits()
 
     def run(batches):
         import pyarrow as pa
 
-        def compare(ids, comp, n, block, sketch, i, j):
+        def linked(s, t):
+            both = np.concatenate([s, t])
+            both.sort()
+            # two shingles of one 32-bit hash may look like one in common, or in one set hide one: a little room
+            common = int((both[1:] == both[:-1]).sum()) + 2
+            return 100 * common >= percent * (len(both) - common)
+
+        def compare(ids, comp, n, block, sketch, hashes, i, j):
             left = np.flatnonzero(block == i)
             right = np.flatnonzero(block == j)
             for at in range(0, len(left), 256):
@@ -154,18 +163,21 @@ def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
                 for s in range(0, len(x), 1 << 16):
                     u, v = l_[x[s : s + (1 << 16)]], right[y[s : s + (1 << 16)]]
                     near = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64) <= limit
-                    a, b = ids[u[near]], ids[v[near]]
+                    u, v = u[near], v[near]
+                    real = np.fromiter((linked(hashes[p], hashes[q]) for p, q in zip(u.tolist(), v.tolist(), strict=True)), bool, len(u))
+                    a, b = ids[u[real]], ids[v[real]]
                     yield np.minimum(a, b), np.maximum(a, b)
 
         def done(held):
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for y in c for x in y] for c in zip(*held, strict=True)]
             return list(compare(*columns[3:], int(columns[1][0]), int(columns[2][0]))) if len(columns[0]) > 1 else []
 
         held: list = []
         for batch in batches:
             key, i, j, block, ids, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
             sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            rows_ = (key, i, j, ids, comp, n, block, sketch)
+            hashes = [np.frombuffer(x, "<u4") for x in batch.column(8).to_pylist()]
+            rows_ = (key, i, j, ids, comp, n, block, sketch, hashes)
             new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             cuts = [0, *new.tolist(), len(key)]
             out = []
@@ -183,7 +195,7 @@ def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
 
-    return rows.select("key", "i", "j", "block", "id", "comp", "n", "sketch").mapInArrow(run, "a long, b long")
+    return rows.select("key", "i", "j", "block", "id", "comp", "n", "sketch", "hashes").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -216,7 +228,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     here = Window.partitionBy("key").orderBy("n", "id", "set_id")
     rows = rows.withColumn("next", F.lead(F.struct("id", "set_id", "n")).over(here)).withColumn("last", F.lag("id").over(here))
     rows = scratch.table(rows.where("next is not null or last is not null"), "buckets")
-    sketches = scratch.table(full.select("id", "set_id", "sketch").join(rows.select("set_id").distinct(), "set_id", "left_semi"), "sketches")
+    sketches = scratch.table(full.select("id", "text_id", "set_id", "sketch").join(rows.select("set_id").distinct(), "set_id", "left_semi"), "sketches")
 
     pairs = rows.where("next is not null").where(f"next.id <> id and 100 * n >= {int(percent)} * next.n").select(F.col("set_id").alias("s"), F.col("next.set_id").alias("t")).distinct()
     side = lambda c: sketches.select(F.col("set_id").alias(c), F.col("id").alias(f"{c}_id"), F.col("sketch").alias(f"{c}_sketch"))
@@ -230,14 +242,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     comps = connected_components(links, scratch)
     known = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "set_id", "n", F.coalesce("component", "id").alias("comp"))
     known = scratch.table(known, "known")
-    many = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo <> hi").select("key", "size")
-    todo = known.join(many, "key").join(sketches.select("set_id", "sketch"), "set_id")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    todo = todo.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
+    many = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total"))
+    many = many.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    todo = scratch.table(known.join(many, "key"), "todo")
+    whole = sketches.join(todo.select("set_id").distinct(), "set_id", "left_semi")
+    texts = _texts(scratch, own, whole.select("id", "text_id"))
+    hashed, _ = annotate(texts, F.col("text"), "hashes binary", lambda: lambda some: [(np.unique((shingles(t or b"", k) >> np.uint64(32)).astype("<u4")).tobytes(),) for t in some])
+    hashed = scratch.table(hashed.select(F.col("doc_id").alias("id"), "text_id", "hashes"), "hashed")
+    todo = todo.join(whole.join(hashed, ["id", "text_id"]).select("set_id", "sketch", "hashes"), "set_id")
+    todo = todo.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
     todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "sketch")
+    todo = todo.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "sketch", "hashes")
     todo = todo.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = in_blocks(todo, percent).where("a <> b").distinct().join(first, ["a", "b"], "left_anti")
+    second = scratch.table(in_blocks(todo, percent).where("a <> b").distinct(), "linked").join(first, ["a", "b"], "left_anti")
     second = scratch.table(second, "second")
     more = scratch.table(_confirmed(scratch, own, nodes, second, k, percent), "links")
 
@@ -247,13 +264,18 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
+def _texts(scratch: Scratch, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text_id and text of the nodes ids (id, text_id). Only these texts are moved."""
+    ids = scratch.table(ids.distinct().withColumnRenamed("id", "doc_id"), "ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.withColumn("text_id", F.xxhash64("text")).join(F.broadcast(ids) if few else ids, ["doc_id", "text_id"], "left_semi")
+    return scratch.table(texts.dropDuplicates(["doc_id", "text_id"]).select("doc_id", "text_id", "text"), "texts")
+
+
 def _confirmed(scratch: Scratch, docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of candidate pairs of node ids, those that the texts confirm. Only the candidates' texts are moved."""
+    """Of candidate pairs of node ids, those that the texts confirm."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    ids = scratch.table(nodes.select("id", "text_id").join(ids, "id", "left_semi").distinct(), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.withColumn("text_id", F.xxhash64("text")).join((F.broadcast(ids) if few else ids).withColumnRenamed("id", "doc_id"), ["doc_id", "text_id"], "left_semi")
-    texts = scratch.table(texts.dropDuplicates(["doc_id", "text_id"]).select("doc_id", "text"), "texts")
+    texts = _texts(scratch, docs, nodes.select("id", "text_id").join(ids, "id", "left_semi"))
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     whole = pairs.join(side("a"), "a").join(side("b"), "b")
     return confirm(whole, k, percent).distinct()
