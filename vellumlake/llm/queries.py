@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, urls
+from . import chat, neardup_vectors, urls
 from .bpe import op6_bpe
 from .chat import op9_chat
 from .langid import op10_language_id
+from .lm import op5_lm_scoring
 from .minhash import op7_minhash
+from .neardup_vectors import op2_embedding_near_dedup
 from .packing import op4_packing
 from .rules import op3_quality_rules
 from .simple8b import op8_simple8b
@@ -16,8 +18,10 @@ from .urls import op1_url_filter
 def queries() -> dict:
     return {
         "op1_url_filter": op1_url_filter,
+        "op2_embedding_near_dedup": op2_embedding_near_dedup,
         "op3_quality_rules": op3_quality_rules,
         "op4_packing": op4_packing,
+        "op5_lm_scoring": op5_lm_scoring,
         "op6_bpe": op6_bpe,
         "op7_minhash": op7_minhash,
         "op8_simple8b": op8_simple8b,
@@ -27,4 +31,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": urls.ORACLE, "op9_chat": chat.ORACLE}
+    return {"op1_url_filter": urls.ORACLE, "op2_embedding_near_dedup": neardup_vectors.ORACLE, "op9_chat": chat.ORACLE}
