@@ -7,7 +7,7 @@ differ too much go; the rest are confirmed on their texts' full shingle sets.
 No bucket's pairs are all put out. Texts of one shingle set are one node. First only neighbours in a bucket, in the order
 of set sizes, are candidates; confirmed ones are joined to components. Then buckets that still hold several components
 are compared in blocks: pairs across components that the sketches let through are held against the hashed sets in place,
-and only those that seem linked are put out and confirmed.
+and of those linked only as many as join the components are put out and confirmed.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ BITS = 1024
 #: Pairs whose sketches put their similarity below this go: at 0.8, some six standard deviations.
 LEAST_ESTIMATE = 0.6
 #: Rows, and hashes, of a bucket in one block, about.
-BLOCK, BLOCK_HASHES = 1024, 1 << 19
+BLOCK, BLOCK_HASHES = 1024, 1 << 18
 #: So many ids are broadcast at most (8 MB); more are joined by sorting.
 BROADCAST_IDS = 1_000_000
 
@@ -136,9 +136,9 @@ def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components within a bucket that sketches and hashed sets say are linked, or nearly. rows: key, i,
-    j (a pair of blocks of the bucket, i <= j), block (the row's own), id, comp, n, sketch, hashes (sorted, unsigned
-    32-bit), dealt by (key, i, j) and sorted; a task holds two blocks."""
+    """Pairs (a, b) across components within a bucket that hashed sets say are linked, as few as join what can be joined.
+    rows: key, i, j (a pair of blocks of the bucket, i <= j), block (the row's own), id, comp, n, sketch, hashes (of the
+    set's shingles, sorted, unsigned 64-bit), dealt by (key, i, j) and sorted; a task holds two blocks."""
     limit = most_bits()
 
     def run(batches):
@@ -147,26 +147,38 @@ def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         def linked(s, t):
             both = np.concatenate([s, t])
             both.sort()
-            # two shingles of one 32-bit hash may look like one in common, or in one set hide one: a little room
-            common = int((both[1:] == both[:-1]).sum()) + 2
+            common = int((both[1:] == both[:-1]).sum())
             return 100 * common >= percent * (len(both) - common)
 
         def compare(ids, comp, n, block, sketch, hashes, i, j):
-            left = np.flatnonzero(block == i)
-            right = np.flatnonzero(block == j)
+            """Links that join components within the two blocks, as few as do."""
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            up: dict = {}
+            out = []
+
+            def find(c):
+                while c in up:
+                    c = up[c]
+                return c
+
             for at in range(0, len(left), 256):
                 l_ = left[at : at + 256]
-                open_ = comp[l_, None] != comp[None, right]
+                now = np.fromiter(map(find, comp.tolist()), np.int64, len(comp))
+                open_ = now[l_, None] != now[None, right]
                 small, large = np.minimum(n[l_, None], n[None, right]), np.maximum(n[l_, None], n[None, right])
                 open_ &= 100 * small >= percent * large
                 x, y = np.nonzero(open_)
                 for s in range(0, len(x), 1 << 16):
                     u, v = l_[x[s : s + (1 << 16)]], right[y[s : s + (1 << 16)]]
                     near = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64) <= limit
-                    u, v = u[near], v[near]
-                    real = np.fromiter((linked(hashes[p], hashes[q]) for p, q in zip(u.tolist(), v.tolist(), strict=True)), bool, len(u))
-                    a, b = ids[u[real]], ids[v[real]]
-                    yield np.minimum(a, b), np.maximum(a, b)
+                    for p, q in zip(u[near].tolist(), v[near].tolist(), strict=True):
+                        a, b = find(comp[p]), find(comp[q])
+                        if a != b and linked(hashes[p], hashes[q]):
+                            up[max(a, b)] = min(a, b)
+                            out.append((ids[p], ids[q]))
+            if out:
+                a, b = np.array(out, dtype=np.int64).T
+                yield np.minimum(a, b), np.maximum(a, b)
 
         def done(held):
             columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for y in c for x in y] for c in zip(*held, strict=True)]
@@ -176,7 +188,7 @@ def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             key, i, j, block, ids, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
             sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            hashes = [np.frombuffer(x, "<u4") for x in batch.column(8).to_pylist()]
+            hashes = [np.frombuffer(x, "<u8") for x in batch.column(8).to_pylist()]
             rows_ = (key, i, j, ids, comp, n, block, sketch, hashes)
             new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             cuts = [0, *new.tolist(), len(key)]
@@ -247,7 +259,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     todo = scratch.table(known.join(many, "key"), "todo")
     whole = sketches.join(todo.select("set_id").distinct(), "set_id", "left_semi")
     texts = _texts(scratch, own, whole.select("id", "text_id"))
-    hashed, _ = annotate(texts, F.col("text"), "hashes binary", lambda: lambda some: [(np.unique((shingles(t or b"", k) >> np.uint64(32)).astype("<u4")).tobytes(),) for t in some])
+    hashed, _ = annotate(texts, F.col("text"), "hashes binary", lambda: lambda some: [(shingles(t or b"", k).astype("<u8").tobytes(),) for t in some])
     hashed = scratch.table(hashed.select(F.col("doc_id").alias("id"), "text_id", "hashes"), "hashed")
     todo = todo.join(whole.join(hashed, ["id", "text_id"]).select("set_id", "sketch", "hashes"), "set_id")
     todo = todo.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
