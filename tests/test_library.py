@@ -40,27 +40,26 @@ def test_cache_key(spark):
     assert [r[0] for r in df.select(library.valid_cache_key(*(F.col(c) for c in "sbif"))).collect()] == [True, False, False, False, False]
 
 
-class Flaky:
-    """Fails as its text says, and counts on a file what it was asked."""
-
-    def __init__(self, log):
-        self.log = log
-
-    def generate(self, system, user):
-        with open(self.log, "a") as f:
-            f.write("x")
-        if "auth" in user:
-            raise analysis.ModelError("MODEL_AUTH_FAILED")
-        if "broken" in user:
-            return "{"
-        if "extra" in user:
-            return {"core_idea": "x", "more": 1}
-        if "boom" in user:
-            raise KeyError("x")
-        return analysis.LocalProvider().generate(system, user)
-
-
 def test_analyze(spark, tmp_path):
+    class Flaky:
+        """Fails as its text says, and counts on a file what it was asked."""
+
+        def __init__(self, log):
+            self.log = log
+
+        def generate(self, system, user):
+            with open(self.log, "a") as f:
+                f.write("x")
+            if "auth" in user:
+                raise analysis.ModelError("MODEL_AUTH_FAILED")
+            if "broken" in user:
+                return "{"
+            if "extra" in user:
+                return {"core_idea": "x", "more": 1}
+            if "boom" in user:
+                raise KeyError("x")
+            return analysis.LocalProvider().generate(system, user)
+
     log = str(tmp_path / "log")
     rows = [("s", "b", i, f"f{i}", "t", c) for i, c in enumerate(["hello\nworld", "auth", "broken", "extra", "boom", "long " * 100])]
     snaps = spark.createDataFrame([*rows, rows[0]], SNAP)
@@ -149,7 +148,7 @@ def test_jobs(spark, tmp_path):
 
 def book(**more):
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("mimetype", "application/epub+zip")
         z.writestr("META-INF/container.xml", '<container xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="O/p.opf"/></rootfiles></container>')
         z.writestr("O/p.opf", more.pop("opf", '<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title> T  x</dc:title><dc:creator>A</dc:creator></metadata><manifest><item id="n" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/><item id="a" href="a%20b.xhtml" media-type="application/xhtml+xml"/><item id="e" href="e.xhtml" media-type="application/xhtml+xml"/><item id="c" href="c.xhtml" media-type="application/xhtml+xml"/></manifest><spine><itemref idref="n" linear="no"/><itemref idref="e"/><itemref idref="a"/><itemref idref="c"/></spine></package>'))
@@ -202,7 +201,7 @@ def test_pdf(spark):
     rows = pdf.page_rows(spark.createDataFrame(books, "path string, fingerprint string, content binary")).cache()
     got = {}
     for r in pdf.chapters(rows).collect():
-        got.setdefault(r.book, []).append((r.index, r.title, r.source_locator, r.content, r.error))
+        got.setdefault(r.book, []).append((r["index"], r.title, r.source_locator, r.content, r.error))
     a = sorted(got["a"])
     assert [x[:3] for x in a] == [(0, "Opening", "pdf:pages:1-2"), (1, "Two", "pdf:pages:3-5")]
     assert a[0][3] == "Body 0 of text\nmore\n\nBody 1 of text\nmore"

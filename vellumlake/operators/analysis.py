@@ -13,7 +13,6 @@ from typing import Any, Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .chunking import split
 from .library import KEY, with_cache
@@ -70,18 +69,38 @@ class LocalProvider:
         return {"core_idea": rows[0][:200], "key_takeaways": [x[:100] for x in rows[:5]]}
 
 
-def valid(value: Any, kind: T.DataType | None = None, field: str = "") -> bool:
+def _shape(kind: str):
+    """A type as nested Python values: "string", [element], {field: type}. Workers have no session to parse types with."""
+    if kind.startswith("array<"):
+        return [_shape(kind[6:-1])]
+    if not kind.startswith("struct<"):
+        return kind
+    out, depth, start = {}, 0, 7
+    for i in range(7, len(kind)):
+        c = kind[i]
+        if (c == "," or i == len(kind) - 1) and depth == 0:
+            name, _, rest = kind[start:i].partition(":")
+            out[name] = _shape(rest)
+            start = i + 1
+        depth += (c == "<") - (c == ">")
+    return out
+
+
+_RESULT = _shape(SCHEMA)
+#: Fields that must be there and not blank.
+NEEDED = {"core_idea", "name", "term", "rule", "title"}
+
+
+def valid(value: Any, shape: Any = None, field: str = "") -> bool:
     """Is value exactly of the result's schema? Missing arrays are empty; nothing is coerced and nothing may be added."""
-    if kind is None:
-        kind = T._parse_datatype_string(SCHEMA)
-    if isinstance(kind, T.StructType):
-        if not isinstance(value, dict) or set(value) - set(kind.names):
+    shape = _RESULT if shape is None else shape
+    if isinstance(shape, dict):
+        if not isinstance(value, dict) or set(value) - set(shape):
             return False
-        need = {f.name for f in kind if isinstance(f.dataType, T.StringType) and f.name in ("core_idea", "name", "term", "rule", "title")}
-        return need <= set(value) and all(valid(v, kind[k].dataType, k) for k, v in value.items())
-    if isinstance(kind, T.ArrayType):
-        return isinstance(value, list) and all(valid(v, kind.elementType) for v in value)
-    return isinstance(value, str) and (field not in ("core_idea", "name", "term", "rule", "title") or bool(value.strip()))
+        return NEEDED & set(shape) <= set(value) and all(valid(v, shape[k], k) for k, v in value.items())
+    if isinstance(shape, list):
+        return isinstance(value, list) and all(valid(v, shape[0]) for v in value)
+    return isinstance(value, str) and (field not in NEEDED or bool(value.strip()))
 
 
 def ask(provider: Provider, system: str, user: str, attempts: int = 2) -> dict:

@@ -101,10 +101,10 @@ class Table:
         self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
 
     def version(self) -> str | None:
-        at = self._path(f"{self.path}/_CURRENT")
+        at = self._path(f"{self.path}/CURRENT")
         if not self._fs.exists(at):
             return None
-        return self.spark.read.text(f"{self.path}/_CURRENT").first()[0]
+        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
 
     def read(self) -> DataFrame:
         v = self.version()
@@ -120,11 +120,11 @@ class Table:
         if owner != self.version():
             self._fs.delete(self._path(f"{self.path}/{new}"), True)
             raise RuntimeError("the table has changed meanwhile")
-        pending = self._path(f"{self.path}/_NEXT-{new}")
+        pending = self._path(f"{self.path}/NEXT-{new}")
         out = self._fs.create(pending, True)
         out.write(bytearray(new.encode()))
         out.close()
-        at = self._path(f"{self.path}/_CURRENT")
+        at = self._path(f"{self.path}/CURRENT")
         if self._fs.exists(at):
             self._fs.delete(at, False)
         self._fs.rename(pending, at)

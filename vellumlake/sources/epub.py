@@ -168,6 +168,7 @@ def chapters(books: DataFrame) -> DataFrame:
                     rows = [own | meta | c for c in found]
                 except Exception:
                     rows = [own | {"error": "EXTRACTION_FAILED"}]
-                yield pd.DataFrame(rows, columns=names).astype({"chapter_index": "Int32"})
+                out = pd.DataFrame(rows, columns=names).astype({"chapter_index": "Int32"}).astype(object)
+                yield out.where(out.notna(), None)
 
     return books.select("path", "fingerprint", "content").mapInPandas(run, SCHEMA)
