@@ -231,3 +231,47 @@ def test_stream(spark, tmp_path):
     run()
     got = library.Table(spark, str(tmp_path / "t")).read().orderBy("chapter_index").collect()
     assert [(r.chapter_index, r.content) for r in got] == [(0, "new"), (1, "two")]
+
+
+def test_service(spark, tmp_path):
+    from vellumlake.operators.publish import PublishError, Publisher
+    from vellumlake.service import Service
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.epub").write_bytes(book())
+    (tmp_path / "in/b.pdf").write_bytes(make_pdf([[(400, "Some text of a page")], [(400, "And more text")]]))
+    (tmp_path / "in/bad.epub").write_bytes(b"PK\x03\x04")
+    s = Service(spark, str(tmp_path / "lib"))
+    got = {r.path.rsplit("/")[-1]: (r.book_id, r.error) for r in s.import_path(str(tmp_path / "in")).collect()}
+    assert got["bad.epub"] == (None, "EXTRACTION_FAILED") and got["a.epub"][0] and got["b.pdf"][0]
+    s.import_path(str(tmp_path / "in"), "COPY")
+    assert sorted((r.title, r.total_chapters, r["mode"]) for r in s.list_books().collect()) == [("Book", 1, "REFERENCE"), ("T x", 2, "REFERENCE")]
+    a = got["a.epub"][0]
+    assert s.get_book(a).count() == 1 and s.get_chapter(a, 1).first().content == "More"
+    assert s.plan(a).first().pending_chapters == 2
+    first = {r.chapter_index: (r.cache_hit, r.error) for r in s.analyze(a).collect()}
+    assert first == {0: (False, None), 1: (False, None)}
+    assert all(r.cache_hit for r in s.analyze(a).collect())
+    assert s.plan(a).first().pending_chapters == 0
+    generation, changed = s.forge_notes(a)
+    assert changed and s.forge_notes(a) == (generation, False)
+    assert sorted(r.path for r in s.notes.files(a).collect()) == ["Books/0001 First.md", "Books/0002 Chapter 2.md"]
+    s.forge_skill(a)
+    assert {"agents/openai.yaml", "chapters/index.md", "glossary.md", "chapters/ch0001-first.md"} <= {r.path for r in s.skills.files(a).collect()}
+    assert s.skills.active_books() == [a]
+    s.skills.install(a, str(tmp_path / "installed"))
+    s.skills.install(a, str(tmp_path / "installed"))
+    (tmp_path / "foreign").mkdir()
+    with pytest.raises(PublishError, match="INSTALL_CONFLICT"):
+        s.skills.install(a, str(tmp_path / "foreign"))
+    assert all(v != "FAIL" for _, v in s.doctor())
+    p = Publisher(spark, str(tmp_path / "p"))
+    files = lambda *x: spark.createDataFrame([(k, bytearray(v)) for k, v in x], "path string, content binary")
+    with pytest.raises(PublishError, match="UNSAFE_BUNDLE"):
+        p.publish("b", files(("../x", b"1")))
+    g1, _ = p.publish("b", files(("x", b"1")))
+    with pytest.raises(PublishError, match="SOURCE_CHANGED"):
+        p.publish("b", files(("x", b"2")), expected="gen-other")
+    p.publish("b", files(("x", b"2")), expected=g1)
+    p.publish("b", files(("x", b"3")))
+    assert sorted(n[:4] for n in p._names(str(tmp_path / "p/b")) if not n.startswith(".")) == ["CURR", "gen-", "gen-"]
