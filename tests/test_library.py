@@ -255,9 +255,11 @@ def test_service(spark, tmp_path):
     assert s.plan(a).first().pending_chapters == 0
     generation, changed = s.forge_notes(a)
     assert changed and s.forge_notes(a) == (generation, False)
-    assert sorted(r.path for r in s.notes.files(a).collect()) == ["Books/0001 First.md", "Books/0002 Chapter 2.md"]
+    notes = {r.path: bytes(r.content).decode() for r in s.notes.files(a).collect()}
+    assert sorted(notes) == ["Books/0001 First.md", "Books/0002 Chapter 2.md", "Books/T x MOC.md"]
+    assert "- Rendered: 2 / known total: 2." in notes["Books/T x MOC.md"] and "[01 First](0001%20First.md)" in notes["Books/T x MOC.md"]
     s.forge_skill(a)
-    assert {"agents/openai.yaml", "chapters/index.md", "glossary.md", "chapters/ch0001-first.md"} <= {r.path for r in s.skills.files(a).collect()}
+    assert {"SKILL.md", "patterns.md", "cheatsheet.md", "agents/openai.yaml", "chapters/index.md", "glossary.md", "chapters/ch0001-first.md"} <= {r.path for r in s.skills.files(a).collect()}
     assert s.skills.active_books() == [a]
     s.skills.install(a, str(tmp_path / "installed"))
     s.skills.install(a, str(tmp_path / "installed"))
@@ -275,3 +277,19 @@ def test_service(spark, tmp_path):
     p.publish("b", files(("x", b"2")), expected=g1)
     p.publish("b", files(("x", b"3")))
     assert sorted(n[:4] for n in p._names(str(tmp_path / "p/b")) if not n.startswith(".")) == ["CURR", "gen-", "gen-"]
+
+
+def test_cards(spark):
+    a = spark.createDataFrame([("k", 0, "one line\nsecond one")], "book_key string, chapter int, t string").withColumn("analysis", analysis.extractive(F.col("t"), F.lit("en")))
+    got = render.cards(a).withColumn("d", render.card_details(F.col("kind"), F.col("content"))).orderBy("kind", "pos").collect()
+    assert [(r.kind, r.subject, r.ordinal) for r in got] == [("concept", "one", 1), ("concept", "second", 1), ("decision_rule", "one line", 1), ("decision_rule", "second one", 1)]
+    assert got[0].d == "## Concept\none line\n\n## Evidence\n- None." and got[2].d == "## Decision rule\none line\n\n## Conditions\n- None.\n\n## Evidence\n- None."
+
+
+def test_main_file_and_families(spark):
+    a = spark.createDataFrame([("b", 0, "Alpha x\nBeta y"), ("b", 1, "Alpha z")], "book string, chapter int, t string").withColumn("analysis", analysis.extractive(F.col("t"), F.lit("en")))
+    items = render.family_items(a, ("decision_rules", "rule"), ("key_takeaways", ""))
+    assert [(r.chapter, r.pos, r.value, r.reserved) for r in items.where("chapter = 0").orderBy("pos").collect()] == [(0, 0, "Alpha x", True), (0, 1, "Beta y", False), (0, 2, "Alpha x", True), (0, 3, "Beta y", False)]
+    chapters = F.array(F.struct(F.lit(0).alias("chapter"), F.lit("T").alias("title"), F.lit("chapters/ch0001-t.md").alias("path")))
+    body = spark.range(1).select(render.skill_file(F.lit("s"), F.lit("Book (x)"), F.lit(""), F.lit(1), F.lit(0), F.array(F.lit("F1")), chapters).alias("o")).first().o
+    assert body.startswith('---\nname: "s"\n') and "# Book \\(x\\)\n" in body and "- [Chapter 0001: T](chapters/ch0001-t.md)\n" in body and "known total: unknown." in body and "- F1\n" in body

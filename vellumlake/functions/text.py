@@ -3,7 +3,9 @@ forms, which Spark lacks."""
 
 from __future__ import annotations
 
+import posixpath
 import unicodedata
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column
@@ -27,6 +29,8 @@ REDACTIONS = [
     (r"(?iU)\b(?:sk|api[_-]?key|token|secret|password)[_-]?[=:]?[a-z0-9_-]{12,}\b", "[redacted secret]"),
 ]
 FILE_PATH = REDACTIONS[2][0]
+#: What a text must hold for each of these to match; most texts hold none, and this is quicker to tell.
+GUARDS = [r"(?iu)://|www\.", "@", r"[/\\]", "A[KS]IA", "gh[pousr]_|github_pat_", r"(?iu)bearer\s|eyj", "[:=]", r"(?iu)(?:sk|key|token|secret|password)[_-]?[=:]?[a-z0-9_-]{12}"]
 # Line starts that Markdown would read as blocks; reference files and notes differ in the last choice.
 BLOCK = r"(?md)^( {0,3}(?:#{1,6}(?:\s|$)|>|[-+*]\s|\d+[.)]\s|`{3,}|~{3,}|%s))"
 REFERENCE_BLOCK, NOTE_BLOCK = BLOCK % r"---\s*$", BLOCK % r"(?:=+|-+)\s*$"
@@ -44,6 +48,22 @@ def _ascii(s: pd.Series) -> pd.Series:
     return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFKD", x).encode("ascii", "ignore").decode())
 
 
+@F.pandas_udf(T.StringType())
+def _relative(source: pd.Series, target: pd.Series) -> pd.Series:
+    out = [quote(posixpath.relpath(t, posixpath.dirname(f) or "."), safe="/-._~") for f, t in zip(source, target, strict=True)]
+    return pd.Series(out, dtype=object)
+
+
+def bound(c: Column, f) -> Column:
+    """f(c) with c evaluated once, however often f uses it; works within transform() too."""
+    return F.element_at(F.transform(F.array(c), lambda x: f(x)), 1)
+
+
+def markdown_link(label: Column, source: Column, target: Column) -> Column:
+    """A link from one file to another, by relative path. label is in normal form."""
+    return F.concat(F.lit("["), markdown_escaped(label), F.lit("]("), _relative(source, target), F.lit(")"))
+
+
 def newlines(c: Column) -> Column:
     """CRLF and CR as LF."""
     return F.regexp_replace(c, r"\r\n?", "\n")
@@ -77,7 +97,7 @@ def collapsed(c: Column) -> Column:
 def display(c: Column, fallback: str = "Untitled") -> Column:
     """One line of normalized text without control characters; fallback if nothing is left."""
     one = collapsed(F.regexp_replace(normalized(c), r"[\x{00}-\x{1F}\x{7F}-\x{9F}]", " "))
-    return F.when(one == "", fallback).otherwise(one)
+    return bound(one, lambda x: F.when(x == "", fallback).otherwise(x))
 
 
 def lines(c: Column) -> Column:
@@ -87,6 +107,10 @@ def lines(c: Column) -> Column:
 
 def clipped(c: Column, limit: int) -> Column:
     """The longest prefix of whole characters that takes at most limit bytes in UTF-8."""
+    return bound(c, lambda x: _clipped(x, limit))
+
+
+def _clipped(c: Column, limit: int) -> Column:
     raw = c.cast("binary")
     inner = lambda at: F.hex(F.substring(raw, at, 1)).between("80", "BF")
     part = lambda n: F.substring(raw, 1, n).cast("string")
@@ -96,8 +120,7 @@ def clipped(c: Column, limit: int) -> Column:
 
 def clipped_reference(c: Column, limit: int) -> Column:
     """clipped, without white space at the end; an ellipsis if nothing is left."""
-    out = F.regexp_replace(clipped(c, limit), f"{SPACE}+$", "")
-    return F.when(out == "", "…").otherwise(out)
+    return bound(F.regexp_replace(clipped(c, limit), f"{SPACE}+$", ""), lambda x: F.when(x == "", "…").otherwise(x))
 
 
 def html_escaped(c: Column) -> Column:
@@ -106,8 +129,8 @@ def html_escaped(c: Column) -> Column:
 
 def redacted(c: Column) -> Column:
     """Links, addresses, paths and secrets taken out."""
-    for pattern, put in REDACTIONS:
-        c = F.regexp_replace(c, pattern, put)
+    for guard, (pattern, put) in zip(GUARDS, REDACTIONS, strict=True):
+        c = bound(c, lambda x, g=guard, p=pattern, w=put: F.when(x.rlike(g), F.regexp_replace(x, p, w)).otherwise(x))
     return c
 
 
@@ -145,36 +168,36 @@ def markdown_escaped(c: Column) -> Column:
 
 def safe_component(c: Column, fallback: str, limit: int = 80) -> Column:
     """A portable file name; if it differs from the text, a digest of the text follows, so that names stay apart."""
-    whole = normalized(c)
-    name = F.regexp_replace(collapsed(whole), r'[\\/:*?"<>|%]+', "-")
-    name = F.regexp_replace(F.regexp_replace(name, r"\p{C}", ""), r"^[ .-]+|[ .-]+$", "")
-    name = F.when(name == "", fallback).otherwise(name)
-    name = F.when(name.rlike(RESERVED), F.concat(F.lit(f"{fallback}-"), name)).otherwise(name)
     end = lambda x: F.regexp_replace(x, r"[ .]+$", "")
-    cut = end(clipped(name, limit))
-    cut = F.when(cut == "", fallback).otherwise(cut)
-    digest = F.concat(end(clipped(cut, limit - 10)), F.lit("--"), F.substring(F.sha2(whole, 256), 1, 8))
-    return F.when(cut == whole, cut).otherwise(digest)
+
+    def make(whole):
+        name = F.regexp_replace(collapsed(whole), r'[\\/:*?"<>|%]+', "-")
+        name = F.regexp_replace(F.regexp_replace(name, r"\p{C}", ""), r"^[ .-]+|[ .-]+$", "")
+        name = bound(name, lambda x: F.when(x == "", fallback).otherwise(x))
+        name = bound(name, lambda x: F.when(x.rlike(RESERVED), F.concat(F.lit(f"{fallback}-"), x)).otherwise(x))
+        cut = bound(end(clipped(name, limit)), lambda x: F.when(x == "", fallback).otherwise(x))
+        digest = lambda x: F.concat(end(clipped(x, limit - 10)), F.lit("--"), F.substring(F.sha2(whole, 256), 1, 8))
+        return bound(cut, lambda x: F.when(x == whole, x).otherwise(digest(x)))
+
+    return bound(normalized(c), make)
 
 
 def slug(c: Column, fallback: str, limit: int) -> Column:
     """Lower-case ASCII letters and digits of the reference text, joined by hyphens."""
     dashes = lambda x: F.regexp_replace(x, "^-+|-+$", "")
     out = dashes(F.regexp_replace(F.lower(_ascii(reference_text(c, limit))), "[^a-z0-9]+", "-"))
-    out = dashes(F.substring(F.when(out == "", fallback).otherwise(out), 1, limit))
-    return F.when(out == "", fallback).otherwise(out)
+    kept = lambda x: F.when(x == "", fallback).otherwise(x)
+    return bound(dashes(F.substring(bound(out, kept), 1, limit)), kept)
 
 
 def safe_locator(c: Column) -> Column:
     """A source's place as reference text; places that look like paths are not shown."""
-    n = normalized(c)
-    return F.when(n == "", "").when(n.rlike(FILE_PATH) | n.rlike(r"^[/\\]"), "Source location omitted.").otherwise(reference_text(n))
+    return bound(normalized(c), lambda n: F.when(n == "", "").when(n.rlike(FILE_PATH) | n.rlike(r"^[/\\]"), "Source location omitted.").otherwise(reference_escaped(n)))
 
 
 def safe_fingerprint(c: Column) -> Column:
     """A SHA-256 in hex as it is, any other text's own."""
-    n = normalized(c)
-    return F.when(n.rlike("^[0-9a-f]{64}$"), n).otherwise(F.sha2(n, 256))
+    return bound(normalized(c), lambda n: F.when(n.rlike("^[0-9a-f]{64}$"), n).otherwise(F.sha2(n, 256)))
 
 
 def is_relative_path(c: Column, most: int = 240, most_component: int = 120) -> Column:
@@ -193,5 +216,4 @@ def chapter_path(index: Column, slug_: Column) -> Column:
 
 def yaml_string(c: Column) -> Column:
     """Display text in JSON quotes."""
-    j = F.to_json(F.array(display(c)))
-    return F.substring(j, F.lit(2), F.length(j) - 2)
+    return bound(F.to_json(F.array(display(c))), lambda j: F.substring(j, F.lit(2), F.length(j) - 2))

@@ -110,27 +110,64 @@ class Service:
         return cost.join(planning.plan_digest(own, "book", "chapter_index", "input_fingerprint"), "book").withColumn("created_at", F.current_timestamp())
 
     def _rendered(self, book_id: str) -> DataFrame:
+        """A book's analyzed chapters, written once, as several files are made of them."""
         a = self.analyze(book_id).where("analysis is not null")
-        return a.withColumn("book_key", canonical.book_key(F.col("source_system"), F.col("external_book_id"))).withColumn("title", text.normalized(F.col("title")))
+        a = a.withColumn("book_key", canonical.book_key(F.col("source_system"), F.col("external_book_id"))).withColumn("title", text.normalized(F.col("title"))).drop("content", "error")
+        t = library.Table(self.spark, f"{self.root}/rendered/{book_id}")
+        t.write(a, owner=t.version())
+        return t.read()
 
     def note_files(self, book_id: str) -> DataFrame:
-        """(path, content) of the notes of a book's analyzed chapters."""
-        a = self._rendered(book_id)
+        """(path, content) of the notes of a book: its chapters, a card for each concept and decision rule, and the map."""
+        cfg = self.config
+        name = F.concat(F.lit(f"{cfg.books_folder}/"), F.format_string("%04d ", F.col("chapter_index") + 1), text.safe_component(F.col("title"), "Chapter"), F.lit(".md"))
+        moc = F.concat(F.lit(f"{cfg.books_folder}/"), text.safe_component(F.col("book_title"), "Book"), F.lit(" MOC.md"))
+        a = self._rendered(book_id).withColumns({"path": name, "moc": moc}).withColumnRenamed("chapter_index", "chapter")
+        found = render.cards(a.select("book_key", "chapter", "analysis"))
+        title = text.safe_component(F.col("subject"), "Card")
+        at = a.select("book_key", "chapter", "input_fingerprint", F.col("path").alias("note"), "moc")
+        cards = found.join(at, ["book_key", "chapter"]).withColumns({"title": title}).withColumn("path", F.concat(F.lit(f"{cfg.cards_folder}/"), "title", F.lit("--"), "stable_id", F.lit(".md")))
+        back = lambda label, c: text.markdown_link(F.lit(label), F.col("path"), F.col(c))
+        body = F.concat(F.lit("# "), text.markdown_text(F.col("subject")), F.lit("\n\n"), render.card_details(F.col("kind"), F.col("content")), F.lit("\n\n## Source chapter\n"), back("Chapter note", "note"), F.lit("\n\n## Book MOC\n"), back("Book MOC", "moc"), F.lit("\n"))
+        cards = cards.withColumn("content_", render.frontmatter("card", F.col("book_key"), F.col("chapter"), F.col("input_fingerprint"), F.col("stable_id"), body))
+        linked = cards.withColumn("link", text.markdown_link(F.col("title"), F.col("note"), F.col("path"))).groupBy("book_key", "chapter").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "link"))), lambda x: x["link"]).alias("links"))
         none = F.array().cast("array<string>")
-        body = render.chapter_note(F.col("title"), F.col("book_title"), F.col("author"), F.col("source_system"), F.col("source_locator"), F.col("analysis"), none, none)
-        note = render.frontmatter("chapter", F.col("book_key"), F.col("chapter_index"), F.col("input_fingerprint"), F.format_string("chapter-%04d", "chapter_index"), body)
-        name = F.concat(F.lit(f"{self.config.books_folder}/"), F.format_string("%04d ", F.col("chapter_index") + 1), text.safe_component(F.col("title"), "Chapter"), F.lit(".md"))
-        return a.select(name.alias("path"), note.cast("binary").alias("content"))
+        notes = a.join(linked, ["book_key", "chapter"], "left")
+        body = render.chapter_note(F.col("title"), F.col("book_title"), F.col("author"), F.col("source_system"), F.col("source_locator"), F.col("analysis"), none, F.coalesce("links", none))
+        notes = notes.withColumn("content_", render.frontmatter("chapter", F.col("book_key"), F.col("chapter"), F.col("input_fingerprint"), F.format_string("chapter-%04d", "chapter"), body))
+        label = F.concat(F.format_string("%02d ", F.col("chapter") + 1), "title")
+        books = notes.withColumn("link", text.markdown_link(label, F.col("moc"), F.col("path"))).groupBy("book_key", "moc").agg(
+            F.max("book_title").alias("title"), F.count("*").alias("rendered"), (F.max("chapter") + 1).alias("total"), F.max("input_fingerprint").alias("f"),
+            F.transform(F.array_sort(F.collect_list(F.struct("chapter", "link"))), lambda x: x["link"]).alias("chapters"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.frameworks.name")))).alias("frameworks"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.topic_tags")))).alias("topics"),
+        )
+        per_book = cards.withColumn("link", text.markdown_link(F.col("title"), F.col("moc"), F.col("path"))).groupBy("book_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "kind", "stable_id", "link"))), lambda x: x["link"]).alias("cards"))
+        books = books.join(per_book, "book_key", "left").withColumns({"cards": F.coalesce("cards", none), "missing": none})
+        books = books.withColumn("content_", render.frontmatter("moc", F.col("book_key"), F.lit(0), F.col("f"), F.lit("moc"), render.moc(books)))
+        parts = [notes.select("path", "content_"), cards.select("path", "content_"), books.select(F.col("moc").alias("path"), "content_")]
+        return render.union(parts).select("path", F.col("content_").cast("binary").alias("content"))
 
     def skill_files(self, book_id: str) -> DataFrame:
-        """(path, content) of a book's skill bundle: chapters, index, glossary and interface."""
-        a = self._rendered(book_id).withColumnRenamed("chapter_index", "chapter")
-        one = a.select(F.lit(book_id).alias("book"), "chapter", "book_title", text.chapter_path(F.col("chapter"), text.slug(F.col("title"), "chapter", 60)).alias("path"), render.skill_chapter(F.col("title"), F.col("source_locator"), F.col("analysis")).alias("content"))
-        items = a.select(F.lit(book_id).alias("book"), "chapter", F.posexplode(render.bounded_summary(F.col("analysis.concepts.term"))).alias("pos", "value")).withColumn("reserved", F.col("pos") == 0)
+        """(path, content) of a book's skill bundle: main file, chapters, index, glossary, patterns, rules and interface."""
+        a = self._rendered(book_id).withColumnRenamed("chapter_index", "chapter").withColumn("book", F.lit(book_id))
+        one = a.select("book", "chapter", "book_title", "author", "title", "analysis", text.chapter_path(F.col("chapter"), text.slug(F.col("title"), "chapter", 60)).alias("path"), render.skill_chapter(F.col("title"), F.col("source_locator"), F.col("analysis")).alias("content"))
         current = one.groupBy("book").agg(F.max("chapter").alias("chapter"))
-        totals = one.select("book").distinct().join(items.groupBy("book").agg(F.count("*").alias("n")), "book", "left").select("book", F.coalesce("n", F.lit(0)).alias("total"))
-        card = one.groupBy("book").agg(F.max("book_title").alias("t")).select(F.lit("agents/openai.yaml").alias("path"), render.skill_card(F.col("book"), F.col("t")).alias("content"))
-        parts = [one.select("path", "content"), render.chapter_index(one).select(F.lit("chapters/index.md").alias("path"), "content"), render.index_file("Glossary", items, current, totals).select(F.lit("glossary.md").alias("path"), "content"), card]
+        parts = [one.select("path", "content"), render.chapter_index(one).select(F.lit("chapters/index.md").alias("path"), "content")]
+        indexes = {
+            ("glossary.md", "Glossary"): [("concepts", "term")],
+            ("patterns.md", "Reusable patterns"): [("frameworks", "name"), ("mental_models", "name"), ("methods", "name")],
+            ("cheatsheet.md", "Quick rules"): [("decision_rules", "rule"), ("key_takeaways", "")],
+        }
+        for (path, title), families in indexes.items():
+            items = render.family_items(one, *families)
+            totals = one.select("book").distinct().join(items.groupBy("book").agg(F.count("*").alias("n")), "book", "left").select("book", F.coalesce("n", F.lit(0)).alias("total"))
+            parts.append(render.index_file(title, items, current, totals).select(F.lit(path).alias("path"), "content"))
+        book = one.groupBy("book").agg(F.max("book_title").alias("t"), F.max("author").alias("author"), F.count("*").alias("rendered"), (F.max("chapter") + 1).alias("total"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.frameworks.name")))).alias("frameworks"), F.array_sort(F.collect_list(F.struct("chapter", "title", "path"))).alias("chapters"))
+        key = F.substring(F.sha2("book", 256), 1, 16)
+        name = F.concat(text.slug(F.col("t"), "book", 40), F.lit("--"), key)
+        parts.append(book.select(F.lit("SKILL.md").alias("path"), render.skill_file(name, F.col("t"), F.col("author"), F.col("rendered"), F.col("total"), F.col("frameworks"), F.col("chapters")).alias("content")))
+        parts.append(book.select(F.lit("agents/openai.yaml").alias("path"), render.skill_card(name, F.col("t")).alias("content")))
         return render.union(parts).withColumn("content", F.col("content").cast("binary"))
 
     def forge_notes(self, book_id: str) -> tuple[str, bool]:
