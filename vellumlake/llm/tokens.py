@@ -84,8 +84,8 @@ class Table:
     """Ids of pieces, kept in arrays. learn: gives the ids of an Arrow array of distinct keys, as one array, and how many
     each has."""
 
-    def __init__(self, learn):
-        self.learn = learn
+    def __init__(self, learn, most: int = CACHE):
+        self.learn, self.most = learn, most
         self.keys = None
         self.flat, self.lengths = np.empty(0, np.uint32), np.empty(0, np.int64)
 
@@ -105,7 +105,7 @@ class Table:
         row[row < 0] = len(self.keys) + np.arange(len(new))
         begins = np.cumsum(counts) - counts
         short = pc.less_equal(pc.binary_length(new), LONGEST)
-        if len(self.keys) > CACHE:
+        if len(self.keys) > self.most:
             self.keys, self.flat, self.lengths = new.slice(0, 0), self.flat[:0], self.lengths[:0]
         if pc.all(short).as_py() is not False:
             self.keys, self.flat, self.lengths = pa.concat_arrays([self.keys, new]), np.concatenate([self.flat, flat]), np.concatenate([self.lengths, lengths])
@@ -302,9 +302,10 @@ class Encoder:
 _loaded: dict = {}
 
 
-def encoder(spec: str) -> Encoder:
-    """The worker's encoder for this file, kept between tasks."""
+def encoder(spec: str, most: int = CACHE) -> Encoder:
+    """The worker's encoder for this file, kept between tasks. most: pieces that it remembers."""
     key = hash(spec)
     if key not in _loaded:
         _loaded[key] = Encoder(spec)
+    _loaded[key].table.most = most
     return _loaded[key]
