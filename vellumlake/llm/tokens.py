@@ -215,6 +215,7 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.table = Table(self._learn)
+        self.stops = np.array([self.tok.encode(c, add_special_tokens=False).ids[0] for c in ".,"], np.uint32)
         # drops white space: pieces are words, told apart by a word between them; otherwise by the white space in front
         self.bare = self.tok.normalizer is not None
         vocab = self.tok.get_vocab()
@@ -232,10 +233,45 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4") for e in (tok or self.tok).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, keys) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct keys and how many each has. A stop or comma after letters is a token of its own, so such keys
+        are put together from what comes before it, which is often known."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        strings = keys.cast(pa.large_string())
+        two = pc.match_substring_regex(strings, "^[A-Za-z]+[.,]$").to_numpy(zero_copy_only=False)
+        if not two.any():
+            return self._encoded(keys)
+        ended = strings.filter(pa.array(two))
+        stems = pc.utf8_rtrim(ended, characters=".,").cast(pa.large_binary())
+        stop = pc.ends_with(ended, ",").to_numpy(zero_copy_only=False).astype(np.int64)
+        known = pc.index_in(stems, value_set=self.table.keys)
+        needed = pc.unique(pa.concat_arrays([keys.filter(pa.array(~two)), stems.filter(known.is_null())]))
+        flat, lengths = self._encoded(needed)
+        # runs: those of the table, those encoded now, a stop and a comma
+        whole = np.concatenate([self.table.flat, flat, self.stops])
+        counts = np.concatenate([self.table.lengths, lengths, [1, 1]])
+        starts = np.cumsum(counts) - counts
+        first = len(self.table.lengths)
+        run = np.empty(len(keys), np.int64)
+        at = lambda x: pc.index_in(x, value_set=needed).to_numpy(zero_copy_only=False).astype(np.int64) + first
+        run[~two] = at(keys.filter(pa.array(~two)))
+        of_stem = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        of_stem[of_stem < 0] = at(stems.filter(known.is_null()))
+        run[two] = of_stem
+        place = np.arange(len(keys)) + np.cumsum(two) - two
+        runs = np.empty(len(keys) + int(two.sum()), np.int64)
+        runs[place] = run
+        runs[place[two] + 1] = len(counts) - 2 + stop
+        return gather(whole, starts, counts, runs)[0], counts[run] + two
+
+    def _encoded(self, keys) -> tuple[np.ndarray, np.ndarray]:
         """The ids of distinct keys and how many each has. Most keys are encoded many in one text."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if not len(keys):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if self.bare:
             alone = pc.match_substring(keys, "0")
         else:
