@@ -150,6 +150,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataF
         import pyarrow as pa
 
         from vellumlake.llm.bpe import bpe
+        from vellumlake.llm.common import give_back
         from vellumlake.llm.tokens import TEXT_BATCH
 
         own = bpe(spec.value)
@@ -159,6 +160,7 @@ def encode_decode(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataF
                 ids = own.encode(batch.column(1))
                 texts = own.decode(ids)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())], ["doc_id", "ids", "decoded"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 

@@ -30,10 +30,14 @@ class Scratch:
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        self.paths: dict[int, tuple[str, DataFrame]] = {}  # the frame too, so that no other gets its id
 
     def table(self, df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
         """Writes df and returns it as read from there."""
-        return self.read(self.write(df, name, codec), df)
+        path = self.write(df, name, codec)
+        out = self.read(path, df)
+        self.paths[id(out)] = path, out
+        return out
 
     def write(self, df: DataFrame, name: str = "t", codec: str = "zstd") -> str:
         self.n += 1
@@ -44,12 +48,14 @@ class Scratch:
     def read(self, path: str, like: DataFrame) -> DataFrame:
         return self.spark.read.schema(like.schema).parquet(path)
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later result reads."""
-        jvm = self.spark._jvm
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no result still to be made reads. What results read stays in the shared folder until whoever
+        owns it clears it."""
+        for df in tables:
+            found = self.paths.pop(id(df), None)
+            if found is not None:
+                p = self.spark._jvm.org.apache.hadoop.fs.Path(found[0])
+                p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: str = "b") -> DataFrame:
@@ -62,7 +68,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     ends = [F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")]
     cur = edges.select(*ends).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cur = scratch.table(cur.distinct(), "edges")
-    labels = None
+    labels, used = None, [cur]
     for seed in range(200):
         if cur.isEmpty():
             break
@@ -71,6 +77,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         step = both.groupBy(F.col("a").alias("node")).agg(F.min(rank(F.col("b"))).alias("m"))
         step = step.select("node", F.least(F.col("m"), rank(F.col("node")))["id"].alias("up"))
         step = scratch.table(step, "step")
+        used.append(step)
         up = lambda c: step.select(F.col("node").alias(c), F.col("up").alias(f"{c}_up"))  # noqa: E731,B023
         nxt = cur.join(up("a"), "a").join(up("b"), "b").where("a_up <> b_up")
         nxt = nxt.select(F.least("a_up", "b_up").alias("a"), F.greatest("a_up", "b_up").alias("b")).distinct()
@@ -79,11 +86,27 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
         else:
             labels = labels.join(up("root"), "root", "left").select("node", F.coalesce("root_up", "root").alias("root"))
         cur = scratch.table(nxt, "edges")
+        used.append(cur)
     if labels is None:
         return cur.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = scratch.table(labels, "labels")
     least = labels.groupBy("root").agg(F.min("node").alias("component"))
-    return scratch.table(labels.join(least, "root").select("node", "component"), "components")
+    out = scratch.table(labels.join(least, "root").select("node", "component"), "components")
+    scratch.drop(labels, *used)
+    return out
+
+
+def give_back() -> None:
+    """Returns a worker's free memory to the system; called where large tables have gone, as workers live on between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
 
 
 def utf8(column) -> list:
@@ -127,5 +150,6 @@ def annotate(df: DataFrame, text, fields: str, make) -> tuple[DataFrame, list[st
                 rows = work(utf8(batch.column(kept)))
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:kept], *names])
+        give_back()
 
     return df.withColumn(own, text.cast("string")).mapInArrow(run, schema), names

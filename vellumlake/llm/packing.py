@@ -43,6 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, max_length: int =
         import pyarrow as pa
         from pyspark import TaskContext
 
+        from vellumlake.llm.common import give_back
         from vellumlake.llm.tokens import TEXT_BATCH, encoder
 
         enc, end = encoder(spec.value), struct.pack("<I", end_id)
@@ -64,6 +65,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, max_length: int =
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
                 names = ["doc_id", "start", "length", "ids", "doc_tokens", "bucket", "sequence_id", "offset"]
                 yield pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
