@@ -110,6 +110,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, e
         from pyspark import TaskContext
 
         from vellumlake.llm import simple8b
+        from vellumlake.llm.common import give_back
         from vellumlake.llm.tokens import TEXT_BATCH, encoder
 
         enc, end, shard = encoder(spec.value), struct.pack("<I", end_id), TaskContext.get().partitionId()
@@ -136,6 +137,7 @@ def write_ids(spark: SparkSession, docs: DataFrame, tokenizer: str, path: str, e
                         yield flush()
         if held:
             yield flush()
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text").asc()]
@@ -158,6 +160,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
         import pyarrow as pa
 
         from vellumlake.llm import simple8b
+        from vellumlake.llm.common import give_back
 
         for batch in batches:
             for first, doc_ids, has_id, ends, escapes, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -167,6 +170,7 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                 docs = pa.array(np.frombuffer(doc_ids, "<i8"), mask=np.frombuffer(has_id, np.uint8) == 0)
                 own = [ids[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([docs, pa.array(begins + first), pa.array(own, pa.binary())], ["doc_id", "start", "ids"])
+        give_back()
 
     whole = blocks.join(F.broadcast(shards), "shard").select((F.col("before") + F.col("first")).alias("first"), "doc_ids", "has_id", "ends", "escapes", "words")
     return whole.mapInArrow(run, "doc_id long, start long, ids binary")
