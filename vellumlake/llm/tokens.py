@@ -19,9 +19,9 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Rows of whole texts that are cut at once.
-TEXT_BATCH = 1000
+TEXT_BATCH = 2000
 #: Pieces remembered by a worker (some 30 bytes each); when full, only those of the last batch stay.
-CACHE = 400_000
+CACHE = 600_000
 #: Longer pieces are not remembered.
 LONGEST = 64
 #: So many pieces are encoded in one text.
