@@ -256,7 +256,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     known = scratch.table(known, "known")
     many = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total"))
     many = many.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    todo = scratch.table(known.join(many, "key"), "todo")
+    todo_ = todo = scratch.table(known.join(many, "key"), "todo")
     whole = sketches.join(todo.select("set_id").distinct(), "set_id", "left_semi")
     texts = _texts(scratch, own, whole.select("id", "text_id"))
     hashed, _ = annotate(texts, F.col("text"), "hashes binary", lambda: lambda some: [(shingles(t or b"", k).astype("<u8").tobytes(),) for t in some])
@@ -269,8 +269,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     second = scratch.table(in_blocks(todo, percent).where("a <> b").distinct(), "linked").join(first, ["a", "b"], "left_anti")
     second = scratch.table(second, "second")
     more = scratch.table(_confirmed(scratch, own, nodes, second, k, percent), "links")
+    scratch.drop(rows, sketches, first, known, todo_, texts, hashed, second)
 
     found = connected_components(links.union(more).union(same), scratch)
+    scratch.drop(nodes, same, links, more, comps)
     out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -106,7 +106,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.93, scr
 
     order = ["label", "dim", "cells", "id", "g"]
     placed = reps.select("label", "dim", "id", "g", "copies", "embedding")
-    placed = scratch.table(placed.mapInArrow(grid, f"label string, dim int, id long, g long, copies long, embedding {dict(reps.dtypes)['embedding']}, cells array<int>"), "placed")
+    placed_ = placed = scratch.table(placed.mapInArrow(grid, f"label string, dim int, id long, g long, copies long, embedding {dict(reps.dtypes)['embedding']}, cells array<int>"), "placed")
     n = placed.count()
     placed = placed.repartitionByRange(max(1, -(-n // RANGE)), *order).sortWithinPartitions(*order)
     bounds = [f"{x}{k}" for k in range(DIMS) for x in ("lo", "hi")]
@@ -158,6 +158,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.93, scr
     load = lambda c: blocks.select(F.col("block").alias(c), F.col("dim").alias(f"{c}_dim"), F.col("ids").alias(f"{c}_ids"), F.col("copies").alias(f"{c}_copies"), F.col("vectors").alias(f"{c}_vectors"))
     whole = pairs.join(load("a"), "a").join(load("b"), "b")
     found = scratch.table(_compare(whole, cosine, double), "found")
+    scratch.drop(placed_, blocks, pairs)
 
     links = found.where("root is null").groupBy("id").agg(F.sum("n").alias("n"))
     comps = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
