@@ -113,8 +113,12 @@ class Service:
         """A book's analyzed chapters, written once, as several files are made of them."""
         a = self.analyze(book_id).where("analysis is not null")
         a = a.withColumn("book_key", canonical.book_key(F.col("source_system"), F.col("external_book_id"))).withColumn("title", text.normalized(F.col("title"))).drop("content", "error")
-        t = library.Table(self.spark, f"{self.root}/rendered/{book_id}")
-        t.write(a, owner=t.version())
+        return self._kept(book_id, "chapters", a)
+
+    def _kept(self, book_id: str, name: str, df: DataFrame) -> DataFrame:
+        """df, written and read back."""
+        t = library.Table(self.spark, f"{self.root}/rendered/{book_id}/{name}")
+        t.write(df, owner=t.version())
         return t.read()
 
     def note_files(self, book_id: str) -> DataFrame:
@@ -126,23 +130,27 @@ class Service:
         found = render.cards(a.select("book_key", "chapter", "analysis"))
         title = text.safe_component(F.col("subject"), "Card")
         at = a.select("book_key", "chapter", "input_fingerprint", F.col("path").alias("note"), "moc")
-        cards = found.join(at, ["book_key", "chapter"]).withColumns({"title": title}).withColumn("path", F.concat(F.lit(f"{cfg.cards_folder}/"), "title", F.lit("--"), "stable_id", F.lit(".md")))
+        cards = self._kept(book_id, "subjects", found.join(at, ["book_key", "chapter"]).withColumns({"title": title}))
+        cards = cards.withColumn("path", F.concat(F.lit(f"{cfg.cards_folder}/"), "title", F.lit("--"), "stable_id", F.lit(".md")))
         back = lambda label, c: text.markdown_link(F.lit(label), F.col("path"), F.col(c))
         body = F.concat(F.lit("# "), text.markdown_text(F.col("subject")), F.lit("\n\n"), render.card_details(F.col("kind"), F.col("content")), F.lit("\n\n## Source chapter\n"), back("Chapter note", "note"), F.lit("\n\n## Book MOC\n"), back("Book MOC", "moc"), F.lit("\n"))
         cards = cards.withColumn("content_", render.frontmatter("card", F.col("book_key"), F.col("chapter"), F.col("input_fingerprint"), F.col("stable_id"), body))
-        linked = cards.withColumn("link", text.markdown_link(F.col("title"), F.col("note"), F.col("path"))).groupBy("book_key", "chapter").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "link"))), lambda x: x["link"]).alias("links"))
+        cards = cards.withColumns({"link": text.markdown_link(F.col("title"), F.col("note"), F.col("path")), "moc_link": text.markdown_link(F.col("title"), F.col("moc"), F.col("path"))})
+        cards = self._kept(book_id, "cards", cards)
+        linked = cards.groupBy("book_key", "chapter").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "pos", "link"))), lambda x: x["link"]).alias("links"))
         none = F.array().cast("array<string>")
         notes = a.join(linked, ["book_key", "chapter"], "left")
         body = render.chapter_note(F.col("title"), F.col("book_title"), F.col("author"), F.col("source_system"), F.col("source_locator"), F.col("analysis"), none, F.coalesce("links", none))
         notes = notes.withColumn("content_", render.frontmatter("chapter", F.col("book_key"), F.col("chapter"), F.col("input_fingerprint"), F.format_string("chapter-%04d", "chapter"), body))
         label = F.concat(F.format_string("%02d ", F.col("chapter") + 1), "title")
-        books = notes.withColumn("link", text.markdown_link(label, F.col("moc"), F.col("path"))).groupBy("book_key", "moc").agg(
+        notes = self._kept(book_id, "notes", notes.withColumn("link", text.markdown_link(label, F.col("moc"), F.col("path"))))
+        books = notes.groupBy("book_key", "moc").agg(
             F.max("book_title").alias("title"), F.count("*").alias("rendered"), (F.max("chapter") + 1).alias("total"), F.max("input_fingerprint").alias("f"),
             F.transform(F.array_sort(F.collect_list(F.struct("chapter", "link"))), lambda x: x["link"]).alias("chapters"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.frameworks.name")))).alias("frameworks"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.topic_tags")))).alias("topics"),
         )
-        per_book = cards.withColumn("link", text.markdown_link(F.col("title"), F.col("moc"), F.col("path"))).groupBy("book_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "kind", "stable_id", "link"))), lambda x: x["link"]).alias("cards"))
+        per_book = cards.groupBy("book_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "kind", "stable_id", "moc_link"))), lambda x: x["moc_link"]).alias("cards"))
         books = books.join(per_book, "book_key", "left").withColumns({"cards": F.coalesce("cards", none), "missing": none})
         books = books.withColumn("content_", render.frontmatter("moc", F.col("book_key"), F.lit(0), F.col("f"), F.lit("moc"), render.moc(books)))
         parts = [notes.select("path", "content_"), cards.select("path", "content_"), books.select(F.col("moc").alias("path"), "content_")]
@@ -152,6 +160,7 @@ class Service:
         """(path, content) of a book's skill bundle: main file, chapters, index, glossary, patterns, rules and interface."""
         a = self._rendered(book_id).withColumnRenamed("chapter_index", "chapter").withColumn("book", F.lit(book_id))
         one = a.select("book", "chapter", "book_title", "author", "title", "analysis", text.chapter_path(F.col("chapter"), text.slug(F.col("title"), "chapter", 60)).alias("path"), render.skill_chapter(F.col("title"), F.col("source_locator"), F.col("analysis")).alias("content"))
+        one = self._kept(book_id, "skill", one)
         current = one.groupBy("book").agg(F.max("chapter").alias("chapter"))
         parts = [one.select("path", "content"), render.chapter_index(one).select(F.lit("chapters/index.md").alias("path"), "content")]
         indexes = {
