@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from vellumlake.llm import attention, chat, langid, lm, rules, urls
+from vellumlake.llm import attention, chat, langid, lm, rules, tokens, urls
 from vellumlake.llm.attention import STRIDE, WINDOW, Attention, classes_of, train
 from vellumlake.llm.forest import Forest
 
@@ -180,6 +180,22 @@ def test_attention_learns_and_scores_once(monkeypatch):
     assert model.score(ids, parts, 200).shape == (4,) and isinstance(model, Attention)
 
 
+def test_lm_learns_from_every_document(spark, monkeypatch):
+    from public_tokenizers import path
+
+    # the first fit sees one block of windows; a word of other blocks alone gets a class and an embedding of its own
+    monkeypatch.setattr(lm, "FIRST_WINDOWS", 1)
+    monkeypatch.setattr(lm, "BLOCK_WINDOWS", 20)
+    words = "cat dog house tree river stone light water"
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).unionByName(spark.createDataFrame([(f"the {w} is here " * 8,) for w in words.split() for _ in range(6)], "text string"))
+    m = lm.fit(spark, docs, tokens.read_file(path("word_bpe_49k.json")))
+    own = [tokens.encoder(m.spec).tok.encode(w, add_special_tokens=False).ids[0] for w in words.split()]
+    rows = [r.tobytes() for r in m.attention.table[m.attention.row]]
+    unseen = {r for r, n in collections.Counter(rows).most_common(2)}  # ids that no text holds, within words and at their end
+    assert not unseen & {rows[i] for i in own}
+    assert set(m.attention.cls[own]) - {attention.CLASSES - 2, attention.CLASSES - 1}
+
+
 def test_lm_scores(spark, monkeypatch):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 200_000)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(5000, None), (5001, ""), (5002, " \t"), (5003, "The the"), (3, "again"), (3, "again"), (None, "no id")], "doc_id long, text string"))

@@ -14,31 +14,45 @@ MOST = np.float32(60)
 #: Width of the model, ids in a window, how far windows are apart, and classes.
 WIDTH, WINDOW, STRIDE, CLASSES = 16, 24, 20, 64
 STEPS, BATCH, RATE = 3000, 64, 0.01
+#: Ids seen less often have no class of their own; common ids that neighbours are counted against; dimensions of what is clustered.
+LEAST, COMMON, SPACE = 5, 512, 48
+#: Stands in windows behind a text's end.
+PAD = -1
+HIDDEN = np.triu(np.ones((WINDOW, WINDOW), bool), 1)
 
 
-def classes_of(windows: np.ndarray, n_ids: int, closing: np.ndarray, seed: int = 3) -> np.ndarray:
-    """A class for each id: k-means over the ids that stand before and after it in the windows; ids seen less than five
-    times have a class for those that close a word and one for the others."""
-    rng = np.random.default_rng(seed)
-    count = np.bincount(windows.ravel(), minlength=n_ids)
-    out = np.where(closing, CLASSES - 2, CLASSES - 1)
-    seen = np.flatnonzero(count >= 5)
-    if len(seen) < CLASSES:
-        out[seen] = np.arange(len(seen)) % (CLASSES - 2)
-        return out
-    top = np.argsort(-count, kind="stable")[:512]
-    place = np.full(n_ids, -1)
-    place[top] = np.arange(len(top))
-    row = np.full(n_ids, -1)
-    row[seen] = np.arange(len(seen))
-    x = np.zeros((len(seen), 2 * len(top)), np.float32)
+def windows_of(seq: np.ndarray, borders: np.ndarray, begin: int) -> np.ndarray:
+    """Windows of WINDOW + 1 ids, whole ones only, over the texts seq[borders[i] : borders[i + 1]]; the first of a
+    text starts with begin."""
+    n = np.diff(borders)
+    windows = n // WINDOW
+    text = np.repeat(np.arange(len(n)), windows)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
+    place = number[:, None] * WINDOW + np.arange(-1, WINDOW)
+    out = seq[np.clip(borders[text][:, None] + place, 0, max(len(seq) - 1, 0))].astype(np.int32)
+    out[place < 0] = begin
+    out[place >= n[text][:, None]] = PAD
+    return out
+
+
+def neighbours(windows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each id stands before and after common ids. place: a number from 0 for each common id, -1 for others. Keys
+    are the id times twice the common ids plus the neighbour's place, those of ids before it after the others."""
+    top = place.max() + 1
     a, b = windows[:, :-1].ravel(), windows[:, 1:].ravel()
-    for here, there, shift in ((a, b, 0), (b, a, len(top))):
-        ok = (row[here] >= 0) & (place[there] >= 0)
-        np.add.at(x, (row[here[ok]], place[there[ok]] + shift), 1)
-    x = np.sqrt(x)
-    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-    x = x @ np.linalg.qr(x.T @ (x @ rng.standard_normal((x.shape[1], 48)).astype(np.float32)))[0]
+    a, b = a[b >= 0].astype(np.int64), b[b >= 0].astype(np.int64)
+    keys = [here[place[there] >= 0] * 2 * top + place[there[place[there] >= 0]] + shift for here, there, shift in ((a, b, 0), (b, a, top))]
+    return np.unique(np.concatenate(keys), return_counts=True)
+
+
+def spanned(z: np.ndarray) -> np.ndarray:
+    return np.linalg.qr(z)[0].astype(np.float32)
+
+
+def clustered(x: np.ndarray, seen: np.ndarray, count: np.ndarray, closing: np.ndarray, rng) -> np.ndarray:
+    """A class for each id: k-means over x, the rows of the ids seen, weighted by the root of their counts; other ids have
+    a class for those that close a word and one for the others."""
+    out = np.where(closing, CLASSES - 2, CLASSES - 1)
     weight = np.sqrt(count[seen]).astype(np.float32)
     centre = x[rng.choice(len(seen), CLASSES - 2, replace=False, p=weight / weight.sum())]
     for _ in range(12):
@@ -51,59 +65,123 @@ def classes_of(windows: np.ndarray, n_ids: int, closing: np.ndarray, seed: int =
     return out
 
 
-def train(windows: np.ndarray, cls: np.ndarray, closing: np.ndarray, seed: int = 5) -> Attention:
-    """Fits the model to windows of WINDOW + 1 ids, by Adam."""
+def few(seen: np.ndarray, closing: np.ndarray) -> np.ndarray:
+    """Classes where fewer ids than classes are seen."""
+    out = np.where(closing, CLASSES - 2, CLASSES - 1)
+    out[seen] = np.arange(len(seen)) % (CLASSES - 2)
+    return out
+
+
+def classes_of(windows: np.ndarray, n_ids: int, closing: np.ndarray, seed: int = 3) -> np.ndarray:
+    """A class for each id from its neighbours in windows, as lm.classes has from those in all training documents; ids seen
+    less than five times are told apart only by whether they close a word."""
     rng = np.random.default_rng(seed)
-    n_ids = len(cls)
-    seen = np.unique(windows)
+    count = np.bincount(windows[windows >= 0], minlength=n_ids)
+    seen = np.flatnonzero(count >= LEAST)
+    if len(seen) < CLASSES:
+        return few(seen, closing)
+    top = np.argsort(-count, kind="stable")[:COMMON]
+    place = np.full(n_ids, -1)
+    place[top] = np.arange(len(top))
+    row = np.full(n_ids, -1)
+    row[seen] = np.arange(len(seen))
+    keys, n = neighbours(windows, place)
+    ok = row[keys // (2 * len(top))] >= 0
+    x = np.zeros((len(seen), 2 * len(top)), np.float32)
+    x[row[keys[ok] // (2 * len(top))], keys[ok] % (2 * len(top))] = np.sqrt(n[ok])
+    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
+    x = x @ spanned(x.T @ (x @ rng.standard_normal((x.shape[1], SPACE)).astype(np.float32)))
+    return clustered(x, seen, count, closing, rng)
+
+
+def gradients(p: dict, e: np.ndarray, want: np.ndarray, real: np.ndarray) -> tuple[dict, np.ndarray]:
+    """Of the mean loss over the real places: by parameter, and by place's embedding e."""
+    root = np.float32(1 / np.sqrt(WIDTH))
+    x = e + p["p"]
+    q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
+    s = q @ k.transpose(0, 2, 1) * root
+    s[:, HIDDEN] = -np.inf
+    a = np.exp(s - s.max(-1, keepdims=True))
+    a /= a.sum(-1, keepdims=True)
+    h = np.tanh(a @ v + x @ p["r"])
+    z = h @ p["o"] + p["b"]
+    z = np.exp(z - z.max(-1, keepdims=True))
+    z /= z.sum(-1, keepdims=True)
+    dz = z
+    np.put_along_axis(dz, want[..., None], np.take_along_axis(dz, want[..., None], -1) - 1, -1)
+    dz *= (real / np.float32(real.sum()))[..., None]
+    flat = lambda y: y.reshape(-1, y.shape[-1])
+    g = {"o": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
+    dh = (dz @ p["o"].T) * (1 - h * h)
+    g["r"] = flat(x).T @ flat(dh)
+    dx = dh @ p["r"].T
+    da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
+    ds = a * (da - (da * a).sum(-1, keepdims=True)) * root
+    dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
+    for name, y in (("q", dq), ("k", dk), ("v", dv)):
+        g[name] = flat(x).T @ flat(y)
+        dx += y @ p[name].T
+    g["p"] = dx.sum(0)
+    return g, flat(dx)
+
+
+def fitted(windows: np.ndarray, cls: np.ndarray, closing: np.ndarray, seed: int = 5, steps: int | None = None) -> tuple[np.ndarray, dict]:
+    """Each id's row, and the parameters fitted to windows of WINDOW + 1 ids by Adam. What is behind a text's end (PAD)
+    isn't learnt."""
+    steps = steps or STEPS
+    rng = np.random.default_rng(seed)
+    seen = np.unique(windows[windows >= 0])
     row = np.where(closing, 0, 1)  # ids not seen share two rows
     row[seen] = 2 + np.arange(len(seen))
     draw = lambda *s, scale=0.1: (rng.standard_normal(s) * scale).astype(np.float32)
     d = WIDTH
-    p = {"e": draw(len(seen) + 2, d, scale=0.5), "p": draw(WINDOW, d), "q": draw(d, d, scale=0.3), "k": draw(d, d, scale=0.3), "v": draw(d, d, scale=0.3), "r": np.eye(d, dtype=np.float32), "o": draw(d, CLASSES, scale=0.3), "b": np.log(np.bincount(cls[windows[:, 1:]].ravel(), minlength=CLASSES) + 1.0).astype(np.float32)}
+    p = {"e": draw(len(seen) + 2, d, scale=0.5), "p": draw(WINDOW, d), "q": draw(d, d, scale=0.3), "k": draw(d, d, scale=0.3), "v": draw(d, d, scale=0.3), "r": np.eye(d, dtype=np.float32), "o": draw(d, CLASSES, scale=0.3), "b": np.log(np.bincount(cls[windows[:, 1:][windows[:, 1:] >= 0]], minlength=CLASSES) + 1.0).astype(np.float32)}
     first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    hidden = np.triu(np.ones((WINDOW, WINDOW), bool), 1)
-    root = np.float32(1 / np.sqrt(d))
-    for step in range(1, STEPS + 1):
+    for step in range(1, steps + 1):
         w = windows[rng.integers(0, len(windows), BATCH)]
-        ids, want = row[w[:, :-1]], cls[w[:, 1:]]
-        x = p["e"][ids] + p["p"]
-        q, k, v = x @ p["q"], x @ p["k"], x @ p["v"]
-        s = q @ k.transpose(0, 2, 1) * root
-        s[:, hidden] = -np.inf
-        a = np.exp(s - s.max(-1, keepdims=True))
-        a /= a.sum(-1, keepdims=True)
-        h = np.tanh(a @ v + x @ p["r"])
-        z = h @ p["o"] + p["b"]
-        z = np.exp(z - z.max(-1, keepdims=True))
-        z /= z.sum(-1, keepdims=True)
-        # backwards
-        n = want.size
-        dz = z
-        np.put_along_axis(dz, want[..., None], np.take_along_axis(dz, want[..., None], -1) - 1, -1)
-        dz /= n
-        flat = lambda y: y.reshape(-1, y.shape[-1])
-        g = {"o": flat(h).T @ flat(dz), "b": flat(dz).sum(0)}
-        dh = (dz @ p["o"].T) * (1 - h * h)
-        g["r"] = flat(x).T @ flat(dh)
-        dx = dh @ p["r"].T
-        da, dv = dh @ v.transpose(0, 2, 1), a.transpose(0, 2, 1) @ dh
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * root
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, y in (("q", dq), ("k", dk), ("v", dv)):
-            g[name] = flat(x).T @ flat(y)
-            dx += y @ p[name].T
-        g["p"] = dx.sum(0)
+        ids = row[w[:, :-1]]
+        g, dx = gradients(p, p["e"][ids], cls[w[:, 1:]], w[:, 1:] >= 0)
         g["e"] = np.zeros_like(p["e"])
-        np.add.at(g["e"], ids.ravel(), flat(dx))
-        rate = RATE * min(1, 2 * (1 - step / (STEPS + 1)))
+        np.add.at(g["e"], ids.ravel(), dx)
+        rate = RATE * min(1, 2 * (1 - step / (steps + 1)))
         for name, y in g.items():
             first[name] = 0.9 * first[name] + 0.1 * y
             second[name] = 0.99 * second[name] + 0.01 * y * y
             p[name] -= (rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+    return row, p
+
+
+def train(windows: np.ndarray, cls: np.ndarray, closing: np.ndarray, seed: int = 5) -> Attention:
+    """The model fitted to windows."""
+    row, p = fitted(windows, cls, closing, seed)
     return Attention(row.astype(np.int32), cls.astype(np.int16), p)
 
 
+class Learner:
+    """Goes on from parameters with a row of p["e"] for each id, by Adam, of which an id's row takes part in the steps that
+    hold it. weight: how many windows were learnt; seen: in how many steps each id was."""
+
+    def __init__(self, p: dict, cls: np.ndarray, rate: float):
+        self.p, self.cls, self.rate = {k: v.copy() for k, v in p.items()}, cls, rate
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
+        self.seen, self.weight, self.steps = np.zeros(len(cls), np.int64), 0, 0
+
+    def learn(self, w: np.ndarray) -> None:
+        p = self.p
+        inside = w[:, :-1] >= 0
+        real, ids = w[:, 1:] >= 0, np.where(inside, w[:, :-1], 0)
+        g, dx = gradients(p, p["e"][ids], self.cls[w[:, 1:]], real)
+        own, at = np.unique(ids[inside], return_inverse=True)
+        order = np.argsort(at, kind="stable")
+        y = np.add.reduceat(dx[inside.ravel()][order], np.searchsorted(at[order], np.arange(len(own))))
+        self.steps, self.weight = self.steps + 1, self.weight + len(w)
+        self.seen[own] += 1
+        for name, rows, y, step in [("e", own, y, self.seen[own][:, None]), *((k, slice(None), v, self.steps) for k, v in g.items())]:
+            m = self.first[name][rows] = 0.9 * self.first[name][rows] + 0.1 * y
+            v = self.second[name][rows] = 0.99 * self.second[name][rows] + 0.01 * y * y
+            p[name][rows] -= (self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+
+
 class Attention:
     """The trained model: rows of query, key, value and residual by id, and the like by place."""
 

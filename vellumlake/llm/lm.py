@@ -2,7 +2,7 @@
 
 The model: causal self-attention over subword ids predicts the next id's class; corpus counts give its share of the class,
 for which the class of the id before it in its word counts too.
-Attention is trained on a bounded sample of windows; all counts are over all training documents.
+Classes, counts and attention are all learnt from all training documents.
 
 One pass tokenises, scores classes and counts: each task numbers its distinct words and keeps its documents as word
 numbers. The words' corpus counts are summed over tasks and come back to each task's block of documents by its number, so
@@ -15,12 +15,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .attention import CLASSES, WINDOW, Attention, classes_of, train
+from .attention import BATCH, CLASSES, COMMON, LEAST, SPACE, STEPS, WIDTH, WINDOW, Attention, Learner, clustered, few, fitted, neighbours, spanned
 from .common import Scratch, give_back
 from .langid import part
 
-#: Attention learns from at most so many windows, of at most so many training documents: those of the smallest hashes.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 1000, 40_000
+#: The first fit, at the driver, is of at most so many windows, and goes over them so often, in so many steps at least; then all windows are learnt, in
+#: rounds, from this rate downwards.
+FIRST_WINDOWS, FIRST_PASSES, LEAST_STEPS, ROUNDS, AGAIN_RATE = 40_000, 5, 200, 3, 0.003
+#: Windows in a row, and parts that ids' embeddings are summed over tasks in.
+BLOCK_WINDOWS, BUCKETS = 5000, 64
 #: Bytes of text after which a task closes a block of documents.
 BLOCK_BYTES = 32 << 20
 #: Added to an id's count within its class, and to what is known with the class before.
@@ -60,41 +63,203 @@ class Lm:
         self.spec, self.attention, self.begin, self.end = spec, attention, n_ids, n_ids + 1
 
 
-def fit(spark: SparkSession, docs: DataFrame, spec: str) -> Lm | None:
-    """The model from a sample of docs (doc_id, text); None if they hold nothing to learn from."""
-    import json
-
+def _windows(spark: SparkSession, docs: DataFrame, spec: str, begin: int) -> DataFrame:
+    """Rows of two kinds: windows over the ids of docs (text), and ids with their counts."""
     shared = spark.sparkContext.broadcast(spec)
-    vocab = json.loads(spec)["model"]["vocab"]
-    n_ids = max([*vocab.values(), *(x["id"] for x in json.loads(spec)["added_tokens"])]) + 1
-    begin, end = n_ids, n_ids + 1
 
-    def windows(batches):
+    def run(batches):
         import pyarrow as pa
         import xxhash
 
-        from vellumlake.llm.attention import WINDOW
-        from vellumlake.llm.tokens import encoder
+        from vellumlake.llm import lm as own
+        from vellumlake.llm.attention import windows_of
+        from vellumlake.llm.tokens import encoder, gather, words_of
 
-        enc = encoder(shared.value)
-        for batch in batches:
-            out = []
-            for ids in enc.encode(batch.column(0)):
-                s = np.concatenate([[begin], np.frombuffer(ids, "<u4"), [end]]).astype("<u4")
-                for at in range(0, len(s) - WINDOW, WINDOW):
-                    w = s[at : at + WINDOW + 1].tobytes()
-                    out.append((xxhash.xxh3_64_intdigest(w) >> 1, w))
+        enc = encoder(shared.value, own.CACHE)
+        count = np.zeros(begin + 2, np.int64)
+        names = ["id", "n", "ids"]
+        for whole in batches:
+            for at in range(0, whole.num_rows, own.TEXT_BATCH):
+                distinct, codes, borders = words_of(whole.slice(at, own.TEXT_BATCH).column(0))
+                seq, ends = gather(*enc.table.find(distinct), codes)
+                cut = np.concatenate([[0], ends])[borders]
+                seq = np.insert(seq.astype(np.int64), cut[1:], begin + 1)
+                count += np.bincount(seq, minlength=len(count))
+                w = windows_of(seq, cut + np.arange(len(cut)), begin)
+                parts = [w[k : k + own.BLOCK_WINDOWS].tobytes() for k in range(0, len(w), own.BLOCK_WINDOWS)]
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in parts], pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.binary())], names)
+        known = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array(count[known]), pa.nulls(len(known), pa.binary())], names)
+        give_back()
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, n long, ids binary")
+
+
+def _blocks(batches):
+    """Windows from the rows that hold them."""
+    for batch in batches:
+        for x in batch.column("ids"):
+            yield np.frombuffer(x.as_buffer(), "<i4").reshape(-1, WINDOW + 1)
+
+
+def classes(spark: SparkSession, blocks: DataFrame, count: np.ndarray, closing: np.ndarray, scratch: Scratch, seed: int = 3) -> np.ndarray:
+    """A class for each id, from the ids before and after it in all windows. Tasks count neighbours, so tables that are
+    summed are bounded by ids times common ids; the driver gets SPACE numbers for each id."""
+    rng = np.random.default_rng(seed)
+    seen = np.flatnonzero(count >= LEAST)
+    if len(seen) < CLASSES:
+        return few(seen, closing)
+    top = np.argsort(-count, kind="stable")[:COMMON]
+    place = np.full(len(count), -1)
+    place[top] = np.arange(len(top))
+    wide = 2 * len(top)
+    rare = count < LEAST
+
+    def pairs(batches):
+        import pyarrow as pa
+
+        keys, n, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+
+        def merged():
+            k, to = np.unique(np.concatenate([keys, *(x[0] for x in waiting)]), return_inverse=True)
+            return k, np.bincount(to, weights=np.concatenate([n, *(x[1] for x in waiting)]), minlength=len(k)).astype(np.int64)
+
+        for w in _blocks(batches):
+            k, m = neighbours(w, place)
+            ok = ~rare[k // wide]
+            waiting.append((k[ok], m[ok]))
+            if len(waiting) == 16:
+                keys, n = merged()
+                waiting = []
+        keys, n = merged()
+        for at in range(0, len(keys), 100_000):
+            k = keys[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(k // wide), pa.array((k % wide).astype(np.int32)), pa.array(n[at : at + 100_000])], ["id", "place", "n"])
+
+    found = blocks.mapInArrow(pairs, "id long, place int, n long").repartition("id").groupBy("id", "place").agg(F.sum("n").alias("n"))
+    found = scratch.table(found, "neighbours")
+    norms = found.groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    norm = np.ones(len(count), np.float32)
+    norm[norms["id"]] = np.sqrt(norms["n"])
+
+    def product(of, by, into):
+        """Sums of the roots of counts, over the norm of their id, times rows of a matrix."""
+
+        def run(batches):
+            import pyarrow as pa
+
+            total, hit = np.zeros((into, SPACE), np.float32), np.zeros(into, bool)
+            for batch in batches:
+                id_, at, n = (batch.column(k).to_numpy() for k in range(3))
+                key, other = (id_, at) if by == "id" else (at, id_)
+                order = np.argsort(key, kind="stable")
+                key, starts = np.unique(key[order], return_index=True)
+                if len(key):
+                    total[key] += np.add.reduceat(((np.sqrt(n) / norm[id_])[:, None] * of[other]).astype(np.float32)[order], starts)
+                    hit[key] = True
+            k = np.flatnonzero(hit)
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array([x.tobytes() for x in total[k]], pa.binary())], ["k", "v"])
+
+        out = np.zeros((into, SPACE), np.float32)
+        got = found.mapInArrow(run, "k long, v binary").toPandas().sort_values(["k", "v"])
+        if len(got):
+            np.add.at(out, got["k"].to_numpy(), np.frombuffer(b"".join(got["v"]), "<f4").reshape(-1, SPACE))
+        return out
+
+    x = product(rng.standard_normal((wide, SPACE)).astype(np.float32), "id", len(count))
+    x = product(spanned(product(x, "place", wide)), "id", len(count))
+    scratch.drop(found)
+    return clustered(x[seen], seen, count, closing, rng)
+
+
+def learnt(spark: SparkSession, blocks: DataFrame, p: dict, cls: np.ndarray) -> dict:
+    """Goes on from p over all windows, each once. In a round each task learns from its share of them; then parameters are
+    averaged over tasks by their windows, an id's row by the steps that held it."""
+    for number in range(ROUNDS):
+        shared = spark.sparkContext.broadcast((p, cls.astype(np.int64), AGAIN_RATE * (1 - number / ROUNDS)))
+
+        def run(batches, number=number, shared=shared):
+            import pyarrow as pa
+            from pyspark import TaskContext
+
+            task = TaskContext.get().partitionId()
+            rng = np.random.default_rng([number, task])
+            m = Learner(*shared.value)
+            for w in _blocks(batches):
+                w = w[number::ROUNDS]
+                w = w[rng.permutation(len(w))]
+                for at in range(0, len(w), BATCH):
+                    m.learn(w[at : at + BATCH])
+            if not m.steps:
+                return
+            own = [(-1, task, m.weight, b"", (m.weight * np.concatenate([m.p[k].ravel() for k in sorted(m.p) if k != "e"]).astype(np.float64)).tobytes())]
+            ids = np.flatnonzero(m.seen)
+            for bucket in range(BUCKETS):
+                some = ids[ids % BUCKETS == bucket]
+                if len(some):
+                    rows = np.concatenate([m.p["e"][some] * m.seen[some][:, None], m.seen[some][:, None]], 1)
+                    own.append((bucket, task, 0, some.astype("<i4").tobytes(), rows.astype("<f4").tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*own, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "task", "weight", "ids", "rows"])
+
+        def summed(batches):
+            import pyarrow as pa
+
+            total, dense, weight = {}, 0.0, 0
+            for batch in batches:
+                for r in batch.to_pylist():
+                    if r["bucket"] < 0:
+                        dense, weight = dense + np.frombuffer(r["rows"], "<f8"), weight + r["weight"]
+                    else:
+                        t = total.setdefault(r["bucket"], np.zeros((len(cls) // BUCKETS + 1, WIDTH + 1)))
+                        t[np.frombuffer(r["ids"], "<i4") // BUCKETS] += np.frombuffer(r["rows"], "<f4").reshape(-1, WIDTH + 1)
+            out = [(b, 0, t.tobytes()) for b, t in total.items()] + ([(-1, weight, dense.tobytes())] if weight else [])
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*out, strict=True)], ["h", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), (pa.int32(), pa.int64(), pa.binary()), strict=True)], ["bucket", "weight", "rows"])
+
+        made = blocks.mapInArrow(run, "bucket int, task int, weight long, ids binary, rows binary")
+        made = made.repartition("bucket").sortWithinPartitions("bucket", "task").mapInArrow(summed, "bucket int, weight long, rows binary")
+        p = {k: v.copy() for k, v in p.items()}
+        for bucket, weight, rows in made.toPandas().itertuples(index=False):
+            if bucket < 0:
+                dense, at = np.frombuffer(rows, "<f8") / weight, 0
+                for k in sorted(p):
+                    if k != "e":
+                        p[k] = dense[at : at + p[k].size].reshape(p[k].shape).astype(np.float32)
+                        at += p[k].size
+            else:
+                t = np.frombuffer(rows, "<f8").reshape(-1, WIDTH + 1)
+                hit = np.flatnonzero(t[:, -1])
+                p["e"][hit * BUCKETS + bucket] = t[hit, :-1] / t[hit, -1:]
+        shared.unpersist()
+    return p
+
+
+def fit(spark: SparkSession, docs: DataFrame, spec: str, scratch: Scratch | None = None) -> Lm | None:
+    """The model from all docs (text); None if there are none. A first fit at the driver, from some of the windows, is
+    where learning from all of them starts."""
+    import json
 
-    some = docs.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(SAMPLE_DOCS).select("text")
-    got = some.repartition(12).mapInArrow(windows, "h long, ids binary").orderBy("h").limit(SAMPLE_WINDOWS).toPandas()
-    if not len(got):
-        return None
-    found = np.frombuffer(b"".join(got["ids"]), "<u4").reshape(-1, WINDOW + 1).astype(np.int64)
+    scratch = scratch or Scratch(spark, "lm")
+    vocab = json.loads(spec)["model"]["vocab"]
+    n_ids = max([*vocab.values(), *(x["id"] for x in json.loads(spec)["added_tokens"])]) + 1
     closing = np.zeros(n_ids + 2, bool)
     closing[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-    return Lm(spec, train(found, classes_of(found, n_ids + 2, closing), closing), n_ids)
+    rows = scratch.table(_windows(spark, docs, spec, n_ids), "windows")
+    blocks = rows.where("ids is not null").select("id", "ids")
+    found = rows.where("ids is null").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
+    if not len(found) or blocks.isEmpty():
+        return None
+    count = np.zeros(n_ids + 2, np.int64)
+    count[found["id"]] = found["n"]
+    cls = classes(spark, blocks, count, closing, scratch)
+    got = blocks.orderBy("id", "ids").limit(-(-FIRST_WINDOWS // BLOCK_WINDOWS) + 1).toPandas()
+    first = np.frombuffer(b"".join(got["ids"]), "<i4").reshape(-1, WINDOW + 1)
+    first = first[np.random.default_rng(7).permutation(len(first))[:FIRST_WINDOWS]]
+    row, p = fitted(first, cls, closing, steps=min(STEPS, max(LEAST_STEPS, FIRST_PASSES * len(first) // BATCH)))
+    p["e"] = p["e"][row]
+    p = learnt(spark, blocks, p, cls)
+    scratch.drop(rows)
+    return Lm(spec, Attention(np.arange(n_ids + 2, dtype=np.int32), cls.astype(np.int16), p), n_ids)
 
 
 def _scan(spark: SparkSession, docs: DataFrame, lm: Lm) -> DataFrame:
@@ -190,7 +355,7 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch
 
     scratch = scratch or Scratch(spark, "lm")
     spec = read_file(tokenizer)
-    lm = fit(spark, docs.where("not held_out and text is not null"), spec) or _uniform(spec)
+    lm = fit(spark, docs.where("not held_out and text is not null"), spec, scratch) or _uniform(spec)
     rows = scratch.table(_scan(spark, docs, lm), "rows")
 
     # at most a row for each id and class
@@ -300,8 +465,6 @@ def _uniform(spec: str) -> Lm:
     """A model that has learnt nothing: every id in one class."""
     import json
 
-    from .attention import WIDTH
-
     j = json.loads(spec)
     n_ids = max([*j["model"]["vocab"].values(), *(x["id"] for x in j["added_tokens"])]) + 1
     zero = lambda *s: np.zeros(s, np.float32)
