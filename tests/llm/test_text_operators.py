@@ -180,6 +180,23 @@ def test_attention_learns_and_scores_once(monkeypatch):
     assert model.score(ids, parts, 200).shape == (4,) and isinstance(model, Attention)
 
 
+def test_attention_learns_tails_and_short_texts(spark):
+    seq, borders = np.arange(30), np.array([0, 1, WINDOW + 2, 30])
+    w = attention.windows_of(seq, borders, 99)
+    assert w.shape == (4, WINDOW + 1) and w[:, 1:][w[:, 1:] >= 0].tolist() == seq.tolist()
+    assert w[:, 0].tolist() == [99, 99, WINDOW, 99 if WINDOW + 2 < 30 else WINDOW] and w[0, 2:].tolist() == [attention.PAD] * (WINDOW - 1)
+    from public_tokenizers import path
+
+    # texts all shorter than a window: there is a model, and it knows that a text ends after its second word
+    docs = spark.createDataFrame([(i, "the end") for i in range(60)], "doc_id long, text string")
+    m = lm.fit(spark, docs, tokens.read_file(path("word_bpe_49k.json")))
+    assert m is not None
+    own = tokens.encoder(m.spec).tok.encode("the end", add_special_tokens=False).ids
+    ids = np.array([*own, m.end])
+    whole, cut = (m.attention.score(x, np.array([0, len(x)]), m.begin)[0] for x in (ids, ids[:-1]))
+    assert whole - cut > math.log10(0.5)
+
+
 def test_lm_learns_from_every_document(spark, monkeypatch):
     from public_tokenizers import path
 
@@ -187,7 +204,7 @@ def test_lm_learns_from_every_document(spark, monkeypatch):
     monkeypatch.setattr(lm, "FIRST_WINDOWS", 1)
     monkeypatch.setattr(lm, "BLOCK_WINDOWS", 20)
     words = "cat dog house tree river stone light water"
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).unionByName(spark.createDataFrame([(f"the {w} is here " * 8,) for w in words.split() for _ in range(6)], "text string"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).unionByName(spark.createDataFrame([(f"the {w} is here",) for w in words.split() for _ in range(6)], "text string"))
     m = lm.fit(spark, docs, tokens.read_file(path("word_bpe_49k.json")))
     own = [tokens.encoder(m.spec).tok.encode(w, add_special_tokens=False).ids[0] for w in words.split()]
     rows = [r.tobytes() for r in m.attention.table[m.attention.row]]

@@ -22,10 +22,10 @@ HIDDEN = np.triu(np.ones((WINDOW, WINDOW), bool), 1)
 
 
 def windows_of(seq: np.ndarray, borders: np.ndarray, begin: int) -> np.ndarray:
-    """Windows of WINDOW + 1 ids, whole ones only, over the texts seq[borders[i] : borders[i + 1]]; the first of a
-    text starts with begin."""
+    """Windows of WINDOW + 1 ids, so that each id of the texts seq[borders[i] : borders[i + 1]] is predicted in one of them;
+    the first of a text starts with begin, the last is filled up with PAD."""
     n = np.diff(borders)
-    windows = n // WINDOW
+    windows = -(-n // WINDOW)
     text = np.repeat(np.arange(len(n)), windows)
     number = np.arange(len(text)) - np.repeat(np.cumsum(windows) - windows, windows)
     place = number[:, None] * WINDOW + np.arange(-1, WINDOW)

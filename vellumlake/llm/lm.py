@@ -128,13 +128,15 @@ def classes(spark: SparkSession, blocks: DataFrame, count: np.ndarray, closing:
             k, m = neighbours(w, place)
             ok = ~rare[k // wide]
             waiting.append((k[ok], m[ok]))
-            if len(waiting) == 16:
+            if len(waiting) == 4:
                 keys, n = merged()
                 waiting = []
         keys, n = merged()
         for at in range(0, len(keys), 100_000):
             k = keys[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(k // wide), pa.array((k % wide).astype(np.int32)), pa.array(n[at : at + 100_000])], ["id", "place", "n"])
+        del keys, n, waiting
+        give_back()
 
     found = blocks.mapInArrow(pairs, "id long, place int, n long").repartition("id").groupBy("id", "place").agg(F.sum("n").alias("n"))
     found = scratch.table(found, "neighbours")
@@ -200,6 +202,8 @@ def learnt(spark: SparkSession, blocks: DataFrame, p: dict, cls: np.ndarray) ->
                     rows = np.concatenate([m.p["e"][some] * m.seen[some][:, None], m.seen[some][:, None]], 1)
                     own.append((bucket, task, 0, some.astype("<i4").tobytes(), rows.astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*own, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["bucket", "task", "weight", "ids", "rows"])
+            del m, own, rows
+            give_back()
 
         def summed(batches):
             import pyarrow as pa
