@@ -102,6 +102,12 @@ def redact_secrets(spark, sf_dir):
     return d.select("doc_id", text.redacted(F.col("text")).alias("redacted"))
 
 
+@query()
+def redacted_texts(spark, sf_dir):
+    """Every document's whole text, redacted, as a digest. No SQL: RE2 has no look-behind; tests hold it against Python."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.redacted(F.col("text")), 256).alias("digest"))
+
+
 @query(r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z]{2,}')) AS INTEGER) AS emails FROM documents WHERE regexp_matches(text, '[A-Za-z0-9]@[a-z]+\.[a-z]{2,}')")
 def redact_emails(spark, sf_dir):
     d = table(spark, sf_dir, "documents").where(r"text rlike '[A-Za-z0-9]@[a-z]+\\.[a-z]{2,}'")
