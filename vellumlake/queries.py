@@ -145,6 +145,21 @@ def slugs(spark, sf_dir):
     return d.select("doc_id", text.chapter_path((F.col("doc_id") % 5000).cast("int"), text.slug(F.col("t"), "chapter", 60)).alias("path"))
 
 
+@query()
+def markdown_texts(spark, sf_dir):
+    """Every document's whole text as inert Markdown, as a digest. No SQL: RE2 has no look-behind; tests hold it against Python."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(text.markdown_text(F.col("text")), 256).alias("digest"))
+
+
+@query()
+def title_names(spark, sf_dir):
+    """Every document's whole first line as a file name and as a chapter's path. No SQL: DuckDB lacks the normal forms; tests
+    hold it against Python."""
+    t = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("t"))
+    path = text.chapter_path((F.col("doc_id") % 5000).cast("int"), text.slug(F.col("t"), "chapter", 60))
+    return t.select("doc_id", text.safe_component(F.col("t"), "Chapter").alias("component"), path.alias("path"))
+
+
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '') AS p FROM pages)
 SELECT page_id, p <> '' AND octet_length(encode(p)) <= 240 AND NOT regexp_matches(p, '[%:*?"<>|\\]') AND NOT regexp_matches(p, '^/')
   AND len(list_filter(string_split(p, '/'), lambda x: x = '' OR x = '.' OR x = '..' OR regexp_matches(x, '^\s|\s$|[. ]$')
