@@ -293,3 +293,26 @@ def test_main_file_and_families(spark):
     chapters = F.array(F.struct(F.lit(0).alias("chapter"), F.lit("T").alias("title"), F.lit("chapters/ch0001-t.md").alias("path")))
     body = spark.range(1).select(render.skill_file(F.lit("s"), F.lit("Book (x)"), F.lit(""), F.lit(1), F.lit(0), F.array(F.lit("F1")), chapters).alias("o")).first().o
     assert body.startswith('---\nname: "s"\n') and "# Book \\(x\\)\n" in body and "- [Chapter 0001: T](chapters/ch0001-t.md)\n" in body and "known total: unknown." in body and "- F1\n" in body
+
+
+def test_service_tells_of_chapters_that_failed(spark, tmp_path):
+    from vellumlake.operators import analysis
+    from vellumlake.service import Service
+
+    class Failing(analysis.LocalProvider):
+        """Its model fails on the book's last chapter."""
+
+        def generate(self, system, user):
+            if "More" in user:
+                raise RuntimeError("down")
+            return super().generate(system, user)
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.epub").write_bytes(book())
+    s = Service(spark, str(tmp_path / "lib"), Failing)
+    b = s.import_path(str(tmp_path / "in")).first().book_id
+    notes = {r.path: bytes(r.content).decode() for r in s.note_files(b).collect()}
+    map_ = notes["Books/T x MOC.md"]
+    assert "- Rendered: 1 / known total: 2." in map_ and "## Unprocessed chapters\n- 02\n" in map_
+    skill = {r.path: bytes(r.content).decode() for r in s.skill_files(b).collect()}
+    assert "- Rendered chapters: 1 / known total: 2." in skill["SKILL.md"]

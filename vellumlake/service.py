@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumlake.functions import canonical, text
-from vellumlake.operators import analysis, library, render
+from vellumlake.operators import aggregate, analysis, library, render
 from vellumlake.operators.publish import Publisher
 from vellumlake.plans import planning
 from vellumlake.plans.jobs import Jobs
@@ -115,6 +115,10 @@ class Service:
         a = a.withColumn("book_key", canonical.book_key(F.col("source_system"), F.col("external_book_id"))).withColumn("title", text.normalized(F.col("title"))).drop("content", "error")
         return self._kept(book_id, "chapters", a)
 
+    def _total(self, book_id: str) -> DataFrame:
+        """(book, total) of a book, as it was imported: chapters without an analysis count too."""
+        return self.get_book(book_id).select(F.col("book_id").alias("book"), F.col("total_chapters").alias("total"))
+
     def _kept(self, book_id: str, name: str, df: DataFrame) -> DataFrame:
         """df, written and read back."""
         t = library.Table(self.spark, f"{self.root}/rendered/{book_id}/{name}")
@@ -145,13 +149,15 @@ class Service:
         label = F.concat(F.format_string("%02d ", F.col("chapter") + 1), "title")
         notes = self._kept(book_id, "notes", notes.withColumn("link", text.markdown_link(label, F.col("moc"), F.col("path"))))
         books = notes.groupBy("book_key", "moc").agg(
-            F.max("book_title").alias("title"), F.count("*").alias("rendered"), (F.max("chapter") + 1).alias("total"), F.max("input_fingerprint").alias("f"),
+            F.max("book_title").alias("title"), F.count("*").alias("rendered"), F.max("input_fingerprint").alias("f"),
             F.transform(F.array_sort(F.collect_list(F.struct("chapter", "link"))), lambda x: x["link"]).alias("chapters"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.frameworks.name")))).alias("frameworks"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.topic_tags")))).alias("topics"),
         )
         per_book = cards.groupBy("book_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("chapter", "kind", "stable_id", "moc_link"))), lambda x: x["moc_link"]).alias("cards"))
-        books = books.join(per_book, "book_key", "left").withColumns({"cards": F.coalesce("cards", none), "missing": none})
+        total = self._total(book_id)
+        missing = aggregate.missing_chapters(notes.select(F.lit(book_id).alias("book"), "chapter"), total)
+        books = books.join(per_book, "book_key", "left").withColumn("cards", F.coalesce("cards", none)).crossJoin(total.join(missing, "book").drop("book"))
         books = books.withColumn("content_", render.frontmatter("moc", F.col("book_key"), F.lit(0), F.col("f"), F.lit("moc"), render.moc(books)))
         parts = [notes.select("path", "content_"), cards.select("path", "content_"), books.select(F.col("moc").alias("path"), "content_")]
         return render.union(parts).select("path", F.col("content_").cast("binary").alias("content"))
@@ -172,7 +178,7 @@ class Service:
             items = render.family_items(one, *families)
             totals = one.select("book").distinct().join(items.groupBy("book").agg(F.count("*").alias("n")), "book", "left").select("book", F.coalesce("n", F.lit(0)).alias("total"))
             parts.append(render.index_file(title, items, current, totals).select(F.lit(path).alias("path"), "content"))
-        book = one.groupBy("book").agg(F.max("book_title").alias("t"), F.max("author").alias("author"), F.count("*").alias("rendered"), (F.max("chapter") + 1).alias("total"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.frameworks.name")))).alias("frameworks"), F.array_sort(F.collect_list(F.struct("chapter", "title", "path"))).alias("chapters"))
+        book = one.groupBy("book").agg(F.max("book_title").alias("t"), F.max("author").alias("author"), F.count("*").alias("rendered"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.frameworks.name")))).alias("frameworks"), F.array_sort(F.collect_list(F.struct("chapter", "title", "path"))).alias("chapters")).join(self._total(book_id), "book")
         key = F.substring(F.sha2("book", 256), 1, 16)
         name = F.concat(text.slug(F.col("t"), "book", 40), F.lit("--"), key)
         parts.append(book.select(F.lit("SKILL.md").alias("path"), render.skill_file(name, F.col("t"), F.col("author"), F.col("rendered"), F.col("total"), F.col("frameworks"), F.col("chapters")).alias("content")))
