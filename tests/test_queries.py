@@ -31,3 +31,9 @@ def test_query(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_snapshot_verdicts_of_one_turn(spark, tmp_path):
+    spark.createDataFrame([(5, 0), (10, 0), (10, 1), (3, 0), (3, 1), (4, 1)], "conv_id long, turn int").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = __spark_entry__.queries()["snapshot_verdicts"](spark, str(tmp_path)).collect()
+    assert {r.conv_id: r.complete for r in got} == {5: True, 10: False, 3: True, 4: False}

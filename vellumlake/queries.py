@@ -308,6 +308,19 @@ def snapshot_completeness(spark, sf_dir):
     return library.completeness(s).select(F.col("external_book_id").alias("conv_id"), one.alias("complete"))
 
 
+@query("""SELECT conv_id, count(*) = max(turn) + 1 AND count(DISTINCT turn) = count(*) AND min(turn) = 0
+  AND count(DISTINCT CASE WHEN conv_id % 5 = 0 THEN turn ELSE 0 END) = 1 AS complete
+FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 0) GROUP BY conv_id""")
+def snapshot_verdicts(spark, sf_dir):
+    """The operator's own verdict, where each turn of every fifth conversation has a title of its own."""
+    c = table(spark, sf_dir, "conversations")
+    total = (F.max("turn").over(Window.partitionBy("conv_id")) + 1).cast("int")
+    title = F.when(F.col("conv_id") % 5 == 0, F.col("turn").cast("string")).otherwise("one")
+    s = c.select(F.lit("c").alias("source_system"), F.col("conv_id").alias("external_book_id"), F.col("turn").alias("chapter_index"), F.struct(title.alias("title"), total.alias("total_chapters")).alias("book"))
+    s = s.where("not (external_book_id % 7 = 0 and chapter_index = 0)")
+    return library.completeness(s).select(F.col("external_book_id").alias("conv_id"), "complete")
+
+
 # pages
 
 
