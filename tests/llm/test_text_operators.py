@@ -181,10 +181,10 @@ def test_attention_learns_and_scores_once(monkeypatch):
 
 
 def test_attention_learns_tails_and_short_texts(spark):
-    seq, borders = np.arange(30), np.array([0, 1, WINDOW + 2, 30])
+    seq, borders = np.arange(WINDOW + 6), np.array([0, 1, WINDOW + 2, WINDOW + 6])
     w = attention.windows_of(seq, borders, 99)
     assert w.shape == (4, WINDOW + 1) and w[:, 1:][w[:, 1:] >= 0].tolist() == seq.tolist()
-    assert w[:, 0].tolist() == [99, 99, WINDOW, 99 if WINDOW + 2 < 30 else WINDOW] and w[0, 2:].tolist() == [attention.PAD] * (WINDOW - 1)
+    assert w[:, 0].tolist() == [99, 99, WINDOW, 99] and w[0, 2:].tolist() == [attention.PAD] * (WINDOW - 1)
     from public_tokenizers import path
 
     # texts all shorter than a window: there is a model, and it knows that a text ends after its second word
@@ -231,6 +231,12 @@ def test_lm_scores(spark, monkeypatch):
     assert lm.score(spark, docs.limit(0), path("word_bpe_49k.json")).count() == 0
 
 
+def test_lm_beats_base_on_held_out_texts(spark):
+    assert WINDOW - STRIDE >= 8
+    r = lm.op5_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").first()
+    assert r.s >= r.b
+
+
 def test_part():
     assert zlib.crc32(b"12") % 7 >= 0
 
