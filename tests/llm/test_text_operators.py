@@ -10,8 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from vellumlake.llm import attention, chat, langid, lm, rules, tokens, urls
-from vellumlake.llm.attention import STRIDE, WINDOW, Attention, classes_of, train
+from vellumlake.llm import chat, langid, rules, urls
 from vellumlake.llm.forest import Forest
 
 SF = "/root/testdata/sf0.001"
@@ -145,98 +144,6 @@ def test_chat(spark):
     assert chat.digest(chat.format_conversations(df.limit(0))).count() == 0
 
 
-def windows(seed=0):
-    # ids alternate between two sets, so what comes next depends on what came before
-    rng = np.random.default_rng(seed)
-    x = np.where(np.arange(WINDOW + 1) % 2, rng.integers(0, 20, (800, WINDOW + 1)), rng.integers(20, 40, (800, WINDOW + 1)))
-    return x
-
-
-def test_attention_learns_and_scores_once(monkeypatch):
-    monkeypatch.setattr(attention, "STEPS", 500)
-    x = windows()
-    closing = np.zeros(202, bool)
-    cls = np.where(np.arange(202) < 20, 0, 1)
-    model = train(x, cls, closing)
-    assert len(set(classes_of(windows(), 202, closing))) > 2
-    ids = np.concatenate([w[1:] for w in x[:10]])
-    mean = model.score(ids, np.array([0, len(ids)]), begin=200)[0] / len(ids)
-    assert mean > math.log10(0.8)
-    # by hand: an id's class from the window that scores it
-    n = len(ids)
-    total = 0.0
-    for i in range(n):
-        w = 0 if i < WINDOW else (i - WINDOW) // STRIDE + 1
-        before = np.concatenate([[200], ids])[w * STRIDE : i + 1]
-        d = model.o.shape[0]
-        t = model.table[model.row[before]] + model.place[: len(before)]
-        a = t[-1, :d] @ t[:, d : 2 * d].T
-        a = np.exp(a - a.max())
-        h = np.tanh(a / a.sum() @ t[:, 2 * d : 3 * d] + t[-1, 3 * d :])
-        z = h @ model.o + model.b
-        total += (z[cls[ids[i]]] - z.max() - np.log(np.exp(z - z.max()).sum())) / np.log(10)
-    assert abs(total - model.score(ids, np.array([0, n]), 200)[0]) < 1e-2
-    parts = np.array([0, 1, 33, 34, n])
-    assert model.score(ids, parts, 200).shape == (4,) and isinstance(model, Attention)
-
-
-def test_attention_learns_tails_and_short_texts(spark):
-    seq, borders = np.arange(WINDOW + 6), np.array([0, 1, WINDOW + 2, WINDOW + 6])
-    w = attention.windows_of(seq, borders, 99)
-    assert w.shape == (4, WINDOW + 1) and w[:, 1:][w[:, 1:] >= 0].tolist() == seq.tolist()
-    assert w[:, 0].tolist() == [99, 99, WINDOW, 99] and w[0, 2:].tolist() == [attention.PAD] * (WINDOW - 1)
-    from public_tokenizers import path
-
-    # texts all shorter than a window: there is a model, and it knows that a text ends after its second word
-    docs = spark.createDataFrame([(i, "the end") for i in range(60)], "doc_id long, text string")
-    m = lm.fit(spark, docs, tokens.read_file(path("word_bpe_49k.json")))
-    assert m is not None
-    own = tokens.encoder(m.spec).tok.encode("the end", add_special_tokens=False).ids
-    ids = np.array([*own, m.end])
-    whole, cut = (m.attention.score(x, np.array([0, len(x)]), m.begin)[0] for x in (ids, ids[:-1]))
-    assert whole - cut > math.log10(0.5)
-
-
-def test_lm_learns_from_every_document(spark, monkeypatch):
-    from public_tokenizers import path
-
-    # the first fit sees one block of windows; a word of other blocks alone gets a class and an embedding of its own
-    monkeypatch.setattr(lm, "FIRST_WINDOWS", 1)
-    monkeypatch.setattr(lm, "BLOCK_WINDOWS", 20)
-    words = "cat dog house tree river stone light water"
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(200).unionByName(spark.createDataFrame([(f"the {w} is here",) for w in words.split() for _ in range(6)], "text string"))
-    m = lm.fit(spark, docs, tokens.read_file(path("word_bpe_49k.json")))
-    own = [tokens.encoder(m.spec).tok.encode(w, add_special_tokens=False).ids[0] for w in words.split()]
-    rows = [r.tobytes() for r in m.attention.table[m.attention.row]]
-    unseen = {r for r, n in collections.Counter(rows).most_common(2)}  # ids that no text holds, within words and at their end
-    assert not unseen & {rows[i] for i in own}
-    assert set(m.attention.cls[own]) - {attention.CLASSES - 2, attention.CLASSES - 1}
-
-
-def test_lm_scores(spark, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_BYTES", 200_000)
-    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(spark.createDataFrame([(5000, None), (5001, ""), (5002, " \t"), (5003, "The the"), (3, "again"), (3, "again"), (None, "no id")], "doc_id long, text string"))
-    docs = docs.select("*", (langid.part(7) == 2).alias("held_out")).selectExpr("*", "1 as n", "2 as block")
-    from public_tokenizers import path
-
-    got = lm.score(spark, docs, path("word_bpe_49k.json")).collect()
-    texts = [(r.doc_id, [*re.findall(rb"[^\x20\x09-\x0D]+", (r.text or "").encode().lower()), None], r.held_out) for r in docs.collect()]
-    c = collections.Counter(w for _, t, out in texts if not out for w in t)
-    n, v = sum(c.values()), len(c)
-    want = sorted((str(i), out, len(t), sum(c[w] > 0 for w in t), n, round(sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), 4)) for i, t, out in texts)
-    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
-    assert all(r.score < 0 and math.isfinite(r.score) for r in got)
-    held = [r for r in got if r.held_out and r.n_tokens > 50]
-    assert sum(r.score for r in held) > 1.1 * sum(r.base_score for r in held)
-    assert lm.score(spark, docs.limit(0), path("word_bpe_49k.json")).count() == 0
-
-
-def test_lm_beats_base_on_held_out_texts(spark):
-    assert WINDOW - STRIDE >= 8
-    r = lm.op5_lm_scoring(spark, "/root/testdata/sf0.1").where("held_out").selectExpr("sum(score) as s", "sum(base_score) as b").first()
-    assert r.s >= r.b
-
-
 def test_part():
     assert zlib.crc32(b"12") % 7 >= 0
 

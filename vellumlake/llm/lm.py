@@ -1,12 +1,13 @@
 """Scoring documents with a language model, next to a base score from word counts.
 
-The model: causal self-attention over subword ids predicts the next id's class; corpus counts give its share of the class,
-for which the class of the id before it in its word counts too.
-Classes, counts and attention are all learnt from all training documents.
-
-One pass tokenises, scores classes and counts: each task numbers its distinct words and keeps its documents as word
-numbers. The words' corpus counts are summed over tasks and come back to each task's block of documents by its number, so
-texts are never moved and a very common word is one row for each block.
+The model: causal self-attention over subword ids predicts the next id's class; corpus counts give an id's share of its
+class, for which the class of the id before it in its word counts too. That is a distribution over words and a text's end;
+it is mixed with the words' shares of the training tokens. Classes, counts, attention and the weight of the mixture are all
+learnt from all training documents.
+
+One pass tokenises: each task numbers its distinct words and keeps blocks of documents as word numbers beside the words'
+ids. All else reads these blocks. The words' corpus counts are summed over blocks and come back to each block by the words'
+numbers, so texts are never moved and a very common word is one row for each block.
 """
 
 from __future__ import annotations
@@ -15,23 +16,27 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .attention import BATCH, CLASSES, COMMON, LEAST, SPACE, STEPS, WIDTH, WINDOW, Attention, Learner, clustered, few, fitted, neighbours, spanned
+from .attention import BATCH, CLASSES, COMMON, LEAST, SPACE, WIDTH, WINDOW, Attention, Learner, clustered, drawn, few, fitted, neighbours, places, spanned, windows_of
 from .common import Scratch, give_back
 from .langid import part
 
-#: The first fit, at the driver, is of at most so many windows, and goes over them so often, in so many steps at least; then all windows are learnt, in
-#: rounds, from this rate downwards.
-FIRST_WINDOWS, FIRST_PASSES, LEAST_STEPS, ROUNDS, AGAIN_RATE = 40_000, 5, 200, 3, 0.003
-#: Windows in a row, and parts that ids' embeddings are summed over tasks in.
-BLOCK_WINDOWS, BUCKETS = 5000, 64
-#: Bytes of text after which a task closes a block of documents.
-BLOCK_BYTES = 32 << 20
+#: The first fit, at the driver, is of about so many windows, drawn from all blocks: so many passes over them, in steps within these; then all
+#: windows are learnt, in rounds, from this rate downwards.
+FIRST_WINDOWS, FIRST_PASSES, LEAST_STEPS, MOST_STEPS, ROUNDS, AGAIN_RATE = 40_000, 20, 200, 4000, 3, 0.003
+#: Parts that ids' embeddings are summed over tasks in.
+BUCKETS = 64
+#: Bytes of text after which a task closes a block of documents, and ids of whole documents that are worked on at once.
+BLOCK_BYTES, SLICE = 32 << 20, 1 << 20
 #: Added to an id's count within its class, and to what is known with the class before.
 SMOOTHING, BACKING = 0.5, 10
-
-ROWS = "kind int, block long, idx int, word binary, n long, subs binary, doc_ids binary, has_id binary, held binary, ends binary, ctx binary, codes binary"
-DOCS, WORDS, SUBS = 0, 1, 2
-#: Rows of texts that a task scores at once, and pieces that it remembers: telling which of a batch are known takes time for
+#: Weights of the words' own shares that are tried.
+WEIGHTS = (0.0, 0.03, 0.1, 0.2, 0.4)
+
+ROWS = "kind int, block long, idx int, word binary, n long, doc_ids binary, has_id binary, held binary, ends binary, codes binary, subs binary, sizes binary, counts binary"
+DOCS, WORDS, IDS = 0, 1, 2
+#: What a block of documents is read from.
+BLOCK = ("held", "ends", "codes", "subs", "sizes")
+#: Rows of texts that a task tokenises at once, and pieces that it remembers: telling which of a batch are known takes time for
 #: each of these.
 TEXT_BATCH, CACHE = 1000, 250_000
 
@@ -47,64 +52,175 @@ def classes_before(ids: np.ndarray, starts: np.ndarray, lengths: np.ndarray, cls
 def shares(count: np.ndarray, cls: np.ndarray, begin: int) -> np.ndarray:
     """log10 of each id's share of its class, given the class before it in its word (last row: none), from the counts of
     both; BACKING counts are shared out as the ids are without regard to what comes before."""
-    alone = count.sum(0) + SMOOTHING
+    alone = count.sum(0, dtype=np.float64) + SMOOTHING
     alone[begin] = 0
     mass = np.bincount(cls, weights=alone, minlength=CLASSES)
     alone = alone / np.maximum(mass, SMOOTHING)[cls]
-    given = np.stack([np.bincount(cls, weights=c, minlength=CLASSES) for c in count])
+    out = np.empty(count.shape, np.float32)
     with np.errstate(divide="ignore"):
-        return np.log10((count + BACKING * alone) / (given[:, cls] + BACKING)).astype(np.float32)
+        for k, c in enumerate(count):
+            out[k] = np.log10((c + BACKING * alone) / (np.bincount(cls, weights=c, minlength=CLASSES)[cls] + BACKING))
+    return out
+
+
+def mixed(unigram: np.ndarray, by_ids: np.ndarray, weight: float) -> np.ndarray:
+    """log10 of weight parts of the probabilities unigram and the rest of those that by_ids has the log10 of."""
+    rest = by_ids + np.log10(1 - weight)
+    if not weight:
+        return rest
+    top = np.maximum(rest, -300)
+    return np.where(unigram > 0, np.log10(weight * unigram + 10**top), rest)
 
 
 class Lm:
-    """Attention, the tokenizer's file and the ids that begin and end a text (after the tokenizer's own)."""
+    """Attention, the ids' shares of their classes, the weights' sums, and the ids that begin and end a text (after the tokenizer's own)."""
+
+    def __init__(self, attention: Attention, share: np.ndarray, n_ids: int):
+        self.attention, self.share, self.begin, self.end = attention, share, n_ids, n_ids + 1
 
-    def __init__(self, spec: str, attention: Attention, n_ids: int):
-        self.spec, self.attention, self.begin, self.end = spec, attention, n_ids, n_ids + 1
 
+class Block:
+    """A block of documents: where each begins among the word numbers, and each word's ids."""
+
+    def __init__(self, row: dict):
+        import zstandard
+
+        self.held = np.frombuffer(row["held"], np.uint8) != 0
+        self.borders = np.concatenate([[0], np.frombuffer(row["ends"], "<i8")])
+        self.codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), "<i4")
+        self.flat, self.lengths = words_of_block(row)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def slices(self, which: np.ndarray, end: int):
+        """Of the documents with these numbers, some at a time: the numbers, the ids (each document's with an end), and the
+        borders of documents and of words (the end is one) in them."""
+        from vellumlake.llm.tokens import gather
+
+        n = np.diff(self.borders)[which]
+        words = np.concatenate([[0], np.cumsum(self.lengths[self.codes], dtype=np.int64)]) if len(self.codes) else np.zeros(1, np.int64)
+        ids = words[self.borders[which + 1]] - words[self.borders[which]] + 1
+        del words
+        group = (np.cumsum(ids) - ids) // SLICE
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(which)]]) if len(which) else np.zeros(1, int)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            some, k = which[a:b], n[a:b]
+            if len(some) == some[-1] - some[0] + 1:
+                codes = self.codes[self.borders[some[0]] : self.borders[some[-1] + 1]]
+            else:
+                codes = np.concatenate([self.codes[self.borders[i] : self.borders[i + 1]] for i in some.tolist()])
+            seq, ends = gather(self.flat, self.starts, self.lengths, codes)
+            cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(k)])]
+            seq = np.insert(seq.astype(np.int64), cut[1:], end)
+            docs = cut + np.arange(len(cut))
+            last = np.cumsum(k)  # the ends are words after each document's last
+            sizes = np.insert(self.lengths[codes], last, 1)
+            yield some, seq, docs, np.concatenate([[0], np.cumsum(sizes)]), codes
 
-def _windows(spark: SparkSession, docs: DataFrame, spec: str, begin: int) -> DataFrame:
-    """Rows of two kinds: windows over the ids of docs (text), and ids with their counts."""
+
+def words_of_block(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct words' ids, laid end to end, and how many each has."""
+    import zstandard
+
+    undo = zstandard.ZstdDecompressor().decompress
+    return np.frombuffer(undo(row["subs"]), "<i4"), np.frombuffer(undo(row["sizes"]), "<i4").astype(np.int64)
+
+
+def _scan(spark: SparkSession, docs: DataFrame, spec: str, begin: int) -> DataFrame:
+    """Rows of three kinds: a block's documents, its distinct words with their counts in training documents, and ids with
+    theirs. docs: doc_id, held_out, text."""
     shared = spark.sparkContext.broadcast(spec)
 
     def run(batches):
         import pyarrow as pa
-        import xxhash
+        import zstandard
+        from pyspark import TaskContext
 
         from vellumlake.llm import lm as own
-        from vellumlake.llm.attention import windows_of
-        from vellumlake.llm.tokens import encoder, gather, words_of
+        from vellumlake.llm.common import give_back
+        from vellumlake.llm.tokens import encoder, words_of
+
+        enc, number = encoder(shared.value, own.CACHE), TaskContext.get().partitionId() << 20
+        pack = zstandard.ZstdCompressor(level=1).compress
+        schema = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in own.ROWS.split(", ")])
+        words: dict = {}
+        subs: list = []
+        sizes: list = []
+        counts = np.zeros(0, np.int64)
+        ids = np.zeros(begin + 2, np.int64)
+        held: list = []
+        size = 0
+
+        def rows(size_, **columns):
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size_, f.type) for f in schema], schema=schema)
+
+        def flush():
+            nonlocal number, words, subs, sizes, counts, held, size, ids
+            doc_ids, has_id, out, n, codes = (np.concatenate(x) for x in zip(*held, strict=True))
+            flat, lengths = np.concatenate(subs).astype("<i4"), np.concatenate(sizes).astype("<i4")
+            ids += np.bincount(flat, weights=np.repeat(counts, lengths), minlength=len(ids)).astype(np.int64)
+            ids[begin + 1] += int((out == 0).sum())
+            small = {"doc_ids": doc_ids, "has_id": has_id, "held": out, "ends": np.cumsum(n).astype("<i8")}
+            large = {"codes": codes.astype("<i4"), "subs": flat, "sizes": lengths, "counts": counts.astype("<i8")}
+            yield rows(1, kind=[own.DOCS], block=[number], idx=[-1], **{k: [x.tobytes()] for k, x in small.items()}, **{k: [pack(x.tobytes())] for k, x in large.items()})
+            del small, large, codes, flat, lengths
+            every = list(words)
+            for at in range(0, len(every), 20_000):
+                some = every[at : at + 20_000]
+                k = len(some)
+                yield rows(k, kind=np.full(k, own.WORDS), block=np.full(k, number), idx=np.arange(at, at + k), word=some, n=counts[at : at + k])
+            number, words, subs, sizes, counts, held, size = number + 1, {}, [], [], np.zeros(0, np.int64), [], 0
+            del every
+            give_back()
 
-        enc = encoder(shared.value, own.CACHE)
-        count = np.zeros(begin + 2, np.int64)
-        names = ["id", "n", "ids"]
         for whole in batches:
             for at in range(0, whole.num_rows, own.TEXT_BATCH):
-                distinct, codes, borders = words_of(whole.slice(at, own.TEXT_BATCH).column(0))
-                seq, ends = gather(*enc.table.find(distinct), codes)
-                cut = np.concatenate([[0], ends])[borders]
-                seq = np.insert(seq.astype(np.int64), cut[1:], begin + 1)
-                count += np.bincount(seq, minlength=len(count))
-                w = windows_of(seq, cut + np.arange(len(cut)), begin)
-                parts = [w[k : k + own.BLOCK_WINDOWS].tobytes() for k in range(0, len(w), own.BLOCK_WINDOWS)]
-                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in parts], pa.int64()), pa.nulls(len(parts), pa.int64()), pa.array(parts, pa.binary())], names)
-        known = np.flatnonzero(count)
-        yield pa.RecordBatch.from_arrays([pa.array(known, pa.int64()), pa.array(count[known]), pa.nulls(len(known), pa.binary())], names)
+                batch = whole.slice(at, own.TEXT_BATCH)
+                out = batch.column(1).to_numpy(zero_copy_only=False)
+                distinct, codes, borders = words_of(batch.column(2))
+                flat, starts, lengths = enc.table.find(distinct)
+                n = np.diff(borders)
+                taught = np.bincount(codes[np.repeat(~out, n)], minlength=len(distinct))
+                known = len(words)
+                numbers = np.fromiter((words.setdefault(w, len(words)) for w in distinct.to_pylist()), np.int64, len(distinct))
+                new = np.flatnonzero(numbers >= known)
+                subs.append(own.gathered(flat, starts, lengths, new).astype(np.int32))
+                sizes.append(lengths[new].astype(np.int32))
+                counts = np.concatenate([counts, np.zeros(len(words) - len(counts), np.int64)])
+                counts[numbers] += taught  # no number is there twice
+                doc = batch.column(0)
+                held.append((doc.fill_null(0).to_numpy().astype("<i8"), np.array(doc.is_valid(), np.uint8), out.astype(np.uint8), n, numbers.astype(np.int32)[codes] if len(codes) else codes.astype(np.int32)))
+                size += batch.column(2).nbytes
+                if size >= own.BLOCK_BYTES:
+                    yield from flush()
+        if held:
+            yield from flush()
+        known = np.flatnonzero(ids)
         give_back()
+        yield rows(len(known), kind=np.full(len(known), own.IDS), idx=known, n=ids[known])
+
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
+    return own.mapInArrow(run, ROWS)
+
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, n long, ids binary")
+def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    from .tokens import gather
 
+    return gather(flat, starts, lengths, codes)[0]
 
-def _blocks(batches):
-    """Windows from the rows that hold them."""
+
+def _taught(batches, end: int):
+    """Of blocks, the training documents some at a time: ids and borders."""
     for batch in batches:
-        for x in batch.column("ids"):
-            yield np.frombuffer(x.as_buffer(), "<i4").reshape(-1, WINDOW + 1)
+        for i in range(batch.num_rows):
+            b = Block({k: batch.column(c)[i].as_py() for c, k in enumerate(BLOCK)})
+            for _, seq, docs, _, _ in b.slices(np.flatnonzero(~b.held), end):
+                yield seq, docs
+            del b
 
 
-def classes(spark: SparkSession, blocks: DataFrame, count: np.ndarray, closing: np.ndarray, scratch: Scratch, seed: int = 3) -> np.ndarray:
-    """A class for each id, from the ids before and after it in all windows. Tasks count neighbours, so tables that are
-    summed are bounded by ids times common ids; the driver gets SPACE numbers for each id."""
+def classes(blocks: DataFrame, count: np.ndarray, closing: np.ndarray, begin: int, scratch: Scratch, seed: int = 3) -> np.ndarray:
+    """A class for each id, from the ids before and after it in all training documents. Tasks count neighbours, so tables
+    that are summed are bounded by ids times common ids; the driver gets SPACE numbers for each id."""
     rng = np.random.default_rng(seed)
     seen = np.flatnonzero(count >= LEAST)
     if len(seen) < CLASSES:
@@ -124,8 +240,8 @@ def classes(spark: SparkSession, blocks: DataFrame, count: np.ndarray, closing:
             k, to = np.unique(np.concatenate([keys, *(x[0] for x in waiting)]), return_inverse=True)
             return k, np.bincount(to, weights=np.concatenate([n, *(x[1] for x in waiting)]), minlength=len(k)).astype(np.int64)
 
-        for w in _blocks(batches):
-            k, m = neighbours(w, place)
+        for seq, docs in _taught(batches, begin + 1):
+            k, m = neighbours(windows_of(seq, docs, begin), place)
             ok = ~rare[k // wide]
             waiting.append((k[ok], m[ok]))
             if len(waiting) == 4:
@@ -174,9 +290,53 @@ def classes(spark: SparkSession, blocks: DataFrame, count: np.ndarray, closing:
     return clustered(x[seen], seen, count, closing, rng)
 
 
-def learnt(spark: SparkSession, blocks: DataFrame, p: dict, cls: np.ndarray) -> dict:
-    """Goes on from p over all windows, each once. In a round each task learns from its share of them; then parameters are
-    averaged over tasks by their windows, an id's row by the steps that held it."""
+def counted(rows: DataFrame, cls: np.ndarray, end: int) -> np.ndarray:
+    """How often each id follows each class in words of training documents (last row: begins a word). The driver gets a row
+    for each id and class that are there: at most classes times the tokenizer's ids."""
+
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        n = np.zeros((CLASSES + 1, len(cls)), np.int64)
+        for batch in batches:
+            for row in batch.to_pylist():
+                flat, lengths = words_of_block(row)
+                taught = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), "<i8")
+                before = classes_before(flat, np.cumsum(lengths) - lengths, lengths, cls)
+                n += np.bincount(before * len(cls) + flat, weights=np.repeat(taught, lengths), minlength=n.size).reshape(n.shape).astype(np.int64)
+                n[CLASSES, end] += int((np.frombuffer(row["held"], np.uint8) == 0).sum())
+        k, i = np.nonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(n[k, i])], ["k", "i", "n"])
+
+    got = rows.where(F.col("kind") == DOCS).select("held", "subs", "sizes", "counts").mapInArrow(run, "k long, i long, n long")
+    got = got.groupBy("k", "i").agg(F.sum("n").alias("n")).toPandas()
+    count = np.zeros((CLASSES + 1, len(cls)), np.float32)
+    count[got["k"].to_numpy(), got["i"].to_numpy()] = got["n"].to_numpy()
+    return count
+
+
+def some_windows(blocks: DataFrame, begin: int, share: float) -> np.ndarray:
+    """About this share of the training documents' windows, drawn from all blocks."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for number, (seq, docs) in enumerate(_taught(batches, begin + 1)):
+            rng = np.random.default_rng([number, len(seq), int(seq[: 4 * WINDOW].sum())])
+            text, at = places(docs, WINDOW)
+            chosen = np.flatnonzero(rng.random(len(text)) < share)
+            w = windows_of(seq, docs, begin, (text[chosen], at[chosen]))
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
+
+    got = sorted(blocks.mapInArrow(run, "w binary").toPandas()["w"])
+    w = np.frombuffer(b"".join(got), "<i4").reshape(-1, WINDOW + 1)
+    return w[np.random.default_rng(7).permutation(len(w))]
+
+
+def learnt(spark: SparkSession, blocks: DataFrame, p: dict, cls: np.ndarray, begin: int) -> dict:
+    """Goes on from p over all windows of training documents, each once. In a round each task learns from its share of
+    them; then parameters are averaged over tasks by their windows, an id's row by the steps that held it."""
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast((p, cls.astype(np.int64), AGAIN_RATE * (1 - number / ROUNDS)))
 
@@ -187,11 +347,12 @@ def learnt(spark: SparkSession, blocks: DataFrame, p: dict, cls: np.ndarray) ->
             task = TaskContext.get().partitionId()
             rng = np.random.default_rng([number, task])
             m = Learner(*shared.value)
-            for w in _blocks(batches):
-                w = w[number::ROUNDS]
-                w = w[rng.permutation(len(w))]
-                for at in range(0, len(w), BATCH):
-                    m.learn(w[at : at + BATCH])
+            for seq, docs in _taught(batches, begin + 1):
+                text, at = places(docs, WINDOW)
+                order = rng.permutation(np.arange(number, len(text), ROUNDS))
+                for k in range(0, len(order), BATCH):
+                    some = order[k : k + BATCH]
+                    m.learn(windows_of(seq, docs, begin, (text[some], at[some])))
             if not m.steps:
                 return
             own = [(-1, task, m.weight, b"", (m.weight * np.concatenate([m.p[k].ravel() for k in sorted(m.p) if k != "e"]).astype(np.float64)).tobytes())]
@@ -238,215 +399,135 @@ def learnt(spark: SparkSession, blocks: DataFrame, p: dict, cls: np.ndarray) ->
     return p
 
 
-def fit(spark: SparkSession, docs: DataFrame, spec: str, scratch: Scratch | None = None) -> Lm | None:
-    """The model from all docs (text); None if there are none. A first fit at the driver, from some of the windows, is
-    where learning from all of them starts."""
+def n_ids_of(spec: str) -> int:
+    """How many ids the tokenizer has."""
     import json
 
-    scratch = scratch or Scratch(spark, "lm")
-    vocab = json.loads(spec)["model"]["vocab"]
-    n_ids = max([*vocab.values(), *(x["id"] for x in json.loads(spec)["added_tokens"])]) + 1
-    closing = np.zeros(n_ids + 2, bool)
-    closing[[i for s, i in vocab.items() if s.endswith("</w>")]] = True
-    rows = scratch.table(_windows(spark, docs, spec, n_ids), "windows")
-    blocks = rows.where("ids is not null").select("id", "ids")
-    found = rows.where("ids is null").groupBy("id").agg(F.sum("n").alias("n")).toPandas()
-    if not len(found) or blocks.isEmpty():
-        return None
-    count = np.zeros(n_ids + 2, np.int64)
-    count[found["id"]] = found["n"]
-    cls = classes(spark, blocks, count, closing, scratch)
-    got = blocks.orderBy("id", "ids").limit(-(-FIRST_WINDOWS // BLOCK_WINDOWS) + 1).toPandas()
-    first = np.frombuffer(b"".join(got["ids"]), "<i4").reshape(-1, WINDOW + 1)
-    first = first[np.random.default_rng(7).permutation(len(first))[:FIRST_WINDOWS]]
-    row, p = fitted(first, cls, closing, steps=min(STEPS, max(LEAST_STEPS, FIRST_PASSES * len(first) // BATCH)))
-    p["e"] = p["e"][row]
-    p = learnt(spark, blocks, p, cls)
-    scratch.drop(rows)
-    return Lm(spec, Attention(np.arange(n_ids + 2, dtype=np.int32), cls.astype(np.int16), p), n_ids)
-
-
-def _scan(spark: SparkSession, docs: DataFrame, lm: Lm) -> DataFrame:
-    """Rows of three kinds: a block's documents, its distinct words, and ids with their counts in training documents."""
-    shared = spark.sparkContext.broadcast(lm)
-
-    def run(batches):
-        import pyarrow as pa
-        import zstandard
-        from pyspark import TaskContext
-
-        from vellumlake.llm import lm as own
-        from vellumlake.llm.common import give_back
-        from vellumlake.llm.tokens import encoder, gather, words_of
-
-        m = shared.value
-        enc, number = encoder(m.spec, own.CACHE), TaskContext.get().partitionId() << 20
-        schema = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in own.ROWS.split(", ")])
-        cls = m.attention.cls.astype(np.int64)
-        sub_counts = np.zeros((own.CLASSES + 1) * len(cls), np.int64)  # by the class before, and the id
-        words: dict = {}
-        subs: list = []
-        counts = np.zeros(0, np.int64)
-        held: list = []
-        size = 0
-
-        def rows(size_, **columns):
-            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size_, f.type) for f in schema], schema=schema)
+    j = json.loads(spec)
+    return max([*j["model"]["vocab"].values(), *(x["id"] for x in j["added_tokens"])]) + 1
 
-        def flush():
-            nonlocal number, words, subs, counts, held, size
-            doc_ids, has_id, out, n, ctx, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-            packed = zstandard.ZstdCompressor(level=1).compress(codes.astype("<i4").tobytes())
-            yield rows(1, kind=[own.DOCS], block=[number], idx=[-1], doc_ids=[doc_ids.tobytes()], has_id=[has_id.tobytes()], held=[out.tobytes()], ends=[np.cumsum(n).astype("<i8").tobytes()], ctx=[ctx.tobytes()], codes=[packed])
-            for at in range(0, len(words), 50_000):
-                some = list(words)[at : at + 50_000]
-                k = len(some)
-                yield rows(k, kind=np.full(k, own.WORDS), block=np.full(k, number), idx=np.arange(at, at + k), word=some, n=counts[at : at + k], subs=subs[at : at + k])
-            number, words, subs, counts, held, size = number + 1, {}, [], np.zeros(0, np.int64), [], 0
-            del doc_ids, has_id, out, n, ctx, codes, packed
-            give_back()
 
-        for whole in batches:
-            for at in range(0, whole.num_rows, own.TEXT_BATCH):
-                batch = whole.slice(at, own.TEXT_BATCH)
-                out = batch.column(1).to_numpy(zero_copy_only=False)
-                distinct, codes, borders = words_of(batch.column(2))
-                flat, starts, lengths = enc.table.find(distinct)
-                own_ids, to = gather(flat, starts, lengths, np.arange(len(distinct)))
-                before = own.classes_before(own_ids, to - lengths, lengths, cls)
-                n = np.diff(borders)
-                # counts of the words, and of their ids, in training documents
-                taught = np.bincount(codes[np.repeat(~out, n)], minlength=len(distinct))
-                np.add.at(sub_counts, before * len(cls) + own_ids, np.repeat(taught, lengths))
-                sub_counts[own.CLASSES * len(cls) + m.end] += int((~out).sum())
-                # ids of the texts, each with an end
-                seq, ends = gather(flat, starts, lengths, codes)
-                cut = np.concatenate([[0], ends])[borders]
-                seq = np.insert(seq.astype(np.int64), cut[1:], m.end)
-                ctx = m.attention.score(seq, cut + np.arange(len(cut)), m.begin)
-                # into the block
-                known = len(words)
-                numbers = np.fromiter((words.setdefault(w, len(words)) for w in distinct.to_pylist()), np.int64, len(distinct))
-                raw = own_ids.astype("<u4").tobytes()
-                subs += [raw[4 * (to[i] - lengths[i]) : 4 * to[i]] for i in np.flatnonzero(numbers >= known).tolist()]
-                counts = np.concatenate([counts, np.zeros(len(words) - len(counts), np.int64)])
-                np.add.at(counts, numbers, taught)
-                doc = batch.column(0)
-                held.append((doc.fill_null(0).to_numpy().astype("<i8"), np.array(doc.is_valid(), np.uint8), out.astype(np.uint8), n, ctx, numbers.astype(np.int32)[codes] if len(codes) else codes.astype(np.int32)))
-                size += batch.column(2).nbytes
-                if size >= own.BLOCK_BYTES:
-                    yield from flush()
-        if held:
-            yield from flush()
-        known = np.flatnonzero(sub_counts)
-        del held, words, subs, counts
-        give_back()
-        yield rows(len(known), kind=np.full(len(known), own.SUBS), block=known // len(cls), idx=known % len(cls), n=sub_counts[known])
+def fit(spark: SparkSession, rows: DataFrame, spec: str, scratch: Scratch) -> Lm:
+    """The model from all training documents of the rows that _scan gave. A first fit at the driver, from some of the
+    windows, is where learning from all of them starts. Without training documents every id is as likely."""
+    import json
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(run, ROWS)
+    n_ids = n_ids_of(spec)
+    closing = np.zeros(n_ids + 2, bool)
+    closing[[i for s, i in json.loads(spec)["model"]["vocab"].items() if s.endswith("</w>")]] = True
+    found = rows.where(F.col("kind") == IDS).groupBy("idx").agg(F.sum("n").alias("n")).toPandas()
+    count = np.zeros(n_ids + 2, np.int64)
+    count[found["idx"].to_numpy(int)] = found["n"].to_numpy(int)
+    if not count.any():
+        cls = np.zeros(n_ids + 2, np.int64)
+        p = {"e": np.zeros((n_ids + 2, WIDTH), np.float32), "p": np.zeros((WINDOW, WIDTH), np.float32), "m": np.zeros((WIDTH, 4 * WIDTH), np.float32)}
+        p |= {"o": np.zeros((WIDTH, CLASSES), np.float32), "b": np.where(np.arange(CLASSES), -200, 0).astype(np.float32)}
+        return Lm(Attention(cls, p), shares(np.zeros((CLASSES + 1, n_ids + 2), np.float32), cls, n_ids), n_ids)
+    blocks = rows.where(F.col("kind") == DOCS).select(*BLOCK)
+    cls = classes(blocks, count, closing, n_ids, scratch)
+    first = some_windows(blocks, n_ids, FIRST_WINDOWS / max(1, count.sum() / WINDOW))
+    p = drawn(cls, count, closing)
+    if len(first):
+        p = fitted(first, p, cls, min(MOST_STEPS, max(LEAST_STEPS, FIRST_PASSES * len(first) // 64)))
+    p = learnt(spark, blocks, p, cls, n_ids)
+    return Lm(Attention(cls, p), shares(counted(rows, cls, n_ids + 1), cls, n_ids), n_ids)
 
 
 def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text,
     held_out boolean); only rows that are not held out teach.
 
-    A null text counts as empty and is its end alone; repeated rows and ids stay, and count as often; null doc_ids stay.
-    Other columns are ignored; an empty table gives no rows. Without any training text the base score is 0 counts'
-    smoothing and the model is uniform over its ids.
+    A null text counts as empty and is its end alone; repeated rows and ids stay, and count as often; null doc_ids stay; a
+    null held_out teaches. Other columns are ignored; an empty table gives no rows. Without any training text the base
+    score is 0 counts' smoothing and the model is uniform over its ids.
     """
     from .tokens import read_file
 
     scratch = scratch or Scratch(spark, "lm")
     spec = read_file(tokenizer)
-    lm = fit(spark, docs.where("not held_out and text is not null"), spec, scratch) or _uniform(spec)
-    rows = scratch.table(_scan(spark, docs, lm), "rows")
-
-    # at most a row for each id and class
-    ids = rows.where(F.col("kind") == SUBS).groupBy("block", "idx").agg(F.sum("n").alias("n")).toPandas()
-    count = np.zeros((CLASSES + 1, lm.end + 1))
-    count[ids["block"].to_numpy(), ids["idx"].to_numpy()] = ids["n"].to_numpy()
-    cls = lm.attention.cls
-    share = spark.sparkContext.broadcast(shares(count, cls, lm.begin))
-    n_ends = int(count[CLASSES, lm.end])
-
-    own = rows.where(F.col("kind") == WORDS).select("block", "idx", "n", "word", "subs").mapInArrow(_with_share(share, cls), "block long, idx int, n long, word binary, share float")
-    total = F.sum("n").over(Window.partitionBy("word"))
-    first = F.row_number().over(Window.partitionBy("word").orderBy("block")) == 1
-    known = own.withColumns({"c": total, "first": first}).select("block", "idx", "n", "share", "c", (F.col("first") & (F.col("c") > 0)).alias("first"))
-    known = scratch.table(known.mapInArrow(_packed, "block long, n long, v long, idx binary, c binary, share binary"), "known")
+    own = docs.withColumn("held_out", F.coalesce("held_out", F.lit(False)))
+    rows = scratch.table(_scan(spark, own, spec, n_ids_of(spec)), "rows")
+    model = fit(spark, rows, spec, scratch)
+    n_ends = int(rows.where((F.col("kind") == IDS) & (F.col("idx") == model.end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+
+    by_word = Window.partitionBy("word")
+    known = rows.where(F.col("kind") == WORDS).select("block", "idx", "n", "word")
+    known = known.withColumns({"c": F.sum("n").over(by_word), "first": F.row_number().over(by_word.orderBy("block")) == 1})
+    known = known.select("block", "idx", "n", "c", (F.col("first") & (F.col("c") > 0)).alias("first"))
+    known = scratch.table(known.mapInArrow(_packed, "block long, n long, v long, idx binary, c binary"), "known")
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + n_ends, v + (n_ends > 0)
-    end = lm.end
+    shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
-        import zstandard
 
-        held, parts = None, []
+        from vellumlake.llm import lm as own
+
+        m, held, counts = shared.value, None, []
 
         def done():
-            doc_ids, has_id, out, ends, ctx, packed = held
-            idx, c, static = (np.concatenate([np.frombuffer(p[k], t) for p in parts] or [np.zeros(0, t)]) for k, t in enumerate(("<i4", "<i8", "<f4")))
-            c[idx], static[idx] = c.copy(), static.copy()
-            static = static.astype(np.float64)
-            codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "<i4")
-            log = np.log10((c + 1) / (n + v + 1))
-            ends = np.frombuffer(ends, "<i8")
-            borders = np.concatenate([[0], ends])
-
-            def summed(x):
-                # by text, so that no sum depends on the texts before
-                y, full = np.zeros(len(ends)), np.flatnonzero(np.diff(borders))
-                if len(full):
-                    y[full] = np.add.reduceat(x[codes], borders[:-1][full])
-                return y
-
-            base = summed(log) + np.log10((n_ends + 1) / (n + v + 1))
-            found = summed((c > 0).astype(float)).astype(np.int64) + (n_ends > 0)
-            whole = np.frombuffer(ctx, "<f8") + summed(static) + share.value[CLASSES, end]
-            ids_ = pa.array(np.frombuffer(doc_ids, "<i8"), mask=np.frombuffer(has_id, np.uint8) == 0)
-            return pa.RecordBatch.from_arrays([ids_, pa.array(np.frombuffer(out, np.uint8) != 0), pa.array(np.diff(borders) + 1), pa.array(found), pa.array(np.full(len(ends), n)), pa.array(base), pa.array(whole)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+            b = own.Block(held)
+            c = np.zeros(len(b.lengths) + 1, np.int64)
+            for idx, k in counts:
+                c[np.frombuffer(idx, "<i4")] = np.frombuffer(k, "<i8")
+            c[-1] = n_ends
+            doc_ids, has_id = np.frombuffer(held["doc_ids"], "<i8"), np.frombuffer(held["has_id"], np.uint8) != 0
+            for which, seq, docs, cuts, codes in b.slices(np.arange(len(b.held)), m.end):
+                log = m.attention.score(seq, docs, m.begin)
+                cls = m.attention.cls
+                before = np.full(len(seq), own.CLASSES, np.int64)
+                before[1:] = cls[seq[:-1]]
+                words = np.diff(cuts)
+                before[cuts[:-1][words > 0]] = own.CLASSES
+                log += m.share[before, seq]
+                total = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
+                by_ids = total[cuts[1:]] - total[cuts[:-1]]
+                sizes = np.diff(b.borders)[which] + 1
+                ends = np.cumsum(sizes)
+                number = np.insert(codes, ends - sizes + np.diff(b.borders)[which] - np.arange(len(sizes)), len(c) - 1)
+                found = c[number]
+                starts = ends - sizes
+                summed = lambda x: np.add.reduceat(x, starts)
+                base = summed(np.log10((found + 1) / (n + v + 1)))
+                share, less = found / max(n, 1), np.maximum(found - 1, 0) / max(n - 1, 1)
+                scores, others = [], []
+                taught = np.repeat(~b.held[which], sizes)
+                for weight in own.WEIGHTS:
+                    scores.append(summed(own.mixed(share, by_ids, weight)))
+                    others.append(float(own.mixed(less[taught], by_ids[taught], weight).sum()))
+                k = len(which)
+                columns = [pa.array(doc_ids[which], mask=~has_id[which]), pa.array(b.held[which]), pa.array(sizes), pa.array(summed((found > 0).astype(np.int64))), pa.array(base)]
+                columns.append(pa.array(np.stack(scores, 1).tolist(), pa.list_(pa.float64())))
+                columns.append(pa.array([others] + [None] * (k - 1), pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "scores", "others"])
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = {k: batch.column(c)[i].as_py() for c, k in enumerate(batch.schema.names)}
                 if row["codes"] is not None:
                     if held is not None:
-                        yield done()
-                    held, parts = tuple(row[x] for x in ("doc_ids", "has_id", "held", "ends", "ctx", "codes")), []
+                        yield from done()
+                    held, counts = row, []
                 else:
-                    parts.append((row["idx"], row["c"], row["share"]))
+                    counts.append((row["idx"], row["c"]))
         if held is not None:
-            yield done()
-        held, parts = None, []
+            yield from done()
+        held, counts = None, []
         give_back()
 
-    texts = ("doc_ids", "has_id", "held", "ends", "ctx", "codes")
+    texts = ("doc_ids", "has_id", *BLOCK)
     none = lambda names: [F.lit(None).cast("binary").alias(x) for x in names]
-    docs_ = rows.where(F.col("kind") == DOCS).select("block", F.lit(0).alias("part"), *texts, *none(("idx", "c", "share")))
-    parts_ = known.select("block", F.lit(1).alias("part"), *none(texts), "idx", "c", "share")
-    both = docs_.unionByName(parts_).repartition("block").sortWithinPartitions("block", "part").drop("block", "part")
-    return both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _with_share(share, cls: np.ndarray):
-    """For words' rows, the sum of their ids' shares of their classes in place of the ids."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        from vellumlake.llm.lm import classes_before
-
-        for batch in batches:
-            subs = batch.column(4).cast(pa.large_binary())
-            ends = np.frombuffer(subs.buffers()[1], "<i8")[subs.offset : subs.offset + len(subs) + 1] // 4
-            ids = np.frombuffer(subs.buffers()[2], "<u4")[ends[0] : ends[-1]].astype(np.int64) if ends[-1] > ends[0] else np.empty(0, np.int64)
-            ends = ends - ends[0]
-            log = share.value[classes_before(ids, ends[:-1], np.diff(ends), cls), ids]
-            x = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array((x[ends[1:]] - x[ends[:-1]]).astype(np.float32))], ["block", "idx", "n", "word", "share"])
-
-    return run
+    docs_ = rows.where(F.col("kind") == DOCS).select("block", F.lit(0).alias("part"), *texts, *none(("idx", "c")))
+    parts_ = known.select("block", F.lit(1).alias("part"), *none(texts), "idx", "c")
+    blocks = max(1, rows.where(F.col("kind") == DOCS).count())  # of bounded size each, so a task's share doesn't grow
+    both = docs_.unionByName(parts_).repartition(blocks, "block").sortWithinPartitions("block", "part").drop("block", "part")
+    made = scratch.table(both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, others array<double>"), "scores")
+    # each weight's log probability of the training documents, a word's own place not counted
+    sums = made.agg(*(F.sum(F.col("others")[k]).alias(f"w{k}") for k in range(len(WEIGHTS)))).first()
+    best = max(range(len(WEIGHTS)), key=lambda k: sums[k]) if sums[0] is not None else 0
+    scratch.drop(rows, known)
+    return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))
 
 
 def _packed(batches):
@@ -456,27 +537,13 @@ def _packed(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        block, idx, n, share, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+        block, idx, n, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         order = np.argsort(block, kind="stable")
-        block, idx, n, share, c, first = (x[order] for x in (block, idx, n, share, c, first))
+        block, idx, n, c, first = (x[order] for x in (block, idx, n, c, first))
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        rows = [(int(block[a]), int(n[a:b].sum()), int(first[a:b].sum()), idx[a:b].astype("<i4").tobytes(), c[a:b].astype("<i8").tobytes(), share[a:b].astype("<f4").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "n", "v", "idx", "c", "share"])
-
-
-def _uniform(spec: str) -> Lm:
-    """A model that has learnt nothing: every id in one class."""
-    import json
-
-    j = json.loads(spec)
-    n_ids = max([*j["model"]["vocab"].values(), *(x["id"] for x in j["added_tokens"])]) + 1
-    zero = lambda *s: np.zeros(s, np.float32)
-    o = zero(CLASSES)
-    o[1:] = -1e9
-    d = WIDTH
-    p = {"e": zero(1, d), "p": zero(WINDOW, d), "q": zero(d, d), "k": zero(d, d), "v": zero(d, d), "r": zero(d, d), "o": zero(d, CLASSES), "b": o}
-    return Lm(spec, Attention(np.zeros(n_ids + 2, np.int32), np.zeros(n_ids + 2, np.int16), p), n_ids)
+        rows = [(int(block[a]), int(n[a:b].sum()), int(first[a:b].sum()), idx[a:b].astype("<i4").tobytes(), c[a:b].astype("<i8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "n", "v", "idx", "c"])
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
