@@ -276,7 +276,7 @@ def test_service(spark, tmp_path):
         p.publish("b", files(("x", b"2")), expected="gen-other")
     p.publish("b", files(("x", b"2")), expected=g1)
     p.publish("b", files(("x", b"3")))
-    assert sorted(n[:4] for n in p._names(str(tmp_path / "p/b")) if not n.startswith(".")) == ["CURR", "gen-", "gen-"]
+    assert sorted(n[:4] for n in p.io.names(str(tmp_path / "p/b")) if not n.startswith(".")) == ["_act", "gen-", "gen-"]
 
 
 def test_cards(spark):

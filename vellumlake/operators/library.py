@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .pointer import Files, Pointer
+
 KEY = ["source_system", "external_book_id", "chapter_index"]
 
 
@@ -91,41 +93,32 @@ def with_availability(books: DataFrame, files: DataFrame) -> DataFrame:
 
 
 class Table:
-    """A versioned table: every rewrite goes to a new folder, and then one small pointer file names it. Readers see the old
+    """A versioned table: every rewrite goes to a new folder, and then a pointer's next entry names it. Readers see the old
     version or the new one; a crash in between leaves the old. `owner` guards against a rewrite that another overtook."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.files = Files(spark, self.path)
+        self.pointer = Pointer(self.files, f"{self.path}/_versions")
 
     def version(self) -> str | None:
-        at = self._path(f"{self.path}/CURRENT")
-        if not self._fs.exists(at):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+        return self.pointer.latest()[1]
 
-    def read(self) -> DataFrame:
-        v = self.version()
+    def read(self, version: str | None = None) -> DataFrame:
+        """The table, as it is now or in a version of its own."""
+        v = version or self.version()
         if v is None:
             raise FileNotFoundError(self.path)
         return self.spark.read.parquet(f"{self.path}/{v}")
 
     def write(self, df: DataFrame, owner: str | None = None) -> str:
-        """Writes df as the next version. owner: the version that df was made from; if it isn't the current one any more,
-        nothing changes and an error is raised."""
+        """Writes df as the next version. owner: the version that df was made from (None: there was none); if another has
+        come since, nothing changes and an error is raised."""
+        number, was = self.pointer.latest()
         new = f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{new}")
-        if owner != self.version():
-            self._fs.delete(self._path(f"{self.path}/{new}"), True)
-            raise RuntimeError("the table has changed meanwhile")
-        pending = self._path(f"{self.path}/NEXT-{new}")
-        out = self._fs.create(pending, True)
-        out.write(bytearray(new.encode()))
-        out.close()
-        at = self._path(f"{self.path}/CURRENT")
-        if self._fs.exists(at):
-            self._fs.delete(at, False)
-        self._fs.rename(pending, at)
-        return new
+        if owner == was:
+            df.write.parquet(f"{self.path}/{new}")
+            if self.pointer.advance(number + 1, new):
+                return new
+            self.files.delete(f"{self.path}/{new}")
+        raise RuntimeError("the table has changed meanwhile")
