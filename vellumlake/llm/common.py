@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import re
 import tempfile
 import uuid
 
@@ -13,12 +15,15 @@ TEXT_BATCH = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one set here (local runs and tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else the session's checkpoint folder, else, on a local
+    master alone, one set here (tests). An error elsewhere, as executors don't see the driver's folders."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="vellumlake-"))
     return sc.getCheckpointDir()
 
@@ -69,7 +74,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, a: str = "a", b: st
     cur = edges.select(*ends).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cur = scratch.table(cur.distinct(), "edges")
     labels, used = None, [cur]
-    for seed in range(200):
+    for seed in itertools.count():
         if cur.isEmpty():
             break
         rank = lambda c: F.struct(F.xxhash64(c, F.lit(seed)).alias("h"), c.alias("id"))  # noqa: E731,B023

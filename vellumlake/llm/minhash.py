@@ -6,8 +6,9 @@ differ too much go; the rest are confirmed on their texts' full shingle sets.
 
 No bucket's pairs are all put out. Texts of one shingle set are one node. First only neighbours in a bucket, in the order
 of set sizes, are candidates; confirmed ones are joined to components. Then buckets that still hold several components
-are compared in blocks: pairs across components that the sketches let through are held against the hashed sets in place,
-and of those linked only as many as join the components are put out and confirmed.
+are compared in blocks, at first by sketches alone: who has no one across components that its sketch lets through is done
+with. The others' hashed sets, and no more, are fetched and held against each other in blocks, and of those linked only
+as many as join the components are put out and confirmed.
 """
 
 from __future__ import annotations
@@ -28,7 +29,9 @@ BITS = 1024
 #: Pairs whose sketches put their similarity below this go: at 0.8, some six standard deviations.
 LEAST_ESTIMATE = 0.6
 #: Rows, and hashes, of a bucket in one block, about.
-BLOCK, BLOCK_HASHES = 1024, 1 << 18
+BLOCK, BLOCK_HASHES = 512, 1 << 18
+#: Bytes of a text that are hashed at once.
+STRETCH = 1 << 20
 #: So many ids are broadcast at most (8 MB); more are joined by sorting.
 BROADCAST_IDS = 1_000_000
 
@@ -65,22 +68,44 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers["up"][:n], _powers["down"][:n]
 
 
+def words(text: bytes) -> np.ndarray:
+    """The hashes of the words in order, a stretch of the text at a time. A word's hash is a polynomial of its bytes, so one
+    that goes on in the next stretch is added up."""
+    b, out = np.frombuffer(text.lower(), np.uint8), []
+    begun, length = 0, 0  # the sum so far, and the bytes, of a word that the last stretch ended in
+    for at in range(0, len(b), STRETCH):
+        c = b[at : at + STRETCH]
+        up, down = _power(len(c))
+        total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[c] * up, dtype=np.uint64)])
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], ~_SPACE[c], [False]])))
+        starts, ends = edge[::2], edge[1::2]
+        h = (total[ends] - total[starts]) * down[starts]
+        goes_on = length and len(starts) and starts[0] == 0
+        if goes_on:
+            h[0] = (begun + int(h[0]) * pow(_PRIME, length, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
+        elif length:
+            out.append(np.array([begun], np.uint64))
+        if len(ends) and ends[-1] == len(c):
+            length = int(ends[-1] - starts[-1]) + (length if goes_on and len(starts) == 1 else 0)
+            begun, h = int(h[-1]), h[:-1]
+        else:
+            length = 0
+        out.append(h)
+    if length:
+        out.append(np.array([begun], np.uint64))
+    return _mix(np.concatenate(out)) if out else np.empty(0, np.uint64)
+
+
 def shingles(text: bytes, k: int) -> np.ndarray:
     """The hashes of the distinct k-word shingles, sorted; with fewer words the whole sequence is one."""
-    b = np.frombuffer(text.lower(), np.uint8)
-    inside = ~_SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]])))
-    starts, ends = edge[::2], edge[1::2]
-    n = len(starts)
+    own = words(text)
+    n = len(own)
     if not n:
-        return np.empty(0, np.uint64)
-    up, down = _power(len(b))
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * up, dtype=np.uint64)])
-    words = _mix((total[ends] - total[starts]) * down[starts])
+        return own
     wide = min(k, n)
-    h = words[: n - wide + 1]
+    h = own[: n - wide + 1]
     for i in range(1, wide):
-        h = h * np.uint64(_PRIME) + words[i : n - wide + 1 + i]
+        h = h * np.uint64(_PRIME) + own[i : n - wide + 1 + i]
     return np.unique(_mix(h + np.uint64(wide)))
 
 
@@ -135,11 +160,13 @@ def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) across components within a bucket that hashed sets say are linked, as few as join what can be joined.
-    rows: key, i, j (a pair of blocks of the bucket, i <= j), block (the row's own), id, comp, n, sketch, hashes (of the
-    set's shingles, sorted, unsigned 64-bit), dealt by (key, i, j) and sorted; a task holds two blocks."""
+def in_blocks(rows: DataFrame, percent: int, hashed: bool) -> DataFrame:
+    """Across components within a bucket, with hashed the pairs (a, b) that hashed sets say are linked, as few as join what
+    can be joined; without, those (key, sid) that some sketch lets through. rows: key, i, j (a pair of blocks of the bucket, i <=
+    j), block (the row's own), id, comp, n, sid, sketch and, with hashed, hashes (of the set's shingles, sorted, unsigned
+    64-bit), dealt by (key, i, j) and sorted; a task holds two blocks."""
     limit = most_bits()
+    names = ["a", "b"] if hashed else ["key", "sid"]
 
     def run(batches):
         import pyarrow as pa
@@ -150,9 +177,29 @@ def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
             common = int((both[1:] == both[:-1]).sum())
             return 100 * common >= percent * (len(both) - common)
 
-        def compare(ids, comp, n, block, sketch, hashes, i, j):
+        def near(left, right, comp, n, sketch):
+            """Pairs of the rows left and right across components whose sizes and sketches let them be linked."""
+            open_ = comp[left, None] != comp[None, right]
+            small, large = np.minimum(n[left, None], n[None, right]), np.maximum(n[left, None], n[None, right])
+            open_ &= 100 * small >= percent * large
+            x, y = np.nonzero(open_)
+            for s in range(0, len(x), 1 << 16):
+                u, v = left[x[s : s + (1 << 16)]], right[y[s : s + (1 << 16)]]
+                fits = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64) <= limit
+                yield u[fits], v[fits]
+
+        def survivors(key, i, j, block, ids, comp, n, sid, sketch):
+            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
+            stay = np.zeros(len(ids), bool)
+            for at in range(0, len(left), 256):
+                for u, v in near(left[at : at + 256], right, comp, n, sketch):
+                    stay[u] = stay[v] = True
+            if stay.any():
+                yield key[stay], sid[stay]
+
+        def joined(key, i, j, block, ids, comp, n, sid, sketch, hashes):
             """Links that join components within the two blocks, as few as do."""
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            left, right = np.flatnonzero(block == i[0]), np.flatnonzero(block == j[0])
             up: dict = {}
             out = []
 
@@ -162,16 +209,9 @@ def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
                 return c
 
             for at in range(0, len(left), 256):
-                l_ = left[at : at + 256]
                 now = np.fromiter(map(find, comp.tolist()), np.int64, len(comp))
-                open_ = now[l_, None] != now[None, right]
-                small, large = np.minimum(n[l_, None], n[None, right]), np.maximum(n[l_, None], n[None, right])
-                open_ &= 100 * small >= percent * large
-                x, y = np.nonzero(open_)
-                for s in range(0, len(x), 1 << 16):
-                    u, v = l_[x[s : s + (1 << 16)]], right[y[s : s + (1 << 16)]]
-                    near = np.bitwise_count(sketch[u] ^ sketch[v]).sum(1, dtype=np.int64) <= limit
-                    for p, q in zip(u[near].tolist(), v[near].tolist(), strict=True):
+                for u, v in near(left[at : at + 256], right, now, n, sketch):
+                    for p, q in zip(u.tolist(), v.tolist(), strict=True):
                         a, b = find(comp[p]), find(comp[q])
                         if a != b and linked(hashes[p], hashes[q]):
                             up[max(a, b)] = min(a, b)
@@ -182,14 +222,15 @@ def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
 
         def done(held):
             columns = [np.concatenate(c) if isinstance(c[0], np.ndarray) else [x for y in c for x in y] for c in zip(*held, strict=True)]
-            return list(compare(*columns[3:], int(columns[1][0]), int(columns[2][0]))) if len(columns[0]) > 1 else []
+            return list((joined if hashed else survivors)(*columns)) if len(columns[0]) > 1 else []
 
         held: list = []
         for batch in batches:
-            key, i, j, block, ids, comp, n = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(7))
-            sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            hashes = [np.frombuffer(x, "<u8") for x in batch.column(8).to_pylist()]
-            rows_ = (key, i, j, ids, comp, n, block, sketch, hashes)
+            rows_ = [batch.column(c).to_numpy(zero_copy_only=False) for c in range(8)]
+            rows_.append(np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint64).reshape(-1, BITS // 64))
+            if hashed:
+                rows_.append([np.frombuffer(x, "<u8") for x in batch.column(9).to_pylist()])
+            key, i, j = rows_[:3]
             new = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
             cuts = [0, *new.tolist(), len(key)]
             out = []
@@ -200,14 +241,26 @@ def in_blocks(rows: DataFrame, percent: int) -> DataFrame:
                     held = []
                 if b > a:
                     held.append(part)
-            out = [x for x in out if len(x[0])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
-        out = [x for x in (done(held) if held else []) if len(x[0])]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+        out = done(held) if held else []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+
+    own = rows.select("key", "i", "j", "block", "id", "comp", "n", "sid", "sketch", *(["hashes"] if hashed else []))
+    return own.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+
+def paired(rows: DataFrame, blocks: DataFrame) -> DataFrame:
+    """rows (key, sid, ...) once for each pair of blocks of their bucket that they take part in; blocks: key, blocks."""
+    out = rows.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    out = out.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other", "blocks")
+    return out
+
 
-    return rows.select("key", "i", "j", "block", "id", "comp", "n", "sketch", "hashes").mapInArrow(run, "a long, b long")
+def dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -233,43 +286,45 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     full = signed.join(nodes.select("set_id", F.col("id").alias("doc_id"), "text_id"), ["set_id", "doc_id", "text_id"], "left_semi")
     full = full.dropDuplicates(["set_id"]).select(F.col("doc_id").alias("id"), "text_id", "set_id", F.col("n_shingles").alias("n"), "bands", "sketch")
 
-    # bucket rows, with the next in the bucket
+    # bucket rows, with the next in the bucket; sid stands for the set: should two have the same, there are candidates to spare
     from pyspark.sql import Window
 
-    rows = full.select(F.explode("bands").alias("key"), "id", "set_id", "n")
-    here = Window.partitionBy("key").orderBy("n", "id", "set_id")
-    rows = rows.withColumn("next", F.lead(F.struct("id", "set_id", "n")).over(here)).withColumn("last", F.lag("id").over(here))
-    rows = scratch.table(rows.where("next is not null or last is not null"), "buckets")
-    sketches = scratch.table(full.select("id", "text_id", "set_id", "sketch").join(rows.select("set_id").distinct(), "set_id", "left_semi"), "sketches")
+    full = full.withColumn("sid", F.xxhash64("set_id")).drop("set_id")
+    rows = full.select(F.explode("bands").alias("key"), "id", "sid", "n")
+    here = Window.partitionBy("key").orderBy("n", "id", "sid")
+    rows = rows.withColumn("next", F.lead(F.struct("id", "sid", "n")).over(here)).withColumn("last", F.lag("id").over(here))
+    rows = scratch.table(rows.where("next is not null or last is not null").drop("last"), "buckets")
+    sketches = scratch.table(full.select("id", "text_id", "sid", "sketch").join(rows.select("sid").distinct(), "sid", "left_semi"), "sketches")
 
-    pairs = rows.where("next is not null").where(f"next.id <> id and 100 * n >= {int(percent)} * next.n").select(F.col("set_id").alias("s"), F.col("next.set_id").alias("t")).distinct()
-    side = lambda c: sketches.select(F.col("set_id").alias(c), F.col("id").alias(f"{c}_id"), F.col("sketch").alias(f"{c}_sketch"))
+    pairs = rows.where("next is not null").where(f"next.id <> id and 100 * n >= {int(percent)} * next.n").select(F.col("sid").alias("s"), F.col("next.sid").alias("t")).distinct()
+    side = lambda c: sketches.select(F.col("sid").alias(c), F.col("id").alias(f"{c}_id"), F.col("sketch").alias(f"{c}_sketch"))
     words = lambda c: [F.conv(F.hex(F.substring(c, 1 + 8 * i, 8)), 16, -10).cast("long") for i in range(BITS // 64)]
     differ = lambda x, y: sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(words(x), words(y), strict=True)), F.lit(0))
-    near = pairs.join(side("s"), "s").join(side("t"), "t").where(differ("s_sketch", "t_sketch") <= most_bits())
+    near = pairs.join(side("s"), "s").join(side("t"), "t").where((F.col("s_id") != F.col("t_id")) & (differ("s_sketch", "t_sketch") <= most_bits()))
     first = scratch.table(near.select(F.least("s_id", "t_id").alias("a"), F.greatest("s_id", "t_id").alias("b")).distinct(), "near")
     links = scratch.table(_confirmed(scratch, own, nodes, first, k, percent), "links")
 
-    # buckets that still hold several components
+    # buckets that still hold several components: sketches alone go through their blocks
     comps = connected_components(links, scratch)
-    known = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "set_id", "n", F.coalesce("component", "id").alias("comp"))
+    known = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "sid", "n", F.coalesce("component", "id").alias("comp"))
     known = scratch.table(known, "known")
-    many = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("total"))
-    many = many.where("lo <> hi").select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    todo_ = todo = scratch.table(known.join(many, "key"), "todo")
-    whole = sketches.join(todo.select("set_id").distinct(), "set_id", "left_semi")
+    many = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size"))
+    many = many.where("lo <> hi").select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    light = paired(known, many).join(sketches.select("sid", "sketch"), "sid")
+    stay = scratch.table(in_blocks(dealt(light), percent, False).distinct(), "stay")
+    # sets of those that are left
+    todo = scratch.table(known.join(stay, ["key", "sid"], "left_semi"), "todo")
+    sizes = todo.groupBy("key").agg(F.count("*").alias("size"), F.sum("n").alias("total"))
+    sizes = sizes.select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)).cast("int").alias("blocks"))
+    whole = sketches.join(todo.select("sid").distinct(), "sid", "left_semi")
     texts = _texts(scratch, own, whole.select("id", "text_id"))
     hashed, _ = annotate(texts, F.col("text"), "hashes binary", lambda: lambda some: [(shingles(t or b"", k).astype("<u8").tobytes(),) for t in some])
     hashed = scratch.table(hashed.select(F.col("doc_id").alias("id"), "text_id", "hashes"), "hashed")
-    todo = todo.join(whole.join(hashed, ["id", "text_id"]).select("set_id", "sketch", "hashes"), "set_id")
-    todo = todo.withColumn("block", F.pmod(F.xxhash64("set_id"), F.col("blocks")).cast("int"))
-    todo = todo.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    todo = todo.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n", "sketch", "hashes")
-    todo = todo.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    second = scratch.table(in_blocks(todo, percent).where("a <> b").distinct(), "linked").join(first, ["a", "b"], "left_anti")
+    heavy = paired(todo, sizes).join(whole.join(hashed, ["id", "text_id"]).select("sid", "sketch", "hashes"), "sid")
+    second = scratch.table(in_blocks(dealt(heavy), percent, True).where("a <> b").distinct(), "linked").join(first, ["a", "b"], "left_anti")
     second = scratch.table(second, "second")
     more = scratch.table(_confirmed(scratch, own, nodes, second, k, percent), "links")
-    scratch.drop(rows, sketches, first, known, todo_, texts, hashed, second)
+    scratch.drop(rows, sketches, first, known, stay, todo, texts, hashed, second)
 
     found = connected_components(links.union(more).union(same), scratch)
     scratch.drop(nodes, same, links, more, comps)

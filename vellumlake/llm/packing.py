@@ -2,7 +2,8 @@
 
 A document's ids (with an end id) are cut into pieces whose lengths are the powers of two of its length in binary, the
 longest `max_length`; each piece is a sequence of its own, and sequences of one length form a bucket, so a batch drawn
-from a bucket needs no padding and no sequence crosses documents.
+from a bucket needs no padding and no sequence crosses documents. `write_buckets` writes buckets apart, `batches` draws
+arrays of one length from them.
 """
 
 from __future__ import annotations
@@ -78,5 +79,35 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(out)
 
 
+def write_buckets(packed: DataFrame, path: str) -> None:
+    """Writes pieces with all of one length in a folder of their own, so that whoever draws batches from one needs no padding."""
+    packed.write.partitionBy("bucket").parquet(path)
+
+
+def batches(spark: SparkSession, path: str, bucket: int, tokens: int):
+    """The sequences of a bucket as arrays of one length, of about so many ids each: rows sequence_id, ids (a matrix, as bytes)
+    and n (its rows). A task reads its part of the bucket and holds one batch."""
+    size = max(1, tokens >> bucket)
+
+    def run(rows):
+        import pyarrow as pa
+
+        held: list = []
+        for batch in rows:
+            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+            while len(held) >= size:
+                yield _batch(pa, held[:size])
+                held = held[size:]
+        if held:
+            yield _batch(pa, held)
+
+    return spark.read.parquet(path).where(F.col("bucket") == bucket).select("sequence_id", "ids").mapInArrow(run, "sequence_ids array<long>, ids binary, n long")
+
+
+def _batch(pa, some: list):
+    columns = [pa.array([[x[0] for x in some]], pa.list_(pa.int64())), pa.array([b"".join(x[1] for x in some)], pa.binary()), pa.array([len(some)], pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, ["sequence_ids", "ids", "n"])
+
+
 def digest(packed: DataFrame) -> DataFrame:
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")

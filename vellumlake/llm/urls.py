@@ -9,9 +9,11 @@ The filter: 256-bit blocks of eight 32-bit words. A key's hash picks the block,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 #: Odd multipliers, one for each word of a block.
 SALTS = [0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31]
 #: Listed keys for each block: about 2 % false positives.
@@ -19,7 +21,7 @@ KEYS_A_BLOCK = 24
 #: The filter is broadcast, so its size is bounded: at most so many blocks of 40 bytes, 40 MB. A longer list only makes
 #: more false positives, which the join removes.
 MAX_BLOCKS = 1 << 20
-#: A list up to so many rows is broadcast for the exact join; a longer one is joined by sorting, where Spark splits hot keys.
+#: A list up to so many rows is broadcast for the exact hash join; a longer one is dealt out by key first, where Spark splits hot keys.
 BROADCAST_ROWS = 50_000
 
 #: The contract's rules: (host, path, verdict).
@@ -27,10 +29,15 @@ RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/
 DEFAULT_VERDICT = "allow"
 
 
+def lowered(c: Column) -> Column:
+    """With A-Z in lower case."""
+    return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def with_parts(pages: DataFrame) -> DataFrame:
     """pages with the host and path of their url."""
     rest = F.coalesce(F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")), F.lit(""))
-    host = F.translate(F.regexp_extract(rest, r"^([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = lowered(F.regexp_extract(rest, r"^([^/?#]*)", 1))
     return pages.withColumns({"host": host, "path": F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)})
 
 
@@ -70,19 +77,21 @@ def url_filter(pages: DataFrame, listed: DataFrame, default: str = DEFAULT_VERDI
     A page's hits are brought together by (page_id, url), with partial sums first; repeated rows are counted and put out
     again as often, so that a page that is there a million times is one group of one row for each task.
     """
-    listed = listed.select(F.lower("host").alias("l_host"), F.col("path").alias("l_path"), F.col("verdict").alias("l_verdict")).where("l_host is not null and l_path is not null").distinct()
-    listed = listed.select(F.concat("l_host", F.lit("\t"), "l_path").alias("key"), "l_host", "l_path", "l_verdict")
-    n, spread = listed.count(), [r[0] for r in listed.select(F.length("l_path")).distinct().collect()]
+    listed = listed.select(lowered(F.col("host")).alias("l_host"), F.col("path").alias("l_path"), F.col("verdict").alias("l_verdict")).where("l_host is not null and l_path is not null").distinct()
+    listed = Scratch(pages.sparkSession, "urls").table(listed.select(F.concat("l_host", F.lit("\t"), "l_path").alias("key"), "l_host", "l_path", "l_verdict"))
+    n, most = listed.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("l_host", r"\."))), F.lit(0))).first()
+    spread = [r[0] for r in listed.select(F.length("l_path")).distinct().collect()]
     n_blocks = max(1, min(MAX_BLOCKS, -(-n // KEYS_A_BLOCK)))
     blocks = bloom_blocks(listed.select("key").distinct(), n_blocks)
 
     own = with_parts(pages.select("page_id", F.col("url").cast("string").alias("url")))
     labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.concat_ws(".", F.slice(labels, i, F.size(labels))))
+    # only as many labels from the end as some listed host has, so that long hosts cost no more
+    suffixes = F.transform(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(most))), lambda i: F.concat_ws(".", F.slice(labels, F.size(labels) - i + 1, i)))
     prefixes = F.transform(F.filter(F.array(*map(F.lit, sorted(spread))), lambda k: k <= F.length("path")), lambda k: F.expr("path").substr(F.lit(1), k)) if spread else F.array().cast("array<string>")
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\t"), p))))
     cand = own.select("page_id", "url", F.explode(keys).alias("key"))
-    hits = may_hold(cand, blocks, n_blocks).join(F.broadcast(listed) if n <= BROADCAST_ROWS else listed, "key")
+    hits = may_hold(cand, blocks, n_blocks).join(F.broadcast(listed) if n <= BROADCAST_ROWS else listed.hint("shuffle_hash"), "key")
     best = F.struct(F.length(F.concat("l_host", "l_path")).alias("n"), F.length("l_host").alias("m"), F.concat("l_host", "l_path").alias("rule"), F.col("l_verdict").alias("verdict"))
     none = F.lit(None).cast("struct<n:int,m:int,rule:string,verdict:string>")
     both = hits.select("page_id", "url", best.alias("best"), F.lit(0).alias("row")).unionByName(own.select("page_id", "url", none.alias("best"), F.lit(1).alias("row")))
