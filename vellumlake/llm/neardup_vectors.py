@@ -4,7 +4,8 @@ Unit vectors of cosine t or more are at most eps = sqrt(2 - 2t) apart, and so ar
 the cells, eps wide, of their leading principal dimensions and cut into blocks of the sequence. Intervals of blocks, each
 with the box around its vectors, make a tree; pairs of intervals are followed from its root down, and those whose boxes
 are more than eps apart are skipped. The pairs of blocks that remain are compared with matrix products in double
-precision. A pair of blocks puts out each vector's number of links and a spanning forest of the links, never the links.
+precision, a tile of pairs at a time: the blocks of two strips of the sequence, each of which moves once. A pair of blocks
+puts out each vector's number of links and a spanning forest of the links, never the links.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ DIMS = 8
 BLOCK, FAN = 1024, 8
 #: Vectors for each range of the sort.
 RANGE = 8192
+#: Bytes of vectors, in double precision, of a strip of blocks; a task holds two strips.
+STRIP_BYTES = 16 << 20
 
 
 def unit(v: np.ndarray) -> np.ndarray:
@@ -155,9 +158,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.93, scr
 
     blocks = scratch.table(placed.select("label", "dim", "id", "copies", "embedding").mapInArrow(cut, fields), "blocks")
     pairs = _block_pairs(blocks.select("block", "label", "dim", *bounds), eps2, scratch)
-    load = lambda c: blocks.select(F.col("block").alias(c), F.col("dim").alias(f"{c}_dim"), F.col("ids").alias(f"{c}_ids"), F.col("copies").alias(f"{c}_copies"), F.col("vectors").alias(f"{c}_vectors"))
-    whole = pairs.join(load("a"), "a").join(load("b"), "b")
-    found = scratch.table(_compare(whole, cosine, double), "found")
+    found = scratch.table(_compare(_tiles(pairs, blocks), cosine, double), "found")
     scratch.drop(placed_, blocks, pairs)
 
     links = found.where("root is null").groupBy("id").agg(F.sum("n").alias("n"))
@@ -171,13 +172,19 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.93, scr
 
 
 def _block_pairs(blocks: DataFrame, eps2: float, scratch: Scratch) -> DataFrame:
-    """(a, b), a <= b, of the blocks whose boxes are near enough, found from the root of the tree of intervals down."""
-    here = Window.partitionBy("label", "dim").orderBy("block")
+    """(tile, a, b), a <= b, of the blocks whose boxes are near enough, found from the root of the tree of intervals down. A
+    tile is a pair of strips of the sequence, of as many blocks as bytes allow."""
     bounds = [c for c in blocks.columns if c[:2] in ("lo", "hi")]
-    level = scratch.table(blocks.withColumn("node", F.row_number().over(here) - 1), "level")
+    # a block's place in its sequence: blocks are numbered within the sort's parts, so only those are counted in a window
+    own = blocks.withColumn("part", F.shiftright("block", 32))
+    parts = own.groupBy("label", "dim", "part").agg(F.count("*").alias("n"), F.min("block").alias("least"))
+    before = Window.partitionBy("label", "dim").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("label", "dim", "part", "least", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = own.join(parts, ["label", "dim", "part"]).withColumn("node", (F.col("before") + F.col("block") - F.col("least")).cast("int"))
+    level = scratch.table(placed.select("block", "label", "dim", "node", *bounds), "level")
     most = level.agg(F.max("node")).first()[0]
     if most is None:
-        return blocks.select(F.col("block").alias("a"), F.col("block").alias("b"))
+        return blocks.select(F.col("block").alias("tile"), F.col("block").alias("a"), F.col("block").alias("b"))
     levels = [level.select("label", "dim", "node", F.floor(F.col("node") / FAN).cast("int").alias("up"), *bounds)]
     while most:
         most //= FAN
@@ -192,10 +199,23 @@ def _block_pairs(blocks: DataFrame, eps2: float, scratch: Scratch) -> DataFrame:
         pairs = both.select("label", "dim", F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     name = lambda c: level.select("label", "dim", F.col("node").alias(c), F.col("block").alias(f"{c}_block"))
     named = pairs.join(name("a"), ["label", "dim", "a"]).join(name("b"), ["label", "dim", "b"])
-    return scratch.table(named.select(F.col("a_block").alias("a"), F.col("b_block").alias("b")), "pairs")
+    wide = F.greatest(F.lit(1), F.floor(F.lit(STRIP_BYTES // (8 * BLOCK)) / F.col("dim")))
+    tile = F.xxhash64("label", "dim", F.floor(F.col("a") / wide), F.floor(F.col("b") / wide)).alias("tile")
+    return scratch.table(named.select(tile, F.col("a_block").alias("a"), F.col("b_block").alias("b")), "pairs")
 
 
-def _compare(whole: DataFrame, cosine: float, double: bool) -> DataFrame:
+def _tiles(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Each tile's blocks (block, dim, ids, copies, vectors) and after them its pairs (a, b), by tile. A block comes once for
+    each tile that it is in."""
+    need = pairs.select("tile", F.col("a").alias("block")).union(pairs.select("tile", F.col("b").alias("block"))).distinct()
+    own = need.join(blocks.select("block", "dim", "ids", "copies", "vectors"), "block")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
+    held = own.select("tile", "block", "dim", "ids", "copies", "vectors", none("long", "a"), none("long", "b"))
+    asked = pairs.select("tile", none("long", "block"), none("int", "dim"), none("binary", "ids"), none("binary", "copies"), none("binary", "vectors"), "a", "b")
+    return held.unionByName(asked).repartition("tile").sortWithinPartitions("tile", F.col("a").isNotNull(), "block", "a", "b")
+
+
+def _compare(tiles: DataFrame, cosine: float, double: bool) -> DataFrame:
     """Of each pair of blocks: (id, null, n) the rows that a vector is linked to in the other block, and (id, root, null)
     a spanning forest of the links. id stands for its vector's equals."""
 
@@ -204,11 +224,17 @@ def _compare(whole: DataFrame, cosine: float, double: bool) -> DataFrame:
 
         from vellumlake.llm.neardup_vectors import unit
 
-        kind = "<f8" if double else "<f4"
+        kind, last, held = "<f8" if double else "<f4", None, {}
         for batch in batches:
-            for a, b, d, ids_a, copies_a, vec_a, ids_b, copies_b, vec_b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ia, ib, ca, cb = (np.frombuffer(x, "<i8") for x in (ids_a, ids_b, copies_a, copies_b))
-                hit = unit(np.frombuffer(vec_a, kind).reshape(-1, d)) @ unit(np.frombuffer(vec_b, kind).reshape(-1, d)).T >= cosine
+            for k in range(batch.num_rows):
+                tile, block, d, ids, copies, raw, a, b = (c[k].as_py() for c in batch.columns)
+                if tile != last:
+                    last, held = tile, {}
+                if block is not None:
+                    held[block] = np.frombuffer(ids, "<i8"), np.frombuffer(copies, "<i8"), unit(np.frombuffer(raw, kind).reshape(-1, d))
+                    continue
+                (ia, ca, x), (ib, cb, y) = held[a], held[b]
+                hit = x @ y.T >= cosine
                 if a == b:
                     np.fill_diagonal(hit, False)
                 rows_, cols = np.flatnonzero(hit.any(1)), np.flatnonzero(hit.any(0))
@@ -233,8 +259,7 @@ def _compare(whole: DataFrame, cosine: float, double: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), empty(len(ids)), pa.array(n)], ["id", "root", "n"])
                 yield pa.RecordBatch.from_arrays([pa.array(ends), pa.array(roots), empty(len(ends))], ["id", "root", "n"])
 
-    own = whole.select("a", "b", "a_dim", "a_ids", "a_copies", "a_vectors", "b_ids", "b_copies", "b_vectors")
-    return own.mapInArrow(run, "id long, root long, n long")
+    return tiles.mapInArrow(run, "id long, root long, n long")
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
