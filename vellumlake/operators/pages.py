@@ -102,11 +102,15 @@ def technical_lines(text: Column) -> Column:
     """How many lines are code, rows of a table or formulas."""
 
     def signal(x):
+        # every kind of signal holds one of these, and few other lines do
+        maybe = F.lit(False)
+        for mark in ("=", "|", ":", "{", "import", "return", "yield"):
+            maybe = maybe | F.contains(x, F.lit(mark))
         s = stripped(x)
         code = x.rlike(INDENTED)
         for p in CODE:
             code = code | s.rlike(p)
-        return (s != "") & (code | (F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit(""))) >= 2) | s.rlike(FORMULA))
+        return maybe & (s != "") & (code | (F.length(s) - F.length(F.replace(s, F.lit("|"), F.lit(""))) >= 2) | s.rlike(FORMULA))
 
     return F.size(F.filter(lines(text), signal))
 

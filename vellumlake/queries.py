@@ -381,12 +381,20 @@ def page_first_heading(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", xhtml.to_text(F.col("html"))["heading"].alias("heading"))
 
 
-@query("SELECT page_id, true AS no_tags, true AS has_heading FROM pages")
+#: Whole contents by the pages' make: a list, an advertisement, a heading, one paragraph that swallows those in it as it never ends, a footer.
+XHTML_SQL = r"""
+WITH own AS (SELECT page_id, regexp_replace(html, '(?s)<!--.*?-->', '', 'g') AS h FROM pages),
+cut AS (SELECT page_id, list_concat(
+    [array_to_string(list_filter(list_transform(regexp_extract_all(regexp_extract(h, '(?s)<nav>(.*?)</nav>', 1), '(?s)<li>(.*?)</li>', 1), lambda x: '- ' || trim(regexp_replace(regexp_replace(x, '<[^>]*>', '', 'g'), '[\t\r\n ]+', ' ', 'g'))), lambda x: x <> '- '), chr(10))],
+    list_transform([regexp_extract(h, '(?s)<div class="ad">(.*?)</div>', 1), '# ' || regexp_extract(h, '(?s)<h1>(.*?)</h1>', 1), regexp_extract(h, '(?s)</h1>(.*?)</article>', 1), regexp_extract(h, '(?s)<footer>(.*?)</footer>', 1)],
+      lambda x: trim(regexp_replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '[\t\r\n ]+', ' ', 'g')))) AS parts FROM own)
+SELECT page_id, replace(replace(replace(replace(replace(replace(replace(array_to_string(list_filter(parts, lambda x: x <> ''), chr(10) || chr(10)),
+  '&copy;', chr(169)), '&middot;', chr(183)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS content FROM cut"""
+
+
+@query(XHTML_SQL)
 def xhtml_to_markdown(spark, sf_dir):
-    x = xhtml.to_text(F.col("html"), False)
-    d = table(spark, sf_dir, "pages").select("page_id", x.alias("x"))
-    tags = F.col("x.content").rlike("<(p|div|h1|script|style|nav|b)[ >]")
-    return d.select("page_id", (~tags).alias("no_tags"), F.contains(F.col("x.content"), F.concat(F.lit("# "), F.col("x.heading"))).alias("has_heading"))
+    return table(spark, sf_dir, "pages").select("page_id", xhtml.to_text(F.col("html"), False)["content"].alias("content"))
 
 
 @query("SELECT page_id, page_id % 3 = 0 AS unknown FROM pages")
