@@ -157,9 +157,11 @@ def markdown_text(c: Column) -> Column:
 def markdown_escaped(c: Column) -> Column:
     """markdown_text of text in normal form; JVM only."""
     c = F.replace(html_escaped(c), F.lit("\\"), F.lit("\\\\"))
-    # within a scheme's name its stops too; then the colon, or the stop after www
-    c = F.regexp_replace(c, r"(?iU)(?<=\b[a-z][a-z0-9+.-]{0,200})\.(?=[a-z0-9+.-]*:\S)", r"\\.")
-    c = F.regexp_replace(c, r"(?iU)\b([a-z](?:[a-z0-9+-]|\\\.)*):(?=\S)", r"$1\\:")
+    # within a scheme's name its stops too; then the colon, or the stop after www. Escaped HTML holds no "<" and ">", so they can
+    # stand around a scheme for the moment, however long it is
+    c = F.regexp_replace(c, r"(?iU)\b([a-z][a-z0-9+.-]*):(?=\S)", "<$1>:")
+    c = F.regexp_replace(c, r"(?iU)\.(?=[a-z0-9+.-]*>)", r"\\.")
+    c = F.replace(F.replace(c, F.lit(">:"), F.lit("\\:")), F.lit("<"), F.lit(""))
     c = F.regexp_replace(c, r"(?iU)\b(www)\.(?=\S)", r"$1\\.")
     c = F.regexp_replace(c, r"(?iU)(?<![\w.+-])([\w.+-]+)@([\w.-]+\.[a-z]{2,})(?![\w.-])", r"$1\\@$2")
     c = F.regexp_replace(c, r"([`*_\[\]])", r"\\$1")
