@@ -47,9 +47,12 @@ ERRORS = {
 
 
 class ModelError(Exception):
-    def __init__(self, code: str):
+    """retryable: where it isn't what the code's errors mostly are."""
+
+    def __init__(self, code: str, retryable: bool | None = None):
         super().__init__(code)
         self.code = code if code in ERRORS else "MODEL_UNAVAILABLE"
+        self.retryable = ERRORS[self.code][1] if retryable is None else retryable
 
 
 class Provider(Protocol):
@@ -87,20 +90,67 @@ def _shape(kind: str):
 
 
 _RESULT = _shape(SCHEMA)
-#: Fields that must be there and not blank.
-NEEDED = {"core_idea", "name", "term", "rule", "title"}
+#: The longest strings by the field that holds them, and which of them may not be empty or left out.
+MOST = {
+    "": {"core_idea": 4000},
+    "frameworks": {"name": 200, "when_to_use": 2000, "why": 2000},
+    "concepts": {"term": 200, "definition": 4000},
+    "mental_models": {"name": 200, "explanation": 4000, "when_to_use": 2000},
+    "methods": {"name": 200, "when_to_use": 2000},
+    "anti_patterns": {"name": 200, "why": 2000, "alternative": 2000},
+    "decision_rules": {"rule": 2000},
+    "worked_examples": {"title": 200, "situation": 3000, "application": 3000, "result": 3000},
+    "evidence_refs": {"locator": 500, "note": 1000},
+    "quality_warnings": {"code": 120, "message": 1200},
+}
+NEEDED = {
+    "": {"core_idea"},
+    "frameworks": {"name"},
+    "concepts": {"term", "definition"},
+    "mental_models": {"name", "explanation"},
+    "methods": {"name"},
+    "anti_patterns": {"name", "why"},
+    "decision_rules": {"rule"},
+    "worked_examples": {"title"},
+    "evidence_refs": {"locator"},
+    "quality_warnings": {"code", "message"},
+}
 
 
 def valid(value: Any, shape: Any = None, field: str = "") -> bool:
-    """Is value exactly of the result's schema? Missing arrays are empty; nothing is coerced and nothing may be added."""
+    """Is value exactly of the result's schema? Missing arrays are empty and missing strings too, unless they are needed;
+    nothing is coerced, nothing may be added, and no string may be longer than its field takes."""
     shape = _RESULT if shape is None else shape
-    if isinstance(shape, dict):
-        if not isinstance(value, dict) or set(value) - set(shape):
-            return False
-        return NEEDED & set(shape) <= set(value) and all(valid(v, shape[k], k) for k, v in value.items())
     if isinstance(shape, list):
-        return isinstance(value, list) and all(valid(v, shape[0]) for v in value)
-    return isinstance(value, str) and (field not in NEEDED or bool(value.strip()))
+        return isinstance(value, list) and all(valid(v, shape[0], field) for v in value)
+    if not isinstance(shape, dict):
+        return isinstance(value, str)
+    needed, most = NEEDED.get(field, set()), MOST.get(field, {})
+    if not isinstance(value, dict) or set(value) - set(shape) or needed - set(value):
+        return False
+    if not all(valid(v, shape[k], k) for k, v in value.items()):
+        return False
+    return all(len(value.get(k, "")) <= n for k, n in most.items()) and all(value[k].strip() for k in needed)
+
+
+def _once(pairs: list[tuple[str, Any]]) -> dict:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError("a key is repeated")
+    return out
+
+
+def _refused(name: str):
+    raise ValueError(f"{name} isn't JSON")
+
+
+def loaded(data: str | bytes) -> dict:
+    """A JSON object; repeated keys, NaN and the like, other encodings than UTF-8 and anything but an object are a
+    ValueError."""
+    got = json.loads(data.decode("utf-8") if isinstance(data, bytes) else data, object_pairs_hook=_once, parse_constant=_refused)
+    if not isinstance(got, dict):
+        raise ValueError("not an object")
+    return got
 
 
 def ask(provider: Provider, system: str, user: str, attempts: int = 2) -> dict:
@@ -108,12 +158,12 @@ def ask(provider: Provider, system: str, user: str, attempts: int = 2) -> dict:
     for _ in range(attempts):
         try:
             got = provider.generate(system, user)
-            got = json.loads(got, parse_constant=lambda x: 1 / 0) if isinstance(got, str) else got
+            got = loaded(got) if isinstance(got, str) else got
         except ModelError as e:
             if e.code != "MODEL_OUTPUT_INVALID":
                 raise
             continue
-        except (ValueError, ZeroDivisionError):
+        except ValueError:
             continue
         except Exception as e:
             raise ModelError("MODEL_UNAVAILABLE") from e
@@ -135,11 +185,13 @@ def analyze_text(provider: Provider, payload: dict, most: int) -> dict:
     return ask(provider, SYSTEM, json.dumps(rest | {"partial_results": found}, ensure_ascii=False))
 
 
-def generate(misses: DataFrame, make: Callable[[], Provider], most: int = 24_000) -> DataFrame:
+def generate(misses: DataFrame, make: Callable[[], Provider], most: int = 24_000, workers: int | None = None) -> DataFrame:
     """misses (KEY, input_fingerprint, title, content) with analysis, and error (code, message, retryable) where it failed.
     One call a key, whoever else asks for it; calls run where the rows are, so their number of partitions bounds how many
-    run at once."""
+    run at once. workers: that number (None: as the rows come)."""
     own = misses.select(*KEY, "input_fingerprint", "title", "content").dropDuplicates([*KEY, "input_fingerprint"])
+    if workers is not None:
+        own = own.repartition(workers, *KEY)
     plain = ", ".join(f"{k} {t}" for k, t in own.dtypes if k not in ("title", "content"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,16 +200,17 @@ def generate(misses: DataFrame, make: Callable[[], Provider], most: int = 24_000
             out = []
             for title, content in zip(df["title"], df["content"], strict=True):
                 try:
-                    out.append((json.dumps(analyze_text(provider, {"title": title, "content": content}, most), ensure_ascii=False), None))
+                    out.append((json.dumps(analyze_text(provider, {"title": title, "content": content}, most), ensure_ascii=False), None, None))
                 except ModelError as e:
-                    out.append((None, e.code))
-            yield df[[*KEY, "input_fingerprint"]].assign(j=[x for x, _ in out], code=[c for _, c in out])
-
-    done = own.mapInPandas(run, f"{plain}, j string, code string")
-    message, again = F.lit(None).cast("string"), F.lit(None).cast("boolean")
-    for code, (text, retry) in ERRORS.items():
-        message, again = F.when(F.col("code") == code, text).otherwise(message), F.when(F.col("code") == code, retry).otherwise(again)
-    error = F.when(F.col("code").isNotNull(), F.struct("code", message.alias("message"), again.alias("retryable")))
+                    out.append((None, e.code, e.retryable))
+            j, code, again = zip(*out, strict=True) if out else ((), (), ())
+            yield df[[*KEY, "input_fingerprint"]].assign(j=list(j), code=list(code), again=pd.array(again, "boolean"))
+
+    done = own.mapInPandas(run, f"{plain}, j string, code string, again boolean")
+    message = F.lit(None).cast("string")
+    for code, (text, _) in ERRORS.items():
+        message = F.when(F.col("code") == code, text).otherwise(message)
+    error = F.when(F.col("code").isNotNull(), F.struct("code", message.alias("message"), F.col("again").alias("retryable")))
     return done.select(*KEY, "input_fingerprint", complete(F.from_json("j", SCHEMA)).alias("analysis"), error.alias("error"))
 
 
@@ -167,12 +220,12 @@ def complete(analysis: Column) -> Column:
     return F.when(analysis.isNotNull(), F.struct(*parts))
 
 
-def analyze(snapshots: DataFrame, cache: DataFrame, make: Callable[[], Provider], most: int = 24_000, force: bool = False) -> tuple[DataFrame, DataFrame]:
+def analyze(snapshots: DataFrame, cache: DataFrame, make: Callable[[], Provider], most: int = 24_000, force: bool = False, workers: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(hits, generated): cached analyses, and new ones for the rest. force asks for all of them anew."""
     joined = with_cache(snapshots, cache)
     hits = joined.where("false") if force else joined.where("cache_hit")
     misses = joined if force else joined.where("not cache_hit")
-    return hits, generate(misses.drop("analysis", "cache_hit"), make, most)
+    return hits, generate(misses.drop("analysis", "cache_hit"), make, most, workers)
 
 
 def extractive(text: Column, lang: Column) -> Column:

@@ -45,7 +45,7 @@ def latest(rows: DataFrame, keys: list[str], *newest: Column) -> DataFrame:
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new, and the rows of old whose keys it lacks."""
-    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+    return with_history(old, new, keys)
 
 
 def upsert_analyses(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -84,6 +84,44 @@ def with_external_flag(books: DataFrame, external: DataFrame) -> DataFrame:
     return books.join(flag, "book_id", "left").withColumn("is_external", F.coalesce("is_external", F.lit(False)))
 
 
+def external_books(external: DataFrame, books: DataFrame) -> DataFrame:
+    """external (book_id, identity, ...) with its books' columns; sources without a book are left out."""
+    clash = [c for c in books.columns if c != "book_id" and c in external.columns]
+    return external.join(books.drop(*clash), "book_id")
+
+
+def external_faults(external: DataFrame, books: DataFrame) -> DataFrame:
+    """(book_id, fault) of external sources (source_system, external_book_id, book_id) that cannot be taken over: BOOK_MISSING;
+    MANAGED_PROVENANCE, if the book came from a file (format, mode or path aren't null); SEVERAL_IDENTITIES of one book."""
+    managed = F.coalesce(F.col("format"), F.col("mode"), F.col("path")).isNotNull()
+    own = books.select("book_id", managed.alias("_managed"))
+    missing = F.when(F.col("_managed").isNull(), "BOOK_MISSING").when(F.col("_managed"), "MANAGED_PROVENANCE")
+    joined = external.select("book_id").distinct().join(own, "book_id", "left").select("book_id", missing.alias("fault")).where("fault is not null")
+    several = external.groupBy("book_id").agg(F.countDistinct("source_system", "external_book_id").alias("n")).where("n > 1")
+    return joined.unionByName(several.select("book_id", F.lit("SEVERAL_IDENTITIES").alias("fault")))
+
+
+def snapshot_faults(snapshots: DataFrame, external: DataFrame) -> DataFrame:
+    """(external_source_id, chapter_index, fault) of stored snapshots (external_source_id, chapter_index, snapshot: JSON)
+    that cannot be taken over: SOURCE_MISSING; INCONSISTENT, if the snapshot's own identity or index is another than its
+    source's and row's, or can't be read. external: external_source_id, source_system, external_book_id."""
+    said = lambda path: F.get_json_object("snapshot", f"$.{path}")
+    own = external.select("external_source_id", "source_system", "external_book_id", F.lit(True).alias("_have"))
+    same = said("external_identity.source_system").eqNullSafe(F.col("source_system")) & said("external_identity.external_book_id").eqNullSafe(F.col("external_book_id")) & said("chapter.index").eqNullSafe(F.col("chapter_index").cast("string"))
+    fault = F.when(F.col("_have").isNull(), "SOURCE_MISSING").when(~same, "INCONSISTENT")
+    return snapshots.join(own, "external_source_id", "left").select("external_source_id", "chapter_index", fault.alias("fault")).where("fault is not null")
+
+
+def historical(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of previous whose keys current lacks: what was rendered before stays."""
+    return previous.join(current.select(*keys).distinct(), keys, "left_anti")
+
+
+def with_history(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """current, and what of previous it doesn't replace."""
+    return historical(previous, current, keys).unionByName(current)
+
+
 def with_availability(books: DataFrame, files: DataFrame) -> DataFrame:
     """books (path, source_fingerprint, is_external) with source_available: external always; others if the file at path
     still has the fingerprint. files: path, sha256."""

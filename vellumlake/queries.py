@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vellumlake.functions import canonical, text
 from vellumlake.operators import aggregate, analysis, bundles, chunking, library, pages, render, xhtml
-from vellumlake.plans import planning
+from vellumlake.plans import planning, providers
 from vellumlake.plans.staging import CHAPTERS, chapters, table
 
 QUERIES: dict = {}
@@ -595,3 +595,132 @@ def plan_digests(spark, sf_dir):
 @query("SELECT o_orderkey, o_orderdate + INTERVAL 30 MINUTE <= TIMESTAMP '1995-06-01 00:00:00' AS expired FROM orders")
 def plan_expiry(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", planning.is_expired(F.col("o_orderdate").cast("timestamp"), F.lit("1995-06-01").cast("timestamp")).alias("expired"))
+
+
+# providers
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1) AS s, regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1) AS a, regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1) AS p FROM pages),
+h AS (SELECT page_id, lower(s) AS scheme, regexp_replace(a, '^.*@', '') AS a, p FROM u)
+SELECT page_id, scheme, lower(regexp_replace(a, ':[0-9]*$', '')) AS host,
+  coalesce(TRY_CAST(nullif(regexp_extract(a, ':([0-9]*)$', 1), '') AS INTEGER), CASE scheme WHEN 'http' THEN 80 WHEN 'https' THEN 443 END) AS port, rtrim(p, '/') AS path FROM h""")
+def provider_routes(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", providers.routes(F.col("url")).alias("r"))
+    return p.select("page_id", "r.*")
+
+
+# the external library
+
+
+@query("""WITH b AS (SELECT c_custkey AS book_id, c_mktsegment = 'BUILDING' AS managed FROM customer WHERE c_custkey % 5 <> 0)
+SELECT DISTINCT o_custkey AS book_id, CASE WHEN b.book_id IS NULL THEN 'BOOK_MISSING' ELSE 'MANAGED_PROVENANCE' END AS fault FROM orders LEFT JOIN b ON b.book_id = o_custkey WHERE b.book_id IS NULL OR managed
+UNION ALL SELECT o_custkey, 'SEVERAL_IDENTITIES' FROM orders GROUP BY o_custkey HAVING count(DISTINCT o_orderkey) > 1""")
+def external_source_faults(spark, sf_dir):
+    return library.external_faults(_sources(spark, sf_dir), _external_books(spark, sf_dir))
+
+
+@query("SELECT o_orderkey AS external_source_id, c_custkey AS book_id, c_name AS title FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_custkey % 5 <> 0")
+def external_books_joined(spark, sf_dir):
+    return library.external_books(_sources(spark, sf_dir), _external_books(spark, sf_dir)).select("external_source_id", "book_id", "title")
+
+
+def _sources(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("external_source_id"), F.lit("shop").alias("source_system"), F.col("o_orderkey").cast("string").alias("external_book_id"), F.col("o_custkey").alias("book_id"))
+
+
+def _external_books(spark, sf_dir):
+    file = lambda c: F.when(F.col("c_mktsegment") == "BUILDING", F.lit(c))
+    return table(spark, sf_dir, "customer").where("c_custkey % 5 <> 0").select(F.col("c_custkey").alias("book_id"), F.col("c_name").alias("title"), file("epub").alias("format"), file("COPY").alias("mode"), F.lit(None).cast("string").alias("path"))
+
+
+@query("""SELECT l_orderkey AS external_source_id, l_linenumber AS chapter_index, CASE WHEN o_orderkey IS NULL THEN 'SOURCE_MISSING' ELSE 'INCONSISTENT' END AS fault
+FROM lineitem LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') ON o_orderkey = l_orderkey
+WHERE o_orderkey IS NULL OR l_linenumber <> CAST(l_quantity AS INTEGER) % 7 + 1""")
+def snapshot_migration_faults(spark, sf_dir):
+    own = F.to_json(F.struct(F.struct(F.lit("shop").alias("source_system"), F.col("l_orderkey").cast("string").alias("external_book_id")).alias("external_identity"), F.struct((F.col("l_quantity").cast("int") % 7 + 1).alias("index")).alias("chapter")))
+    snapshots = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("external_source_id"), F.col("l_linenumber").alias("chapter_index"), own.alias("snapshot"))
+    kept = table(spark, sf_dir, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("external_source_id"))
+    return library.snapshot_faults(snapshots, _sources(spark, sf_dir).join(kept, "external_source_id", "left_semi"))
+
+
+# manifests and history
+
+
+_RENDERED_SQL = """l AS (SELECT l_orderkey AS book_key, CAST(l_linenumber AS INTEGER) AS index, min(l_partkey) AS part, max(l_suppkey) AS supplier, min(l_returnflag) AS flag, max(l_linestatus) AS status FROM lineitem GROUP BY ALL)"""
+
+
+def _rendered(spark, sf_dir):
+    """Orders as books, their line numbers as chapters, each once."""
+    keys = F.col("l_orderkey").alias("book_key"), F.col("l_linenumber").cast("int").alias("index")
+    return table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.min("l_partkey").alias("part"), F.max("l_suppkey").alias("supplier"), F.min("l_returnflag").alias("flag"), F.max("l_linestatus").alias("status"))
+
+
+@query(f"""WITH {_RENDERED_SQL}, old AS (SELECT book_key, index, part AS at FROM l WHERE index <= 4), new AS (SELECT book_key, index, supplier AS at FROM l WHERE flag = 'N')
+SELECT book_key, index, coalesce(new.at, old.at) AS at FROM old FULL JOIN new USING (book_key, index)""")
+def rendered_history(spark, sf_dir):
+    rows = _rendered(spark, sf_dir)
+    row = lambda at: ("book_key", "index", F.col(at).alias("at"))
+    return bundles.merged_chapters(rows.where("index <= 4").select(*row("part")), rows.where("flag = 'N'").select(*row("supplier")))
+
+
+@query(f"WITH {_RENDERED_SQL} SELECT book_key AS book, index FROM l WHERE flag <> 'N' AND (status <> 'F' OR part % 4 = 0)")
+def lost_history(spark, sf_dir):
+    rows = _rendered(spark, sf_dir).withColumnRenamed("book_key", "book")
+    row = lambda sha: ("book", "index", F.lit("p").alias("path"), sha.alias("sha256"))
+    was = F.sha2(F.col("part").cast("string"), 256)
+    new = F.when(F.col("part") % 4 == 0, F.sha2(was, 256)).otherwise(was)
+    return bundles.lost_history(rows.select(*row(was)), rows.where("status = 'F'").select(*row(new)), rows.where("flag = 'N'").select("book", "index"))
+
+
+_MANIFESTS_SQL = """c AS (SELECT conv_id, turn, coalesce(length(text), 0) AS n, role FROM conversations),
+chapters AS (SELECT conv_id, turn FROM c WHERE n % 5 <> 0), cards AS (SELECT conv_id, turn FROM c WHERE n % 7 <> 0),
+listed AS (SELECT conv_id, turn FROM c WHERE n % 5 <> 0 AND n % 11 <> 0)"""
+
+
+def _manifests(spark, sf_dir):
+    """A manifest for each conversation, whose turns are chapters with a card each; by the lengths of texts some chapters, cards and
+    entries are missing."""
+    c = table(spark, sf_dir, "conversations").withColumn("n", F.coalesce(F.length("text"), F.lit(0)))
+    book, name = F.concat(F.lit("Books/"), "conv_id"), F.col("turn").cast("string")
+    path = F.concat(F.lit("Cards/"), "conv_id", F.lit("-"), name, F.lit(".md"))
+    none = F.array().cast("array<string>")
+    chapter = F.struct(F.when(F.col("n") % 11 != 0, F.array(path)).otherwise(none).alias("card_paths"), none.alias("frameworks"), F.col("turn").cast("int").alias("index"), F.lit("").alias("input_fingerprint"), F.concat(book, F.lit("/Chapters/"), name, F.lit(".md")).alias("note_path"), F.lit("T").alias("title"), none.alias("topics"))
+    card = F.struct(F.col("turn").cast("int").alias("chapter_index"), F.lit("concept").alias("kind"), path.alias("path"), F.sha2(name, 256).alias("stable_id"), F.lit("T").alias("title"))
+    rows = c.groupBy("conv_id").agg(F.collect_list(F.when(F.col("n") % 5 != 0, chapter)).alias("chapters"), F.collect_list(F.when(F.col("n") % 7 != 0, card)).alias("cards"), F.max("turn").cast("int").alias("last"))
+    key = F.col("conv_id").cast("string")
+    m = F.struct(book.alias("book_directory"), key.alias("book_key"), F.lit("T").alias("book_title"), "cards", "chapters", F.lit("").alias("checksum"), F.concat(book, F.lit("/MOC.md")).alias("moc_path"), F.lit(1).alias("schema"), F.col("last").alias("total_chapters"))
+    return rows.select("conv_id", F.col("conv_id").cast("string").alias("book_key"), m.alias("m"))
+
+
+@query(f"""WITH {_MANIFESTS_SQL}, f AS (SELECT conv_id, 'CHAPTER' AS fault FROM cards ANTI JOIN chapters USING (conv_id, turn)
+UNION SELECT conv_id, 'LISTED' FROM listed ANTI JOIN cards USING (conv_id, turn) UNION SELECT conv_id, 'CARD' FROM cards ANTI JOIN listed USING (conv_id, turn)
+UNION SELECT conv_id, 'INDEX' FROM (SELECT conv_id, max(turn) AS t FROM c GROUP BY 1) x WHERE EXISTS (SELECT 1 FROM chapters y WHERE y.conv_id = x.conv_id AND y.turn = t))
+SELECT CAST(conv_id AS VARCHAR) AS book_key, fault FROM f""")
+def manifest_references(spark, sf_dir):
+    return bundles.manifest_faults(_manifests(spark, sf_dir))
+
+
+@query(f"""WITH {_MANIFESTS_SQL} SELECT DISTINCT * FROM (SELECT conv_id AS book, 'Books/' || conv_id || '/MOC.md' AS path, true AS safe FROM c
+UNION ALL SELECT conv_id, 'Books/' || conv_id || '/Chapters/' || turn || '.md', true FROM chapters UNION ALL SELECT conv_id, 'Cards/' || conv_id || '-' || turn || '.md', true FROM cards
+UNION ALL SELECT conv_id, CASE WHEN n % 3 = 0 THEN '../' ELSE 'Cards/' END || conv_id || '-' || turn || '.md', n % 3 <> 0 FROM c WHERE role = 'user')""")
+def update_candidates(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").where("role = 'user'")
+    own = F.concat(F.when(F.coalesce(F.length("text"), F.lit(0)) % 3 == 0, "../").otherwise("Cards/"), "conv_id", F.lit("-"), "turn", F.lit(".md"))
+    return bundles.candidate_paths(c.select(F.col("conv_id").alias("book"), own.alias("path")), _manifests(spark, sf_dir).select(F.col("conv_id").alias("book"), "m"))
+
+
+@query(f"""WITH {CHAPTERS}, r AS (SELECT external_book_id AS book, substr(sha256('["documents","' || external_book_id || '"]'), 1, 16) AS k, chapter_index AS i, doc_id, language, sha256(content) AS f FROM chapters),
+a AS (SELECT book, k, string_agg(CASE WHEN doc_id % 3 <> 0 THEN '{{"chapter_index":' || i || ',"kind":"concept","path":"Cards/' || doc_id || '.md","stable_id":"' || f || '","title":"T"}}' END, ',' ORDER BY i) AS cards,
+  string_agg('{{"card_paths":[' || CASE WHEN doc_id % 3 <> 0 THEN '"Cards/' || doc_id || '.md"' ELSE '' END || '],"frameworks":[],"index":' || i || ',"input_fingerprint":"' || f || '","note_path":"Books/' || book || '/Chapters/' || i || '.md","title":"T","topics":["' || language || '"]}}', ',' ORDER BY i) AS chapters, max(i) + 1 AS total FROM r GROUP BY book, k),
+m AS (SELECT book, k, '{{"book_directory":"Books/' || book || '","book_key":"' || k || '","book_title":"' || book || '","cards":[' || coalesce(cards, '') || '],"chapters":[' || chapters || ']' AS head, ',"moc_path":"Books/' || book || '/MOC.md","schema":1,"total_chapters":' || total || '}}' AS tail FROM a)
+SELECT k AS book_key, sha256(head || ',"checksum":"' || sha256(head || tail) || '"' || tail) AS digest, true AS taken, false AS taken_when_changed FROM m""")
+def vault_manifests(spark, sf_dir):
+    c = chapters(spark, sf_dir).withColumn("book_key", canonical.book_key(F.col("source_system"), F.col("external_book_id")))
+    book, title = F.concat(F.lit("Books/"), "external_book_id"), F.lit("T").alias("title")
+    f = F.sha2("content", 256)
+    rows = c.select("book_key", F.array().cast("array<string>").alias("frameworks"), F.col("chapter_index").alias("index"), f.alias("input_fingerprint"), F.concat(book, F.lit("/Chapters/"), "chapter_index", F.lit(".md")).alias("note_path"), title, F.array("language").alias("topics"))
+    cards = c.where("doc_id % 3 <> 0").select("book_key", "chapter_index", F.lit("concept").alias("kind"), F.concat(F.lit("Cards/"), "doc_id", F.lit(".md")).alias("path"), f.alias("stable_id"), title)
+    books = c.select("book_key", F.col("external_book_id").alias("book_title"), book.alias("book_directory"), F.concat(book, F.lit("/MOC.md")).alias("moc_path"), F.lit(0).alias("total_chapters")).distinct()
+    m = bundles.vault_manifest(books, rows, cards)
+    other = F.replace("manifest", F.lit('"schema":1'), F.lit('"schema": 1'))
+    return m.select("book_key", F.sha2("manifest", 256).alias("digest"), bundles.parsed_manifest(F.col("manifest")).isNotNull().alias("taken"), bundles.parsed_manifest(other).isNotNull().alias("taken_when_changed"))

@@ -15,6 +15,7 @@ from vellumlake.operators import aggregate, analysis, library, render
 from vellumlake.operators.publish import Publisher
 from vellumlake.plans import planning
 from vellumlake.plans.jobs import Jobs
+from vellumlake.plans.providers import Registry, asking
 from vellumlake.sources import binary, epub, pdf
 from vellumlake.sources.config import Config
 
@@ -25,8 +26,11 @@ CACHE = f"source_system string, external_book_id string, chapter_index int, inpu
 
 
 class Service:
-    def __init__(self, spark: SparkSession, root: str, provider: Callable[[], analysis.Provider] = analysis.LocalProvider, config: Config | None = None):
-        self.spark, self.root, self.provider, self.config = spark, root.rstrip("/"), provider, config or Config()
+    def __init__(self, spark: SparkSession, root: str, provider: Callable[[], analysis.Provider] | None = None, config: Config | None = None, key: str | None = None):
+        """provider: makes a provider in a worker; without one the configuration names it, and key is its credential."""
+        self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
+        self.provider = provider or Registry().maker(self.config.model, key)
+        self.asking = None if provider else asking(self.config.model)
         self.tables = {}
         for name, schema in (("books", BOOKS), ("chapters", CHAPTERS), ("analyses", CACHE)):
             t = self.tables[name] = library.Table(spark, f"{self.root}/{name}")
@@ -112,7 +116,7 @@ class Service:
         """The snapshots with analysis, cache_hit and error; new results are stored before they are returned."""
         cache = self.tables["analyses"]
         snaps = self.snapshots(book_id)
-        _, made = analysis.analyze(snaps, cache.read().select(*library.KEY, "input_fingerprint", "analysis"), self.provider, self.config.analysis.max_chunk_characters, force)
+        _, made = analysis.analyze(snaps, cache.read().select(*library.KEY, "input_fingerprint", "analysis"), self.provider, self.config.analysis.max_chunk_characters, force, self.asking)
         was = cache.version()
         now = F.current_timestamp()
         # results are kept before anything is made of them, so no call is made twice

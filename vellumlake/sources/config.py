@@ -20,11 +20,17 @@ class Analysis:
 @dataclass(frozen=True)
 class Model:
     provider: str = "local"
+    model: str = ""
+    base_url: str | None = None
     requests_per_minute: int = 20
     max_concurrency: int = 2
     default_max_output_tokens: int = 4096
     timeout_seconds: float = 60
 
+    def __post_init__(self):
+        if min(self.requests_per_minute, self.max_concurrency, self.default_max_output_tokens, self.timeout_seconds) <= 0:
+            raise ValueError("limits must be positive")
+
 
 @dataclass(frozen=True)
 class Config:
