@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, neardup_vectors, urls
+from . import chat, neardup_vectors, phrases, urls
 from .bpe import op6_bpe
 from .chat import op9_chat
 from .langid import op10_language_id
@@ -10,6 +10,7 @@ from .lm import op5_lm_scoring
 from .minhash import op7_minhash
 from .neardup_vectors import op2_embedding_near_dedup
 from .packing import op4_packing
+from .phrases import op13_phrases
 from .rules import op3_quality_rules
 from .simple8b import op8_simple8b
 from .urls import op1_url_filter
@@ -27,8 +28,9 @@ def queries() -> dict:
         "op8_simple8b": op8_simple8b,
         "op9_chat": op9_chat,
         "op10_language_id": op10_language_id,
+        "op13_phrases": op13_phrases,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filter": urls.ORACLE, "op2_embedding_near_dedup": neardup_vectors.ORACLE, "op9_chat": chat.ORACLE}
+    return {"op1_url_filter": urls.ORACLE, "op2_embedding_near_dedup": neardup_vectors.ORACLE, "op9_chat": chat.ORACLE, "op13_phrases": phrases.ORACLE}
