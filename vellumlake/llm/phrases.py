@@ -4,13 +4,16 @@ Words are counted first. Then each occurrence of a frequent word that another fr
 goes to the prefix's task is the stretch of words that the pattern can still grow by. A task has its prefix's stretches
 in order, so that growing to the right, depth first, is one pass along them: a pattern's occurrences are a run, its
 extensions are runs within that. A prefix that holds many of all occurrences is dealt to several tasks by what follows it,
-and its patterns' counts are added up after.
+and its patterns' counts are added up after. On the way words are 64-bit hashes of language and word; a collision with a
+frequent word is looked for among all words, and another seed is taken if there is one.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, give_back
@@ -21,7 +24,7 @@ STRETCH, BLOCK = 1 << 20, 1 << 20
 #: through, whose patterns then fail their own counts.
 MOST_BITS = 1 << 27
 #: A prefix with more than one in so many of all occurrences is split; at most as many can be, so their list is broadcast.
-SHARES = 2048
+SHARES = 512
 UNKNOWN = "und"
 
 _lower = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -77,14 +80,9 @@ def _word_counts(batches):
     give_back()
 
 
-def slot(lang: Column, word: Column, bits: int) -> Column:
-    """A word's place in the filter."""
-    return F.xxhash64(F.concat(lang, F.lit("\t"), word)).bitwiseAND(F.lit(bits - 1))
-
-
-def _windows(bitmap, hot, most: int):
-    """The task that projects: (lang, part, w1, ..., n) of a task's blocks, the words that follow an occurrence of w1 up to
-    `most` in all; the empty word is where a pattern can't go on. part is -1 but for split prefixes."""
+def _windows(bitmap, hot, most: int, seed: int):
+    """The task that projects: (part, w1, ..., n) of a task's blocks, the hashes of the words that follow an occurrence of w1 up
+    to `most` in all; 0 is where a pattern can't go on. part is -1 but for split prefixes."""
 
     def run(batches):
         import pyarrow as pa
@@ -94,7 +92,7 @@ def _windows(bitmap, hot, most: int):
         from vellumlake.llm.phrases import BLOCK, tokens
 
         filter_, split = bitmap.value, hot.value
-        names = ["lang", "part", *(f"w{k + 1}" for k in range(most)), "n"]
+        names = ["part", *(f"w{k + 1}" for k in range(most)), "n"]
         numbers: dict = {}  # by language: word -> number, from 1
         held: dict = {}  # by language: arrays of numbers; 0 is a border
         size = 0
@@ -104,7 +102,8 @@ def _windows(bitmap, hot, most: int):
                 seen = numbers[lang]
                 words = list(seen)
                 ids = np.concatenate([*arrays, np.zeros(most - 1, np.int64)] if last else arrays)
-                h = np.fromiter((xxhash.xxh64_intdigest(lang.encode() + b"\t" + w, seed=42) for w in words), np.uint64, len(words))
+                ahead = f"{seed}\t{lang}\t".encode()
+                h = np.fromiter((xxhash.xxh64_intdigest(ahead + w, seed=42) for w in words), np.uint64, len(words))
                 at = h & np.uint64(64 * len(filter_) - 1)
                 known = (filter_[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)
                 known[:2] = 0  # the border and the empty word
@@ -127,19 +126,19 @@ def _windows(bitmap, hot, most: int):
                     key, top = key * wide + c, top * wide
                 _, at_first, count = np.unique(key, return_index=True, return_counts=True)
                 columns = [c[at_first] for c in columns]
-                names_ = np.concatenate([[0], place])
-                texts = pa.array([b"", *(words[i] for i in place)], pa.binary()).cast(pa.string())
+                own = np.concatenate([np.zeros(1, np.uint64), h[place]])
                 part = np.full(len(count), -1, np.int32)
-                shares = np.array([0, *(split.get((lang, words[i].decode()), 0) for i in place)] if split else [0] * wide, np.int64)
+                shares = np.array([split.get(x, 0) for x in own.view(np.int64).tolist()])
                 many = np.flatnonzero(shares[columns[0]])
+                columns = [own[c] for c in columns]
                 if len(many):
                     mixed = np.zeros(len(many), np.uint64)
                     for c in columns[1:]:
-                        mixed = (mixed ^ h[names_[c[many]]] * (c[many] > 0).astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-                    part[many] = ((mixed >> np.uint64(33)) % shares[columns[0][many]].astype(np.uint64)).astype(np.int32)
+                        mixed = (mixed ^ c[many]) * np.uint64(0x9E3779B97F4A7C15)
+                    part[many] = (mixed >> np.uint64(33)) % np.array([split[x] for x in columns[0][many].view(np.int64).tolist()], np.uint64)
                 for s in range(0, len(count), 1 << 16):
                     e = slice(s, s + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(count[e])), pa.array(part[e]), *(texts.take(pa.array(c[e])) for c in columns), pa.array(count[e])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(part[e]), *(pa.array(c[e].view(np.int64)) for c in columns), pa.array(count[e])], names)
                 held[lang] = [ids[max(n, 0) :]] if not last else []
                 if not last:  # what windows of the next block begin with keeps its words
                     tail = [words[i] for i in held[lang][0].tolist()]
@@ -168,87 +167,85 @@ def _windows(bitmap, hot, most: int):
 
 
 def _grow(most: int, least: int):
-    """The task of prefixes: rows (h, lang, part, w1, ..., n) in order to (lang, phrase, words, f) of the patterns that are
-    frequent. Of a split prefix, patterns to which other tasks may add come out whatever their counts."""
+    """The task of prefixes: rows (part, w1, ..., n) in order to (p, f), the patterns that are frequent, as arrays of hashes. Of
+    a split prefix, patterns to which other tasks may add come out whatever their counts."""
 
     def run(batches):
         import pyarrow as pa
-        import pyarrow.compute as pc
 
-        names = ["lang", "phrase", "words", "f"]
-        last = None  # the row before
+        last = None  # the row before: part and hashes
         going: list = [None] * (most + 1)  # by depth: [row, count] of the run that isn't over
 
-        def comes_out(depth, word, part, count):
-            return word != "" and (count >= least or (part >= 0 and depth < most))
-
-        def rows(lang, words, depth, count):
-            return pa.RecordBatch.from_arrays([lang, pc.binary_join_element_wise(*words, " "), pa.array(np.full(len(count), depth, np.int32)), pa.array(count)], names)
-
-        def over(depth):
-            row, count = going[depth]
-            if comes_out(depth, row.column(depth + 2)[0].as_py(), row.column(2)[0].as_py(), count):
-                yield rows(row.column(1), row.columns[3 : depth + 3], depth, np.array([count]))
+        def out(depth, part, words, count):
+            """Of runs that are over, those that come out; words: a row each."""
+            fits = (words[:, depth - 1] != 0) & ((count >= least) | ((part >= 0) & (depth < most)))
+            if fits.any():
+                n = int(fits.sum())
+                flat = pa.array(words[fits, :depth].ravel())
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * depth), flat), pa.array(count[fits])], ["p", "f"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, part = batch.column(most + 3).to_numpy(), batch.column(2).to_numpy()
-            new = np.zeros(batch.num_rows, bool)  # where a run of this depth begins
-            for k in range(most + 3):
-                c = batch.column(k)
-                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-                new[0] |= last is None or last.column(k)[0].as_py() != c[0].as_py()
-                depth = k - 2
-                if depth < 2:
+            columns = [c.to_numpy() for c in batch.columns]
+            part, words, n = columns[0], np.column_stack(columns[1 : most + 1]), columns[most + 1]
+            new = np.zeros(len(n), bool)  # where a run of this depth begins
+            for k in range(most + 1):
+                new[1:] |= columns[k][1:] != columns[k][:-1]
+                new[0] |= last is None or last[k] != columns[k][0]
+                if k < 2:
                     continue
                 starts = np.flatnonzero(new)
                 if not len(starts):
-                    going[depth][1] += int(n.sum())
+                    going[k][1] += int(n.sum())
                     continue
-                if going[depth]:
-                    going[depth][1] += int(n[: starts[0]].sum())
-                    yield from over(depth)
+                if going[k]:
+                    (p, w), count = going[k][0], going[k][1] + int(n[: starts[0]].sum())
+                    yield from out(k, p, w, np.array([count]))
                 count = np.add.reduceat(n, starts)
-                going[depth] = [batch.slice(starts[-1], 1), int(count[-1])]
-                starts, count = starts[:-1], count[:-1]
-                fits = pc.not_equal(c.take(pa.array(starts)), "").to_numpy(zero_copy_only=False)
-                fits &= (count >= least) | ((part[starts] >= 0) & (depth < most))
-                if fits.any():
-                    at = pa.array(starts[fits])
-                    yield rows(batch.column(1).take(at), [batch.column(j).take(at) for j in range(3, depth + 3)], depth, count[fits])
-            last = batch.slice(batch.num_rows - 1)
-        for depth in range(2, most + 1):
-            if going[depth]:
-                yield from over(depth)
+                going[k] = [(part[starts[-1:]], words[starts[-1:]]), int(count[-1])]
+                yield from out(k, part[starts[:-1]], words[starts[:-1]], count[:-1])
+            last = [c[-1] for c in columns[: most + 1]]
+        for k in range(2, most + 1):
+            if going[k]:
+                (p, w), count = going[k]
+                yield from out(k, p, w, np.array([count]))
         give_back()
 
     return run
 
 
 def frequent_phrases(spark: SparkSession, docs: DataFrame, least: int = 10, most: int = 3, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """Of docs (text, lang): the table of words (lang, word, n), n `least` or more, with a row without word for all occurrences
-    of the language; and that of phrases (lang, phrase, words, f) of 2 to `most` words that occur `least` times or more."""
+    """Of docs (text, lang): the table of words (lang, word, n, h), n `least` or more and h the word's hash, with a row without
+    word for all occurrences of the language; and that of phrases (p, f), arrays of the hashes of 2 to `most` words that occur
+    `least` times or more."""
     scratch = scratch or Scratch(spark, "phrases")
     own = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counted = own.mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = scratch.table(counted.where(f"word is null or n >= {int(least)}"), "words")
+    counted = scratch.table(counted, "counted")
+    for seed in itertools.count():
+        h = F.xxhash64(F.concat(F.lit(f"{seed}\t"), "lang", F.lit("\t"), "word"))
+        hashed = counted.withColumn("h", h)
+        twice = hashed.where("word is not null").groupBy("h").agg(F.count("*").alias("words"), F.max("n").alias("most"))
+        if twice.where(f"(words > 1 or h = 0) and most >= {int(least)}").isEmpty():
+            break
+    words = scratch.table(hashed.where(f"word is null or n >= {int(least)}"), "words")
     frequent = words.where("word is not null")
+    scratch.drop(counted)
     total = words.where("word is null").agg(F.sum("n")).first()[0] or 0
     bits = min(MOST_BITS, max(1 << 16, 1 << (16 * frequent.count()).bit_length()))
-    at = frequent.select(slot(F.col("lang"), F.col("word"), bits).alias("at"))
+    at = frequent.select(F.col("h").bitwiseAND(F.lit(bits - 1)).alias("at"))
     set_ = at.groupBy(F.shiftright("at", 6).alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("v")).toArrow()
     bitmap = np.zeros(bits // 64, np.uint64)
     bitmap[set_.column("k").to_numpy()] = set_.column("v").to_numpy().view(np.uint64)
     share = max(1, total // SHARES)
-    hot = {(r["lang"], r["word"]): r["parts"] for r in frequent.where(f"n > {share}").select("lang", "word", F.ceil(F.col("n") / share).alias("parts")).collect()}
+    hot = {r["h"]: r["parts"] for r in frequent.where(f"n > {share}").select("h", F.ceil(F.col("n") / share).alias("parts")).collect()}
 
-    task = _windows(spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot), most)
+    task = _windows(spark.sparkContext.broadcast(bitmap), spark.sparkContext.broadcast(hot), most, seed)
     follow = [f"w{k + 1}" for k in range(most)]
-    windows = own.mapInArrow(task, f"lang string, part int, {', '.join(f'{w} string' for w in follow)}, n long")
-    windows = windows.select(F.xxhash64("lang", "part", "w1").alias("h"), "lang", "part", *follow, "n").repartition("h").sortWithinPartitions("h", "lang", "part", *follow)
-    grown = windows.mapInArrow(_grow(most, least), "lang string, phrase string, words int, f long")
-    grown = grown.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")).where(f"f >= {int(least)}")
+    windows = own.mapInArrow(task, f"part int, {', '.join(f'{w} long' for w in follow)}, n long")
+    windows = windows.repartition("w1", "part").sortWithinPartitions("w1", "part", *follow[1:]).select("part", *follow, "n")
+    grown = windows.mapInArrow(_grow(most, least), "p array<long>, f long").groupBy("p").agg(F.sum("f").alias("f")).where(f"f >= {int(least)}")
     return words, scratch.table(grown, "phrases")
 
 
@@ -264,22 +261,31 @@ def collocations(spark: SparkSession, docs: DataFrame, least: int = 10, most: in
     """
     scratch = scratch or Scratch(spark, "phrases")
     words, phrases = frequent_phrases(spark, docs, least, most, scratch)
-    known = words.where("word is not null").select("lang", F.col("word").alias("p"), F.col("n").alias("f")).union(phrases.select("lang", "phrase", "f"))
-    w, k = F.split("phrase", " "), F.col("k")
-    cuts = phrases.select("lang", "phrase", F.col("f").alias("a"), "words", F.explode(F.sequence(F.lit(1), F.col("words") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", F.array_join(F.slice(w, F.lit(1), k), " ").alias("first"), F.array_join(F.slice(w, k + 1, F.col("words") - k), " ").alias("rest"))
-    cuts = cuts.join(known.select("lang", F.col("p").alias("first"), F.col("f").alias("l")), ["lang", "first"]).join(known.select("lang", F.col("p").alias("rest"), F.col("f").alias("r")), ["lang", "rest"])
+    frequent = words.where("word is not null")
+    known = frequent.select(F.array("h").alias("q"), F.col("n").alias("q_f")).union(phrases)
+    size = F.size("p")
+
+    # each cut's two parts, and each longer phrase's parts of two words and more, are looked up by one key
+    cuts = phrases.select("p", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), size - 1)).alias("k"))
+    cuts = cuts.select("p", "a", "k", F.slice("p", F.lit(1), F.col("k")).alias("head"), F.slice("p", F.col("k") + 1, size - F.col("k")).alias("rest"))
+    cuts = cuts.join(known.select(F.col("q").alias("head"), F.col("q_f").alias("l")), "head").join(known.select(F.col("q").alias("rest"), F.col("q_f").alias("r")), "rest")
     big = lambda c: F.col(c).cast("decimal(15,0)")
     cuts = cuts.withColumns({"above": F.lit(1000000).cast("decimal(7,0)") * (big("a") * big("a")), "below": big("l") * big("r")})
     cuts = cuts.withColumn("score", F.expr("above div below"))
-    best = cuts.groupBy("lang", "phrase").agg(F.first("a").alias("a"), F.min_by(F.struct("l", "r", "score"), F.struct("score", "k")).alias("m")).select("lang", "phrase", "a", "m.*")
-    inner = F.flatten(F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda size: F.transform(F.sequence(F.lit(1), F.col("words") - size + 1), lambda at: F.array_join(F.slice(w, at, size), " "))))
-    longer = phrases.where("words > 2").select("lang", F.explode(inner).alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
-    kept = best.join(longer, ["lang", "phrase"], "left").where(f"longer is null or 100 * longer < {int(percent)} * a")
+    best = cuts.groupBy("p").agg(F.max("a").alias("a"), F.min(F.struct("score", "k", "l", "r")).alias("m")).select("p", "a", "m.l", "m.r", "m.score")
+    inner = F.flatten(F.transform(F.sequence(F.lit(2), size - 1), lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: F.slice("p", at, n))))
+    longer = phrases.where("size(p) > 2").select(F.explode(inner).alias("p"), "f").groupBy("p").agg(F.max("f").alias("longer"))
+    kept = best.join(longer, "p", "left").where(f"longer is null or 100 * longer < {int(percent)} * a").drop("longer")
+
+    # hashes to words
+    named = kept.withColumn("id", F.monotonically_increasing_id())
+    named = scratch.table(named, "kept")
+    spelt = named.select("id", F.posexplode("p").alias("at", "h")).join(frequent.select("h", "lang", "word"), "h").groupBy("id")
+    spelt = spelt.agg(F.max("lang").alias("lang"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
-    kept = kept.withColumn("rank", rank).where(f"rank <= {int(top)}")
+    first = named.drop("p").join(spelt, "id").withColumn("rank", rank).where(f"rank <= {int(top)}")
     n = words.where("word is null").select("lang", "n")
-    return kept.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
+    return first.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", F.col("score").cast("long").alias("score"))
 
 
 def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
