@@ -38,7 +38,7 @@ def test_url_filter(spark):
 
 
 def test_long_list_and_bloom(spark, monkeypatch):
-    monkeypatch.setattr(urls, "BROADCAST_ROWS", 10)
+    monkeypatch.setattr(urls, "BROADCAST_BYTES", 10)
     listed = [(f"h{i}.com", "/a/", "block") for i in range(500)]
     df = spark.createDataFrame([(i, f"http://x.h{i}.com/a/b") for i in range(1000)], "page_id long, url string")
     table = spark.createDataFrame(listed, "host string, path string, verdict string")

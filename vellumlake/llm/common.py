@@ -7,11 +7,12 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of whole texts in one Arrow batch.
-TEXT_BATCH = 500
+#: Rows, and bytes, of whole texts that a worker takes at once.
+TEXT_BATCH, TEXT_BYTES = 500, 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -129,19 +130,36 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def annotate(df: DataFrame, text, fields: str, make) -> tuple[DataFrame, list[str]]:
-    """df with columns appended that a worker derives from texts, and the names they got (changed if df has the like).
+def slices(batch, column: int):
+    """An Arrow batch in slices of at most TEXT_BATCH rows whose strings in the column take TEXT_BYTES or so, a row at least."""
+    import pyarrow.compute as pc
 
-    text: the Column of texts. fields: "name type, ..." of the new columns. make(): run once in a task; gives a function
-    from a list of texts (bytes or None) to a list of rows. A task holds one batch of texts.
+    upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = int(upto[at - 1]) if at else 0
+        end = min(at + TEXT_BATCH, max(at + 1, int(np.searchsorted(upto, before + TEXT_BYTES, "right"))), batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def annotate(df: DataFrame, text: str, fields: str, make, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """df, or its columns `keep`, with columns appended that a worker derives from texts, and the names they got (changed if
+    these columns have the like).
+
+    text: the name of the column of texts. fields: "name type, ..." of the new columns. make(): run once in a task; gives a
+    function from a list of texts (bytes or None) to a list of rows. A task holds one batch of texts; only texts that aren't
+    strings, or aren't kept, travel in a column of their own.
     """
     from pyspark.sql import types as T
 
+    out = df if keep is None else df.select(*keep)
     new = T._parse_datatype_string(fields)
-    own = free_name(df, "own_text")
-    names = [free_name(df, f.name) for f in new]
-    schema = T.StructType([*df.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, new, strict=True))])
-    kept = len(df.columns)
+    names = [free_name(out, f.name) for f in new]
+    schema = T.StructType([*out.schema.fields, *(T.StructField(n, f.dataType) for n, f in zip(names, new, strict=True))])
+    kept = len(out.columns)
+    at = out.columns.index(text) if text in out.columns and isinstance(df.schema[text].dataType, T.StringType) else kept
+    sent = out if at < kept else df.select(*(F.col(f"`{c}`") for c in out.columns), F.col(text).cast("string").alias(free_name(df, "own_text")))
 
     def run(batches):
         import pyarrow as pa
@@ -150,11 +168,10 @@ def annotate(df: DataFrame, text, fields: str, make) -> tuple[DataFrame, list[st
         kinds = [to_arrow_type(f.dataType) for f in new]
         work = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, TEXT_BATCH):
-                batch = whole.slice(at, TEXT_BATCH)
-                rows = work(utf8(batch.column(kept)))
+            for batch in slices(whole, at):
+                rows = work(utf8(batch.column(at)))
                 columns = list(zip(*rows, strict=True)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [*batch.schema.names[:kept], *names])
         give_back()
 
-    return df.withColumn(own, text.cast("string")).mapInArrow(run, schema), names
+    return sent.mapInArrow(run, schema), names

@@ -152,7 +152,7 @@ def head(text: bytes, n: int) -> bytes:
 
 def with_fingerprints(docs: DataFrame) -> tuple[DataFrame, str]:
     """docs with the fingerprint of text appended, and the name it got. A null text counts as empty; all rows and columns stay."""
-    out, names = annotate(docs, F.col("text"), "fingerprint string", lambda: lambda texts: [(fingerprint(t or b""),) for t in texts])
+    out, names = annotate(docs, "text", "fingerprint string", lambda: lambda texts: [(fingerprint(t or b""),) for t in texts])
     return out, names[0]
 
 

@@ -7,7 +7,7 @@ log-likelihood by more than a penalty. The document's language is the one with t
 
 from __future__ import annotations
 
-import re
+import itertools
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -24,21 +24,44 @@ LEAST_SHARE = 0.03
 PENALTY = 3.0
 STEPS = 30
 UNKNOWN = "und"
+#: Bytes of a text that are counted at once.
+STRETCH = 1 << 20
 
-_letter = re.compile(r"[^\W\d_]")
 #: ASCII letters and all bytes of other characters stand for themselves, everything else for a space.
 _table = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
+def _parts(text: bytes):
+    """The text in stretches, cut behind a space or line end where there is one, else between characters."""
+    at = 0
+    while at < len(text):
+        end = at + STRETCH
+        if end < len(text):
+            cut = max(text.rfind(b" ", at, end), text.rfind(b"\n", at, end)) + 1
+            while not cut and end < len(text) and text[end] & 0xC0 == 0x80:
+                end += 1
+            end = cut or end
+        yield text[at:end]
+        at = end
+
+
 def grams(text: bytes) -> np.ndarray | None:
-    """How often each bucket's trigrams are in the text; None if it has no letter."""
-    s = text.decode("utf-8", "replace").lower()
-    if not _letter.search(s):
-        return None
-    b = np.frombuffer(b" ".join([b"", *s.encode().translate(_table).split(b" "), b""]), np.uint8).astype(np.uint32)
-    b = b[~((b == 32) & (np.concatenate([[0], b[:-1]]) == 32))]
-    code = b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)
-    return np.bincount((code * np.uint32(0x27D4EB2F) >> np.uint32(17)).astype(np.int64), minlength=BUCKETS)
+    """How often each bucket's trigrams are in the text, whose runs of other characters than letters count as one space; None
+    if it has no letter (Unicode category L). Memory is that of a stretch, however long the text is."""
+    n, letter = np.zeros(BUCKETS, np.int64), False
+    ahead = np.array([32], np.uint8)  # the last two bytes so far
+    for part in itertools.chain(_parts(text), [b" "]):
+        s = part.decode("utf-8", "replace").lower()
+        letter = letter or any(map(str.isalpha, s))
+        b = np.concatenate([ahead, np.frombuffer(s.encode().translate(_table), np.uint8)])
+        twice = np.zeros(len(b), bool)
+        twice[len(ahead) :] = (b[len(ahead) :] == 32) & (b[len(ahead) - 1 : -1] == 32)
+        b = b[~twice]
+        ahead = b[-2:]
+        b = b.astype(np.uint32)
+        code = b[:-2] * np.uint32(0x9E3779B1) ^ b[1:-1] * np.uint32(0x85EBCA77) ^ b[2:] * np.uint32(0xC2B2AE3D)
+        n += np.bincount((code * np.uint32(0x27D4EB2F) >> np.uint32(17)).astype(np.int64), minlength=BUCKETS)
+    return n if letter else None
 
 
 class Model:
@@ -125,11 +148,11 @@ def fit(docs: DataFrame) -> Model:
     return Model(langs, counts)
 
 
-def predict(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
-    """docs with lang_pred, score and lang_set appended, and the names of these columns. docs needs text; all rows and
-    columns stay. A text that is null or has no letter is `und` with score 0, as is any text if no language is known."""
+def predict(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
+    """docs with lang_pred, score and lang_set appended, and the names of these columns. docs needs text; all rows stay, and
+    all columns, or those of `keep`. A text that is null or has no letter is `und` with score 0, as is any text if no language is known."""
     shared = spark.sparkContext.broadcast(model)
-    return annotate(docs, F.col("text"), "lang_pred string, score double, lang_set array<string>", lambda: shared.value.predict)
+    return annotate(docs, "text", "lang_pred string, score double, lang_set array<string>", lambda: shared.value.predict, keep)
 
 
 def part(mod: int):
@@ -141,5 +164,5 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's predicted language; learnt from the documents that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = fit(docs.where(part(3) != 1))
-    out, _ = predict(spark, docs.select("doc_id", "text"), model)
+    out, _ = predict(spark, docs.select("doc_id", "text"), model, ["doc_id"])
     return out.select("doc_id", (part(3) == 1).alias("held_out"), "lang_pred", "score")

@@ -38,6 +38,7 @@ BROADCAST_IDS = 1_000_000
 SIGNATURE = "n_shingles long, set_id string, bands array<long>, sketch binary"
 
 _PRIME = 0x9E3779B97F4A7C15
+_PRIMES = _PRIME, 0xD6E8FEB86659FD93
 _rng = np.random.default_rng(20)
 _MULTIPLY = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 1 << 32, SAMPLES, dtype=np.uint32)
@@ -59,30 +60,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_PRIME to the powers 0 to n - 1, and their inverses, modulo 2**64."""
-    if len(_powers.get("up", ())) < n:
+def _power(n: int, prime: int = _PRIME) -> tuple[np.ndarray, np.ndarray]:
+    """prime to the powers 0 to n - 1, and their inverses, modulo 2**64."""
+    if len(_powers.get(prime, [()])[0]) < n:
         size = 1 << (n - 1).bit_length()
-        for k, base in (("up", _PRIME), ("down", pow(_PRIME, -1, 1 << 64))):
-            _powers[k] = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size - 1, base, np.uint64))])
-    return _powers["up"][:n], _powers["down"][:n]
+        _powers[prime] = [np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(size - 1, base, np.uint64))]) for base in (prime, pow(prime, -1, 1 << 64))]
+    up, down = _powers[prime]
+    return up[:n], down[:n]
 
 
-def words(text: bytes) -> np.ndarray:
+def words(text: bytes, prime: int = _PRIME) -> np.ndarray:
     """The hashes of the words in order, a stretch of the text at a time. A word's hash is a polynomial of its bytes, so one
     that goes on in the next stretch is added up."""
     b, out = np.frombuffer(text.lower(), np.uint8), []
     begun, length = 0, 0  # the sum so far, and the bytes, of a word that the last stretch ended in
     for at in range(0, len(b), STRETCH):
         c = b[at : at + STRETCH]
-        up, down = _power(len(c))
+        up, down = _power(len(c), prime)
         total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[c] * up, dtype=np.uint64)])
         edge = np.flatnonzero(np.diff(np.concatenate([[False], ~_SPACE[c], [False]])))
         starts, ends = edge[::2], edge[1::2]
         h = (total[ends] - total[starts]) * down[starts]
         goes_on = length and len(starts) and starts[0] == 0
         if goes_on:
-            h[0] = (begun + int(h[0]) * pow(_PRIME, length, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
+            h[0] = (begun + int(h[0]) * pow(prime, length, 1 << 64)) & 0xFFFFFFFFFFFFFFFF
         elif length:
             out.append(np.array([begun], np.uint64))
         if len(ends) and ends[-1] == len(c):
@@ -135,27 +136,59 @@ def sets(text: bytes, k: int) -> set:
     return set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set()
 
 
+def wide_shingles(text: bytes, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Two hashes of each distinct shingle, 128 bits in all, sorted by the first; None if two have only the first in common."""
+    own = [words(text, p) for p in _PRIMES]
+    n = len(own[0])
+    wide = min(k, n)
+    if not n:
+        return own[0], own[1]
+    both = []
+    for w, p in zip(own, _PRIMES, strict=True):
+        h = w[: n - wide + 1]
+        for i in range(1, wide):
+            h = h * np.uint64(p) + w[i : n - wide + 1 + i]
+        both.append(_mix(h + np.uint64(wide)))
+    at = np.argsort(both[0], kind="stable")
+    x, y = both[0][at], both[1][at]
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    if (~new[1:] & (y[1:] != y[:-1])).any():
+        return None
+    return x[new], y[new]
+
+
+def alike(s: bytes, own, t: bytes, other, k: int, percent: int) -> bool:
+    """Whether percent or more of the shingles of both texts are in common; own and other are their wide_shingles. Where these
+    leave doubt, on the shingles themselves."""
+    if own is not None and other is not None:
+        _, i, j = np.intersect1d(own[0], other[0], assume_unique=True, return_indices=True)
+        if (own[1][i] == other[1][j]).all():
+            return 100 * len(i) >= percent * (len(own[0]) + len(other[0]) - len(i))
+    a, b = sets(s, k), sets(t, k)
+    return 100 * len(a & b) >= percent * len(a | b)
+
+
 def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b, text_a, text_b), a and b of those with percent or more of the union in common."""
+    """Of pairs (a, b, text_a, text_b), a and b of those with percent or more of the union in common. A text takes 16 bytes a
+    shingle."""
 
     def run(batches):
         import pyarrow as pa
 
-        from vellumlake.llm.common import utf8
-        from vellumlake.llm.minhash import sets
-
-        last, own = None, set()
-        for batch in batches:
-            out = []
-            for a, b, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
-                if a != last:
-                    last, own = a, sets(s, k)
-                other = sets(t, k)
-                both = len(own & other)
-                if 100 * both >= percent * (len(own) + len(other) - both):
-                    out.append((a, b))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+        from vellumlake.llm.common import slices, utf8
+        from vellumlake.llm.minhash import alike, wide_shingles
+
+        last, own = None, None
+        for whole in batches:
+            for batch in slices(whole, 3):
+                out = []
+                for a, b, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), utf8(batch.column(2)), utf8(batch.column(3)), strict=True):
+                    if a != last:
+                        last, own = a, wide_shingles(s, k)
+                    if alike(s, own, t, wide_shingles(t, k), k, percent):
+                        out.append((a, b))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -263,6 +296,63 @@ def dealt(rows: DataFrame) -> DataFrame:
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def neighbours(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Of bucket rows (key, n, id, sid) those that share their key with others, and the next of their bucket (id, sid, n) by size.
+
+    Ranges of (key, n, id, sid) are dealt out, so a bucket may take many tasks. Each part puts its first and its last row out
+    beside the others; where a bucket goes on from one part to the next, these are brought together."""
+    order = ["key", "n", "id", "sid"]
+    after = "next struct<id:long,sid:long,n:long>"
+
+    def run(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, last, shared = TaskContext.get().partitionId(), None, False
+
+        def out(m, nexts, known, edge):
+            """Rows m, a row of numbers each, nexts likewise where known."""
+            fields = [pa.array(nexts[:, c]) for c in (2, 3, 1)]
+            after_ = pa.StructArray.from_arrays(fields, ["id", "sid", "n"], mask=pa.array(~known))
+            count = len(m)
+            return pa.RecordBatch.from_arrays([*(pa.array(m[:, c]) for c in range(4)), after_, pa.array(np.full(count, part, np.int32)), pa.array(np.full(count, edge, np.int32))], [*order, "next", "part", "edge"])
+
+        none = np.zeros((1, 4), np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            m = np.column_stack([c.to_numpy() for c in batch.columns])
+            if last is None:
+                yield out(m[:1], none, np.zeros(1, bool), 1)
+            else:
+                m = np.concatenate([last, m])
+            same = m[1:, 0] == m[:-1, 0]  # with the next one
+            before = np.concatenate([[shared], same])[:-1]
+            stay = same | before
+            if stay.any():
+                yield out(m[:-1][stay], m[1:][stay], same[stay], 0)
+            last, shared = m[-1:], bool(same[-1]) if len(same) else shared
+        if last is not None:
+            yield out(last, none, np.zeros(1, bool), 3 if shared else 2)
+
+    spread = rows.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    found = scratch.table(spread.mapInArrow(run, f"key long, n long, id long, sid long, {after}, part int, edge int"), "sorted")
+    ends = found.where("edge > 0").select(*order, "part", "edge")
+    parts = sorted(r[0] for r in ends.where("edge = 1").select("part").collect())  # one number for each part of the sort
+    follows = F.broadcast(rows.sparkSession.createDataFrame(list(zip(parts[:-1], parts[1:], strict=True)), "part int, follows int"))
+    firsts = ends.where("edge = 1").select(F.col("part").alias("follows"), F.col("key").alias("next_key"), F.struct("id", "sid", "n").alias("next"))
+    lasts = ends.where("edge > 1").join(follows, "part", "left").join(firsts, "follows", "left")
+    goes_on = F.coalesce(F.col("next_key") == F.col("key"), F.lit(False))
+    # a part's last row stays if its bucket has others before or behind; its first too, when only the part before has them
+    lasts = lasts.select(*order, F.when(goes_on, F.col("next")).alias("next"), "part", (goes_on | (F.col("edge") == 3)).alias("stay"), goes_on.alias("on"), "follows")
+    met = lasts.where("on").select(F.col("follows").alias("part"))
+    single = found.where("edge = 1").join(F.broadcast(met), "part", "left_semi").select(*order)
+    out = found.where("edge = 0").select(*order, "next").unionByName(lasts.where("stay").select(*order, "next"))
+    # a first row that no other row of its part shares the bucket with came out nowhere yet, but for parts of a single row
+    missing = single.join(out.select(*order), order, "left_anti").withColumn("next", F.lit(None).cast("struct<id:long,sid:long,n:long>"))
+    return scratch.table(out.unionByName(missing), "buckets")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id and kept.
 
@@ -274,7 +364,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     """
     scratch = scratch or Scratch(spark, "minhash")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed, _ = annotate(own.withColumn("text_id", F.xxhash64("text")), F.col("text"), SIGNATURE, lambda: lambda texts: [signature(t or b"", k) for t in texts])
+    signed, _ = annotate(own.withColumn("text_id", F.xxhash64("text")), "text", SIGNATURE, lambda: lambda texts: [signature(t or b"", k) for t in texts], ["doc_id", "text_id"])
     signed = scratch.table(signed.select("doc_id", "text_id", "n_shingles", "set_id", "bands", "sketch"), "signed")
 
     # one node for each set: the smallest doc_id that has it
@@ -287,13 +377,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     full = full.dropDuplicates(["set_id"]).select(F.col("doc_id").alias("id"), "text_id", "set_id", F.col("n_shingles").alias("n"), "bands", "sketch")
 
     # bucket rows, with the next in the bucket; sid stands for the set: should two have the same, there are candidates to spare
-    from pyspark.sql import Window
-
     full = full.withColumn("sid", F.xxhash64("set_id")).drop("set_id")
-    rows = full.select(F.explode("bands").alias("key"), "id", "sid", "n")
-    here = Window.partitionBy("key").orderBy("n", "id", "sid")
-    rows = rows.withColumn("next", F.lead(F.struct("id", "sid", "n")).over(here)).withColumn("last", F.lag("id").over(here))
-    rows = scratch.table(rows.where("next is not null or last is not null").drop("last"), "buckets")
+    rows = neighbours(full.select(F.explode("bands").alias("key"), "n", "id", "sid"), scratch)
     sketches = scratch.table(full.select("id", "text_id", "sid", "sketch").join(rows.select("sid").distinct(), "sid", "left_semi"), "sketches")
 
     pairs = rows.where("next is not null").where(f"next.id <> id and 100 * n >= {int(percent)} * next.n").select(F.col("sid").alias("s"), F.col("next.sid").alias("t")).distinct()
@@ -318,7 +403,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     sizes = sizes.select("key", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("total") / BLOCK_HASHES)).cast("int").alias("blocks"))
     whole = sketches.join(todo.select("sid").distinct(), "sid", "left_semi")
     texts = _texts(scratch, own, whole.select("id", "text_id"))
-    hashed, _ = annotate(texts, F.col("text"), "hashes binary", lambda: lambda some: [(shingles(t or b"", k).astype("<u8").tobytes(),) for t in some])
+    hashed, _ = annotate(texts, "text", "hashes binary", lambda: lambda some: [(shingles(t or b"", k).astype("<u8").tobytes(),) for t in some], ["doc_id", "text_id"])
     hashed = scratch.table(hashed.select(F.col("doc_id").alias("id"), "text_id", "hashes"), "hashed")
     heavy = paired(todo, sizes).join(whole.join(hashed, ["id", "text_id"]).select("sid", "sketch", "hashes"), "sid")
     second = scratch.table(in_blocks(dealt(heavy), percent, True).where("a <> b").distinct(), "linked").join(first, ["a", "b"], "left_anti")

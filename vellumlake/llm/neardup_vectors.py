@@ -88,7 +88,8 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.93, scr
     keys = [F.xxhash64("label", "embedding").alias("g"), F.xxhash64(F.lit(17), "embedding", "label").alias("h")]
     good = own.where("fine").select("vec_id", "label", "embedding", *keys)
     reps = good.groupBy("g", "h").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    reps = scratch.table(reps.withColumn("dim", F.size("embedding")), "reps")
+    # a class of equal vectors is a node of its own, also where classes have their least vec_id in common
+    reps = scratch.table(reps.withColumns({"dim": F.size("embedding"), "node": F.monotonically_increasing_id()}), "reps")
     axes = spark.sparkContext.broadcast(principal(reps))
     width = eps2**0.5
     double = dict(reps.dtypes)["embedding"] == "array<double>"
@@ -108,7 +109,7 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.93, scr
             yield batch.append_column("cells", pa.array(cells, pa.list_(pa.int32())))
 
     order = ["label", "dim", "cells", "id", "g"]
-    placed = reps.select("label", "dim", "id", "g", "copies", "embedding")
+    placed = reps.select("label", "dim", F.col("node").alias("id"), "g", "copies", "embedding")
     placed_ = placed = scratch.table(placed.mapInArrow(grid, f"label string, dim int, id long, g long, copies long, embedding {dict(reps.dtypes)['embedding']}, cells array<int>"), "placed")
     n = placed.count()
     placed = placed.repartitionByRange(max(1, -(-n // RANGE)), *order).sortWithinPartitions(*order)
@@ -161,12 +162,18 @@ def near_vectors(spark: SparkSession, rows: DataFrame, cosine: float = 0.93, scr
     found = scratch.table(_compare(_tiles(pairs, blocks), cosine, double), "found")
     scratch.drop(placed_, blocks, pairs)
 
-    links = found.where("root is null").groupBy("id").agg(F.sum("n").alias("n"))
-    comps = connected_components(found.where("root is not null").select(F.col("id").alias("a"), F.col("root").alias("b")), scratch)
-    groups = reps.select("g", "h", "id", "copies").join(links, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
-    groups = groups.select("g", "h", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    out = own.select("vec_id", "fine", *keys).join(groups, ["g", "h"], "left")
-    component = F.when(F.col("fine"), F.col("component")).otherwise(F.col("vec_id"))
+    links = found.where("root is null").groupBy(F.col("id").alias("node")).agg(F.sum("n").alias("n"))
+    groups = reps.select("g", "h", "node", "id", "copies").join(links, "node", "left")
+    groups = groups.select("g", "h", "id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"))
+    joined = found.where("root is not null").select(F.col("id").alias("x"), F.col("root").alias("y")).distinct()
+    name = lambda c, as_: reps.select(F.col("node").alias(c), F.col("id").alias(as_))
+    joined = joined.join(name("x", "a"), "x").join(name("y", "b"), "y").select("a", "b")
+    # vec_ids of several classes join them
+    several = good.groupBy("vec_id").agg(*(f(k).alias(f"{f.__name__}_{k}") for k in ("g", "h") for f in (F.min, F.max))).where("min_g <> max_g or min_h <> max_h").select("vec_id")
+    several = good.join(several, "vec_id", "left_semi").join(reps.select("g", "h", "id"), ["g", "h"]).select(F.col("id").alias("a"), F.col("vec_id").alias("b"))
+    comps = connected_components(joined.union(several), scratch)
+    out = own.select("vec_id", "fine", *keys).join(groups, ["g", "h"], "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
+    component = F.when(F.col("fine"), F.coalesce("component", "id")).otherwise(F.col("vec_id"))
     links = F.when(F.col("fine"), F.col("n")).otherwise(F.lit(0)).cast("long")
     return out.select("vec_id", links.alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(True)).alias("kept"))
 

@@ -136,7 +136,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     own = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = texts.join(F.broadcast(own), "doc_id")  # at most `sample` rows of two numbers
-    stats, names = annotate(found.select("doc_id", "quality", "text"), F.col("text"), STATS, lambda: _rows)
+    stats, names = annotate(found, "text", STATS, lambda: _rows, ["doc_id", "quality"])
     stats = stats.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min(F.struct(*names)).alias("x"))
     got = stats.select("doc_id", "quality", "x.*").orderBy("doc_id").toPandas()
     return calibrate(got[names].to_numpy(dtype=np.int64).reshape(-1, 6), got["quality"].to_numpy(dtype=np.int64) > 0)
@@ -146,10 +146,10 @@ def _rows(texts: list) -> list[tuple]:
     return [statistics(t or b"") for t in texts]
 
 
-def judge(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFrame, list[str]]:
+def judge(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """docs with the statistics, base_failed, anomaly and kept appended, and the names of these columns.
 
-    docs needs text; all rows and columns stay as they are. A null or empty text has statistics of 0 and fails.
+    docs needs text; all rows stay, and all columns, or those of `keep`, as they are. A null or empty text has statistics of 0 and fails.
     """
     shared = spark.sparkContext.broadcast(model)
 
@@ -160,12 +160,12 @@ def judge(spark: SparkSession, docs: DataFrame, model: Model) -> tuple[DataFrame
 
         return work
 
-    return annotate(docs, F.col("text"), f"{STATS}, base_failed boolean, anomaly double, kept boolean", make)
+    return annotate(docs, "text", f"{STATS}, base_failed boolean, anomaly double, kept boolean", make, keep)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's statistics and verdict."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    out, _ = judge(spark, docs, model)
+    out, _ = judge(spark, docs, model, ["doc_id"])
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "anomaly")

@@ -21,8 +21,8 @@ KEYS_A_BLOCK = 24
 #: The filter is broadcast, so its size is bounded: at most so many blocks of 40 bytes, 40 MB. A longer list only makes
 #: more false positives, which the join removes.
 MAX_BLOCKS = 1 << 20
-#: A list up to so many rows is broadcast for the exact hash join; a longer one is dealt out by key first, where Spark splits hot keys.
-BROADCAST_ROWS = 50_000
+#: A list of up to so many bytes is broadcast for the exact hash join; a longer one is dealt out by key first, where Spark splits hot keys.
+BROADCAST_BYTES = 8 << 20
 
 #: The contract's rules: (host, path, verdict).
 RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
@@ -77,9 +77,11 @@ def url_filter(pages: DataFrame, listed: DataFrame, default: str = DEFAULT_VERDI
     A page's hits are brought together by (page_id, url), with partial sums first; repeated rows are counted and put out
     again as often, so that a page that is there a million times is one group of one row for each task.
     """
-    listed = listed.select(lowered(F.col("host")).alias("l_host"), F.col("path").alias("l_path"), F.col("verdict").alias("l_verdict")).where("l_host is not null and l_path is not null").distinct()
+    listed = listed.select(lowered(F.col("host")).alias("l_host"), F.col("path").alias("l_path"), F.col("verdict").alias("l_verdict")).where("l_host is not null and l_path is not null")
+    listed = listed.groupBy("l_host", "l_path").agg(F.min("l_verdict").alias("l_verdict"))
     listed = Scratch(pages.sparkSession, "urls").table(listed.select(F.concat("l_host", F.lit("\t"), "l_path").alias("key"), "l_host", "l_path", "l_verdict"))
-    n, most = listed.agg(F.count("*"), F.coalesce(F.max(F.size(F.split("l_host", r"\."))), F.lit(0))).first()
+    size = F.sum(2 * F.octet_length("key") + F.coalesce(F.octet_length("l_verdict"), F.lit(0)) + 64)
+    n, size, most = listed.agg(F.count("*"), F.coalesce(size, F.lit(0)), F.coalesce(F.max(F.size(F.split("l_host", r"\."))), F.lit(0))).first()
     spread = [r[0] for r in listed.select(F.length("l_path")).distinct().collect()]
     n_blocks = max(1, min(MAX_BLOCKS, -(-n // KEYS_A_BLOCK)))
     blocks = bloom_blocks(listed.select("key").distinct(), n_blocks)
@@ -91,7 +93,7 @@ def url_filter(pages: DataFrame, listed: DataFrame, default: str = DEFAULT_VERDI
     prefixes = F.transform(F.filter(F.array(*map(F.lit, sorted(spread))), lambda k: k <= F.length("path")), lambda k: F.expr("path").substr(F.lit(1), k)) if spread else F.array().cast("array<string>")
     keys = F.flatten(F.transform(suffixes, lambda h: F.transform(prefixes, lambda p: F.concat(h, F.lit("\t"), p))))
     cand = own.select("page_id", "url", F.explode(keys).alias("key"))
-    hits = may_hold(cand, blocks, n_blocks).join(F.broadcast(listed) if n <= BROADCAST_ROWS else listed.hint("shuffle_hash"), "key")
+    hits = may_hold(cand, blocks, n_blocks).join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed.hint("shuffle_hash"), "key")
     best = F.struct(F.length(F.concat("l_host", "l_path")).alias("n"), F.length("l_host").alias("m"), F.concat("l_host", "l_path").alias("rule"), F.col("l_verdict").alias("verdict"))
     none = F.lit(None).cast("struct<n:int,m:int,rule:string,verdict:string>")
     both = hits.select("page_id", "url", best.alias("best"), F.lit(0).alias("row")).unionByName(own.select("page_id", "url", none.alias("best"), F.lit(1).alias("row")))
