@@ -17,14 +17,19 @@ INVISIBLE = r"[\x{00AD}\x{034F}\x{061C}\x{115F}\x{1160}\x{17B4}\x{17B5}\x{180E}\
 # Unicode white space, and the separators that end a line.
 SPACE = r"[\x{0009}-\x{000D}\x{001C}-\x{0020}\x{0085}\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 LINE_END = r"\r\n|[\n\r\x{000B}\x{000C}\x{001C}-\x{001E}\x{0085}\x{2028}\x{2029}]"
+# A scheme's name, looked for once in each run of the characters that it may have, so that time is linear in the text: what of
+# the run comes before the first letter that begins a word (group 1), then all that follows (group 2).
+SCHEME = r"(?<![a-z0-9+.-])((?:(?<=\w)[a-z0-9]*+|[0-9][a-z0-9]*+)?+(?:[+.-]++(?:[0-9][a-z0-9]*+)?+)*+)([a-z][a-z0-9+.-]*+)"
+#: The same where `www.` at a word's start, which is seen to by itself, isn't part of the name.
+SCHEME_AFTER_WWW = SCHEME.replace("(?:[+.-]++", r"(?:(?:[+.-]++|(?<!\w)www\.)")
 # What redaction takes out, in this order, and what it puts in.
 REDACTIONS = [
-    (r"(?iU)\b(?:[a-z][a-z0-9+.-]*://|www\.)\S+", "[external link omitted]"),
+    (rf"(?iU)(?:{SCHEME}://|\bwww\.)\S+", "$1[external link omitted]"),
     (r"(?iU)(?<![\w.+-])[\w.+-]+@[\w.-]+\.[a-z]{2,}(?![\w.-])", "[email omitted]"),
     (r"(?iU)(?:\\\\|//)[^\s]+|\b[a-z]:[\\/][^\s]+|(?<!\w)/(?:[^\s/]+/)*[^\s/]+", "[file location omitted]"),
     (r"(?U)\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", "[redacted secret]"),
     (r"(?U)\b(?:gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,})\b", "[redacted secret]"),
-    (r"(?iU)\bBearer\s+[A-Za-z0-9._~-]+|\beyJ[A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]+){2}\b", "[redacted secret]"),
+    (r"(?iU)\bBearer\s+[A-Za-z0-9._~-]+|(?<![A-Za-z0-9_-])((?:(?!\beyJ)[A-Za-z0-9_-])*+)eyJ[A-Za-z0-9_-]++(?:\.[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]+\b", "$1[redacted secret]"),
     (r"(?iU)\b(?:api[_-]?key|token|secret|password|authorization|access[_-]?key)\s*[:=]\s*[^\s,;]+", "[redacted secret]"),
     (r"(?iU)\b(?:sk|api[_-]?key|token|secret|password)[_-]?[=:]?[a-z0-9_-]{12,}\b", "[redacted secret]"),
 ]
@@ -32,7 +37,7 @@ FILE_PATH = REDACTIONS[2][0]
 #: What a text must hold for each of these to match; most texts hold none, and this is quicker to tell.
 GUARDS = [r"(?iu)://|www\.", "@", r"[/\\]", "A[KS]IA", "gh[pousr]_|github_pat_", r"(?iu)bearer\s|eyj", "[:=]", r"(?iu)(?:sk|key|token|secret|password)[_-]?[=:]?[a-z0-9_-]{12}"]
 # Line starts that Markdown would read as blocks; reference files and notes differ in the last choice.
-BLOCK = r"(?md)^( {0,3}(?:#{1,6}(?:\s|$)|>|[-+*]\s|\d+[.)]\s|`{3,}|~{3,}|%s))"
+BLOCK = r"(?mdU)^( {0,3}(?:#{1,6}(?:\s|$)|>|[-+*][^\S\n]|\d+[.)][^\S\n]|`{3,}|~{3,}|%s))"
 REFERENCE_BLOCK, NOTE_BLOCK = BLOCK % r"---\s*$", BLOCK % r"(?:=+|-+)\s*$"
 # Device names that no path component may have as its stem.
 RESERVED = r"(?i)^(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\..*)?$"
@@ -158,9 +163,9 @@ def markdown_escaped(c: Column) -> Column:
     """markdown_text of text in normal form; JVM only."""
     c = F.replace(html_escaped(c), F.lit("\\"), F.lit("\\\\"))
     # within a scheme's name its stops too; then the colon, or the stop after www. Escaped HTML holds no "<" and ">", so they can
-    # stand around a scheme for the moment, however long it is
-    c = F.regexp_replace(c, r"(?iU)\b([a-z][a-z0-9+.-]*):(?=\S)", "<$1>:")
-    c = F.regexp_replace(c, r"(?iU)\.(?=[a-z0-9+.-]*>)", r"\\.")
+    # stand around a scheme for the moment; its stops are gone through from one to the next
+    c = F.regexp_replace(c, rf"(?iU){SCHEME_AFTER_WWW}:(?=\S)", "$1<$2>:")
+    c = F.regexp_replace(c, r"(?i)(<|(?!^)\G)([a-z0-9+-]*+)\.", r"$1$2\\.")
     c = F.replace(F.replace(c, F.lit(">:"), F.lit("\\:")), F.lit("<"), F.lit(""))
     c = F.regexp_replace(c, r"(?iU)\b(www)\.(?=\S)", r"$1\\.")
     c = F.regexp_replace(c, r"(?iU)(?<![\w.+-])([\w.+-]+)@([\w.-]+\.[a-z]{2,})(?![\w.-])", r"$1\\@$2")
