@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vellumlake.operators import aggregate, analysis, bundles, library, render
+from vellumlake.plans import calls
 from vellumlake.plans.jobs import JobError, Jobs
 from vellumlake.sources import binary, config, epub, pdf
 
@@ -64,14 +65,17 @@ def test_analyze(spark, tmp_path):
     rows = [("s", "b", i, f"f{i}", "t", c) for i, c in enumerate(["hello\nworld", "auth", "broken", "extra", "boom", "long " * 100])]
     snaps = spark.createDataFrame([*rows, rows[0]], SNAP)
     cache = spark.createDataFrame([("s", "b", 5, "f5", None), ("s", "b", 0, "old", None)], f"source_system string, external_book_id string, chapter_index int, input_fingerprint string, analysis {analysis.SCHEMA}")
-    hits, made = analysis.analyze(snaps, cache, lambda: Flaky(log), most=24_000)
+    answers = calls.CallLog(spark, str(tmp_path / "calls"))
+    hits, made = calls.analyze(snaps, cache, lambda: Flaky(log), answers, most=24_000)
     assert [r.chapter_index for r in hits.collect()] == [5]
     got = {r.chapter_index: r for r in made.collect()}
     assert sorted(got) == [0, 1, 2, 3, 4]
     assert got[0].analysis.core_idea == "hello" and got[0].analysis.frameworks == [] and got[0].error is None
     assert [got[i].error.code for i in (1, 2, 3, 4)] == ["MODEL_AUTH_FAILED", "MODEL_OUTPUT_INVALID", "MODEL_OUTPUT_INVALID", "MODEL_UNAVAILABLE"]
     assert got[4].error.retryable and len(open(log).read()) == 1 + 1 + 2 + 2 + 1
-    _, forced = analysis.analyze(snaps, cache, analysis.LocalProvider, most=128, force=True)
+    calls.analyze(snaps, cache, lambda: Flaky(log), answers)[1].collect()
+    assert len(open(log).read()) == 7 + 1  # only the error that may go by is asked for again
+    _, forced = calls.analyze(snaps, cache, analysis.LocalProvider, calls.CallLog(spark, str(tmp_path / "forced")), most=128, force=True)
     assert {r.chapter_index: r.error for r in forced.collect()} == dict.fromkeys(range(6))
 
 

@@ -7,7 +7,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 
 from vellumlake.operators import analysis, bundles
-from vellumlake.plans import providers
+from vellumlake.plans import calls, providers
 from vellumlake.sources import config
 
 
@@ -154,13 +154,13 @@ def test_results_keep_to_lengths_and_needed_fields():
             analysis.loaded(bad)
 
 
-def test_errors_say_whether_to_try_again(spark):
+def test_errors_say_whether_to_try_again(spark, tmp_path):
     class Refusing(analysis.LocalProvider):
         def generate(self, system, user):
             raise providers.failure(404 if "first" in user else 503)
 
     rows = spark.createDataFrame([("s", "b", 0, "f0", "t", "first"), ("s", "b", 1, "f1", "t", "second")], "source_system string, external_book_id string, chapter_index int, input_fingerprint string, title string, content string")
-    got = {r.chapter_index: r.error for r in analysis.generate(rows, Refusing, workers=1).collect()}
+    got = {r.chapter_index: r.error for r in calls.analyses(rows, Refusing, calls.CallLog(spark, str(tmp_path / "log")), lanes=1).collect()}
     assert not got[0].retryable and got[1].retryable and got[0].code == got[1].code == "MODEL_UNAVAILABLE"
 
 

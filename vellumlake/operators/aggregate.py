@@ -75,10 +75,17 @@ def usage(calls: DataFrame, by: list[str]) -> DataFrame:
 
 def rate_audit(calls: DataFrame, route: str, at: str, most: int = 20, seconds: int = 60) -> DataFrame:
     """calls with in_window (calls of the route in the trailing window, this one included; a call exactly `seconds` old has
-    left it) and over (was the limit broken?)."""
-    micros = F.unix_micros(at)
-    window = Window.partitionBy(route).orderBy(micros).rangeBetween(-(seconds * 1_000_000) + 1, 0)
-    return calls.withColumn("in_window", F.count("*").over(window)).withColumn("over", F.col("in_window") > most)
+    left it) and over (was the limit broken?).
+
+    A task's groups are a route's calls of one stretch of `seconds`, with the times of the stretch before, so a route that is
+    asked all the time is many groups. Calls without a time count one another."""
+    long = seconds * 1_000_000
+    own = calls.withColumns({"_micros": F.unix_micros(at), "_own": F.lit(True)})
+    own = own.withColumn("_bucket", F.floor(F.col("_micros") / long))
+    before = own.where("_micros is not null").select(route, "_micros", (F.col("_bucket") + 1).alias("_bucket"), F.lit(False).alias("_own"))
+    window = Window.partitionBy(route, "_bucket").orderBy("_micros").rangeBetween(-long + 1, 0)
+    both = own.unionByName(before, allowMissingColumns=True).withColumn("in_window", F.count("*").over(window))
+    return both.where("_own").drop("_micros", "_bucket", "_own").withColumn("over", F.col("in_window") > most)
 
 
 def progress(checkpoints: Column, total: Column) -> Column:

@@ -1,7 +1,7 @@
 """Model providers over HTTP: routes, request limits, adapters of two public protocols, and the registry of names.
 
-A provider is made in each worker, so a limit for all of them is divided: with k partitions asking, each worker's gate lets
-through a k-th of the requests a minute.
+A limit for all workers is kept by the lanes of plans.calls. A provider's own gate, made in each task, lets a lane's share of the
+requests a minute through, for those who ask a provider by itself.
 """
 
 from __future__ import annotations

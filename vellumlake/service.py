@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vellumlake.functions import canonical, text
 from vellumlake.operators import aggregate, analysis, library, render
 from vellumlake.operators.publish import Publisher
-from vellumlake.plans import planning
+from vellumlake.plans import calls, planning
 from vellumlake.plans.jobs import Jobs
 from vellumlake.plans.providers import Registry, asking
 from vellumlake.sources import binary, epub, pdf
@@ -30,7 +30,9 @@ class Service:
         """provider: makes a provider in a worker; without one the configuration names it, and key is its credential."""
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.provider = provider or Registry().maker(self.config.model, key)
-        self.asking = None if provider else asking(self.config.model)
+        lanes = None if provider else asking(self.config.model)
+        self.limits = {} if lanes is None else {"lanes": lanes, "per_window": self.config.model.requests_per_minute}
+        self.log = calls.CallLog(spark, f"{self.root}/calls/log")
         self.tables = {}
         for name, schema in (("books", BOOKS), ("chapters", CHAPTERS), ("analyses", CACHE)):
             t = self.tables[name] = library.Table(spark, f"{self.root}/{name}")
@@ -116,7 +118,12 @@ class Service:
         """The snapshots with analysis, cache_hit and error; new results are stored before they are returned."""
         cache = self.tables["analyses"]
         snaps = self.snapshots(book_id)
-        _, made = analysis.analyze(snaps, cache.read().select(*library.KEY, "input_fingerprint", "analysis"), self.provider, self.config.analysis.max_chunk_characters, force, self.asking)
+        log = self.log
+        if force:  # answers of its own; the lanes go on
+            log = calls.CallLog(self.spark, f"{self.root}/calls/{uuid.uuid4().hex}")
+            log.free, log.number = self.log.free, self.log.number
+        _, made = calls.analyze(snaps, cache.read().select(*library.KEY, "input_fingerprint", "analysis"), self.provider, log, force, most=self.config.analysis.max_chunk_characters, **self.limits)
+        self.log.free, self.log.number = log.free, log.number
         was = cache.version()
         now = F.current_timestamp()
         # results are kept before anything is made of them, so no call is made twice
@@ -129,7 +136,9 @@ class Service:
         errors.write(made.where("error is not null").select(*library.KEY, "input_fingerprint", "error"), owner=errors.version())
         new = fresh.select(*library.KEY, "input_fingerprint", F.lit(True).alias("fresh"))
         out = library.with_cache(snaps, cache.read().select(*library.KEY, "input_fingerprint", "analysis")).join(new, [*library.KEY, "input_fingerprint"], "left")
-        return out.withColumn("cache_hit", F.col("cache_hit") & F.col("fresh").isNull()).drop("fresh").join(errors.read(), [*library.KEY, "input_fingerprint"], "left")
+        out = out.withColumn("cache_hit", F.col("cache_hit") & F.col("fresh").isNull()).drop("fresh").join(errors.read(), [*library.KEY, "input_fingerprint"], "left")
+        # results and errors are two commits: an error that a later result has overtaken isn't one
+        return out.withColumn("error", F.when(F.col("analysis").isNull(), F.col("error")))
 
     def plan(self, book_id: str) -> DataFrame:
         """Chapters, pending ones, calls and tokens of a run over a book, and the digest that the plan is made for."""
