@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import importlib.util
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumlake.functions import canonical, text
+from vellumlake.functions.numbering import checkpointed
 from vellumlake.operators import aggregate, analysis, library, render
 from vellumlake.operators.publish import Publisher
 from vellumlake.plans import calls, planning
@@ -18,6 +20,7 @@ from vellumlake.plans.jobs import Jobs
 from vellumlake.plans.providers import Registry, asking
 from vellumlake.sources import binary, epub, pdf
 from vellumlake.sources.config import Config
+from vellumlake.sources.extractors import Extractor, Extractors
 
 SYSTEM = "library"
 BOOKS = "book_id string, format string, source_fingerprint string, mode string, path string, title string, author string, language string, total_chapters int, created_at timestamp"
@@ -26,13 +29,15 @@ CACHE = f"source_system string, external_book_id string, chapter_index int, inpu
 
 
 class Service:
-    def __init__(self, spark: SparkSession, root: str, provider: Callable[[], analysis.Provider] | None = None, config: Config | None = None, key: str | None = None):
-        """provider: makes a provider in a worker; without one the configuration names it, and key is its credential."""
+    def __init__(self, spark: SparkSession, root: str, provider: Callable[[], analysis.Provider] | None = None, config: Config | None = None, key: str | None = None, extractors: list[Extractor] = ()):
+        """provider: makes a provider in a worker; without one the configuration names it, and key is its credential. extractors:
+        formats of one's own."""
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.provider = provider or Registry().maker(self.config.model, key)
         lanes = None if provider else asking(self.config.model)
         self.limits = {} if lanes is None else {"lanes": lanes, "per_window": self.config.model.requests_per_minute}
         self.log = calls.CallLog(spark, f"{self.root}/calls/log")
+        self.extractors = Extractors(spark, extractors)
         self.tables = {}
         for name, schema in (("books", BOOKS), ("chapters", CHAPTERS), ("analyses", CACHE)):
             t = self.tables[name] = library.Table(spark, f"{self.root}/{name}")
@@ -44,7 +49,7 @@ class Service:
 
     def import_path(self, path: str, mode: str = "REFERENCE") -> DataFrame:
         """(path, book_id, error) of the files under path after importing them; a file that is in the library already gives
-        its first record. COPY keeps the bytes of the files in the library and reads the books from there; a file that isn't
+        its first record. Formats of one's own are read where they are, whatever the mode. COPY keeps the bytes of the files in the library and reads the books from there; a file that isn't
         what was copied any more isn't imported (SOURCE_CHANGED)."""
         files = binary.files(self.spark, path)
         good = files.where("error is null")
@@ -59,6 +64,13 @@ class Service:
             good = copied.join(now, "path", "left_anti")
             kept = F.concat(F.lit(f"{folder}#"), F.col("path"))
         e = epub.chapters(good.where("format = 'epub'"))
+        own = [self.spark.read.format(x.name).load(path).withColumn("format", F.lit(x.name)) for x in self.extractors.custom]
+        read = None
+        if own:
+            read = checkpointed(functools.reduce(DataFrame.unionByName, own))
+            e = e.unionByName(read.select(e.columns))
+            uri = lambda c: F.regexp_replace(c, "^file:/+", "/")  # noqa: E731 both ways to name a local file
+            files = files.join(read.select(uri(F.col("path")).alias("_read")).distinct(), uri(F.col("path")) == F.col("_read"), "left_anti")
         p = pdf.page_rows(good.where("format = 'pdf'"))
         found = e.where("error is null").select("path", "title", "author", "language", "chapter_index", "chapter_title", "content", "source_locator")
         c = pdf.chapters(p)
@@ -67,7 +79,11 @@ class Service:
         found = found.unionByName(from_pdf.select(found.columns))
         failed = files.where("error is not null").select("path", "error").unionByName(e.where("error is not null").select("path", "error")).unionByName(c.where("error is not null").select(F.col("book").alias("path"), "error"))
         failed = failed.unionByName(changed)
-        ids = good.select("path", "format", F.col("fingerprint").alias("source_fingerprint"), F.substring(F.sha2(F.concat("format", F.lit(":"), "fingerprint"), 256), 1, 32).alias("book_id"))
+        names = good.select("path", "format", "fingerprint")
+        if read is not None:
+            names = names.unionByName(read.where("error is null").select("path", "format", "fingerprint").distinct())
+            kept = F.when(F.col("format").isin(*(x.name for x in self.extractors.custom)), F.col("path")).otherwise(kept)
+        ids = names.select("path", "format", F.col("fingerprint").alias("source_fingerprint"), F.substring(F.sha2(F.concat("format", F.lit(":"), "fingerprint"), 256), 1, 32).alias("book_id"))
         sizes = found.groupBy("path", "title", "author", "language").agg(F.count("*").cast("int").alias("total_chapters"))
         new = ids.join(sizes, "path").select("book_id", "format", "source_fingerprint", F.lit(mode).alias("mode"), kept.alias("path"), "title", "author", "language", "total_chapters", F.current_timestamp().alias("created_at"))
         books, chapters = self.tables["books"], self.tables["chapters"]

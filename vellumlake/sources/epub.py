@@ -20,8 +20,8 @@ from vellumlake.operators.xhtml import extract
 
 #: Limits of an archive, and what nested archives are called and begin with.
 MOST_MEMBERS, MOST_TOTAL, MOST_MEMBER, MOST_RATIO = 10_000, 1 << 30, 128 << 20, 100
-ARCHIVES = (".zip", ".epub", ".jar", ".tar", ".gz", ".tgz", ".bz2", ".tbz2", ".xz", ".txz", ".7z", ".rar", ".zst", ".lz", ".lzma", ".cab", ".iso", ".apk", ".war", ".ear", ".cbz", ".cbr", ".docx", ".xlsx", ".pptx", ".odt")
-MAGIC = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08", b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"7z\xbc\xaf\x27\x1c", b"Rar!\x1a\x07", b"\x28\xb5\x2f\xfd", b"LZIP", b"MSCF", b"\x5d\x00\x00\x80")
+ARCHIVES = (".zip", ".epub", ".jar", ".tar", ".gz", ".tgz", ".bz2", ".tbz2", ".xz", ".txz", ".7z", ".rar", ".zst", ".lz", ".lzma", ".cab", ".iso", ".apk", ".war", ".ear", ".cbz", ".cbr", ".docx", ".xlsx", ".pptx", ".odt", ".odp", ".ods", ".deb", ".rpm", ".ipa", ".xpi", ".whl", ".ar", ".xar")
+MAGIC = (b"PK\x03\x04", b"PK\x05\x06", b"PK\x07\x08", b"\x1f\x8b", b"BZh", b"\xfd7zXZ\x00", b"7z\xbc\xaf\x27\x1c", b"Rar!\x1a\x07", b"\x28\xb5\x2f\xfd", b"LZIP", b"MSCF", b"\x5d\x00\x00\x80", b"!<arch>\n", b"xar!", b"\xed\xab\xee\xdb")
 SCHEMA = "path string, fingerprint string, title string, author string, language string, chapter_index int, chapter_title string, content string, source_locator string, error string"
 
 

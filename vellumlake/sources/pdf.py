@@ -155,6 +155,19 @@ class Document:
         return "\n".join(s for _, s in rows), edge(lambda v: height * (1 - EDGE) <= v), low
 
 
+def pages_of(content: bytes) -> list[dict]:
+    """A row for each page: page, pages, raw, top and bottom, with title, author and outline on the first."""
+    d = Document(content)
+    keys = d.pages()
+    info = d.get(d.ref(d.trailer, b"Info"))
+    meta = {"title": d.text_of(info, b"Title"), "author": d.text_of(info, b"Author"), "outline": [{"title": a, "start": b} for a, b in d.outline(keys)]}
+    rows = []
+    for n, k in enumerate(keys):
+        raw, top, bottom = d.page(k)
+        rows.append({"page": n, "pages": len(keys), "raw": raw, "top": sorted(top), "bottom": sorted(bottom)} | (meta if n == 0 else {}))
+    return rows
+
+
 def page_rows(books: DataFrame) -> DataFrame:
     """A row for each page of books (path, fingerprint, content), with the book's metadata and outline on the first; a book
     that can't be read is one row with an error."""
@@ -165,15 +178,7 @@ def page_rows(books: DataFrame) -> DataFrame:
             for path, fingerprint, content in zip(df["path"], df["fingerprint"], df["content"], strict=True):
                 own = {"path": path, "fingerprint": fingerprint}
                 try:
-                    d = Document(bytes(content))
-                    keys = d.pages()
-                    info = d.get(d.ref(d.trailer, b"Info"))
-                    meta = {"title": d.text_of(info, b"Title"), "author": d.text_of(info, b"Author"), "outline": [{"title": a, "start": b} for a, b in d.outline(keys)]}
-                    rows = []
-                    for n, k in enumerate(keys):
-                        raw, top, bottom = d.page(k)
-                        rows.append(own | {"page": n, "pages": len(keys), "raw": raw, "top": sorted(top), "bottom": sorted(bottom)} | (meta if n == 0 else {}))
-                    rows = rows or [own | {"error": "EXTRACTION_FAILED"}]
+                    rows = [own | r for r in pages_of(bytes(content))] or [own | {"error": "EXTRACTION_FAILED"}]
                 except Encrypted:
                     rows = [own | {"error": "ENCRYPTED_DOCUMENT"}]
                 except Exception:
