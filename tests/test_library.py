@@ -223,7 +223,7 @@ def test_config():
 
 
 def test_stream(spark, tmp_path):
-    from vellumlake.streaming.ingest import ingest
+    from vellumlake.streaming.ingest import ingest, snapshots
 
     schema = "source_system string, external_book_id string, chapter_index int, fingerprint string, updated_at timestamp, content string"
     row = lambda i, f, at, c: f'{{"source_system":"s","external_book_id":"b","chapter_index":{i},"fingerprint":"{f}","updated_at":"2024-01-01T00:0{at}:00","content":"{c}"}}\n'
@@ -233,8 +233,17 @@ def test_stream(spark, tmp_path):
     run()
     (tmp_path / "in/2.json").write_text(row(0, "c", 2, "new") + row(1, "z", 0, "old"))
     run()
-    got = library.Table(spark, str(tmp_path / "t")).read().orderBy("chapter_index").collect()
+    got = snapshots(spark, str(tmp_path / "t")).orderBy("chapter_index").collect()
     assert [(r.chapter_index, r.content) for r in got] == [(0, "new"), (1, "two")]
+    # what is written follows what is new: three rows so far; a repeated, an older and a broken row add none
+    log = lambda: sorted((r.chapter_index, r.fingerprint) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    assert log() == [(0, "a"), (0, "c"), (1, "b")]
+    (tmp_path / "in/3.json").write_text(row(0, "c", 2, "new") + row(0, "b", 2, "tie below") + row(1, "y", 0, "older") + '{"source_system":"s","chapter_index":1}\n')
+    run()
+    assert log() == [(0, "a"), (0, "c"), (1, "b")]
+    (tmp_path / "in/4.json").write_text(row(0, "d", 2, "tie above") + row(2, "n", 5, "third"))
+    run()
+    assert [(r.chapter_index, r.content) for r in snapshots(spark, str(tmp_path / "t")).orderBy("chapter_index").collect()] == [(0, "tie above"), (1, "two"), (2, "third")]
 
 
 def test_service(spark, tmp_path):
