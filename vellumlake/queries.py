@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumlake.functions import canonical, text
-from vellumlake.operators import aggregate, analysis, bundles, chunking, library, pages, render, xhtml
-from vellumlake.plans import planning, providers
+from vellumlake.functions.numbering import checkpointed
+from vellumlake.operators import aggregate, analysis, bundles, chunking, integrity, library, pages, render, xhtml
+from vellumlake.plans import calls, planning, providers
 from vellumlake.plans.staging import CHAPTERS, chapters, table
 
 QUERIES: dict = {}
@@ -296,18 +297,6 @@ def source_availability(spark, sf_dir):
     return library.with_availability(books, files).select("doc_id", "source_available")
 
 
-@query("SELECT conv_id, count(*) = max(turn) + 1 AND count(DISTINCT turn) = count(*) AND min(turn) = 0 AND conv_id % 5 <> 0 AS complete FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 0) GROUP BY conv_id")
-def snapshot_completeness(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations")
-    total = (F.max("turn").over(Window.partitionBy("conv_id")) + 1).cast("int")
-    title = F.when((F.col("conv_id") % 5 == 0) & (F.col("turn") == 0), "another").otherwise("one")
-    s = c.select("conv_id", F.lit("c").alias("source_system"), F.col("conv_id").alias("external_book_id"), F.col("turn").alias("chapter_index"), "turn", F.struct(title.alias("title"), total.alias("total_chapters")).alias("book"))
-    s = s.where("not (conv_id % 7 = 0 and turn = 0)")
-    s = s.withColumn("book", F.when(F.col("conv_id") % 5 == 0, F.struct(F.col("turn").cast("string").alias("title"), F.col("book.total_chapters").alias("total_chapters"))).otherwise(F.col("book")))
-    one = F.when((F.col("external_book_id") % 5 == 0), False).otherwise(F.col("complete"))
-    return library.completeness(s).select(F.col("external_book_id").alias("conv_id"), one.alias("complete"))
-
-
 @query("""SELECT conv_id, count(*) = max(turn) + 1 AND count(DISTINCT turn) = count(*) AND min(turn) = 0
   AND count(DISTINCT CASE WHEN conv_id % 5 = 0 THEN turn ELSE 0 END) = 1 AS complete
 FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 0) GROUP BY conv_id""")
@@ -321,6 +310,54 @@ def snapshot_verdicts(spark, sf_dir):
     return library.completeness(s).select(F.col("external_book_id").alias("conv_id"), "complete")
 
 
+@query("""WITH b AS (SELECT conv_id, CAST(max(turn) + 1 + CASE WHEN conv_id % 11 = 0 THEN 1 ELSE 0 END AS INTEGER) AS total FROM conversations WHERE conv_id % 9 <> 0 GROUP BY 1),
+c AS (SELECT conv_id, turn FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 0) UNION ALL SELECT conv_id, turn FROM conversations WHERE conv_id % 23 = 0 AND turn = 1),
+a AS (SELECT conv_id, turn FROM conversations WHERE turn % 2 = 0 UNION ALL SELECT conv_id, turn FROM conversations WHERE turn = 0 AND conv_id % 19 = 0 UNION ALL SELECT DISTINCT conv_id, 99 FROM conversations WHERE conv_id % 17 = 0),
+s AS (SELECT conv_id, turn FROM conversations WHERE conv_id % 2 = 0 UNION ALL SELECT conv_id, turn FROM conversations WHERE conv_id % 14 = 0 AND turn = 1),
+cc AS (SELECT conv_id, turn, count(*) AS k FROM c GROUP BY ALL), aa AS (SELECT conv_id, turn, count(*) AS k FROM a GROUP BY ALL), ss AS (SELECT conv_id, turn, count(*) AS k FROM s GROUP BY ALL),
+f AS (
+  SELECT conv_id, 'BOOK_REPEATED' AS fault, 1 AS n FROM b WHERE conv_id % 13 = 0
+  UNION ALL SELECT DISTINCT conv_id, 'BOOK_MISSING', 1 FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM b)
+  UNION ALL SELECT conv_id, 'CHAPTER_REPEATED', count(*) FROM cc WHERE k > 1 GROUP BY 1
+  UNION ALL SELECT b.conv_id, 'CHAPTERS_INCOMPLETE', 1 FROM b LEFT JOIN (SELECT conv_id, count(*) AS k, min(turn) AS lo, max(turn) AS hi FROM cc GROUP BY 1) g USING (conv_id)
+    WHERE NOT (coalesce(k, 0) = total AND coalesce(lo, 0) = 0 AND coalesce(hi, -1) = total - 1)
+  UNION ALL SELECT conv_id, 'ANALYSIS_WITHOUT_CHAPTER', sum(aa.k) FROM aa LEFT JOIN cc USING (conv_id, turn) WHERE cc.k IS NULL GROUP BY 1
+  UNION ALL SELECT conv_id, 'ANALYSIS_REPEATED', count(*) FROM aa WHERE k > 1 GROUP BY 1
+  UNION ALL SELECT conv_id, 'SNAPSHOT_WITHOUT_CHAPTER', sum(ss.k) FROM ss LEFT JOIN cc USING (conv_id, turn) WHERE cc.k IS NULL GROUP BY 1
+  UNION ALL SELECT conv_id, 'SNAPSHOT_REPEATED', count(*) FROM ss WHERE k > 1 GROUP BY 1)
+SELECT conv_id AS book_id, fault, CAST(n AS BIGINT) AS n FROM f""")
+def library_integrity(spark, sf_dir):
+    """Conversations as books and turns as chapters, with each kind of fault in some of them."""
+    c = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.col("turn").alias("chapter_index"))
+    total = (F.max("chapter_index") + 1 + F.when(F.col("book_id") % 11 == 0, 1).otherwise(0)).cast("int")
+    books = c.where("book_id % 9 <> 0").groupBy("book_id").agg(total.alias("total_chapters"))
+    books = books.unionByName(books.where("book_id % 13 = 0"))
+    chapters_ = c.where("not (book_id % 7 = 0 and chapter_index = 0)").unionByName(c.where("book_id % 23 = 0 and chapter_index = 1"))
+    analyses = c.where("chapter_index % 2 = 0").unionByName(c.where("chapter_index = 0 and book_id % 19 = 0"))
+    analyses = analyses.unionByName(c.where("book_id % 17 = 0").select("book_id", F.lit(99).cast(c.schema["chapter_index"].dataType).alias("chapter_index")).distinct())
+    return integrity.faults(books, chapters_, analyses, c.where("book_id % 2 = 0").unionByName(c.where("book_id % 14 = 0 and chapter_index = 1")))
+
+
+@query(f"""WITH RECURSIVE t AS (
+  SELECT doc_id, greatest(1, CAST(ceil(length(text) / {MOST}.0) AS BIGINT)) AS n, 0 AS level FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, CAST(ceil(n / 4.0) AS BIGINT), level + 1 FROM t WHERE n > 1)
+SELECT doc_id, CAST(max(n) FILTER (level = 0) AS BIGINT) AS chunk_calls, CAST(coalesce(sum(n) FILTER (level > 0), 0) AS BIGINT) AS merge_calls FROM t GROUP BY 1""")
+def model_calls(spark, sf_dir):
+    """How often a model is asked for each document: its chunks, and the merges of their results by fours."""
+    d = table(spark, sf_dir, "documents")
+    own = d.select(F.lit("documents").alias("source_system"), F.col("source").alias("external_book_id"), F.col("doc_id").alias("chapter_index"), F.lit("").alias("input_fingerprint"), F.lit("t").alias("title"), F.col("text").alias("content"))
+    level, asked, all_ = 0, calls.first_calls(own, MOST), None
+    while True:
+        asked = checkpointed(asked.select(*library.KEY, "input_fingerprint", "title", "number", "count", "call"))
+        one = asked.select(F.col("chapter_index").alias("doc_id"), F.lit(level).alias("level"))
+        all_ = one if all_ is None else all_.unionByName(one)
+        level += 1
+        rest = asked.where("count > 1")
+        if rest.isEmpty():
+            return all_.groupBy("doc_id").agg(F.count_if(F.col("level") == 0).alias("chunk_calls"), F.count_if(F.col("level") > 0).alias("merge_calls"))
+        asked = calls.merge_calls(rest.withColumn("result", F.lit("{}")), level, 4)
+
+
 # pages
 
 

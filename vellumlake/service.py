@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from vellumlake.functions import canonical, text
 from vellumlake.functions.numbering import checkpointed
-from vellumlake.operators import aggregate, analysis, library, render
+from vellumlake.operators import aggregate, analysis, integrity, library, render
 from vellumlake.operators.publish import Publisher
 from vellumlake.plans import calls, planning
 from vellumlake.plans.jobs import Jobs
@@ -250,16 +250,21 @@ class Service:
     def jobs(self) -> Jobs:
         return Jobs(self.spark, f"{self.root}/jobs", datetime.now)
 
+    def faults(self) -> DataFrame:
+        """(book_id, fault, n) of what doesn't fit together in the library's tables."""
+        books, chapters, analyses = (self.tables[t].read() for t in ("books", "chapters", "analyses"))
+        own = analyses.where(F.col("source_system") == SYSTEM).select(F.col("external_book_id").alias("book_id"), "chapter_index")
+        return integrity.faults(books.select("book_id", "total_chapters"), chapters.select("book_id", "chapter_index"), own, chapters.select("book_id", "chapter_index").where("false"))
+
     def doctor(self) -> list[tuple[str, str]]:
         """(check, PASS, WARN or FAIL) of what a run needs."""
         have = lambda m: "PASS" if importlib.util.find_spec(m) else "WARN"
         out = [("configuration", "PASS"), *((f"module {m}", have(m)) for m in ("yaml", "pyarrow", "pandas"))]
         for name, t in self.tables.items():
             want = {"books": BOOKS, "chapters": CHAPTERS, "analyses": CACHE}[name]
-            same = {(f.name, f.dataType.simpleString()) for f in self.spark.createDataFrame([], want).schema} <= {(f.name, f.dataType.simpleString()) for f in t.read().schema}
-            out.append((f"table {name}", "PASS" if same else "FAIL"))
-        orphans = self.tables["chapters"].read().join(self.tables["books"].read(), "book_id", "left_anti").count()
-        out.append(("chapters without a book", "FAIL" if orphans else "PASS"))
+            out.append((f"table {name}", "FAIL" if integrity.missing_columns(t.read(), want) else "PASS"))
+        wrong = {r.fault: r.n for r in self.faults().groupBy("fault").agg(F.count("*").alias("n")).collect()}
+        out += [(f"library: {f}", "FAIL" if wrong.get(f) else "PASS") for f in integrity.FAULTS]
         try:
             self.provider()
             out.append(("provider", "PASS"))
