@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows, and bytes, of whole texts that a worker takes at once.
-TEXT_BATCH, TEXT_BYTES = 500, 8 << 20
+TEXT_BATCH, TEXT_BYTES = 500, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -130,15 +130,15 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def slices(batch, column: int):
-    """An Arrow batch in slices of at most TEXT_BATCH rows whose strings in the column take TEXT_BYTES or so, a row at least."""
+def slices(batch, column: int, rows: int = TEXT_BATCH, most: int = TEXT_BYTES):
+    """An Arrow batch in slices of at most so many rows whose strings in the column take at most so many bytes, a row at least."""
     import pyarrow.compute as pc
 
     upto = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
     while at < batch.num_rows:
         before = int(upto[at - 1]) if at else 0
-        end = min(at + TEXT_BATCH, max(at + 1, int(np.searchsorted(upto, before + TEXT_BYTES, "right"))), batch.num_rows)
+        end = min(at + rows, max(at + 1, int(np.searchsorted(upto, before + most, "right"))), batch.num_rows)
         yield batch.slice(at, end - at)
         at = end
 

@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, annotate, connected_components, free_name
+from .common import Scratch, annotate, connected_components, free_name, give_back
 
 #: Samples, and the band's width: a pair of similarity 0.8 shares none of the 32 bands once in 20 million.
 SAMPLES, ROWS = 128, 4
@@ -189,6 +189,7 @@ def confirm(pairs: DataFrame, k: int, percent: int) -> DataFrame:
                         out.append((a, b))
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
+        give_back()
 
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
@@ -279,6 +280,8 @@ def in_blocks(rows: DataFrame, percent: int, hashed: bool) -> DataFrame:
         out = done(held) if held else []
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names)
+        held.clear()
+        give_back()
 
     own = rows.select("key", "i", "j", "block", "id", "comp", "n", "sid", "sketch", *(["hashes"] if hashed else []))
     return own.mapInArrow(run, ", ".join(f"{x} long" for x in names))
