@@ -269,8 +269,8 @@ def test_service(spark, tmp_path):
     generation, changed = s.forge_notes(a)
     assert changed and s.forge_notes(a) == (generation, False)
     notes = {r.path: bytes(r.content).decode() for r in s.notes.files(a).collect()}
-    assert sorted(notes) == ["Books/0001 First.md", "Books/0002 Chapter 2.md", "Books/T x MOC.md"]
-    assert "- Rendered: 2 / known total: 2." in notes["Books/T x MOC.md"] and "[01 First](0001%20First.md)" in notes["Books/T x MOC.md"]
+    assert sorted(notes) == ["Books/Chapters/0001 First.md", "Books/Chapters/0002 Chapter 2.md", "Books/T x MOC.md", "vault-manifest.json"]
+    assert "- Rendered: 2 / known total: 2." in notes["Books/T x MOC.md"] and "[01 First](Chapters/0001%20First.md)" in notes["Books/T x MOC.md"]
     s.forge_skill(a)
     assert {"SKILL.md", "patterns.md", "cheatsheet.md", "agents/openai.yaml", "chapters/index.md", "glossary.md", "chapters/ch0001-first.md"} <= {r.path for r in s.skills.files(a).collect()}
     assert s.skills.active_books() == [a]

@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from vellumlake.functions import canonical, text
 from vellumlake.functions.numbering import checkpointed
-from vellumlake.operators import aggregate, analysis, integrity, library, render
-from vellumlake.operators.publish import Publisher
+from vellumlake.operators import aggregate, analysis, bundles, integrity, library, render
+from vellumlake.operators.publish import Publisher, PublishError
 from vellumlake.plans import calls, planning
-from vellumlake.plans.jobs import Jobs
+from vellumlake.plans.jobs import DONE, JobError, Jobs
 from vellumlake.plans.providers import Registry, asking
 from vellumlake.sources import binary, epub, pdf
 from vellumlake.sources.config import Config
@@ -28,6 +28,10 @@ CHAPTERS = "book_id string, chapter_index int, title string, content string, sou
 CACHE = f"source_system string, external_book_id string, chapter_index int, input_fingerprint string, analysis {analysis.SCHEMA}, created_at timestamp, updated_at timestamp"
 
 
+#: Where a book's notes have their vault manifest.
+VAULT_MANIFEST = "vault-manifest.json"
+
+
 class Service:
     def __init__(self, spark: SparkSession, root: str, provider: Callable[[], analysis.Provider] | None = None, config: Config | None = None, key: str | None = None, extractors: list[Extractor] = ()):
         """provider: makes a provider in a worker; without one the configuration names it, and key is its credential. extractors:
@@ -130,10 +134,13 @@ class Service:
 
     # analysis, plans, rendering
 
-    def analyze(self, book_id: str | None = None, force: bool = False) -> DataFrame:
-        """The snapshots with analysis, cache_hit and error; new results are stored before they are returned."""
+    def analyze(self, book_id: str | None = None, force: bool = False, only: DataFrame | None = None) -> DataFrame:
+        """The snapshots with analysis, cache_hit and error; new results are stored before they are returned. only: chapters
+        (chapter)."""
         cache = self.tables["analyses"]
         snaps = self.snapshots(book_id)
+        if only is not None:
+            snaps = snaps.join(only.select(F.col("chapter").alias("chapter_index")), "chapter_index", "left_semi")
         log = self.log
         if force:  # answers of its own; the lanes go on
             log = calls.CallLog(self.spark, f"{self.root}/calls/{uuid.uuid4().hex}")
@@ -165,11 +172,24 @@ class Service:
         cost = planning.estimate(own, cached, "book", "key", "content", self.config.analysis.max_chunk_characters, self.config.model.default_max_output_tokens)
         return cost.join(planning.plan_digest(own, "book", "chapter_index", "input_fingerprint"), "book").withColumn("created_at", F.current_timestamp())
 
-    def _rendered(self, book_id: str) -> DataFrame:
-        """A book's analyzed chapters, written once, as several files are made of them."""
+    def _rendered(self, book_id: str, kind: str) -> DataFrame:
+        """A book's analyzed chapters, written once, as several files are made of them; and those that were published before
+        and have no analysis now, as they were. name and book_name, of which paths are made, are the first published ones."""
         a = self.analyze(book_id).where("analysis is not null")
-        a = a.withColumn("book_key", canonical.book_key(F.col("source_system"), F.col("external_book_id"))).withColumn("title", text.normalized(F.col("title"))).drop("content", "error")
-        return self._kept(book_id, "chapters", a)
+        a = a.withColumn("book_key", canonical.book_key(F.col("source_system"), F.col("external_book_id"))).withColumn("title", text.normalized(F.col("title"))).drop("content", "error", "cache_hit")
+        before = library.Table(self.spark, f"{self.root}/published/{book_id}/{kind}")
+        if before.version() is None:
+            return self._kept(book_id, "chapters", a.withColumns({"name": F.col("title"), "book_name": F.col("book_title")}))
+        old = before.read()
+        first = old.agg(F.min_by("book_name", "chapter_index")).first()[0]
+        a = a.join(old.select("chapter_index", "name"), "chapter_index", "left")
+        a = a.withColumns({"name": F.coalesce("name", "title"), "book_name": F.coalesce(F.lit(first), "book_title")})
+        return self._kept(book_id, "chapters", library.with_history(old.select(a.columns), a, ["chapter_index"]))
+
+    def _published(self, book_id: str, kind: str) -> None:
+        """Remembers what was published: the next time, chapters that failed since stay, and names too."""
+        t = library.Table(self.spark, f"{self.root}/published/{book_id}/{kind}")
+        t.write(library.Table(self.spark, f"{self.root}/rendered/{book_id}/chapters").read(), owner=t.version())
 
     def _total(self, book_id: str) -> DataFrame:
         """(book, total) of a book, as it was imported: chapters without an analysis count too."""
@@ -182,11 +202,12 @@ class Service:
         return t.read()
 
     def note_files(self, book_id: str) -> DataFrame:
-        """(path, content) of the notes of a book: its chapters, a card for each concept and decision rule, and the map."""
+        """(path, content) of the notes of a book: its chapters, a card for each concept and decision rule, the map, and the vault
+        manifest, which names them all."""
         cfg = self.config
-        name = F.concat(F.lit(f"{cfg.books_folder}/"), F.format_string("%04d ", F.col("chapter_index") + 1), text.safe_component(F.col("title"), "Chapter"), F.lit(".md"))
-        moc = F.concat(F.lit(f"{cfg.books_folder}/"), text.safe_component(F.col("book_title"), "Book"), F.lit(" MOC.md"))
-        a = self._rendered(book_id).withColumns({"path": name, "moc": moc}).withColumnRenamed("chapter_index", "chapter")
+        name = F.concat(F.lit(f"{cfg.books_folder}/Chapters/"), F.format_string("%04d ", F.col("chapter_index") + 1), text.safe_component(F.col("name"), "Chapter"), F.lit(".md"))
+        moc = F.concat(F.lit(f"{cfg.books_folder}/"), text.safe_component(F.col("book_name"), "Book"), F.lit(" MOC.md"))
+        a = self._rendered(book_id, "notes").withColumns({"path": name, "moc": moc}).withColumnRenamed("chapter_index", "chapter")
         found = render.cards(a.select("book_key", "chapter", "analysis"))
         title = text.safe_component(F.col("subject"), "Card")
         at = a.select("book_key", "chapter", "input_fingerprint", F.col("path").alias("note"), "moc")
@@ -215,13 +236,17 @@ class Service:
         missing = aggregate.missing_chapters(notes.select(F.lit(book_id).alias("book"), "chapter"), total)
         books = books.join(per_book, "book_key", "left").withColumn("cards", F.coalesce("cards", none)).crossJoin(total.join(missing, "book").drop("book"))
         books = books.withColumn("content_", render.frontmatter("moc", F.col("book_key"), F.lit(0), F.col("f"), F.lit("moc"), render.moc(books)))
-        parts = [notes.select("path", "content_"), cards.select("path", "content_"), books.select(F.col("moc").alias("path"), "content_")]
+        listed = notes.select("book_key", F.array_distinct("analysis.frameworks.name").alias("frameworks"), F.col("chapter").alias("index"), "input_fingerprint", F.col("path").alias("note_path"), "title", F.array_distinct("analysis.topic_tags").alias("topics"))
+        own_cards = cards.select("book_key", F.col("chapter").alias("chapter_index"), "kind", "path", "stable_id", F.col("subject").alias("title"))
+        one = books.select("book_key", F.col("title").alias("book_title"), F.lit(cfg.books_folder).alias("book_directory"), F.col("moc").alias("moc_path"), F.col("total").alias("total_chapters"))
+        manifest = bundles.vault_manifest(one, listed, own_cards)
+        parts = [notes.select("path", "content_"), cards.select("path", "content_"), books.select(F.col("moc").alias("path"), "content_"), manifest.select(F.lit(VAULT_MANIFEST).alias("path"), F.col("manifest").alias("content_"))]
         return render.union(parts).select("path", F.col("content_").cast("binary").alias("content"))
 
     def skill_files(self, book_id: str) -> DataFrame:
         """(path, content) of a book's skill bundle: main file, chapters, index, glossary, patterns, rules and interface."""
-        a = self._rendered(book_id).withColumnRenamed("chapter_index", "chapter").withColumn("book", F.lit(book_id))
-        one = a.select("book", "chapter", "book_title", "author", "title", "analysis", text.chapter_path(F.col("chapter"), text.slug(F.col("title"), "chapter", 60)).alias("path"), render.skill_chapter(F.col("title"), F.col("source_locator"), F.col("analysis")).alias("content"))
+        a = self._rendered(book_id, "skill").withColumnRenamed("chapter_index", "chapter").withColumn("book", F.lit(book_id))
+        one = a.select("book", "chapter", "book_title", "book_name", "author", "title", "analysis", text.chapter_path(F.col("chapter"), text.slug(F.col("name"), "chapter", 60)).alias("path"), render.skill_chapter(F.col("title"), F.col("source_locator"), F.col("analysis")).alias("content"))
         one = self._kept(book_id, "skill", one)
         current = one.groupBy("book").agg(F.max("chapter").alias("chapter"))
         parts = [one.select("path", "content"), render.chapter_index(one).select(F.lit("chapters/index.md").alias("path"), "content")]
@@ -234,18 +259,65 @@ class Service:
             items = render.family_items(one, *families)
             totals = one.select("book").distinct().join(items.groupBy("book").agg(F.count("*").alias("n")), "book", "left").select("book", F.coalesce("n", F.lit(0)).alias("total"))
             parts.append(render.index_file(title, items, current, totals).select(F.lit(path).alias("path"), "content"))
-        book = one.groupBy("book").agg(F.max("book_title").alias("t"), F.max("author").alias("author"), F.count("*").alias("rendered"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.frameworks.name")))).alias("frameworks"), F.array_sort(F.collect_list(F.struct("chapter", "title", "path"))).alias("chapters")).join(self._total(book_id), "book")
+        book = one.groupBy("book").agg(F.max("book_title").alias("t"), F.max("book_name").alias("named"), F.max("author").alias("author"), F.count("*").alias("rendered"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("analysis.frameworks.name")))).alias("frameworks"), F.array_sort(F.collect_list(F.struct("chapter", "title", "path"))).alias("chapters")).join(self._total(book_id), "book")
         key = F.substring(F.sha2("book", 256), 1, 16)
-        name = F.concat(text.slug(F.col("t"), "book", 40), F.lit("--"), key)
+        name = F.concat(text.slug(F.col("named"), "book", 40), F.lit("--"), key)
         parts.append(book.select(F.lit("SKILL.md").alias("path"), render.skill_file(name, F.col("t"), F.col("author"), F.col("rendered"), F.col("total"), F.col("frameworks"), F.col("chapters")).alias("content")))
         parts.append(book.select(F.lit("agents/openai.yaml").alias("path"), render.skill_card(name, F.col("t")).alias("content")))
         return render.union(parts).withColumn("content", F.col("content").cast("binary"))
 
     def forge_notes(self, book_id: str) -> tuple[str, bool]:
-        return self.notes.publish(book_id, self.note_files(book_id))
+        """Publishes a book's notes. Nothing changes if the manifest's parts don't fit together (INVALID_MANIFEST), or if a path
+        that the update may touch, rendered or named by the manifest before, isn't safe (UNSAFE_BUNDLE)."""
+        files = self.note_files(book_id)
+        parsed = lambda f: f.where(F.col("path") == VAULT_MANIFEST).select(F.lit(book_id).alias("book"), bundles.parsed_manifest(F.col("content").cast("string")).alias("m"))
+        made = parsed(files)
+        if made.where("m is null").count() or bundles.manifest_faults(made.withColumnRenamed("book", "book_key")).count():
+            raise PublishError("INVALID_MANIFEST")
+        was = self.notes.active(book_id)
+        old = parsed(self.notes.files(book_id)) if was else made.where("false")
+        if old.where("m is null").count():
+            raise PublishError("INVALID_MANIFEST")
+        if bundles.candidate_paths(files.select(F.lit(book_id).alias("book"), "path"), old).where("not safe").count():
+            raise PublishError("UNSAFE_BUNDLE")
+        done = self.notes.publish(book_id, files, was)
+        self._published(book_id, "notes")
+        return done
 
     def forge_skill(self, book_id: str) -> tuple[str, bool]:
-        return self.skills.publish(book_id, self.skill_files(book_id))
+        """Publishes a book's skill. Nothing changes if chapters that were published before, and that this update isn't of, would
+        be lost or come out otherwise (HISTORY_LOST)."""
+        files = self.skill_files(book_id)
+        was = self.skills.active(book_id)
+        if was:
+            index = F.regexp_extract("path", r"^chapters/ch(\d{4})-", 1)
+            numbered = lambda df: df.where(index != "").select(F.lit(book_id).alias("book"), index.try_cast("int").alias("index"), "path", "sha256")
+            old = numbered(self.spark.createDataFrame([(x["path"], x["sha256"]) for x in self.skills.manifest(book_id)["files"]], "path string, sha256 string"))
+            now = self.tables["analyses"].read().where(F.col("external_book_id") == book_id).select(F.lit(book_id).alias("book"), (F.col("chapter_index") + 1).alias("index"))
+            if bundles.lost_history(old, numbered(files.withColumn("sha256", F.sha2("content", 256))), now).count():
+                raise PublishError("HISTORY_LOST")
+        done = self.skills.publish(book_id, files, was)
+        self._published(book_id, "skill")
+        return done
+
+    def forge(self, book_id: str, target: str, digest: str, planned_at: datetime, idempotency_key: str | None = None, step: int = 100) -> tuple[str, tuple[str, bool] | None]:
+        """A whole book: analyses its chapters as a job, `step` at a time, then publishes target ("notes" or "skill"). (state of the
+        job, what publishing gave or None). digest is that of the plan which was confirmed: chapters or settings that have changed
+        since are a JobError (PLAN_CHANGED), and so is a plan that has run out. The same key goes on with the same job."""
+        if target not in ("notes", "skill"):
+            raise JobError("UNKNOWN_TARGET")
+        plan = self.plan(book_id).first()
+        if plan is None or plan.digest != digest:
+            raise JobError("PLAN_CHANGED")
+        jobs = self.jobs()
+        job = jobs.start(book_id, target, idempotency_key or digest, plan.total_chapters, planned_at)
+        if jobs.get(job).status not in DONE:
+            chapters = self.tables["chapters"].read().where(F.col("book_id") == book_id).select(F.col("chapter_index").alias("chapter"))
+            jobs.run(job, chapters, lambda some: self.analyze(book_id, only=some), step)
+        state = jobs.get(job).status
+        if state != "COMPLETED":
+            return state, None
+        return state, self.forge_notes(book_id) if target == "notes" else self.forge_skill(book_id)
 
     def jobs(self) -> Jobs:
         return Jobs(self.spark, f"{self.root}/jobs", datetime.now)
