@@ -38,9 +38,17 @@ class Scratch:
         self.n = 0
         self.paths: dict[int, tuple[str, DataFrame]] = {}  # the frame too, so that no other gets its id
 
-    def table(self, df: DataFrame, name: str = "t", codec: str = "zstd") -> DataFrame:
-        """Writes df and returns it as read from there."""
-        path = self.write(df, name, codec)
+    def table(self, df: DataFrame, name: str = "t", codec: str = "zstd", batch: int | None = None) -> DataFrame:
+        """Writes df and returns it as read from there. batch: rows that go to a Python worker at once, for wide rows, while
+        this is written."""
+        key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        was = self.spark.conf.get(key)
+        if batch is not None:
+            self.spark.conf.set(key, str(min(batch, int(was)) if int(was) > 0 else batch))
+        try:
+            path = self.write(df, name, codec)
+        finally:
+            self.spark.conf.set(key, was)
         out = self.read(path, df)
         self.paths[id(out)] = path, out
         return out

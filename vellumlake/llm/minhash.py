@@ -32,6 +32,8 @@ LEAST_ESTIMATE = 0.6
 BLOCK, BLOCK_HASHES = 512, 1 << 18
 #: Bytes of a text that are hashed at once.
 STRETCH = 1 << 20
+#: Rows with whole texts or sets that go to a worker at once.
+WIDE = 500
 #: So many ids are broadcast at most (8 MB); more are joined by sorting.
 BROADCAST_IDS = 1_000_000
 
@@ -368,7 +370,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     scratch = scratch or Scratch(spark, "minhash")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed, _ = annotate(own.withColumn("text_id", F.xxhash64("text")), "text", SIGNATURE, lambda: lambda texts: [signature(t or b"", k) for t in texts], ["doc_id", "text_id"])
-    signed = scratch.table(signed.select("doc_id", "text_id", "n_shingles", "set_id", "bands", "sketch"), "signed")
+    signed = scratch.table(signed.select("doc_id", "text_id", "n_shingles", "set_id", "bands", "sketch"), "signed", batch=WIDE)
 
     # one node for each set: the smallest doc_id that has it
     with_set = signed.where("n_shingles > 0 and doc_id is not null")
@@ -390,7 +392,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     differ = lambda x, y: sum((F.bit_count(p.bitwiseXOR(q)) for p, q in zip(words(x), words(y), strict=True)), F.lit(0))
     near = pairs.join(side("s"), "s").join(side("t"), "t").where((F.col("s_id") != F.col("t_id")) & (differ("s_sketch", "t_sketch") <= most_bits()))
     first = scratch.table(near.select(F.least("s_id", "t_id").alias("a"), F.greatest("s_id", "t_id").alias("b")).distinct(), "near")
-    links = scratch.table(_confirmed(scratch, own, nodes, first, k, percent), "links")
+    links = scratch.table(_confirmed(scratch, own, nodes, first, k, percent), "links", batch=WIDE)
 
     # buckets that still hold several components: sketches alone go through their blocks
     comps = connected_components(links, scratch)
@@ -407,11 +409,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, k: int = 5, percent: i
     whole = sketches.join(todo.select("sid").distinct(), "sid", "left_semi")
     texts = _texts(scratch, own, whole.select("id", "text_id"))
     hashed, _ = annotate(texts, "text", "hashes binary", lambda: lambda some: [(shingles(t or b"", k).astype("<u8").tobytes(),) for t in some], ["doc_id", "text_id"])
-    hashed = scratch.table(hashed.select(F.col("doc_id").alias("id"), "text_id", "hashes"), "hashed")
+    hashed = scratch.table(hashed.select(F.col("doc_id").alias("id"), "text_id", "hashes"), "hashed", batch=WIDE)
     heavy = paired(todo, sizes).join(whole.join(hashed, ["id", "text_id"]).select("sid", "sketch", "hashes"), "sid")
-    second = scratch.table(in_blocks(dealt(heavy), percent, True).where("a <> b").distinct(), "linked").join(first, ["a", "b"], "left_anti")
+    second = scratch.table(in_blocks(dealt(heavy), percent, True).where("a <> b").distinct(), "linked", batch=WIDE).join(first, ["a", "b"], "left_anti")
     second = scratch.table(second, "second")
-    more = scratch.table(_confirmed(scratch, own, nodes, second, k, percent), "links")
+    more = scratch.table(_confirmed(scratch, own, nodes, second, k, percent), "links", batch=WIDE)
     scratch.drop(rows, sketches, first, known, stay, todo, texts, hashed, second)
 
     found = connected_components(links.union(more).union(same), scratch)
