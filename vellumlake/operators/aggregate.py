@@ -55,11 +55,6 @@ def missing_chapters(rendered: DataFrame, totals: DataFrame) -> DataFrame:
     return totals.join(have, "book", "left").withColumn("gone", gone).select("book", out.alias("missing"))
 
 
-def high_water(declared: Column, index: Column, before: Column) -> Column:
-    """A book's total as an aggregate: the largest of declared totals, indices + 1 and what was known; it never shrinks."""
-    return F.greatest(F.max(declared), F.max(index) + 1, F.coalesce(F.max(before), F.lit(0)))
-
-
 def over_budget(files: DataFrame, most_files: int = 5011, most_bytes: int = 64 << 20, most_each: int = 8 << 20) -> DataFrame:
     """(book, files, bytes, over): does a bundle break a budget? files: book, path, content (binary)."""
     size = F.octet_length("content")
