@@ -61,18 +61,18 @@ def test_query_is_the_plain_one(spark):
 
 
 def test_threshold_is_calibrated():
-    """Rows far from the others are labelled bad: all are rejected, and no more of the good ones than the allowed share."""
+    """Rows far from the others are labelled bad: most are rejected, and no more of the good ones than the allowed share."""
     rng = np.random.default_rng(3)
     n = rng.integers(100, 400, 1200)
     x = np.column_stack([n, n * 5 + rng.integers(0, 50, 1200), rng.integers(0, 3, 1200), rng.integers(0, 2, 1200), np.zeros(1200, int), rng.integers(0, 10, 1200)])
     good = np.ones(1200, bool)
-    bad = rng.choice(1200, 60, replace=False)
+    bad = rng.choice(1200, 20, replace=False)
     good[bad] = False
-    x[bad, 2], x[bad, 3] = n[bad] // 2, n[bad] // 3
+    x[bad, 2], x[bad, 3] = n[bad] * rng.uniform(0.2, 4, 20), n[bad] * rng.uniform(0.1, 0.9, 20)
     model = rules.calibrate(x, good)
     assert math.isclose(model.forest.norm, harmonic(256))
     kept = np.array([k for _, _, k in model.judge(x)])
-    assert not kept[~good].any() and (~kept[good]).sum() <= rules.CLEAN_LOSS * good.sum()
+    assert kept[~good].sum() < 10 and (~kept[good]).sum() <= rules.CLEAN_LOSS * good.sum()
     scores = np.array([plain_score(model.forest, f) for f in rules.features(x[good], model.view)])
     assert (scores > model.threshold).sum() == (~kept[good]).sum()
     # no labels of one kind: base rules alone
