@@ -105,7 +105,9 @@ def snapshot_faults(snapshots: DataFrame, external: DataFrame) -> DataFrame:
     """(external_source_id, chapter_index, fault) of stored snapshots (external_source_id, chapter_index, snapshot: JSON)
     that cannot be taken over: SOURCE_MISSING; INCONSISTENT, if the snapshot's own identity or index is another than its
     source's and row's, or can't be read. external: external_source_id, source_system, external_book_id."""
-    said = lambda path: F.get_json_object("snapshot", f"$.{path}")
+    form = "external_identity struct<source_system:string,external_book_id:string>, chapter struct<index:string>"
+    snapshots = snapshots.withColumn("_said", F.from_json("snapshot", form))  # once for all three
+    said = lambda path: F.col(f"_said.{path}")
     own = external.select("external_source_id", "source_system", "external_book_id", F.lit(True).alias("_have"))
     same = said("external_identity.source_system").eqNullSafe(F.col("source_system")) & said("external_identity.external_book_id").eqNullSafe(F.col("external_book_id")) & said("chapter.index").eqNullSafe(F.col("chapter_index").cast("string"))
     fault = F.when(F.col("_have").isNull(), "SOURCE_MISSING").when(~same, "INCONSISTENT")
