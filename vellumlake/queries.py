@@ -482,8 +482,8 @@ def framework_preview(spark, sf_dir):
     return aggregate.sorted_set(a, "book", "frameworks", aggregate.MOST_FRAMEWORKS)
 
 
-def _terms(spark, sf_dir):
-    a = _analyses(spark, sf_dir)
+def _terms(spark, sf_dir, a=None):
+    a = _analyses(spark, sf_dir) if a is None else a
     items = a.select(F.col("external_book_id").alias("book"), "chapter", F.posexplode("analysis.concepts.term").alias("pos", "value")).withColumn("reserved", F.col("pos") == 0)
     current = a.groupBy(F.col("external_book_id").alias("book")).agg(F.expr("cast(max(chapter) div 2 as int)").alias("chapter"))
     return items, current
@@ -534,11 +534,11 @@ def book_moc(spark, sf_dir):
 
 
 def _skill(spark, sf_dir):
-    a = _analyses(spark, sf_dir)
+    a = checkpointed(_analyses(spark, sf_dir).drop("content"))  # several files are made of these rows
     path = text.chapter_path(F.col("chapter"), F.concat(F.lit("c"), "doc_id"))
     one = a.select(F.col("external_book_id").alias("book"), "chapter", path.alias("path"), render.skill_chapter(F.col("title"), F.col("source_locator"), F.col("analysis")).alias("content"))
     index = render.chapter_index(one).select("book", F.lit("chapters/index.md").alias("path"), "content")
-    items, current = _terms(spark, sf_dir)
+    items, current = _terms(spark, sf_dir, a)
     totals = items.groupBy("book").agg(F.count("*").alias("total"))
     glossary = render.index_file("Glossary", items, current, totals).select("book", F.lit("glossary.md").alias("path"), "content")
     card = one.select("book").distinct().select("book", F.lit("agents/openai.yaml").alias("path"), render.skill_card(F.col("book"), F.col("book")).alias("content"))
