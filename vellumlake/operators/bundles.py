@@ -30,9 +30,10 @@ def update_plan(old: DataFrame, new: DataFrame, managed: DataFrame | None = None
     return both.select("book", "path", action.alias("action"))
 
 
-def file_hashes(files: DataFrame) -> DataFrame:
-    """(book, files): the sorted list of path and SHA-256 of each book's files."""
-    return files.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("path", F.sha2("content", 256).alias("sha256")))).alias("files"))
+def file_hashes(files: DataFrame, order: str = "path") -> DataFrame:
+    """(book, files): the list of path and SHA-256 of each book's files, sorted by a column."""
+    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("order"), F.col("path").alias("path"), F.sha2("content", 256).alias("sha256"))))
+    return files.groupBy("book").agg(F.transform(rows, lambda x: F.struct(x["path"].alias("path"), x["sha256"].alias("sha256"))).alias("files"))
 
 
 def checksum(manifest: Column, names: list[str]) -> Column:
