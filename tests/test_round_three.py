@@ -54,3 +54,7 @@ def test_page_first_heading_references(spark, references):
 def test_xhtml_to_markdown_references(spark, references):
     found = {r.page_id: r.content for r in same(spark, "xhtml_to_markdown", references)}
     assert "cut &&amp" in found[0] and "&nbsp;&eacute;&#39; '" in found[4] and found[6].count("one") == 700
+
+
+def test_skill_bundle_files_of_many_chapters(spark, many):
+    assert {(r.book, r.chapters) for r in same(spark, "skill_bundle_files", many)} == {("a", 10_012), ("b", 2)}

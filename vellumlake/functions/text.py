@@ -215,9 +215,12 @@ def is_relative_path(c: Column, most: int = 240, most_component: int = 120) -> C
     return F.coalesce(fine, F.lit(False))
 
 
-def chapter_path(index: Column, slug_: Column) -> Column:
-    """The one shape of a chapter's file, from its index from 0; null if index or slug don't fit."""
-    fits = (index >= 0) & (index < 5000) & slug_.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$")
+def chapter_path(index: Column, slug_: Column, most: int | None = 5000) -> Column:
+    """The one shape of a chapter's file, from its index from 0; null if index or slug don't fit. most: chapters of a book (None:
+    no bound; numbers have five digits from 10,000 on)."""
+    fits = (index >= 0) & slug_.rlike("^[a-z0-9]+(?:-[a-z0-9]+)*$")
+    if most is not None:
+        fits &= index < most
     return F.when(fits, F.format_string("chapters/ch%04d-%s.md", (index + 1).cast("int"), slug_))
 
 

@@ -196,11 +196,13 @@ def skill_card(slug: Column, title: Column) -> Column:
     return _joined("interface:", F.concat(F.lit("  display_name: "), yaml_string(title)), '  short_description: "Apply book knowledge to your task"', F.concat(F.lit("  default_prompt: "), yaml_string(prompt)))
 
 
-def chapter_index(chapters: DataFrame) -> DataFrame:
-    """(book, content): the index of all chapters (book, chapter, path). An index over its budget is an error."""
+def chapter_index(chapters: DataFrame, most_bytes: int | None = MOST_INDEX_BYTES) -> DataFrame:
+    """(book, content): the index of all chapters (book, chapter, path). An index over its budget (None: there is none) is an error."""
     rows = F.transform(F.array_sort(F.collect_list(F.struct("chapter", "path"))), lambda x: F.concat(F.format_string("- [Chapter %04d](", x["chapter"] + 1), F.regexp_replace(x["path"], "^chapters/", ""), F.lit(")")))
     out = chapters.groupBy("book").agg(F.concat(F.lit("# Chapter index\n\n"), F.array_join(rows, "\n"), F.lit("\n")).alias("content"))
-    large = F.octet_length("content") > MOST_INDEX_BYTES
+    if most_bytes is None:
+        return out
+    large = F.octet_length("content") > most_bytes
     return out.withColumn("content", F.when(large, F.raise_error(F.lit("the chapter index exceeds its budget"))).otherwise(F.col("content")))
 
 
