@@ -58,3 +58,11 @@ def test_xhtml_to_markdown_references(spark, references):
 
 def test_skill_bundle_files_of_many_chapters(spark, many):
     assert {(r.book, r.chapters) for r in same(spark, "skill_bundle_files", many)} == {("a", 10_012), ("b", 2)}
+
+
+def test_ocr_required_of_odd_words(spark, tmp_path):
+    said = ["Di", "mil", "xiv\\nvii", "Où", "ñ é", "a\nb", "1 = 2", "Page 7", "m1l", "", "a\rb", "x", None, "di\rv"]
+    rows = [(4 * i + k, s, "en", "s", 1) for i, s in enumerate(said) for k in range(4)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.meaningful for r in same(spark, "ocr_required", str(tmp_path))}
+    assert found[2] and not found[14] and not found[22]

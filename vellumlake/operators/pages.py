@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vellumlake.functions.text import SPACE, lines, stripped
+from vellumlake.functions.text import SPACE, bound, lines, stripped
 
 # Page numbers, pagination lines, short equations, and lines of code or formulas.
 PAGE_NUMBER = r"(?i)^(?:page\s+)?(?:\d{1,6}|[ivxlcdm]{1,12})$"
@@ -94,8 +94,8 @@ def _joined(rows: DataFrame, title: Column) -> DataFrame:
 def has_meaning(texts: Column) -> Column:
     """Is there a short equation, or are there two letters outside pagination, in an array of page texts?"""
     rows = F.filter(F.transform(F.flatten(F.transform(texts, lines)), stripped), lambda x: (x != "") & ~x.rlike(PAGE_NUMBER) & ~x.rlike(PAGINATION))
-    letters = F.aggregate(rows, F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, r"\P{L}", "")))
-    return F.exists(rows, lambda x: x.rlike(EQUATION)) | (letters >= 2)
+    letters = lambda rows: F.aggregate(rows, F.lit(0), lambda n, x: n + F.length(F.regexp_replace(x, r"\P{L}", "")))
+    return bound(rows, lambda r: F.exists(r, lambda x: x.rlike(EQUATION)) | (letters(r) >= 2))
 
 
 def technical_lines(text: Column) -> Column:
