@@ -66,3 +66,17 @@ def test_ocr_required_of_odd_words(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     found = {r.doc_id: r.meaningful for r in same(spark, "ocr_required", str(tmp_path))}
     assert found[2] and not found[14] and not found[22]
+
+
+def test_chat_examples_are_expanded(spark, monkeypatch):
+    from vellumlake.llm import chat
+
+    rows = [(1, 0, "user", "<a>"), (1, 1, "assistant", "b"), (1, 2, "user", "c"), (1, 3, "assistant", "d]"), (1, 4, "user", "tail"), (2, 0, "user", "only")]
+    examples = chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = {(r.conv_id, r.example): r for r in examples.collect()}
+    assert chat.parse(found[1, 1].prefix + found[1, 1].target) == [(r[2], r[3]) for r in rows[:4]]
+    assert chat.unescape(found[1, 1].target) == "d]" + chat.TAIL and found[1, 1].prefix.endswith(chat.head("assistant"))
+    assert found[1, 2].prefix is None and found[2, 0].prefix is None
+    assert chat.digest(examples.withColumn("delta", examples.delta.substr(1, 0)).where("trainable")).where("n_turns = 4 and loss_chars = 3").count() == 1
+    with pytest.raises(Exception, match="isn't whole"):
+        chat.digest(examples.selectExpr("* except (prefix)", "replace(prefix, 'b', 'x') as prefix")).collect()
