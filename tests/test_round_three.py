@@ -80,3 +80,17 @@ def test_chat_examples_are_expanded(spark, monkeypatch):
     assert chat.digest(examples.withColumn("delta", examples.delta.substr(1, 0)).where("trainable")).where("n_turns = 4 and loss_chars = 3").count() == 1
     with pytest.raises(Exception, match="isn't whole"):
         chat.digest(examples.selectExpr("* except (prefix)", "replace(prefix, 'b', 'x') as prefix")).collect()
+
+
+def test_plan_estimate_moves_counts_alone(spark):
+    from vellumlake.operators import chunking
+    from vellumlake.plans import planning
+
+    texts = [None, "", "a" * 45, "# h\n\n" + "b" * 9, *(f"p {i}\n\n" * 9 for i in range(450))]
+    df = spark.createDataFrame([(i, "b", t) for i, t in enumerate(texts)], "doc_id long, book string, text string").coalesce(1)
+    got = df.select("doc_id", chunking.chunk_count(df.text, 20).alias("n"), chunking.chunk_array(df.text, 20).alias("c")).collect()
+    assert [r.c for r in sorted(got)] == [chunking.split(t, 20) for t in texts]
+    assert [r.n for r in sorted(got)] == [None if t is None else len(chunking.split(t, 20)) for t in texts]
+    plan = planning.estimate(df, df.select("doc_id").limit(0), "book", "doc_id", "text", 20)
+    assert "array<string>" not in plan._jdf.queryExecution().analyzed().toString() and plan.first().total_chapters == len(texts)
+    assert "run(text" in plan._jdf.queryExecution().analyzed().toString() and "size(run" not in plan._jdf.queryExecution().analyzed().toString()

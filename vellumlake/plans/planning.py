@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumlake.functions.canonical import digest
-from vellumlake.operators.chunking import chunk_array
+from vellumlake.operators.chunking import chunk_count
 
 
 def estimate(chapters: DataFrame, cached: DataFrame, book: str, key: str, text: str, most: int = 24_000, most_output: int = 4096) -> DataFrame:
     """By book: chapters, processed, pending, and the pending ones' model calls and tokens. cached: the keys that have an
     analysis. A chapter of one chunk is one call; a longer one a call for each chunk and one to merge."""
     flag = cached.select(key).distinct().withColumn("_hit", F.lit(True))
-    n = F.size(chunk_array(F.col(text), most))
+    n = chunk_count(F.col(text), most)
     own = chapters.select(book, key, F.ceil(F.length(text) / 4).alias("_in"), n.alias("_n")).join(flag, key, "left")
     todo = F.col("_hit").isNull()
     calls = F.when(todo, F.when(F.col("_n") <= 1, 1).otherwise(F.col("_n") + 1)).otherwise(0)
