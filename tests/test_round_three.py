@@ -94,3 +94,24 @@ def test_plan_estimate_moves_counts_alone(spark):
     plan = planning.estimate(df, df.select("doc_id").limit(0), "book", "doc_id", "text", 20)
     assert "array<string>" not in plan._jdf.queryExecution().analyzed().toString() and plan.first().total_chapters == len(texts)
     assert "run(text" in plan._jdf.queryExecution().analyzed().toString() and "size(run" not in plan._jdf.queryExecution().analyzed().toString()
+
+
+def test_snapshot_faults_deal_rows_out(spark, monkeypatch):
+    from vellumlake.operators import library
+
+    monkeypatch.setattr(library, "SNAPSHOTS", 10)
+    said = '''concat('{"external_identity":{"source_system":"s","external_book_id":"', id div 4, '"},"chapter":{"index":', id % 3, '}}')'''
+    rows = spark.range(95).selectExpr("id div 4 as external_source_id", "cast(id % 4 as int) as chapter_index", f"{said} as snapshot")
+    rows = rows.unionByName(spark.createDataFrame([(1, 9, "{"), (1, 9, None), (None, 0, "{}")], rows.schema))
+    external = spark.range(1, 20).selectExpr("id as external_source_id", "'s' as source_system", "cast(if(id = 2, 3, id) as string) as external_book_id")
+    out = library.snapshot_faults(rows, external)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "hashpartitioning(external_source_id" in plan and ", 10)" in plan
+    found = sorted(map(tuple, out.collect()), key=str)
+    want = []
+    for i in range(95):
+        if not 1 <= i // 4 < 20:
+            want.append((i // 4, i % 4, "SOURCE_MISSING"))
+        elif i // 4 == 2 or i % 3 != i % 4:
+            want.append((i // 4, i % 4, "INCONSISTENT"))
+    assert found == sorted([*want, (1, 9, "INCONSISTENT"), (1, 9, "INCONSISTENT"), (None, 0, "SOURCE_MISSING")], key=str)

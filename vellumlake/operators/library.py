@@ -11,6 +11,9 @@ from .pointer import Files, Pointer
 
 KEY = ["source_system", "external_book_id", "chapter_index"]
 
+#: Rows of either side of the join of stored snapshots with their sources that a task sorts.
+SNAPSHOTS = 250_000
+
 
 def completeness(snapshots: DataFrame) -> DataFrame:
     """By book (source_system, external_book_id): are its chapters 0 to total - 1, each once, with one metadata?"""
@@ -104,14 +107,19 @@ def external_faults(external: DataFrame, books: DataFrame) -> DataFrame:
 def snapshot_faults(snapshots: DataFrame, external: DataFrame) -> DataFrame:
     """(external_source_id, chapter_index, fault) of stored snapshots (external_source_id, chapter_index, snapshot: JSON)
     that cannot be taken over: SOURCE_MISSING; INCONSISTENT, if the snapshot's own identity or index is another than its
-    source's and row's, or can't be read. external: external_source_id, source_system, external_book_id."""
+    source's and row's, or can't be read. external: external_source_id, source_system, external_book_id. Both sides are dealt out by
+    source and sorted, so many rows a task: sizes of files, which compress well, say little of the memory that rows take."""
+    parts = max(1, -(-snapshots.count() // SNAPSHOTS), -(-external.count() // SNAPSHOTS))
     form = "external_identity struct<source_system:string,external_book_id:string>, chapter struct<index:string>"
     snapshots = snapshots.withColumn("_said", F.from_json("snapshot", form))  # once for all three
     said = lambda path: F.col(f"_said.{path}")
+    placed = said("chapter.index").eqNullSafe(F.col("chapter_index").cast("string"))
+    rows = snapshots.select("external_source_id", "chapter_index", said("external_identity.source_system").alias("_system"), said("external_identity.external_book_id").alias("_book"), placed.alias("_placed"))
     own = external.select("external_source_id", "source_system", "external_book_id", F.lit(True).alias("_have"))
-    same = said("external_identity.source_system").eqNullSafe(F.col("source_system")) & said("external_identity.external_book_id").eqNullSafe(F.col("external_book_id")) & said("chapter.index").eqNullSafe(F.col("chapter_index").cast("string"))
+    same = F.col("_placed") & F.col("_system").eqNullSafe(F.col("source_system")) & F.col("_book").eqNullSafe(F.col("external_book_id"))
     fault = F.when(F.col("_have").isNull(), "SOURCE_MISSING").when(~same, "INCONSISTENT")
-    return snapshots.join(own, "external_source_id", "left").select("external_source_id", "chapter_index", fault.alias("fault")).where("fault is not null")
+    rows, own = rows.repartition(parts, "external_source_id"), own.repartition(parts, "external_source_id")
+    return rows.join(own.hint("merge"), "external_source_id", "left").select("external_source_id", "chapter_index", fault.alias("fault")).where("fault is not null")
 
 
 def historical(previous: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
