@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
-from vellumlake.llm import tokens
+from vellumlake.llm import attention, lm, tokens
 
 
 @pytest.mark.parametrize("file", ["word_bpe_49k.json", "byte_bpe_50k.json"])
@@ -26,3 +28,46 @@ def test_words_of_letters_skip_the_pre_tokeniser(file):
         flat, starts, n = enc.table.find(pa.array([w.encode() for w in some], pa.binary()))
         assert [flat[a : a + k].tolist() for a, k in zip(starts.tolist(), n.tolist(), strict=True)] == want
         assert bool(slow) != quick
+
+
+def a_block(r, docs=40):
+    """A block of documents in columns as lm reads them, and the ids of those that teach."""
+    lengths = r.integers(0, 4, 50)
+    flat, n = r.integers(0, 90, lengths.sum()), r.integers(0, 200, docs)
+    codes, held = r.integers(0, 50, n.sum()), r.random(docs) < 0.2
+    starts, borders = np.cumsum(lengths) - lengths, np.concatenate([[0], np.cumsum(n)])
+    texts = [[int(i) for c in codes[a:b] for i in flat[starts[c] : starts[c] + lengths[c]]] + [99] for a, b in zip(borders[:-1], borders[1:], strict=True)]
+    pack = zstandard.ZstdCompressor().compress
+    columns = [held.astype(np.uint8).tobytes(), borders[1:].astype("<i8").tobytes(), *(pack(x.astype("<i4").tobytes()) for x in (codes, flat, lengths))]
+    return pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in columns], list(lm.BLOCK)), [t for t, out in zip(texts, held, strict=True) if not out]
+
+
+def test_a_round_puts_together_its_own_documents(monkeypatch):
+    monkeypatch.setattr(lm, "SLICE", 1000)
+    made, gather = [], tokens.gather
+    monkeypatch.setattr(tokens, "gather", lambda *a: made.append(gather(*a)) or made[-1])
+    batch, want = a_block(np.random.default_rng(3))
+    got = [[seq[a:b].tolist() for seq, docs in lm._taught([batch], 99, k, 3) for a, b in zip(docs[:-1], docs[1:], strict=True)] for k in range(3)]
+    assert sorted(t for g in got for t in g) == sorted(want) and all(got)
+    assert sum(len(ids) for ids, _ in made) == sum(len(t) - 1 for t in want)  # all rounds together, each once
+
+
+def test_neighbours_are_counted_in_a_table_or_sorted(monkeypatch):
+    for ids in (60, 100_000):
+        r = np.random.default_rng(4)
+        w = r.integers(0, ids, (300, attention.WINDOW + 1)).astype(np.int32)
+        w[::3, 20:] = attention.PAD
+        place = np.full(ids, -1)
+        place[:40] = np.arange(40)
+        want: dict = {}
+        for row in w.tolist():
+            for a, b in zip(row[:-1], row[1:], strict=True):
+                for here, there, shift in ((a, b, 0), (b, a, 40)):
+                    if b >= 0 and place[there] >= 0:
+                        key = here * 80 + int(place[there]) + shift
+                        want[key] = want.get(key, 0) + 1
+        with monkeypatch.context() as m:
+            if ids == 60:  # few ids: nothing is sorted
+                m.setattr(np, "unique", None)
+            keys, n = attention.neighbours(w, place)
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == want and keys.tolist() == sorted(want)

@@ -20,13 +20,14 @@ BATCH, RATE = 128, 0.01
 LEAST, COMMON, SPACE = 5, 512, 48
 #: Stands in windows behind a text's end.
 PAD = -1
-#: Windows that are scored at once.
-CHUNK = 256
+#: Windows that are scored at once, and places whose classes are weighed at once.
+CHUNK, ROWS = 128, 512
 #: Exponents are kept within these.
 FAR = np.float32(100)
 KEEP = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
 _MANTISSA, _ONE, _EXPONENT = np.float32(1 << 23), np.float32(127 << 23), np.int32(-(1 << 23))
+_LEAST, _MOST = _ONE - FAR * _MANTISSA, _ONE + FAR * _MANTISSA
 
 
 def powers(y: np.ndarray) -> np.ndarray:
@@ -64,11 +65,25 @@ def windows_of(seq: np.ndarray, borders: np.ndarray, begin: int, some=None) -> n
 def neighbours(windows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How often each id stands before and after common ids. place: a number from 0 for each common id, -1 for others. Keys
     are the id times twice the common ids plus the neighbour's place, those of ids before it after the others."""
-    top = place.max() + 1
+    wide = 2 * (place.max() + 1)
     a, b = windows[:, :-1].ravel(), windows[:, 1:].ravel()
     a, b = a[b >= 0].astype(np.int64), b[b >= 0].astype(np.int64)
-    keys = [here[place[there] >= 0] * 2 * top + place[there[place[there] >= 0]] + shift for here, there, shift in ((a, b, 0), (b, a, top))]
-    return np.unique(np.concatenate(keys), return_counts=True)
+    keys = []
+    for here, there, shift in ((a, b, 0), (b, a, wide // 2)):
+        at = place[there]
+        common = np.flatnonzero(at >= 0)
+        keys.append(here[common] * wide + at[common] + shift)
+    keys = np.concatenate(keys)
+    seen = np.flatnonzero(np.bincount(np.concatenate([a, b]))) if len(a) else a
+    if len(seen) * wide > 4 * len(keys):
+        return np.unique(keys, return_counts=True)
+    # ids seen are few enough for a table of all that could be there
+    rank = np.zeros(int(seen[-1]) + 1 if len(seen) else 1, np.int64)
+    rank[seen] = np.arange(len(seen))
+    own = keys // wide
+    n = np.bincount(keys + (rank[own] - own) * wide, minlength=len(seen) * wide)
+    at = np.flatnonzero(n)
+    return seen[at // wide] * wide + at % wide, n[at]
 
 
 def spanned(z: np.ndarray) -> np.ndarray:
@@ -110,8 +125,31 @@ def drawn(cls: np.ndarray, count: np.ndarray, closing: np.ndarray, seed: int = 5
     return {"e": e, "p": draw(WINDOW, d), "m": m, "o": draw(d, CLASSES, scale=0.4), "b": np.log2(np.bincount(cls, weights=count, minlength=CLASSES) + 1.0).astype(np.float32)}
 
 
+def scaled(o: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, bool]:
+    """o and b in a matrix that takes rows of h and a one to what `powers` makes of floats' bits, and if nothing can get beyond FAR."""
+    out = np.concatenate([o, b[None]]).astype(np.float32) * _MANTISSA
+    out[-1] += _ONE
+    return out, float((np.abs(o).sum(0) + np.abs(b)).max(initial=0)) < FAR
+
+
+def raised(y: np.ndarray, bits: np.ndarray, near: bool) -> np.ndarray:
+    """Powers of scaled exponents y (which is overwritten), in `bits` (32-bit integers of y's shape)."""
+    if not near:
+        np.clip(y, _LEAST, _MOST, out=y)
+    np.copyto(bits, y, casting="unsafe")
+    return bits.view(np.float32)
+
+
+def with_one(x: np.ndarray) -> np.ndarray:
+    out = np.empty((len(x), x.shape[1] + 1), np.float32)
+    out[:, :-1] = x
+    out[:, -1] = 1
+    return out
+
+
 def gradients(p: dict, e: np.ndarray, want: np.ndarray, real: np.ndarray) -> tuple[dict, np.ndarray, float]:
-    """Of the mean loss over the real places: by parameter, by place's embedding e, and the loss in bits."""
+    """Of the mean loss over the real places: by parameter, by place's embedding e, and the loss in bits. The classes' part
+    is done for ROWS places at a time, so that what it holds stays near the processor."""
     n, wide, d = *e.shape[:2], WIDTH
     x = (e + p["p"]).reshape(-1, d)
     y = (x @ p["m"]).reshape(n, wide, 4 * d)
@@ -119,36 +157,53 @@ def gradients(p: dict, e: np.ndarray, want: np.ndarray, real: np.ndarray) -> tup
     a = powers(q @ k.transpose(0, 2, 1))
     a *= KEEP
     ds = slopes(a)
-    under = np.float32(1) / a.sum(-1, keepdims=True)
+    under = (np.float32(1) / (a.reshape(-1, wide) @ np.ones(wide, np.float32))).reshape(n, wide, 1)
     a *= under
     ds *= under
-    u = (a @ v + y[..., 3 * d :]).reshape(-1, d)
+    u = (a @ v).reshape(-1, d)
+    u += y.reshape(-1, 4 * d)[:, 3 * d :]
     size = np.abs(u)
     size += 1
-    h = u / size
-    z = h @ p["o"]
-    z += p["b"]
-    z = powers(z)
-    total = z @ np.ones(z.shape[1], np.float32)
-    real = real.ravel()
+    h = np.empty((len(u), d + 1), np.float32)
+    np.divide(u, size, out=h[:, :d])
+    h[:, d] = 1
+    real, want = real.ravel(), want.ravel()
     share = real / np.float32(real.sum())
-    rows, want = np.arange(len(z)), want.ravel()
-    got = z[rows, want]
-    loss = float(share @ np.log2(total / got))
-    dz = slopes(z)
-    own = dz[rows, want] / got * share
-    dz *= (share / total)[:, None]
-    dz[rows, want] -= own
-    g = {"o": h.T @ dz, "b": dz.sum(0)}
-    du = (dz @ p["o"].T) / (size * size)
+    by, near = scaled(p["o"], p["b"])
+    back = np.ascontiguousarray(p["o"].T)
+    ones, du, go, loss = np.ones(by.shape[1], np.float32), np.empty_like(u), np.zeros_like(by), 0.0
+    most = min(ROWS, len(h))
+    z_, bits_, flat_ = np.empty((most, by.shape[1]), np.float32), np.empty((most, by.shape[1]), np.int32), np.arange(most) * by.shape[1]
+    for at in range(0, len(h), most):
+        some, s = h[at : at + most], share[at : at + most]
+        z, bits = np.dot(some, by, out=z_[: len(some)]), bits_[: len(some)]
+        w = raised(z, bits, near)
+        total = w @ ones
+        own = flat_[: len(some)] + want[at : at + most]
+        got = w.ravel()[own]
+        loss += float(s @ np.log2(total / got))
+        bits &= _EXPONENT  # slopes
+        dz = w.ravel()
+        dz[own] -= dz[own] * total / got
+        s = (s / total)[:, None]
+        go += (some * s).T @ w
+        np.multiply(w @ back, s, out=du[at : at + most])
+    g = {"o": go[:d], "b": go[d]}
+    size *= size
+    du /= size
     du3 = du.reshape(n, wide, d)
     da = du3 @ v.transpose(0, 2, 1)
-    da -= (da * a).sum(-1, keepdims=True)
+    da -= ((da.reshape(-1, wide) * a.reshape(-1, wide)) @ np.ones(wide, np.float32)).reshape(n, wide, 1)
     ds *= da
-    dy = np.concatenate([ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ du3, du3], -1).reshape(-1, 4 * d)
+    dy = np.empty((n, wide, 4 * d), np.float32)
+    np.matmul(ds, k, out=dy[..., :d])
+    np.matmul(ds.transpose(0, 2, 1), q, out=dy[..., d : 2 * d])
+    np.matmul(a.transpose(0, 2, 1), du3, out=dy[..., 2 * d : 3 * d])
+    dy[..., 3 * d :] = du3
+    dy = dy.reshape(-1, 4 * d)
     g["m"] = x.T @ dy
     dx = dy @ p["m"].T
-    g["p"] = dx.reshape(n, wide, d).sum(0)
+    g["p"] = dx.reshape(n, wide * d).sum(0).reshape(wide, d)
     return g, dx, loss
 
 
@@ -166,21 +221,41 @@ class Learner:
         p = self.p
         inside = w[:, :-1] >= 0
         real, ids = w[:, 1:] >= 0, np.where(inside, w[:, :-1], 0)
-        g, dx, loss = gradients(p, p["e"][ids], self.cls[w[:, 1:]], real)
-        flat = np.flatnonzero(inside.ravel())
-        key = ids.ravel()[flat].astype(np.uint16 if len(self.cls) <= 1 << 16 else np.int64)
+        g, dx, loss = gradients(p, np.take(p["e"], ids, axis=0), np.take(self.cls, w[:, 1:], mode="wrap"), real)
+        key, flat = ids.ravel().astype(np.uint16 if len(self.cls) <= 1 << 16 else np.int64), None
+        if not inside.all():
+            flat = np.flatnonzero(inside.ravel())
+            key = key[flat]
         order = np.argsort(key, kind="stable")  # of 16 bits, by radix
         key = key[order]
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1])
-        own, y = key[starts].astype(np.int64), np.add.reduceat(dx[flat[order]], starts)
+        own, y = key[starts].astype(np.int64), np.add.reduceat(np.take(dx, order if flat is None else flat[order], axis=0), starts)
         self.steps, self.weight = self.steps + 1, self.weight + len(w)
         self.seen[own] += 1
-        for name, rows, y, step in [("e", own, y, self.seen[own][:, None]), *((k, slice(None), v, self.steps) for k, v in g.items())]:
-            m = self.first[name][rows] = 0.9 * self.first[name][rows] + 0.1 * y
-            v = self.second[name][rows] = 0.99 * self.second[name][rows] + 0.01 * y * y
-            p[name][rows] -= (self.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)).astype(np.float32)
+        first, second, rows = (np.take(x, own, axis=0) for x in (self.first["e"], self.second["e"], p["e"]))
+        seen = self.seen[own][:, None].astype(np.float32)
+        self._step(first, second, rows, y, 1 - np.float32(0.9) ** seen, 1 - np.float32(0.99) ** seen)
+        self.first["e"][own], self.second["e"][own], p["e"][own] = first, second, rows
+        for name, y in g.items():
+            self._step(self.first[name], self.second[name], p[name], y, np.float32(1 - 0.9**self.steps), np.float32(1 - 0.99**self.steps))
         return loss
 
+    def _step(self, first: np.ndarray, second: np.ndarray, x: np.ndarray, y: np.ndarray, under, under_square) -> None:
+        """Adam's step of x along y, in place, in single precision."""
+        first *= np.float32(0.9)
+        first += np.float32(0.1) * y
+        second *= np.float32(0.99)
+        y = y * y
+        y *= np.float32(0.01)
+        second += y
+        np.divide(second, under_square, out=y)
+        np.sqrt(y, out=y)
+        y += np.float32(1e-8)
+        y *= under
+        np.divide(first, y, out=y)
+        y *= np.float32(self.rate)
+        x -= y
+
 
 def fitted(windows: np.ndarray, p: dict, cls: np.ndarray, steps: int, batch: int = 64, seed: int = 5) -> dict:
     """p after steps on windows drawn again and again, the rate falling in the second half."""
@@ -210,25 +285,33 @@ class Attention:
         before[1:] = ids
         before[borders[:-1][n > 0]] = begin
         target, d = self.cls[ids], WIDTH
-        ones, all_, place = np.ones((WINDOW, 1), np.float32), np.ones(self.o.shape[1], np.float32), np.arange(WINDOW)
-        for at in range(0, len(text), CHUNK):
-            t, w = text[at : at + CHUNK], number[at : at + CHUNK]
-            start = (borders[t] + w * STRIDE)[:, None]
-            left = (borders[t + 1])[:, None] - start
-            where = start + place
-            x = np.take(self.table, before[np.minimum(where, len(ids) - 1)], axis=0)
-            x += self.place
-            a = powers(x[..., :d] @ x[..., d : 2 * d].transpose(0, 2, 1))
-            a *= KEEP
-            h = a @ x[..., 2 * d : 3 * d]
-            h /= a @ ones  # sums along short rows are quicker as products
-            h += x[..., 3 * d :]
-            inside = np.flatnonzero((place < left) & ((w[:, None] == 0) | (place >= WINDOW - STRIDE)))
-            h = np.take(h.reshape(-1, d), inside, axis=0)
-            h /= np.abs(h) + 1
-            z = h @ self.o
-            z += self.b
-            z = powers(z)
-            at_ = where.ravel()[inside]
-            out[at_] = np.log10(z[np.arange(len(z)), target[at_]] / (z @ all_))
+        by, near = scaled(self.o, self.b)
+        ones, all_, place = np.ones((WINDOW, 1), np.float32), np.ones(by.shape[1], np.float32), np.arange(WINDOW)
+        z_, bits_, flat_ = np.empty((ROWS, by.shape[1]), np.float32), np.empty((ROWS, by.shape[1]), np.int32), np.arange(ROWS) * by.shape[1]
+        first = number == 0
+        for skip, group in ((0, np.flatnonzero(first)), (WINDOW - STRIDE, np.flatnonzero(~first))):  # places that the window before scores
+            keep, later = KEEP[skip:], place[skip:]
+            for at in range(0, len(group), CHUNK):
+                t, w = text[group[at : at + CHUNK]], number[group[at : at + CHUNK]]
+                start = (borders[t] + w * STRIDE)[:, None]
+                left = (borders[t + 1])[:, None] - start
+                where = start + place
+                x = np.take(self.table, before[np.minimum(where, len(ids) - 1)], axis=0)
+                x += self.place
+                a = powers(x[:, skip:, :d] @ x[..., d : 2 * d].transpose(0, 2, 1))
+                a *= keep
+                h = a @ x[..., 2 * d : 3 * d]
+                h /= a @ ones  # sums along short rows are quicker as products
+                h += x[:, skip:, 3 * d :]
+                inside = np.flatnonzero(later < left)
+                u = np.take(h.reshape(-1, d), inside, axis=0)
+                h = np.empty((len(u), d + 1), np.float32)
+                np.divide(u, np.abs(u) + 1, out=h[:, :d])
+                h[:, d] = 1
+                at_ = where[:, skip:].ravel()[inside]
+                for k in range(0, len(h), ROWS):
+                    some = h[k : k + ROWS]
+                    z = raised(np.dot(some, by, out=z_[: len(some)]), bits_[: len(some)], near)
+                    here = at_[k : k + ROWS]
+                    out[here] = np.log10(z.ravel()[flat_[: len(some)] + target[here]] / (z @ all_))
         return out

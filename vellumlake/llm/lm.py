@@ -63,13 +63,15 @@ def shares(count: np.ndarray, cls: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
-def mixed(unigram: np.ndarray, by_ids: np.ndarray, weight: float) -> np.ndarray:
-    """log10 of weight parts of the probabilities unigram and the rest of those that by_ids has the log10 of."""
+def mixed(unigram: np.ndarray, by_ids: np.ndarray, weight: float, raised: np.ndarray | None = None) -> np.ndarray:
+    """log10 of weight parts of the probabilities unigram and the rest of those that by_ids has the log10 of. raised: the
+    latter, where they are known, 1e-300 at least."""
     rest = by_ids + np.log10(1 - weight)
     if not weight:
         return rest
-    top = np.maximum(rest, -300)
-    return np.where(unigram > 0, np.log10(weight * unigram + 10**top), rest)
+    if raised is None:
+        raised = 10.0 ** np.maximum(by_ids, -300)
+    return np.where(unigram > 0, np.log10(weight * unigram + (1 - weight) * raised), rest)
 
 
 class Lm:
@@ -90,16 +92,17 @@ class Block:
         self.codes = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["codes"]), "<i4")
         self.flat, self.lengths = words_of_block(row)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.ones(len(self.held), np.int64)  # of each document, with its end
+        if len(self.codes):
+            words = np.concatenate([[0], np.cumsum(self.lengths[self.codes], dtype=np.int64)])
+            self.ids += words[self.borders[1:]] - words[self.borders[:-1]]
 
     def slices(self, which: np.ndarray, end: int):
         """Of the documents with these numbers, some at a time: the numbers, the ids (each document's with an end), and the
         borders of documents and of words (the end is one) in them."""
         from vellumlake.llm.tokens import gather
 
-        n = np.diff(self.borders)[which]
-        words = np.concatenate([[0], np.cumsum(self.lengths[self.codes], dtype=np.int64)]) if len(self.codes) else np.zeros(1, np.int64)
-        ids = words[self.borders[which + 1]] - words[self.borders[which]] + 1
-        del words
+        n, ids = np.diff(self.borders)[which], self.ids[which]
         group = (np.cumsum(ids) - ids) // SLICE
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(group)) + 1, [len(which)]]) if len(which) else np.zeros(1, int)
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -208,14 +211,19 @@ def gathered(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, codes: n
     return gather(flat, starts, lengths, codes)[0]
 
 
-def _taught(batches, end: int):
-    """Of blocks, the training documents some at a time: ids and borders."""
+def _blocks(batches):
     for batch in batches:
         for i in range(batch.num_rows):
-            b = Block({k: batch.column(c)[i].as_py() for c, k in enumerate(BLOCK)})
-            for _, seq, docs, _, _ in b.slices(np.flatnonzero(~b.held), end):
-                yield seq, docs
-            del b
+            yield Block({k: batch.column(c)[i].as_py() for c, k in enumerate(BLOCK)})
+
+
+def _taught(batches, end: int, number: int = 0, of: int = 1):
+    """Of blocks, the training documents some at a time: ids and borders. number, of: of so many shares of each block's
+    documents, this one."""
+    for b in _blocks(batches):
+        for _, seq, docs, _, _ in b.slices(np.flatnonzero(~b.held)[number::of], end):
+            yield seq, docs
+        del b
 
 
 def classes(blocks: DataFrame, count: np.ndarray, closing: np.ndarray, begin: int, scratch: Scratch, seed: int = 3) -> np.ndarray:
@@ -322,12 +330,19 @@ def some_windows(blocks: DataFrame, begin: int, share: float) -> np.ndarray:
     def run(batches):
         import pyarrow as pa
 
-        for number, (seq, docs) in enumerate(_taught(batches, begin + 1)):
-            rng = np.random.default_rng([number, len(seq), int(seq[: 4 * WINDOW].sum())])
-            text, at = places(docs, WINDOW)
+        for number, b in enumerate(_blocks(batches)):
+            rng = np.random.default_rng([number, len(b.codes), int(b.codes[:WINDOW].sum())])
+            which = np.flatnonzero(~b.held)
+            text, at = places(np.concatenate([[0], np.cumsum(b.ids[which])]), WINDOW)
             chosen = np.flatnonzero(rng.random(len(text)) < share)
-            w = windows_of(seq, docs, begin, (text[chosen], at[chosen]))
-            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
+            held, own = np.unique(text[chosen], return_inverse=True)  # only documents of these windows are put together
+            first = 0
+            for some, seq, docs, _, _ in b.slices(which[held], begin + 1):
+                here = np.flatnonzero((own >= first) & (own < first + len(some)))
+                w = windows_of(seq, docs, begin, (own[here] - first, at[chosen[here]]))
+                first += len(some)
+                yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary())], ["w"])
+            del b
 
     got = sorted(blocks.mapInArrow(run, "w binary").toPandas()["w"])
     w = np.frombuffer(b"".join(got), "<i4").reshape(-1, WINDOW + 1)
@@ -336,7 +351,7 @@ def some_windows(blocks: DataFrame, begin: int, share: float) -> np.ndarray:
 
 def learnt(spark: SparkSession, blocks: DataFrame, p: dict, cls: np.ndarray, begin: int) -> dict:
     """Goes on from p over all windows of training documents, each once. In a round each task learns from its share of
-    them; then parameters are averaged over tasks by their windows, an id's row by the steps that held it."""
+    its documents; then parameters are averaged over tasks by their windows, an id's row by the steps that held it."""
     for number in range(ROUNDS):
         shared = spark.sparkContext.broadcast((p, cls.astype(np.int64), AGAIN_RATE * (1 - number / ROUNDS)))
 
@@ -347,9 +362,9 @@ def learnt(spark: SparkSession, blocks: DataFrame, p: dict, cls: np.ndarray, beg
             task = TaskContext.get().partitionId()
             rng = np.random.default_rng([number, task])
             m = Learner(*shared.value)
-            for seq, docs in _taught(batches, begin + 1):
+            for seq, docs in _taught(batches, begin + 1, number, ROUNDS):
                 text, at = places(docs, WINDOW)
-                order = rng.permutation(np.arange(number, len(text), ROUNDS))
+                order = rng.permutation(len(text))
                 for k in range(0, len(order), BATCH):
                     some = order[k : k + BATCH]
                     m.learn(windows_of(seq, docs, begin, (text[some], at[some])))
@@ -472,30 +487,29 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch
             for idx, k in counts:
                 c[np.frombuffer(idx, "<i4")] = np.frombuffer(k, "<i8")
             c[-1] = n_ends
+            # by word: what doesn't depend on the words around it
+            base_of, share_of, less_of = np.log10((c + 1) / (n + v + 1)), c / max(n, 1), np.maximum(c - 1, 0) / max(n - 1, 1)
+            by_id = np.concatenate([[0.0], np.cumsum(m.share[own.classes_before(b.flat, b.starts, b.lengths, m.attention.cls), b.flat], dtype=np.float64)])
+            within = np.append(by_id[b.starts + b.lengths] - by_id[b.starts], m.share[own.CLASSES, m.end])
             doc_ids, has_id = np.frombuffer(held["doc_ids"], "<i8"), np.frombuffer(held["has_id"], np.uint8) != 0
             for which, seq, docs, cuts, codes in b.slices(np.arange(len(b.held)), m.end):
                 log = m.attention.score(seq, docs, m.begin)
-                cls = m.attention.cls
-                before = np.full(len(seq), own.CLASSES, np.int64)
-                before[1:] = cls[seq[:-1]]
-                words = np.diff(cuts)
-                before[cuts[:-1][words > 0]] = own.CLASSES
-                log += m.share[before, seq]
                 total = np.concatenate([[0.0], np.cumsum(log, dtype=np.float64)])
-                by_ids = total[cuts[1:]] - total[cuts[:-1]]
                 sizes = np.diff(b.borders)[which] + 1
                 ends = np.cumsum(sizes)
                 number = np.insert(codes, ends - sizes + np.diff(b.borders)[which] - np.arange(len(sizes)), len(c) - 1)
+                by_ids = total[cuts[1:]] - total[cuts[:-1]] + within[number]
                 found = c[number]
                 starts = ends - sizes
                 summed = lambda x: np.add.reduceat(x, starts)
-                base = summed(np.log10((found + 1) / (n + v + 1)))
-                share, less = found / max(n, 1), np.maximum(found - 1, 0) / max(n - 1, 1)
+                base = summed(base_of[number])
+                share, raised = share_of[number], 10.0 ** np.maximum(by_ids, -300)
                 scores, others = [], []
-                taught = np.repeat(~b.held[which], sizes)
+                taught = np.flatnonzero(np.repeat(~b.held[which], sizes))
+                less, by_taught, raised_taught = less_of[number[taught]], by_ids[taught], raised[taught]
                 for weight in own.WEIGHTS:
-                    scores.append(summed(own.mixed(share, by_ids, weight)))
-                    others.append(float(own.mixed(less[taught], by_ids[taught], weight).sum()))
+                    scores.append(summed(own.mixed(share, by_ids, weight, raised)))
+                    others.append(float(own.mixed(less, by_taught, weight, raised_taught).sum()))
                 k = len(which)
                 columns = [pa.array(doc_ids[which], mask=~has_id[which]), pa.array(b.held[which]), pa.array(sizes), pa.array(summed((found > 0).astype(np.int64))), pa.array(base)]
                 columns.append(pa.array(np.stack(scores, 1).tolist(), pa.list_(pa.float64())))
