@@ -71,3 +71,62 @@ def test_neighbours_are_counted_in_a_table_or_sorted(monkeypatch):
                 m.setattr(np, "unique", None)
             keys, n = attention.neighbours(w, place)
         assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == want and keys.tolist() == sorted(want)
+
+
+def test_a_block_looks_its_words_up_once(monkeypatch):
+    import types
+
+    import pyspark
+    from public_tokenizers import path
+
+    spec, found, run = tokens.read_file(path("word_bpe_49k.json")), [], []
+    column = types.SimpleNamespace(cast=lambda *a: column, alias=lambda *a: column)
+    docs = types.SimpleNamespace(select=lambda *a: docs, mapInArrow=lambda f, _: run.append(f))
+    spark = types.SimpleNamespace(sparkContext=types.SimpleNamespace(broadcast=lambda x: types.SimpleNamespace(value=x)))
+    monkeypatch.setattr(lm, "F", types.SimpleNamespace(col=lambda *a: column))
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: types.SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(lm, "TEXT_BATCH", 2)
+    find = tokens.Table.find
+    monkeypatch.setattr(tokens.Table, "find", lambda self, keys: found.extend(keys.to_pylist()) or find(self, keys))
+    lm._scan(spark, docs, spec, 50_000)
+    texts = ["The tree", None, "tree the river", "", "a river", "tree"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, None, 5, 6]), pa.array([False, False, True, False, False, False]), pa.array(texts)], ["doc_id", "held_out", "text"])
+    rows = [r for b in run[0](iter([batch])) for r in b.to_pylist()]
+    assert found == [b"the", b"tree", b"river", b"a"]
+    assert [(r["word"], r["n"], r["idx"]) for r in rows if r["kind"] == lm.WORDS] == [(b"the", 1, 0), (b"tree", 2, 1), (b"river", 1, 2), (b"a", 1, 3)]
+    block = next(r for r in rows if r["kind"] == lm.DOCS)
+    assert np.frombuffer(zstandard.ZstdDecompressor().decompress(block["codes"]), "<i4").tolist() == [0, 1, 1, 0, 2, 3, 2, 1]
+
+
+def test_kept_keys_are_found_again():
+    learnt: list = []
+    table = tokens.Table(lambda keys: learnt.extend(keys.to_pylist()) or (np.arange(2 * len(keys), dtype=np.uint32), np.full(len(keys), 2)), most=2)
+    keys = pa.array([b"a", b"b" * 65, b"c", b"d"], pa.large_binary())
+    flat, starts, lengths = table.find(keys)
+    table.keep(keys, tokens.gather(flat, starts, lengths, np.arange(4))[0], lengths)
+    learnt.clear()
+    flat, starts, lengths = table.find(keys)
+    assert learnt == [b"b" * 65, b"d"]  # too long, and one too many
+    assert [flat[a : a + k].tolist() for a, k in zip(starts.tolist(), lengths.tolist(), strict=True)] == [[0, 1], [0, 1], [4, 5], [2, 3]]
+
+
+def test_words_are_summed_over_blocks():
+    batches = [([7, 2], [0, 1], [3, 0], [b"x", b"y"]), ([2, 7, 7], [0, 4, 9], [2, 0, 0], [b"x", b"y", b"z"])]
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary())
+    made = [pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(b, kinds, strict=True)], ["block", "idx", "n", "word"]) for b in batches]
+    got = [r for b in lm._summed(iter(made)) for r in b.to_pylist()]
+    read = [(r["block"], r["n"], r["v"], sorted(zip(np.frombuffer(r["idx"], "<i4").tolist(), np.frombuffer(r["c"], "<i8").tolist(), strict=True))) for r in got]
+    assert read == [(2, 2, 1, [(0, 5), (1, 0)]), (7, 3, 0, [(0, 5), (4, 0), (9, 0)])]  # words that aren't taught aren't counted
+    assert list(lm._summed(iter([]))) == []
+
+
+def test_mixtures_in_single_precision():
+    by_ids = np.array([-0.5, -3.0, -35.0, -60.0, -60.0, -1e6])
+    unigram = np.array([0.1, 0.0, 0.0, 0.0, 1e-7, 0.0])
+    raised = np.exp(by_ids.astype(np.float32) * np.float32(np.log(10)))
+    low = np.flatnonzero((by_ids < lm.LOW) & (unigram == 0))
+    for weight in lm.WEIGHTS:
+        rest = by_ids + np.log10(1 - weight)
+        want = np.where(unigram > 0, np.log10(np.maximum(weight * unigram + (1 - weight) * 10.0**by_ids, 1e-300)), rest) if weight else rest
+        got = lm.mixed(unigram.astype(np.float32), by_ids, weight, raised, low)
+        assert np.allclose(got, want, rtol=1e-6, atol=1e-6)

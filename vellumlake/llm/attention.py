@@ -74,6 +74,8 @@ def neighbours(windows: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.n
         common = np.flatnonzero(at >= 0)
         keys.append(here[common] * wide + at[common] + shift)
     keys = np.concatenate(keys)
+    if len(place) * wide < 1 << 31:
+        keys = keys.astype(np.int32)  # half as much to sort
     seen = np.flatnonzero(np.bincount(np.concatenate([a, b]))) if len(a) else a
     if len(seen) * wide > 4 * len(keys):
         return np.unique(keys, return_counts=True)
@@ -171,7 +173,7 @@ def gradients(p: dict, e: np.ndarray, want: np.ndarray, real: np.ndarray) -> tup
     share = real / np.float32(real.sum())
     by, near = scaled(p["o"], p["b"])
     back = np.ascontiguousarray(p["o"].T)
-    ones, du, go, loss = np.ones(by.shape[1], np.float32), np.empty_like(u), np.zeros_like(by), 0.0
+    ones, du, go, gb, loss = np.ones(by.shape[1], np.float32), np.empty_like(u), np.zeros_like(back), np.zeros_like(by[0]), 0.0
     most = min(ROWS, len(h))
     z_, bits_, flat_ = np.empty((most, by.shape[1]), np.float32), np.empty((most, by.shape[1]), np.int32), np.arange(most) * by.shape[1]
     for at in range(0, len(h), most):
@@ -185,10 +187,12 @@ def gradients(p: dict, e: np.ndarray, want: np.ndarray, real: np.ndarray) -> tup
         bits &= _EXPONENT  # slopes
         dz = w.ravel()
         dz[own] -= dz[own] * total / got
-        s = (s / total)[:, None]
-        go += (some * s).T @ w
+        s = s / total
+        gb += s @ w
+        s = s[:, None]
+        go += w.T @ (some[:, :d] * s)  # quicker than its transpose
         np.multiply(w @ back, s, out=du[at : at + most])
-    g = {"o": go[:d], "b": go[d]}
+    g = {"o": np.ascontiguousarray(go.T), "b": gb}
     size *= size
     du /= size
     du3 = du.reshape(n, wide, d)

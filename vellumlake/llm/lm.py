@@ -13,7 +13,7 @@ numbers, so texts are never moved and a very common word is one row for each blo
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attention import BATCH, CLASSES, COMMON, LEAST, SPACE, WIDTH, WINDOW, Attention, Learner, clustered, drawn, few, fitted, neighbours, places, spanned, windows_of
@@ -27,17 +27,20 @@ FIRST_WINDOWS, FIRST_PASSES, LEAST_STEPS, MOST_STEPS, ROUNDS, AGAIN_RATE = 40_00
 BUCKETS = 64
 #: Bytes of text after which a task closes a block of documents, and ids of whole documents that are worked on at once.
 BLOCK_BYTES, SLICE = 32 << 20, 1 << 20
+#: Rows of blocks and of their words' counts that a worker takes at once.
+WIDE = 16
 #: Added to an id's count within its class, and to what is known with the class before.
 SMOOTHING, BACKING = 0.5, 10
 #: Weights of the words' own shares that are tried.
 WEIGHTS = (0.0, 0.03, 0.1, 0.2, 0.4)
+#: log10 of probabilities that single precision takes for 0, or is inexact for.
+LOW = -36
 
 ROWS = "kind int, block long, idx int, word binary, n long, doc_ids binary, has_id binary, held binary, ends binary, codes binary, subs binary, sizes binary, counts binary"
 DOCS, WORDS, IDS = 0, 1, 2
 #: What a block of documents is read from.
 BLOCK = ("held", "ends", "codes", "subs", "sizes")
-#: Rows of texts that a task tokenises at once, and pieces that it remembers: telling which of a batch are known takes time for
-#: each of these.
+#: Rows of texts that a task cuts into words at once, and words of its last block whose ids it remembers.
 TEXT_BATCH, CACHE = 1000, 250_000
 
 
@@ -63,15 +66,18 @@ def shares(count: np.ndarray, cls: np.ndarray, begin: int) -> np.ndarray:
     return out
 
 
-def mixed(unigram: np.ndarray, by_ids: np.ndarray, weight: float, raised: np.ndarray | None = None) -> np.ndarray:
-    """log10 of weight parts of the probabilities unigram and the rest of those that by_ids has the log10 of. raised: the
-    latter, where they are known, 1e-300 at least."""
-    rest = by_ids + np.log10(1 - weight)
+def mixed(unigram: np.ndarray, by_ids: np.ndarray, weight: float, raised: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """log10 of weight parts of the probabilities unigram and the rest of those that by_ids has the log10 of, in single precision.
+    raised: the latter; low: where these are too low for it and unigram is 0."""
     if not weight:
-        return rest
-    if raised is None:
-        raised = 10.0 ** np.maximum(by_ids, -300)
-    return np.where(unigram > 0, np.log10(weight * unigram + (1 - weight) * raised), rest)
+        return by_ids
+    out = unigram * np.float32(weight)
+    out += raised * np.float32(1 - weight)
+    out[low] = 1
+    np.log(out, out=out)
+    out *= np.float32(np.log10(np.e))
+    out[low] = by_ids[low] + np.log10(1 - weight)
+    return out
 
 
 class Lm:
@@ -97,9 +103,9 @@ class Block:
             words = np.concatenate([[0], np.cumsum(self.lengths[self.codes], dtype=np.int64)])
             self.ids += words[self.borders[1:]] - words[self.borders[:-1]]
 
-    def slices(self, which: np.ndarray, end: int):
-        """Of the documents with these numbers, some at a time: the numbers, the ids (each document's with an end), and the
-        borders of documents and of words (the end is one) in them."""
+    def slices(self, which: np.ndarray, end: int, words: bool = True):
+        """Of the documents with these numbers, some at a time: the numbers, the ids (each document's with an end), the borders
+        of documents and (if asked for) of words (the end is one) in them, and the words' numbers."""
         from vellumlake.llm.tokens import gather
 
         n, ids = np.diff(self.borders)[which], self.ids[which]
@@ -113,8 +119,11 @@ class Block:
                 codes = np.concatenate([self.codes[self.borders[i] : self.borders[i + 1]] for i in some.tolist()])
             seq, ends = gather(self.flat, self.starts, self.lengths, codes)
             cut = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(k)])]
-            seq = np.insert(seq.astype(np.int64), cut[1:], end)
+            seq = np.insert(seq.astype(np.int64) if words else seq, cut[1:], end)
             docs = cut + np.arange(len(cut))
+            if not words:
+                yield some, seq, docs, None, codes
+                continue
             last = np.cumsum(k)  # the ends are words after each document's last
             sizes = np.insert(self.lengths[codes], last, 1)
             yield some, seq, docs, np.concatenate([[0], np.cumsum(sizes)]), codes
@@ -145,53 +154,55 @@ def _scan(spark: SparkSession, docs: DataFrame, spec: str, begin: int) -> DataFr
         enc, number = encoder(shared.value, own.CACHE), TaskContext.get().partitionId() << 20
         pack = zstandard.ZstdCompressor(level=1).compress
         schema = pa.schema([(f.split()[0], {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in own.ROWS.split(", ")])
-        words: dict = {}
-        subs: list = []
-        sizes: list = []
-        counts = np.zeros(0, np.int64)
         ids = np.zeros(begin + 2, np.int64)
         held: list = []
+        distinct: list = []
         size = 0
 
         def rows(size_, **columns):
             return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size_, f.type) for f in schema], schema=schema)
 
         def flush():
-            nonlocal number, words, subs, sizes, counts, held, size, ids
-            doc_ids, has_id, out, n, codes = (np.concatenate(x) for x in zip(*held, strict=True))
-            flat, lengths = np.concatenate(subs).astype("<i4"), np.concatenate(sizes).astype("<i4")
+            nonlocal number, held, distinct, size, ids
+            # the batches' distinct words are told apart once for the block, and looked up once
+            coded = pa.chunked_array(distinct).combine_chunks().dictionary_encode()
+            words, numbers = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+            upto = np.cumsum([0, *map(len, distinct)])
+            distinct = []
+            taught = np.concatenate([x[4] for x in held])
+            counts = np.bincount(numbers, weights=taught, minlength=len(words)).astype(np.int64)
+            codes = np.concatenate([numbers[a:b][x[5]] for a, b, x in zip(upto[:-1], upto[1:], held, strict=True)])
+            doc_ids, has_id, out, n = (np.concatenate(x) for x in list(zip(*held, strict=True))[:4])
+            held = []
+            del coded, numbers, taught
+            found, starts, lengths = enc.table.find(words)
+            flat, lengths = own.gathered(found, starts, lengths, np.arange(len(words))).astype("<i4"), lengths.astype("<i4")
+            enc.table.keep(words, flat, lengths)
+            del found, starts
             ids += np.bincount(flat, weights=np.repeat(counts, lengths), minlength=len(ids)).astype(np.int64)
             ids[begin + 1] += int((out == 0).sum())
             small = {"doc_ids": doc_ids, "has_id": has_id, "held": out, "ends": np.cumsum(n).astype("<i8")}
             large = {"codes": codes.astype("<i4"), "subs": flat, "sizes": lengths, "counts": counts.astype("<i8")}
             yield rows(1, kind=[own.DOCS], block=[number], idx=[-1], **{k: [x.tobytes()] for k, x in small.items()}, **{k: [pack(x.tobytes())] for k, x in large.items()})
             del small, large, codes, flat, lengths
-            every = list(words)
-            for at in range(0, len(every), 20_000):
-                some = every[at : at + 20_000]
+            for at in range(0, len(words), 20_000):
+                some = words.slice(at, 20_000).cast(pa.binary())
                 k = len(some)
                 yield rows(k, kind=np.full(k, own.WORDS), block=np.full(k, number), idx=np.arange(at, at + k), word=some, n=counts[at : at + k])
-            number, words, subs, sizes, counts, held, size = number + 1, {}, [], [], np.zeros(0, np.int64), [], 0
-            del every
+            number, size = number + 1, 0
+            del words, counts
             give_back()
 
         for whole in batches:
             for at in range(0, whole.num_rows, own.TEXT_BATCH):
                 batch = whole.slice(at, own.TEXT_BATCH)
                 out = batch.column(1).to_numpy(zero_copy_only=False)
-                distinct, codes, borders = words_of(batch.column(2))
-                flat, starts, lengths = enc.table.find(distinct)
+                some, codes, borders = words_of(batch.column(2))
                 n = np.diff(borders)
-                taught = np.bincount(codes[np.repeat(~out, n)], minlength=len(distinct))
-                known = len(words)
-                numbers = np.fromiter((words.setdefault(w, len(words)) for w in distinct.to_pylist()), np.int64, len(distinct))
-                new = np.flatnonzero(numbers >= known)
-                subs.append(own.gathered(flat, starts, lengths, new).astype(np.int32))
-                sizes.append(lengths[new].astype(np.int32))
-                counts = np.concatenate([counts, np.zeros(len(words) - len(counts), np.int64)])
-                counts[numbers] += taught  # no number is there twice
+                taught = np.bincount(codes[np.repeat(~out, n)], minlength=len(some))
                 doc = batch.column(0)
-                held.append((doc.fill_null(0).to_numpy().astype("<i8"), np.array(doc.is_valid(), np.uint8), out.astype(np.uint8), n, numbers.astype(np.int32)[codes] if len(codes) else codes.astype(np.int32)))
+                held.append((doc.fill_null(0).to_numpy().astype("<i8"), np.array(doc.is_valid(), np.uint8), out.astype(np.uint8), n, taught, codes.astype(np.int32)))
+                distinct.append(some)
                 size += batch.column(2).nbytes
                 if size >= own.BLOCK_BYTES:
                     yield from flush()
@@ -221,7 +232,7 @@ def _taught(batches, end: int, number: int = 0, of: int = 1):
     """Of blocks, the training documents some at a time: ids and borders. number, of: of so many shares of each block's
     documents, this one."""
     for b in _blocks(batches):
-        for _, seq, docs, _, _ in b.slices(np.flatnonzero(~b.held)[number::of], end):
+        for _, seq, docs, _, _ in b.slices(np.flatnonzero(~b.held)[number::of], end, words=False):
             yield seq, docs
         del b
 
@@ -245,8 +256,13 @@ def classes(blocks: DataFrame, count: np.ndarray, closing: np.ndarray, begin: in
         keys, n, waiting = np.zeros(0, np.int64), np.zeros(0, np.int64), []
 
         def merged():
-            k, to = np.unique(np.concatenate([keys, *(x[0] for x in waiting)]), return_inverse=True)
-            return k, np.bincount(to, weights=np.concatenate([n, *(x[1] for x in waiting)]), minlength=len(k)).astype(np.int64)
+            # sorted as keys and counts in one number: quicker than sorting an order
+            both = np.concatenate([keys, *(x[0] for x in waiting)]).astype(np.int64) << 32
+            both |= np.concatenate([n, *(x[1] for x in waiting)])
+            both.sort()
+            k, m = both >> 32, both & 0xFFFFFFFF
+            starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))[: len(k)]
+            return k[starts], np.add.reduceat(m, starts) if len(k) else m
 
         for seq, docs in _taught(batches, begin + 1):
             k, m = neighbours(windows_of(seq, docs, begin), place)
@@ -337,7 +353,7 @@ def some_windows(blocks: DataFrame, begin: int, share: float) -> np.ndarray:
             chosen = np.flatnonzero(rng.random(len(text)) < share)
             held, own = np.unique(text[chosen], return_inverse=True)  # only documents of these windows are put together
             first = 0
-            for some, seq, docs, _, _ in b.slices(which[held], begin + 1):
+            for some, seq, docs, _, _ in b.slices(which[held], begin + 1, words=False):
                 here = np.flatnonzero((own >= first) & (own < first + len(some)))
                 w = windows_of(seq, docs, begin, (own[here] - first, at[chosen[here]]))
                 first += len(some)
@@ -465,11 +481,9 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch
     model = fit(spark, rows, spec, scratch)
     n_ends = int(rows.where((F.col("kind") == IDS) & (F.col("idx") == model.end)).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
 
-    by_word = Window.partitionBy("word")
-    known = rows.where(F.col("kind") == WORDS).select("block", "idx", "n", "word")
-    known = known.withColumns({"c": F.sum("n").over(by_word), "first": F.row_number().over(by_word.orderBy("block")) == 1})
-    known = known.select("block", "idx", "n", "c", (F.col("first") & (F.col("c") > 0)).alias("first"))
-    known = scratch.table(known.mapInArrow(_packed, "block long, n long, v long, idx binary, c binary"), "known")
+    blocks = max(1, rows.where(F.col("kind") == DOCS).count())  # of bounded size each, so a task's share doesn't grow
+    known = rows.where(F.col("kind") == WORDS).select("block", "idx", "n", "word").repartition(blocks, "word")
+    known = scratch.table(known.mapInArrow(_summed, "block long, n long, v long, idx binary, c binary"), "known")
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
     n, v = n + n_ends, v + (n_ends > 0)
     shared = spark.sparkContext.broadcast(model)
@@ -483,12 +497,14 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch
 
         def done():
             b = own.Block(held)
+            held.update(codes=None, subs=None, sizes=None)
             c = np.zeros(len(b.lengths) + 1, np.int64)
             for idx, k in counts:
                 c[np.frombuffer(idx, "<i4")] = np.frombuffer(k, "<i8")
             c[-1] = n_ends
             # by word: what doesn't depend on the words around it
-            base_of, share_of, less_of = np.log10((c + 1) / (n + v + 1)), c / max(n, 1), np.maximum(c - 1, 0) / max(n - 1, 1)
+            base_of = np.log10((c + 1) / (n + v + 1))
+            share_of, less_of = (c / max(n, 1)).astype(np.float32), (np.maximum(c - 1, 0) / max(n - 1, 1)).astype(np.float32)
             by_id = np.concatenate([[0.0], np.cumsum(m.share[own.classes_before(b.flat, b.starts, b.lengths, m.attention.cls), b.flat], dtype=np.float64)])
             within = np.append(by_id[b.starts + b.lengths] - by_id[b.starts], m.share[own.CLASSES, m.end])
             doc_ids, has_id = np.frombuffer(held["doc_ids"], "<i8"), np.frombuffer(held["has_id"], np.uint8) != 0
@@ -501,15 +517,18 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch
                 by_ids = total[cuts[1:]] - total[cuts[:-1]] + within[number]
                 found = c[number]
                 starts = ends - sizes
-                summed = lambda x: np.add.reduceat(x, starts)
+                summed = lambda x: np.add.reduceat(x, starts, dtype=np.float64 if x.dtype.kind == "f" else None)
                 base = summed(base_of[number])
-                share, raised = share_of[number], 10.0 ** np.maximum(by_ids, -300)
+                single = by_ids.astype(np.float32)
+                share, raised = share_of[number], np.exp(single * np.float32(np.log(10)))
+                under = single < own.LOW
                 scores, others = [], []
                 taught = np.flatnonzero(np.repeat(~b.held[which], sizes))
                 less, by_taught, raised_taught = less_of[number[taught]], by_ids[taught], raised[taught]
+                low, low_taught = np.flatnonzero(under & (share == 0)), np.flatnonzero(under[taught] & (less == 0))
                 for weight in own.WEIGHTS:
-                    scores.append(summed(own.mixed(share, by_ids, weight, raised)))
-                    others.append(float(own.mixed(less, by_taught, weight, raised_taught).sum()))
+                    scores.append(summed(own.mixed(share, by_ids, weight, raised, low)))
+                    others.append(float(own.mixed(less, by_taught, weight, raised_taught, low_taught).sum(dtype=np.float64)))
                 k = len(which)
                 columns = [pa.array(doc_ids[which], mask=~has_id[which]), pa.array(b.held[which]), pa.array(sizes), pa.array(summed((found > 0).astype(np.int64))), pa.array(base)]
                 columns.append(pa.array(np.stack(scores, 1).tolist(), pa.list_(pa.float64())))
@@ -522,6 +541,7 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch
                 if row["codes"] is not None:
                     if held is not None:
                         yield from done()
+                        give_back()
                     held, counts = row, []
                 else:
                     counts.append((row["idx"], row["c"]))
@@ -534,9 +554,8 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch
     none = lambda names: [F.lit(None).cast("binary").alias(x) for x in names]
     docs_ = rows.where(F.col("kind") == DOCS).select("block", F.lit(0).alias("part"), *texts, *none(("idx", "c")))
     parts_ = known.select("block", F.lit(1).alias("part"), *none(texts), "idx", "c")
-    blocks = max(1, rows.where(F.col("kind") == DOCS).count())  # of bounded size each, so a task's share doesn't grow
     both = docs_.unionByName(parts_).repartition(blocks, "block").sortWithinPartitions("block", "part").drop("block", "part")
-    made = scratch.table(both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, others array<double>"), "scores")
+    made = scratch.table(both.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, scores array<double>, others array<double>"), "scores", batch=WIDE)
     # each weight's log probability of the training documents, a word's own place not counted
     sums = made.agg(*(F.sum(F.col("others")[k]).alias(f"w{k}") for k in range(len(WEIGHTS)))).first()
     best = max(range(len(WEIGHTS)), key=lambda k: sums[k]) if sums[0] is not None else 0
@@ -544,20 +563,39 @@ def score(spark: SparkSession, docs: DataFrame, tokenizer: str, scratch: Scratch
     return made.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", F.col("scores")[best].alias("score"))
 
 
-def _packed(batches):
-    """Rows of words as a row for each block in the batch, with the sums of n and of first."""
+def _summed(batches):
+    """Rows of all blocks' words, those of a word in one task, as a row for each block: its words' numbers and their counts in all
+    blocks, the sum of its own counts, and how many words it is the first to have of those that are counted."""
     import pyarrow as pa
 
+    from vellumlake.llm.common import give_back
+
+    columns: list = [[], [], []]
+    words: list = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        block, idx, n, c, first = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
-        order = np.argsort(block, kind="stable")
-        block, idx, n, c, first = (x[order] for x in (block, idx, n, c, first))
-        cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
-        rows = [(int(block[a]), int(n[a:b].sum()), int(first[a:b].sum()), idx[a:b].astype("<i4").tobytes(), c[a:b].astype("<i8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "n", "v", "idx", "c"])
+        for k, x in enumerate(columns):
+            x.append(batch.column(k).to_numpy(zero_copy_only=False))
+        words.append(batch.column(3).cast(pa.large_binary()).dictionary_encode())  # few bytes for words of many blocks
+    if not words:
+        return
+    number = pa.chunked_array(words).unify_dictionaries().chunks
+    number = np.concatenate([x.indices.to_numpy(zero_copy_only=False) for x in number])
+    del words
+    block, idx, n = map(np.concatenate, columns)
+    del columns
+    c = np.bincount(number, weights=n).astype(np.int64)
+    order = np.argsort(block, kind="stable")
+    block, idx, n, number = block[order], idx[order], n[order], number[order]
+    first = np.zeros(len(block), np.int64)
+    first[np.unique(number, return_index=True)[1]] = 1
+    c = c[number]
+    first[c == 0] = 0
+    cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(block)]
+    rows = [(int(block[a]), int(n[a:b].sum()), int(first[a:b].sum()), idx[a:b].astype("<i4").tobytes(), c[a:b].astype("<i8").tobytes()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["block", "n", "v", "idx", "c"])
+    del rows, block, idx, n, number, first, c, order
+    give_back()
 
 
 def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
